@@ -27,6 +27,8 @@ SEGMENTS, WIDTH, RADIUS = 28, 8, 1
 #: Buckets up to this size are paired within; larger ones go through their leader and then block by block.
 BUCKET = 48
 BLOCK = 256
+#: So many bucket keys (8 bytes each) are sent to all executors; more are joined by shuffle.
+BROADCAST_KEYS = 500_000
 
 
 def _bucket_pairs(keyed: DataFrame, bucket: int) -> tuple[DataFrame, DataFrame]:
@@ -34,11 +36,17 @@ def _bucket_pairs(keyed: DataFrame, bucket: int) -> tuple[DataFrame, DataFrame]:
     counted = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("rid").alias("lo"), F.max("rid").alias("hi")).filter("n > 1")
     counted = materialise(counted, "buckets")
     two = counted.filter("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-    small = keyed.join(counted.filter(f"n between 3 and {bucket}").select("key"), "key").groupBy("key").agg(F.array_sort(F.collect_set("rid")).alias("m"))
+    some = counted.filter(f"n between 3 and {bucket}").select("key")
+    if some.count() <= BROADCAST_KEYS:
+        some = F.broadcast(some)
+    small = keyed.join(some, "key").groupBy("key").agg(F.array_sort(F.collect_set("rid")).alias("m"))
     small = small.select("m", F.posexplode("m").alias("i", "a")).select("a", F.explode(F.expr("slice(m, i + 2, size(m))")).alias("b"))
     large = counted.filter(f"n > {bucket}").select("key", "lo", "n")
+    found = two.unionByName(small)
+    if not large.limit(1).count():
+        return found.distinct(), large
     star = keyed.join(large, "key").filter("rid <> lo").select(F.least("lo", "rid").alias("a"), F.greatest("lo", "rid").alias("b"))
-    return two.unionByName(small).unionByName(star).distinct(), large
+    return found.unionByName(star).distinct(), large
 
 
 def _block_links(keyed: DataFrame, large: DataFrame, sets: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
