@@ -22,11 +22,14 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evalweave.session import materialise
+
 # Letters of other scripts that are drawn like a Latin letter.
 LETTERS = {
     "a": "аɑα", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡց", "h": "һհ", "i": "іι", "j": "јϳ", "l": "ӏ", "n": "ո", "o": "оοօ", "p": "рρ",
@@ -46,7 +49,6 @@ _JOINED = re.compile(f"(?<=[{_EMOJI}\ufe0f])\u200d(?=[{_EMOJI}])|(?<=[\u0600-\u0
 _KEPT = {"\u200c": "\ue00c", "\u200d": "\ue00d"}
 _RESTORE = str.maketrans({v: k for k, v in _KEPT.items()})
 _CLUSTER = re.compile("[^\u0300-\u036f][\u0300-\u036f]+")
-_SPACE_RUN = re.compile(r"\s+")
 
 
 class UnionFind:
@@ -116,25 +118,31 @@ def relation() -> tuple[tuple[str, ...], ...]:
     return tuple(sorted(tuple(sorted(m)) for m in uf.classes().values()))
 
 
-def count_strings(texts: pd.Series) -> Counter:
-    """Occurrences of single code points, of bases with marks and of the few plain strings in the relation."""
+# What the Latin ligatures of the Unicode standard and the ellipsis stand for.
+_USUAL = ("ff", "fi", "fl", "ffi", "ffl", "st", "...")
+
+
+def count_strings(texts: pd.Series, plain: tuple[str, ...] = _USUAL) -> Counter:
+    """Occurrences of single code points, of bases with marks and of the given plain strings."""
     joined = "\n".join(t for t in texts if t)
-    n: Counter = Counter(joined)
-    n.update(_CLUSTER.findall(joined))
-    for s in _plain_strings():
+    points = np.bincount(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32))
+    n: Counter = Counter({chr(c): int(points[c]) for c in np.flatnonzero(points)})
+    if points[0x300:0x370].any():
+        n.update(_CLUSTER.findall(joined))
+    for s in plain:
         if k := joined.count(s):
             n[s] += k
     return n
 
 
-@lru_cache(maxsize=1)
-def _nodes() -> frozenset[str]:
-    return frozenset(s for c in relation() for s in c)
+def uncounted(counts: dict[str, int]) -> tuple[str, ...]:
+    """Plain strings not counted yet that stand against a sign seen in the corpus."""
+    return tuple(sorted(s for c in relation() if any(counts.get(m) for m in c if not m.isascii()) for s in c if len(s) > 1 and s.isascii() and s not in _USUAL))
 
 
 @lru_cache(maxsize=1)
-def _plain_strings() -> tuple[str, ...]:
-    return tuple(sorted(s for s in _nodes() if len(s) > 1 and s.isascii()))
+def _nodes() -> frozenset[str]:
+    return frozenset(s for c in relation() for s in c)
 
 
 def representatives(counts: dict[str, int]) -> dict[str, str]:
@@ -156,6 +164,8 @@ class Rewriter:
         self.pairs = pairs
         plain = sorted((k for k in pairs if k.isascii()), key=len, reverse=True)
         self.plain = re.compile("|".join(map(re.escape, plain))).search if plain else lambda _: None
+        # every pattern holds one of these: a text without any of them is its own form
+        self.marks = frozenset(next((c for c in reversed(k) if not c.isascii()), "") for k in pairs) - {""}
         self.auto = ahocorasick.Automaton()
         for k, v in pairs.items():
             self.auto.add_word(k, (len(k), v))
@@ -165,7 +175,7 @@ class Rewriter:
     def __call__(self, text: str | None) -> str | None:
         if text is None:
             return None
-        if self.pairs and not (text.isascii() and not self.plain(text)):
+        if self.pairs and (not text.isascii() and not self.marks.isdisjoint(text) or self.plain(text)):
             held = "\u200c" in text or "\u200d" in text
             if held:
                 text = _JOINED.sub(lambda m: _KEPT[m.group()], text)
@@ -184,7 +194,7 @@ class Rewriter:
                 text = new_text
             if held:
                 text = text.translate(_RESTORE)
-        return _SPACE_RUN.sub(" ", text).strip()
+        return " ".join(text.split())
 
 
 @lru_cache(maxsize=4)
@@ -200,16 +210,24 @@ class ConsistentForm:
 
     @classmethod
     def fit(cls, texts: DataFrame, column: str = "text") -> ConsistentForm:
+        counts = cls._count(texts, column, _USUAL)
+        if rest := uncounted(counts):
+            seen = cls._count(texts, column, rest)
+            counts |= {s: seen.get(s, 0) for s in rest}
+        return cls(representatives(counts))
+
+    @staticmethod
+    def _count(texts: DataFrame, column: str, plain: tuple[str, ...]) -> dict[str, int]:
         nodes = _nodes()
 
         def partial(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total: Counter = Counter()
             for pdf in it:
-                total.update({k: v for k, v in count_strings(pdf.iloc[:, 0]).items() if k in nodes})
+                total.update({k: v for k, v in count_strings(pdf.iloc[:, 0], plain).items() if k in nodes})
             yield pd.DataFrame({"s": list(total.keys()), "n": list(total.values())}).astype({"s": "object", "n": "int64"})
 
         rows = texts.select(F.col(column)).mapInPandas(partial, "s string, n long").groupBy("s").agg(F.sum("n").alias("n")).collect()
-        return cls(representatives({r["s"]: r["n"] for r in rows}))
+        return {r["s"]: r["n"] for r in rows}
 
     @classmethod
     def default(cls) -> ConsistentForm:
@@ -242,7 +260,7 @@ def lookalike_variants(texts: DataFrame, form: ConsistentForm, id_col: str = "id
     and make no pair among themselves.
     """
     t = texts.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.md5(F.col(text_col).cast("binary")).alias("text_key"), form.column(F.col(text_col)).alias("form"))
-    t = t.filter(F.col("form") != "").select("id", "text_key", F.md5(F.col("form").cast("binary")).alias("form_key"))
+    t = materialise(t.filter(F.col("form") != "").select("id", "text_key", F.md5(F.col("form").cast("binary")).alias("form_key")), "p3-keys")
     many = t.groupBy("form_key").agg(F.min("text_key").alias("lo"), F.max("text_key").alias("hi")).filter("lo <> hi").select("form_key")
     return t.join(many, "form_key")
 

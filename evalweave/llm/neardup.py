@@ -11,16 +11,13 @@ the same word set are one node, so groups of exact copies of any size cost one r
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalweave.llm.graph import components
 from evalweave.llm.lookalike import ConsistentForm
-from evalweave.llm.shingles import distinct_sets, sketch, verified, word_sets
+from evalweave.llm.shingles import forms, sketches, verified, word_hashes
 from evalweave.session import materialise
 
 SEGMENTS, WIDTH, RADIUS = 28, 8, 1
@@ -90,15 +87,14 @@ def near_duplicate_classes(records: DataFrame, form: ConsistentForm | None = Non
     """(id, class_id, class_size): one row per record with words; class_id is the smallest id of the class."""
     if form is None:
         form = ConsistentForm.fit(records, text_col)
-    sets, members = distinct_sets(word_sets(records, form, id_col, text_col, order_col), "p1")
-    sk = materialise(sketch(sets, segments, width, radius, seed), "p1-sketch")
+    sk, members = sketches(forms(records, form, id_col, text_col, order_col), "p1", segments, width, radius, seed)
     keyed = sk.select("rid", F.explode(F.array_distinct("keys")).alias("key"))
     pairs, large = _bucket_pairs(keyed, bucket)
     links = materialise(verified(pairs, sk, sk, similarity, segments * width).select("a", "b"), "p1-links")
     roots = components(links)
     if large.limit(1).count():
         roots = materialise(roots, "p1-roots")
-        more = _block_links(keyed, large, sets, roots, similarity)
+        more = _block_links(keyed, large, sk.select("rid", word_hashes(F.col("form")).alias("words")), roots, similarity)
         roots = components(links.unionByName(more))
     rooted = members.join(roots.withColumnRenamed("node", "rid"), "rid", "left").select("id", F.coalesce("root", "rid").alias("root"))
     rooted = materialise(rooted, "p1-rooted")

@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalweave.llm.lookalike import ConsistentForm
-from evalweave.llm.shingles import distinct_sets, sketch, verified, word_sets
+from evalweave.llm.shingles import forms, sketches, verified
 from evalweave.session import materialise
 
-BANDS, ROWS = 84, 6
+BANDS, ROWS = 48, 5
 
 
 def split_overlaps(evaluation: DataFrame, training: DataFrame, form: ConsistentForm | None = None, similarity: float = 0.6, bands: int = BANDS, rows: int = ROWS, seed: int = 23, order_col: str | None = None) -> DataFrame:
@@ -25,8 +25,7 @@ def split_overlaps(evaluation: DataFrame, training: DataFrame, form: ConsistentF
         form = ConsistentForm.fit(evaluation.select("text").unionByName(training.select("text")))
     sides = []
     for name, df in (("eval", evaluation), ("train", training)):
-        sets, members = distinct_sets(word_sets(df, form, order_col=order_col), f"p2-{name}")
-        sides.append((materialise(sketch(sets, bands, rows, 0, seed), f"p2-{name}-sketch"), members))
+        sides.append(sketches(forms(df, form, order_col=order_col), f"p2-{name}", bands, rows, 0, seed))
     (ev, ev_ids), (tr, tr_ids) = sides
     a = ev.select(F.col("rid").alias("a"), F.explode("keys").alias("key"))
     b = tr.select(F.col("rid").alias("b"), F.explode("keys").alias("key"))

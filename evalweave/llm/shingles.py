@@ -24,37 +24,46 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(form: Column) -> Column:
-    """Sorted distinct 64-bit hashes of the words (runs of letters or digits) of ``form``, ignoring letter case."""
-    words = F.regexp_extract_all(F.lower(form), F.lit("[\\p{L}\\p{N}]+"), F.lit(0))
+    """Sorted distinct 64-bit hashes of the words (runs of letters or digits) of ``form``, which is in lower case."""
+    words = F.regexp_extract_all(form, F.lit("[\\p{L}\\p{N}]+"), F.lit(0))
     return F.array_sort(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
 
 
-def word_sets(records: DataFrame, form: ConsistentForm, id_col: str = "id", text_col: str = "text", order_col: str | None = None) -> DataFrame:
-    """(id, words): one row per id with at least one word; the first row of an id by ``order_col`` counts."""
+def forms(records: DataFrame, form: ConsistentForm, id_col: str = "id", text_col: str = "text", order_col: str | None = None) -> DataFrame:
+    """(id, form): one row per id whose text has a word; the first row of an id by ``order_col`` counts."""
     named = records.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([F.col(order_col).alias("_o")] if order_col else [F.lit(0).alias("_o")]))
     named = named.filter(F.col("id").isNotNull() & F.col("text").isNotNull() & (F.trim("text") != ""))
     once = first_per_key(named, ["id"], ["_o"], ["text"])
-    return once.select("id", word_hashes(form.column(F.col("text"))).alias("words")).filter(F.size("words") > 0)
+    return once.select("id", F.lower(form.column(F.col("text"))).alias("form")).filter(F.col("form").rlike("[\\p{L}\\p{N}]"))
 
 
-def distinct_sets(sets: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """(rid, words) with each word set once, and (id, rid). Copies meet here, so no later step sees them twice."""
-    keyed = materialise(sets.withColumn("set_key", F.sha2(F.array_join(F.transform("words", lambda x: x.cast("string")), ","), 256)), f"{name}-keyed")
-    reps = keyed.groupBy("set_key").agg(F.min("id").alias("rep"), F.first("words").alias("words"))
-    reps = materialise(reps.select(F.monotonically_increasing_id().alias("rid"), "set_key", "words"), f"{name}-sets")
-    return reps.select("rid", "words"), keyed.select("id", "set_key").join(reps.select("set_key", "rid"), "set_key").select("id", "rid")
+def sketches(forms: DataFrame, name: str, segments: int, width: int, radius: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(rid, form, print, keys) of each distinct word set, and (id, rid). Copies meet here, so no later step sees them twice.
+
+    Forms are stored, not word sets: text is compressed to a fraction of the 64-bit hashes of its words.
+    """
+    keyed = materialise(forms.withColumn("set_key", _set_key(F.col("form"))), f"{name}-forms")
+    reps = keyed.groupBy("set_key").agg(F.min("form").alias("form")).select(F.monotonically_increasing_id().alias("rid"), "set_key", "form")
+    done = materialise(sketch(reps.withColumn("words", word_hashes(F.col("form"))), segments, width, radius, seed), f"{name}-sketch")
+    members = keyed.select("id", "set_key").join(done.select("set_key", "rid"), "set_key").select("id", "rid")
+    return done.select("rid", "form", "print", "keys"), members
+
+
+def _set_key(form: Column) -> Column:
+    """128-bit digest of the word set of ``form``."""
+    return F.unhex(F.md5(F.array_join(F.transform(word_hashes(form), lambda x: x.cast("string")), ",").cast("binary")))
 
 
 def signatures(flat: np.ndarray, offsets: np.ndarray, n: int, seed: int) -> np.ndarray:
     """(documents, n) minwise values of the word sets flat[offsets[i]:offsets[i+1]], none of them empty."""
-    rng = np.random.default_rng(seed)
-    mult, add = rng.integers(1, 1 << 63, n, dtype=np.uint64) | np.uint64(1), rng.integers(0, 1 << 63, n, dtype=np.uint64)
-    base, out = mix(flat.view(np.uint64)), np.empty((len(offsets) - 1, n), np.uint64)
+    # multiply-shift over hashes that are mixed already; 32 bits halve the memory traffic of the innermost loop
+    mult = np.random.default_rng(seed).integers(1, 1 << 32, n, dtype=np.uint32) | np.uint32(1)
+    base, out = (mix(flat.view(np.uint64)) >> np.uint64(32)).astype(np.uint32), np.empty((len(offsets) - 1, n), np.uint32)
+    x = np.empty_like(base)
     for j in range(n):
-        x = base * mult[j] + add[j]
-        x ^= x >> np.uint64(29)
-        out[:, j] = np.minimum.reduceat(x * _MIX_1, offsets[:-1])
-    return out
+        np.multiply(base, mult[j], out=x)
+        out[:, j] = np.minimum.reduceat(x, offsets[:-1])
+    return out.astype(np.uint64)
 
 
 def ball_keys(sig: np.ndarray, segments: int, width: int, radius: int) -> np.ndarray:
@@ -80,21 +89,21 @@ def bit_print(sig: np.ndarray) -> np.ndarray:
 
 
 def sketch(sets: DataFrame, segments: int, width: int, radius: int, seed: int) -> DataFrame:
-    """(rid, words, print, keys) of (rid, words)."""
+    """(rid, set_key, form, print, keys) of (rid, set_key, form, words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 2000):
-                part = batch.slice(start, 2000)
-                lists = part.column(1)
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                lists = part.column(3)
                 offsets = np.asarray(lists.offsets, dtype=np.int64)
                 flat = np.asarray(lists.values)[offsets[0] : offsets[-1]]
                 sig = signatures(flat, offsets - offsets[0], segments * width, seed)
                 keys, prints = ball_keys(sig, segments, width, radius).view(np.int64), bit_print(sig)
-                arrays = [part.column(0), lists, _lists(prints), _lists(keys)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["rid", "words", "print", "keys"])
+                arrays = [part.column(0), part.column(1), part.column(2), _lists(prints), _lists(keys)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["rid", "set_key", "form", "print", "keys"])
 
-    return sets.select("rid", "words").mapInArrow(run, "rid long, words array<long>, print array<long>, keys array<long>")
+    return sets.select("rid", "set_key", "form", "words").mapInArrow(run, "rid long, set_key binary, form string, print array<long>, keys array<long>")
 
 
 def _lists(rows: np.ndarray) -> pa.ListArray:
@@ -117,7 +126,7 @@ def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, similarity: fl
     near = pairs.join(left.select(F.col("rid").alias("a"), F.col("print").alias("pa")), "a").join(right.select(F.col("rid").alias("b"), F.col("print").alias("pb")), "b")
     far = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     near = near.filter(far <= far_bits(symbols, similarity)).select("a", "b")
-    both = near.join(left.select(F.col("rid").alias("a"), F.col("words").alias("wa")), "a").join(right.select(F.col("rid").alias("b"), F.col("words").alias("wb")), "b")
+    both = near.join(left.select(F.col("rid").alias("a"), word_hashes(F.col("form")).alias("wa")), "a").join(right.select(F.col("rid").alias("b"), word_hashes(F.col("form")).alias("wb")), "b")
     both = both.withColumn("shared", F.size(F.array_intersect("wa", "wb"))).withColumn("either", F.size("wa") + F.size("wb") - F.col("shared"))
     # 0.6 is compared in whole numbers, as the quotient of two ints at the border may round either way
     parts = round(similarity * 1000)
