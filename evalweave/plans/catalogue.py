@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from evalweave.plans import scoring
+
 Query = Callable[[SparkSession, str], DataFrame]
+MODULES = [scoring]
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: q for m in MODULES for k, q in m.ORACLE.items()}
