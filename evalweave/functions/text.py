@@ -15,7 +15,7 @@ EDGE_MARKS = " .,;:!?\"'`()[]{}<>-–—…*#_~|/\\“”„‘’«»"
 
 def flatten(text: Column | str) -> Column:
     """White space runs become one space; ends are stripped."""
-    return F.trim(F.regexp_replace(_c(text), r"[\s  -  　]+", " "))
+    return F.trim(F.regexp_replace(_c(text), r"[\s   -   　]+", " "))
 
 
 def dedup_key(text: Column | str) -> Column:

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalweave.plans import scoring
+from evalweave.plans import building, scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [scoring]
+MODULES = [scoring, building]
 
 
 def queries() -> dict[str, Query]:

@@ -26,3 +26,12 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[str], columns: lis
     """
     ranked = F.min(F.struct(*order, *columns)).alias("_r")
     return df.groupBy(*keys).agg(ranked).select(*keys, *[F.col(f"_r.`{c}`").alias(c) for c in columns])
+
+
+def join_nullsafe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``left`` joined to ``right``'s other columns on ``keys``, where NULL equals NULL."""
+    named = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(named, cond, how).drop(*[f"_r_{k}" for k in keys])
