@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalweave.plans import building, scoring
+from evalweave.plans import building, retrieval, scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [scoring, building]
+MODULES = [scoring, building, retrieval]
 
 
 def queries() -> dict[str, Query]:
