@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalweave.plans import building, retrieval, scoring
+from evalweave.plans import audits, building, retrieval, scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [scoring, building, retrieval]
+MODULES = [scoring, building, retrieval, audits]
 
 
 def queries() -> dict[str, Query]:
