@@ -84,24 +84,37 @@ _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 @lru_cache(maxsize=1)
 def _refusal():
-    return [re.compile(p, re.I | re.S) for p in REFUSALS]
+    """One pattern for refusals that open a sentence, one for those anywhere in it."""
+    opening = [x for p in REFUSALS for x in p.split("|^") if p.startswith("^")]
+    inside = [p for p in REFUSALS if not p.startswith("^")]
+    return re.compile("|".join(f"(?:{x.removeprefix('^')})" for x in opening), re.I | re.S).match, re.compile("|".join(inside), re.I | re.S).search
 
 
 @lru_cache(maxsize=1)
-def _languages() -> list[tuple[str, frozenset[str]]]:
-    """Function words by language; a word shared by several counts in each."""
-    return [(k, frozenset(v)) for k, v in FUNCTION_WORDS.items()]
+def _speaks_for() -> tuple[list[str], dict[str, list[int]]]:
+    """The languages and, for each function word, the places of those it speaks for."""
+    names, out = list(FUNCTION_WORDS), {}
+    for i, k in enumerate(names):
+        for w in set(FUNCTION_WORDS[k]):
+            out.setdefault(w, []).append(i)
+    return names, out
 
 
 def language(text: str) -> tuple[str | None, int, int]:
     """(language, its function words, those of the runner-up); None where nothing speaks for one."""
-    words = [w.lower() for w in _WORD.findall(text)]
-    score = sorted(((sum(w in s for w in words), k) for k, s in _languages()), reverse=True)
-    return (score[0][1] if score[0][0] > score[1][0] else None, score[0][0], score[1][0])
+    names, speaks = _speaks_for()
+    n = [0] * len(names)
+    for w in _WORD.findall(text.lower()):
+        for i in speaks.get(w, ()):
+            n[i] += 1
+    first, second = sorted(n, reverse=True)[:2]
+    return (names[n.index(first)] if first > second else None, first, second)
 
 
 def refuses(text: str) -> bool:
-    return any(p.search(s.strip()) for s in _SENTENCE.split(text.replace("’", "'").strip()) for p in _refusal())
+    opens, holds = _refusal()
+    text = text.replace("\u2019", "'").strip()
+    return bool(holds(text)) or any(opens(s.strip()) for s in _SENTENCE.split(text))
 
 
 def closes(text: str, start: int) -> bool:
@@ -192,7 +205,8 @@ def judge(final: str | None, item: str | None, form) -> tuple[list[str], str | N
         found.append("truncated")
     if refuses(plain):
         found.append("refusal")
-    copied = bool(item and item.strip()) and copies(plain.lower(), (form(item) or "").lower())
+    asked = (form(item) or "") if item and item.strip() else ""
+    copied = bool(asked) and copies(plain.lower(), asked.lower())
     if copied:
         found.append("copy")
     pair = last = None
@@ -208,9 +222,9 @@ def judge(final: str | None, item: str | None, form) -> tuple[list[str], str | N
             if not tail[-1].isalnum():
                 found.append("truncated")
                 pair = last = None
-    if not copied and item and item.strip():
+    if not copied and asked:
         a, na, ra = language(_QUOTED.sub(" ", plain))
-        b, nb, rb = language(form(item) or "")
+        b, nb, rb = language(asked)
         if a and b and a != b and na >= 2 and nb >= 3 and na >= 1.5 * ra and nb >= 1.5 * rb:
             found.append("language")
     return found, pair, last, ends
