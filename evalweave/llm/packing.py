@@ -147,7 +147,8 @@ def pack(items: DataFrame, limits: DataFrame, windows: int = WINDOWS, rounds: in
     for r in range(rounds):
         run_id = uuid.uuid5(uuid.NAMESPACE_OID, f"round {r}").hex[:4]
 
-        dealt = _deal(todo, windows, r)
+        # a fixed number of partitions: groups cost far more time than bytes, so they are not merged into few tasks by size
+        dealt = _deal(todo, windows, r).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "limit_key", "grp")
         packed = materialise(dealt.select("limit_key", "capacity", "grp", "item", "piece", "start", "size").groupBy("limit_key", "grp").applyInPandas(_group_packer(run_id), schema), f"p7-round{r}")
         last = r == rounds - 1
         keep = packed if last else packed.filter(F.col("fill") >= reopen)
