@@ -6,7 +6,7 @@ ball are candidates. Their complete distance is verified on the fingerprint and
 links are closed into classes.
 
 Odd input: NULL or blank texts and texts without words have no class row; rows with the same id count once; records with
-the same word set are one node, so groups of exact copies of any size cost one row each; an empty table gives no rows.
+the same form are one node, so groups of exact copies of any size cost one row each; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -86,7 +86,7 @@ def _block_links(keyed: DataFrame, large: DataFrame, sets: DataFrame, roots: Dat
 def near_duplicate_classes(records: DataFrame, form: ConsistentForm | None = None, similarity: float = 0.6, id_col: str = "id", text_col: str = "text", order_col: str | None = None, segments: int = SEGMENTS, width: int = WIDTH, radius: int = RADIUS, bucket: int = BUCKET, seed: int = 11) -> DataFrame:
     """(id, class_id, class_size): one row per record with words; class_id is the smallest id of the class."""
     if form is None:
-        form = ConsistentForm.fit(records, text_col)
+        form = ConsistentForm.default()  # equality of forms does not depend on the representatives
     sk, members = sketches(forms(records, form, id_col, text_col, order_col), "p1", segments, width, radius, seed)
     keyed = sk.select("rid", F.explode(F.array_distinct("keys")).alias("key"))
     pairs, large = _bucket_pairs(keyed, bucket)

@@ -4,7 +4,7 @@ Method: minwise hashes of the word sets in banded buckets; only pairs of one eva
 formed; candidates are verified by exact Jaccard similarity; confirmed pairs are counted per subset and source.
 
 Odd input: NULL or blank texts never overlap; rows with the same id count once on either side; records with the same
-word set are one node on their side; an empty side gives no rows.
+form are one node on their side; an empty side gives no rows.
 """
 
 from __future__ import annotations
@@ -16,13 +16,13 @@ from evalweave.llm.lookalike import ConsistentForm
 from evalweave.llm.shingles import forms, sketches, verified
 from evalweave.session import materialise
 
-BANDS, ROWS = 48, 5
+BANDS, ROWS = 64, 6
 
 
 def split_overlaps(evaluation: DataFrame, training: DataFrame, form: ConsistentForm | None = None, similarity: float = 0.6, bands: int = BANDS, rows: int = ROWS, seed: int = 23, order_col: str | None = None) -> DataFrame:
     """(item_id, hit_id, similarity) of all confirmed pairs; both inputs have id and text."""
     if form is None:
-        form = ConsistentForm.fit(evaluation.select("text").unionByName(training.select("text")))
+        form = ConsistentForm.default()  # equality of forms does not depend on the representatives
     sides = []
     for name, df in (("eval", evaluation), ("train", training)):
         sides.append(sketches(forms(df, form, order_col=order_col), f"p2-{name}", bands, rows, 0, seed))

@@ -38,22 +38,17 @@ def forms(records: DataFrame, form: ConsistentForm, id_col: str = "id", text_col
 
 
 def sketches(forms: DataFrame, name: str, segments: int, width: int, radius: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """(rid, form, print, keys) of each distinct word set, and (id, rid). Copies meet here, so no later step sees them twice.
+    """(rid, form, print, keys) of each distinct form, and (id, rid). Copies meet here, so no later step sees them twice.
 
     Forms are stored, not word sets: text is compressed to a fraction of the 64-bit hashes of its words.
     """
-    keyed = materialise(forms.withColumn("set_key", _set_key(F.col("form"))), f"{name}-forms")
+    keyed = materialise(forms.withColumn("set_key", F.unhex(F.md5(F.col("form").cast("binary")))), f"{name}-forms")
     reps = keyed.groupBy("set_key").agg(F.min("form").alias("form")).select(F.monotonically_increasing_id().alias("rid"), "set_key", "form")
     done = materialise(sketch(reps.withColumn("words", word_hashes(F.col("form"))), segments, width, radius, seed), f"{name}-sketch")
     members = keyed.select("id", "set_key").join(done.select("set_key", "rid"), "set_key").select("id", "rid")
     return done.select("rid", "form", "print", "keys"), members
 
 
-def _set_key(form: Column) -> Column:
-    """128-bit digest of the word set of ``form``."""
-    return F.unhex(F.md5(F.array_join(F.transform(word_hashes(form), lambda x: x.cast("string")), ",").cast("binary")))
-
-
 def signatures(flat: np.ndarray, offsets: np.ndarray, n: int, seed: int) -> np.ndarray:
     """(documents, n) minwise values of the word sets flat[offsets[i]:offsets[i+1]], none of them empty."""
     # multiply-shift over hashes that are mixed already; 32 bits halve the memory traffic of the innermost loop
