@@ -19,6 +19,8 @@ from evalweave.operators.sampling import draw_number
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
+#: So many weighted query terms are sent to all executors; more are joined by shuffle.
+BROADCAST_TERMS = 300_000
 
 
 def top_k(scored: DataFrame, by: list[str], k: int, tie: str = "id", score: str = "score") -> DataFrame:
@@ -48,10 +50,15 @@ def bm25_scores(corpus: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, bucket, id, score) of records that share a term with ``queries(query_id, text)``; repeats count."""
     sizes, idf = bm25_stats(corpus)
     q = queries.filter("text is not null").select("query_id", F.explode(tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    asked = q.select("term").distinct()
-    post = bm25_terms(corpus).join(asked, "term", "left_semi").join(idf, ["bucket", "term"]).join(F.broadcast(sizes), "bucket")
-    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return post.select("term", "bucket", "id", weight.alias("w")).join(q, "term").groupBy("query_id", "bucket", "id").agg(F.sum(F.col("w") * F.col("qtf")).alias("score"))
+    # what a query's term adds to a record of a bucket, but for the record's own frequency and length
+    part = q.join(idf, "term").join(F.broadcast(sizes), "bucket").select("query_id", "bucket", "term", (F.col("qtf") * F.col("idf")).alias("qw"), "avgdl")
+    if part.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        # records stay where they are: their terms, the join and the sums all keep the partitioning by record
+        post = bm25_terms(corpus.repartition("bucket", "id")).join(F.broadcast(part), ["bucket", "term"])
+    else:
+        post = bm25_terms(corpus).join(part, ["bucket", "term"])
+    grown = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return post.groupBy("query_id", "bucket", "id").agg(F.sum(F.col("qw") * grown).alias("score"))
 
 
 def bm25_top_k(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:

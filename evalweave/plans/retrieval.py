@@ -9,6 +9,7 @@ from evalweave.operators import kb as K
 from evalweave.operators import parse as P
 from evalweave.operators import prompt as T
 from evalweave.operators import retrieve as R
+from evalweave.operators import run as N
 from evalweave.operators.labels import label_table
 from evalweave.plans import data
 from evalweave.plans.data import sql
@@ -147,6 +148,14 @@ def output_inspection(s, d):
     return x.groupBy("arm").agg(F.count("*").alias("n"), F.round(F.avg(F.length("o")), 4).alias("mean_chars"), F.count(F.when(F.lower("o").contains("<think>"), 1)).alias("traces"), F.count(F.when(F.col("o").contains("```"), 1)).alias("fences"))
 
 
+def mock_run(s, d):
+    """A whole run with the mock client: prompts, sampled answers with a repair, vote."""
+    ctx = s.createDataFrame([], "item_id string, bucket string, pos int, line string")
+    p = T.build_prompts(data.items(s, d, "text").filter("text is not null"), ctx, "Classify the text.", {"examples": "Examples:"}).withColumn("arm", F.lit("zero_shot"))
+    v = N.classify(p.select("item_id", "arm", "messages"), lambda: N.MockClient(broken=True), "mock-1", "mock-1")
+    return v.groupBy("arm", "hate", "uncertain").agg(F.count("*").alias("n"), F.sum("n_valid").alias("n_valid"))
+
+
 def prompt_label_space(s, d):
     return s.createDataFrame([(T.label_space(),)], "label_space string")
 
@@ -188,7 +197,7 @@ _SHOWN = ("select item_id, bucket, hit_id, min(hit_pos) as pos, any_value(k.text
 
 QUERIES = {
     f.__name__: f
-    for f in (bm25_stats, bm25_topk, dense_topk, knn_best_twin, cosine_threshold_join, pairwise_redundancy, rrf_fuse, retrieve_hybrid, mmr_select, definition_budget, fewshot_static, oracle_injection, retrieved_ids, channel_shares, parse_accounting, parse_by_arm, output_inspection, prompt_label_space, prompt_render_gold, prompt_sizes)
+    for f in (bm25_stats, bm25_topk, dense_topk, knn_best_twin, cosine_threshold_join, pairwise_redundancy, rrf_fuse, retrieve_hybrid, mmr_select, definition_budget, fewshot_static, oracle_injection, retrieved_ids, channel_shares, parse_accounting, parse_by_arm, output_inspection, mock_run, prompt_label_space, prompt_render_gold, prompt_sizes)
 }
 _RAWMETA = "try_cast(meta as json)"
 ORACLE = {
