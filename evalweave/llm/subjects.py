@@ -20,6 +20,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -46,7 +47,7 @@ SEEDS = {
 SHARE, RATED_ROWS, PASSES = 0.25, 20_000, 3
 ONE_IN, LEAST = 50_000, 4
 
-_END = re.compile(r"(?<=[.!?…])[\"”’')»]*\s+|\n+")
+_END = re.compile(r"[.!?…][\"”’')»]*\s")
 _WORD = re.compile(r"(?<![@\w])[^\W\d_]+(?:-[^\W\d_]+)*")
 
 
@@ -54,33 +55,44 @@ def sentences(text: str | None, form) -> list[str]:
     """The sentences of ``text`` with words, each as its distinct words in order, joined by spaces. Handles are no words."""
     if not text:
         return []
-    out = []
-    for line in text.split("\n"):
-        for s in _END.split(form(line) or ""):
-            words = list(dict.fromkeys(_WORD.findall(s.lower())))
-            if words:
-                out.append(" ".join(words))
-    return out
+    # one rewriting of the whole text; line ends are kept as ends of sentences
+    whole = (form(text.replace("\n", " \ue00a ")) or "").lower()
+    found = (_WORD.findall(s) for line in whole.split("\ue00a") for s in _END.split(line))
+    return [" ".join(dict.fromkeys(words)) for words in found if words]
+
+
+def flat(bodies: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(words of all sentences of a batch, where each sentence starts, sentences of each body)."""
+    lines = "\n".join(bodies).split("\n")
+    sizes = np.fromiter((s.count(" ") + 1 for s in lines), np.int64, len(lines))
+    per = np.fromiter((b.count("\n") + 1 for b in bodies), np.int64, len(bodies))
+    return " ".join(lines).split(" "), np.concatenate([[0], np.cumsum(sizes)[:-1]]), per
 
 
 class Lexicon:
     """word -> log odds of the subjects (and of none, last), in two halves by a hash of the word."""
 
     def __init__(self, probs: dict[str, np.ndarray], n: int) -> None:
-        self.n = n
+        self.n, self.size = n, len(probs)
         self.index = {w: i for i, w in enumerate(probs)}
-        self.odds = np.log(np.maximum(np.array(list(probs.values())).reshape(len(probs), n + 1), 1e-6) * (n + 1))
-        self.half = [zlib.crc32(w.encode()) & 1 for w in probs]
-
-    def vote(self, words: list[str], half: int | None = None) -> tuple[int, float]:
-        """(subject, or n for none; its probability) of a sentence by the words of one half, or of both."""
-        rows = [i for i in (self.index.get(w) for w in words) if i is not None and (half is None or self.half[i] == half)]
-        if not rows:
-            return self.n, 1.0
-        z = self.odds[rows].sum(axis=0)
-        e = np.exp(z - z.max())
-        k = int(e.argmax())
-        return k, float(e[k] / e.sum())
+        odds = np.log(np.maximum(np.array(list(probs.values())).reshape(self.size, n + 1), 1e-6) * (n + 1))
+        self.odds = np.vstack([odds, np.zeros((1, n + 1))]).astype(np.float32)  # the last row: words not in the lexicon
+        self.half = np.array([zlib.crc32(w.encode()) & 1 for w in probs] + [2])
+
+    def rows(self, words: list[str]) -> np.ndarray:
+        get, other = self.index.get, self.size
+        return np.fromiter((get(w, other) for w in words), np.int64, len(words))
+
+    def votes(self, rows: np.ndarray, starts: np.ndarray, half: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(subject, or n for none; its probability) of each sentence by the words of one half, or of both."""
+        if half is not None:
+            rows = np.where(self.half[rows] == half, rows, self.size)
+        z = np.add.reduceat(self.odds[rows], starts, axis=0)
+        e = np.exp(z - z.max(axis=1, keepdims=True))
+        k = e.argmax(axis=1)
+        p = e[np.arange(len(k)), k] / e.sum(axis=1)
+        known = np.add.reduceat((rows < self.size).astype(np.int64), starts) > 0
+        return np.where(known, k, self.n), np.where(known, p, 1.0)
 
 
 _kept: list[tuple[object, Lexicon]] = []
@@ -111,16 +123,21 @@ def _word_counts(split: DataFrame, column: str, judge, n: int) -> DataFrame:
                         for w in words:
                             total[w] += c
                         total[""] += c  # class totals
-            if len(total) > 200_000:
-                yield _rows(total)
-                total.clear()
-        yield _rows(total)
+        yield _count_rows({w: i for i, w in enumerate(total)}, np.array(list(total.values())).reshape(len(total), n + 1))
+
+    return _summed(split.select("body", column).mapInPandas(partial, _count_fields(n)), n)
+
+
+def _count_fields(n: int) -> str:
+    return "word string, " + ", ".join(f"c{i} double" for i in range(n + 1))
+
+
+def _count_rows(place: dict[str, int], total: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"word": list(place), **{f"c{i}": total[:, i].astype(float) for i in range(total.shape[1])}}).astype({"word": "object"})
 
-    def _rows(total: dict[str, np.ndarray]) -> pd.DataFrame:
-        return pd.DataFrame({"word": list(total.keys()), **{f"c{i}": [float(v[i]) for v in total.values()] for i in range(n + 1)}}).astype({"word": "object"})
 
-    fields = "word string, " + ", ".join(f"c{i} double" for i in range(n + 1))
-    summed = split.select("body", column).mapInPandas(partial, fields).groupBy("word").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(n + 1)])
+def _summed(parts: DataFrame, n: int) -> DataFrame:
+    summed = parts.groupBy("word").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(n + 1)])
     return summed.select("word", F.array(*[f"c{i}" for i in range(n + 1)]).alias("c"))
 
 
@@ -160,15 +177,30 @@ def _estimate(split: DataFrame, probs: dict[str, np.ndarray], n: int, n_sentence
     """The lexicon counted anew over all sentences whose class the present one is sure of."""
     shared = _share(probs)
 
-    def judge(words: list[str], _) -> np.ndarray | None:
-        k, p = _lexicon(shared, n).vote(words)
-        if p < 0.8:
-            return None
-        c = np.zeros(n + 1)
-        c[k] = 1
-        return c
-
-    by, total = _collect(_word_counts(split, "doc_id", judge, n), n_sentences)
+    def partial(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lex, place, total, row_of = _lexicon(shared, n), {}, np.zeros((0, n + 1)), np.zeros(0, np.int64)
+        for pdf in it:
+            if not len(pdf):
+                continue
+            words, starts, _ = flat(list(pdf["body"]))
+            ids = np.fromiter((place.setdefault(w, len(place)) for w in words), np.int64, len(words))
+            row_of = np.concatenate([row_of, lex.rows(list(islice(place, len(row_of), None)))])
+            k, p = lex.votes(row_of[ids], starts)
+            sure = p >= 0.8
+            by_word = np.repeat(np.where(sure, k, -1), np.diff(np.append(starts, len(words))))
+            keep = by_word >= 0
+            add = np.bincount(ids[keep] * (n + 1) + by_word[keep], minlength=len(place) * (n + 1)).reshape(len(place), n + 1)
+            add[: len(total)] += total.astype(add.dtype)
+            total = add
+            sums = place.setdefault("", len(place))  # class totals
+            total = np.vstack([total, np.zeros((len(place) - len(total), n + 1), total.dtype)])
+            total[sums] += np.bincount(k[sure], minlength=n + 1)
+            if len(place) > 200_000:
+                yield _count_rows(place, total)
+                place, total, row_of = {}, np.zeros((0, n + 1)), np.zeros(0, np.int64)
+        yield _count_rows(place, total)
+
+    by, total = _collect(_summed(split.select("body").mapInPandas(partial, _count_fields(n)), n), n_sentences)
     out = {}
     for w, c in by.items():
         r = (c + 0.3) / (total + 50)
@@ -182,16 +214,25 @@ def _share(probs: dict[str, np.ndarray]):
     return SparkSession.getActiveSession().sparkContext.broadcast(sorted(probs.items(), key=lambda x: x[0]))
 
 
-def _votes(body: str, lex: Lexicon) -> list[tuple[int, int, int]]:
-    """For each sentence the votes of both halves and of the section: the sure votes of the sentences beside it."""
-    lines = [s.split(" ") for s in body.split("\n")] if body else []
-    whole = [lex.vote(w) for w in lines]
-    out = []
-    for i, words in enumerate(lines):
-        a, b = (k if p >= 0.5 else lex.n for k, p in (lex.vote(words, h) for h in (0, 1)))
-        near = Counter(k for k, p in whole[max(0, i - 2) : i] + whole[i + 1 : i + 3] if k < lex.n and p >= 0.8)
-        out.append((a, b, min(near, key=lambda k: (-near[k], k)) if near else lex.n))
-    return out
+def _votes(bodies: list[str], lex: Lexicon) -> tuple[np.ndarray, np.ndarray]:
+    """(votes of both halves and of the section for each sentence; sentences of each body).
+
+    The section votes with the sure votes of the two sentences before and the two behind.
+    """
+    words, starts, per = flat(bodies)
+    rows = lex.rows(words)
+    halves = [np.where(p >= 0.5, k, lex.n) for k, p in (lex.votes(rows, starts, h) for h in (0, 1))]
+    k, p = lex.votes(rows, starts)
+    sure = np.where((k < lex.n) & (p >= 0.8), k, -1)
+    body = np.repeat(np.arange(len(per)), per)
+    near = np.zeros((len(k), lex.n), np.int64)
+    for step in (1, 2):
+        for a, b in ((slice(None, -step), slice(step, None)), (slice(step, None), slice(None, -step))):
+            # sentence b sees sentence a where both are of one body
+            ok = np.flatnonzero((body[a] == body[b]) & (sure[a] >= 0))
+            near[np.arange(len(k))[b][ok], sure[a][ok]] += 1
+    section = np.where(near.max(axis=1) > 0, near.argmax(axis=1), lex.n) if len(k) else np.zeros(0, np.int64)
+    return np.stack([*halves, section], axis=1), per
 
 
 def latent_accuracies(patterns: np.ndarray, counts: np.ndarray, n: int, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -270,9 +311,16 @@ def subject_shares(docs: DataFrame, labels: DataFrame, subjects: list[str], rate
     def doc_votes(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lex = _lexicon(shared, n)
         for pdf in it:
-            votes = [_votes(b, lex) for b in pdf["body"]]
-            c = [[sum(1 for v in vs if v[0] == k or v[1] == k) for k in range(n)] for vs in votes]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "thread_key": pdf["thread_key"], "c": c, "v": ["\n".join(f"{a} {b} {s}" for a, b, s in vs) for vs in votes]})
+            if not len(pdf):
+                continue
+            votes, per = _votes(list(pdf["body"]), lex)
+            ends = np.cumsum(per)
+            hits = np.zeros((len(votes), n + 1), np.int64)
+            for f in (0, 1):
+                hits[np.arange(len(votes)), votes[:, f]] = 1
+            c = np.add.reduceat(hits, ends - per, axis=0)[:, :n]
+            text = [" ".join(map(str, v)) for v in votes.tolist()]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "thread_key": pdf["thread_key"], "c": list(c), "v": ["\n".join(text[e - k : e]) for e, k in zip(ends, per)]})
 
     voted = materialise(split.mapInPandas(doc_votes, "doc_id long, source string, thread_key string, c array<long>, v string"), "p8-votes")
     doc = voted.join(_majority(voted, "source", n), "source", "left").join(_majority(voted, "thread_key", n), "thread_key", "left")
