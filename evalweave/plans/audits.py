@@ -183,7 +183,8 @@ def feedback_cumulative(s, d):
 
 
 def feedback_gate_origin(s, d):
-    return U.gate_origin(_feedback(s, d), scoring.voted(s, d).filter("arm = 'rag'"))
+    x = U.gate_origin(_feedback(s, d), scoring.voted(s, d).filter("arm = 'rag'"))
+    return x.withColumn("predicted", F.col("predicted").cast("string"))
 
 
 def generalisation_bands(s, d):
@@ -350,7 +351,7 @@ ORACLE = {
     "batch_errors": sql(_VT + f" select arm, {_N.format(4)} % 4 + 1 as batch, count(*) as n, count(*) filter (where exact_ok) as n_correct, count(*) filter (where contains_ok) as n_contains from vt group by all", "votes", "items"),
     "feedback_round": sql(_VT + f" select item_id, case when exact_ok then 'control' else 'feedback' end as feedback_arm from (select *, row_number() over (partition by exact_ok order by {_N.format(1)}, item_id) as r from vt where arm = 'rag') where r <= 12", "votes", "items"),
     "feedback_cumulative": sql(_FB + " select feedback_arm, round, count(*) as n from (select *, row_number() over (partition by id order by round desc, origin_item_id) as r from fb where round <= 2) where r = 1 group by all", "kb"),
-    "feedback_gate_origin": sql(_FB + " select feedback_arm, round, v.hate as predicted, count(*) as n from fb left join votes v on v.item_id = fb.origin_item_id and v.arm = 'rag' group by all", "kb", "votes"),
+    "feedback_gate_origin": sql(_FB + " select feedback_arm, round, v.hate::varchar as predicted, count(*) as n from fb left join votes v on v.item_id = fb.origin_item_id and v.arm = 'rag' group by all", "kb", "votes"),
     "generalisation_bands": sql(f", corr as ({_CORR}), b as (select item_id, max(score) as sim from hits where score is not null group by item_id), r as (select *, row_number() over (order by round(sim, 6) desc, item_id) as r, count(*) over () as n from b), z as (select item_id, sim, 1 + (r > round_even(n / 4.0, 0))::int + (r > round_even(n * 2 / 4.0, 0))::int + (r > round_even(n * 3 / 4.0, 0))::int as band from r) select band, count(*) as n, round(avg(ok::int), 6) as accuracy, round(min(sim), 6) as lowest from z join corr using (item_id) where arm = 'rag' group by band", "votes", "items", "hits"),
     "log_calls_per_day": sql("select strftime(run_ts, '%Y-%m-%d') as day, arm, count(*) as n from runs where run_ts is not null group by all", "runs"),
     "log_by_model": sql("select active_model, count(*) as n, strftime(min(run_ts), '%Y-%m-%d') as first_day, strftime(max(run_ts), '%Y-%m-%d') as last_day, count(distinct strftime(run_ts, '%Y-%m-%d')) as active_days from results group by active_model", "results"),

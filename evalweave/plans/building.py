@@ -49,7 +49,7 @@ def dedup_keep_first(s, d):
 def record_rows(s, d):
     """Items as stored rows: lists as JSON, never-annotated kept apart from empty."""
     i = data.items(s, d, "gate", "target_groups", "hate_types", "legal")
-    return i.select("id", "gate", *[K.encode_meta(F.col(c)).alias(c) for c in ("target_groups", "hate_types", "legal")])
+    return i.select("id", F.col("gate").cast("string").alias("gate"), *[K.encode_meta(F.col(c)).alias(c) for c in ("target_groups", "hate_types", "legal")])
 
 
 def sentinel_round_trip(s, d):
@@ -86,7 +86,7 @@ def largest_remainder(s, d):
 
 
 def draw_pool_stratified(s, d):
-    return S.draw_pool(data.items(s, d, "source", "gate"), ["source", "gate"], 200).select("id", "source", "gate")
+    return S.draw_pool(data.items(s, d, "source", "gate"), ["source", "gate"], 200).select("id", "source", F.col("gate").cast("string").alias("gate"))
 
 
 def draw_pool_lineitem(s, d):
@@ -249,14 +249,14 @@ ORACLE = {
     "text_hash": sql(f"select arm, count(*) as n, count(*) filter (where substr(sha256(text), 1, 16) = text_hash) as stored_equal, count(*) filter (where substr(sha256({_FLAT_SQL.format('text')}), 1, 16) = text_hash) as flat_equal from results r join items i on r.item_id = i.id group by arm", "results", "items"),
     "feedback_ids": sql(f"select id, 'fb-' || substr(sha1({_FLAT_SQL.format('text')}), 1, 12) as fid from items where text is not null", "items"),
     "dedup_keep_first": sql(f"select id, source from (select id, source, row_number() over (partition by {_KEY_SQL.format('text')} order by id) as r from items where text is not null) where r = 1", "items"),
-    "record_rows": sql("select id, gate, " + ", ".join(f"coalesce(to_json({c})::varchar, '__none__') as {c}" for c in ("target_groups", "hate_types", "legal")) + " from items", "items"),
+    "record_rows": sql("select id, gate::varchar as gate, " + ", ".join(f"coalesce(to_json({c})::varchar, '__none__') as {c}" for c in ("target_groups", "hate_types", "legal")) + " from items", "items"),
     "sentinel_round_trip": sql("select count(*) as n, count(*) as same_0, count(*) as same_1, count(*) as same_2 from items", "items"),
     "annotation_richness": sql("select cast((gate is not null)::int + (target_groups is not null)::int + (hate_types is not null)::int + (severity is not null)::int + (legal is not null)::int as bigint) as rich, count(*) as n from items group by 1", "items"),
     "multi_hot_targets": sql("select id, array_to_string(list_transform(['explicit', 'incitement', 'inferiority', 'irony', 'stereotyping', 'threatening', 'grievance'], lambda x: list_contains(hate_types, x)::int), '') as hot from items where hate_types is not null", "items"),
     "split_70_15_15": sql(f"select id, split from ({_SPLIT.format('')})", "items"),
     "split_disjoint_check": sql(f"select splits, count(*) as n_texts, cast(sum(n) as bigint) as n_rows from (select {_KEY_SQL.format('text')} as k, array_to_string(list_sort(list(distinct split)), '+') as splits, count(*) as n from ({_SPLIT.format('where text is not null')}) group by 1) where contains(splits, '+') group by splits", "items"),
     "largest_remainder": sql(f"select source, n, take from ({_takes('source', 150, 'items', 'source desc nulls last')})", "items"),
-    "draw_pool_stratified": sql(f", t as ({_takes('source, gate', 200, 'items', 'source desc nulls last, gate desc nulls last')}), o as (select id, source, gate, row_number() over (partition by source, gate order by {_DRAW.format('id', 0)}, id) as r from items) select o.id, o.source, o.gate from o join t on o.source is not distinct from t.source and o.gate is not distinct from t.gate where r <= take", "items"),
+    "draw_pool_stratified": sql(f", t as ({_takes('source, gate', 200, 'items', 'source desc nulls last, gate desc nulls last')}), o as (select id, source, gate, row_number() over (partition by source, gate order by {_DRAW.format('id', 0)}, id) as r from items) select o.id, o.source, o.gate::varchar as gate from o join t on o.source is not distinct from t.source and o.gate is not distinct from t.gate where r <= take", "items"),
     "draw_pool_lineitem": f"with x as (select l_orderkey::varchar || '-' || l_linenumber::varchar || '-x' as id, min(l_returnflag) as l_returnflag, min(l_linestatus) as l_linestatus from lineitem group by 1), t as ({_takes('l_returnflag, l_linestatus', 1000, 'x', 'l_returnflag desc, l_linestatus desc')}), o as (select *, row_number() over (partition by l_returnflag, l_linestatus order by {_DRAW.format('id', 3)}, id) as r from x) select o.l_returnflag, o.l_linestatus, count(*) as n, min(id) as first_id from o join t using (l_returnflag, l_linestatus) where r <= take group by all",
     "partition_slices": sql(_slices("source", {"pool": 120, "held_out": 80, "batch_1": 40, "batch_2": 40}, "items", 0), "items"),
     "role_partition": sql(", z as (select id, array_to_string(list_sort(hate_types), ',') as labels from items where gate and hate_types is not null)" + _slices("labels", {"pool": 40, "held_out": 40, "batch_1": 15, "batch_2": 15, "batch_3": 15}, "z", 5), "items"),

@@ -135,7 +135,7 @@ def channel_shares(s, d):
 def parse_accounting(s, d):
     """Predictions read anew from the raw answers."""
     r = P.parse_runs(data.runs(s, d, "raw_outputs"))
-    return r.select("run_id", "parse_failure", "hate", F.array_join("legal", ",").alias("legal"), "severity", "repairs", F.md5("reasoning").alias("reasoning"))
+    return r.select("run_id", "parse_failure", F.col("hate").cast("string").alias("hate"), F.array_join("legal", ",").alias("legal"), "severity", "repairs", F.md5("reasoning").alias("reasoning"))
 
 
 def parse_by_arm(s, d):
@@ -225,7 +225,7 @@ ORACLE = {
     ),
     "retrieved_ids": sql("select item_id, count(distinct hit_id) as n_ids, count(distinct bucket) as n_buckets, count(*) as n_hits from hits group by item_id", "hits"),
     "channel_shares": sql("select bucket, via, count(*) as n, count(*) - count(score) as n_null, round(avg(score), 5) as mean_score from hits group by bucket, via", "hits"),
-    "parse_accounting": sql("select run_id, parse_failure, hate, array_to_string(legal, ',') as legal, severity, repairs, md5(reasoning) as reasoning from runs where len(raw_outputs) > 0", "runs"),
+    "parse_accounting": sql("select run_id, parse_failure, hate::varchar as hate, array_to_string(legal, ',') as legal, severity, repairs, md5(reasoning) as reasoning from runs where len(raw_outputs) > 0", "runs"),
     "output_inspection": sql("select arm, count(*) as n, round(avg(length(o)), 4) as mean_chars, count(*) filter (where contains(lower(o), '<think>')) as traces, count(*) filter (where contains(o, '```')) as fences from (select arm, unnest(raw_outputs) as o from runs) where o is not null group by arm", "runs"),
     "prompt_render_gold": sql("select id, concat_ws('; ', case when gate is not null then 'hate: ' || gate::varchar end, " + ", ".join(f"case when {c} is not null then '{n}: ' || case when len({c}) = 0 then 'none' else array_to_string({c}, ', ') end end" if c != "severity" else "case when severity is not null then 'severity: ' || severity end" for n, c in (("target_group", "target_groups"), ("hate_type", "hate_types"), ("severity", "severity"), ("legal", "legal"))) + ") as gold from items", "items"),
     "prompt_sizes": sql(

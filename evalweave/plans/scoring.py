@@ -116,7 +116,7 @@ def scorable_vs_annotated(s, d):
 
 def vote_full(s, d):
     x = voted(s, d)
-    return x.select("item_id", "arm", "n_runs", "n_valid", "hate", "uncertain", _join("target_group"), _join("hate_type"), _join("legal"), "severity", *[_r(f"agreement_{c}") for c in ("hate", "severity", "target_group", "hate_type", "legal")], _join("dropped"))
+    return x.select("item_id", "arm", "n_runs", "n_valid", F.col("hate").cast("string").alias("hate"), "uncertain", _join("target_group"), _join("hate_type"), _join("legal"), "severity", *[_r(f"agreement_{c}") for c in ("hate", "severity", "target_group", "hate_type", "legal")], _join("dropped"))
 
 
 def vote_label_counts(s, d):
@@ -219,7 +219,7 @@ ORACLE = {
         "items",
     ),
     "vote_full": sql(
-        """select item_id, arm, n_runs, n_valid, hate, uncertain, array_to_string(target_group, ',') as target_group, array_to_string(hate_type, ',') as hate_type, array_to_string(legal, ',') as legal, severity,
+        """select item_id, arm, n_runs, n_valid, hate::varchar as hate, uncertain, array_to_string(target_group, ',') as target_group, array_to_string(hate_type, ',') as hate_type, array_to_string(legal, ',') as legal, severity,
           round(agreement_hate, 6) as agreement_hate, round(agreement_severity, 6) as agreement_severity, round(agreement_target_group, 6) as agreement_target_group, round(agreement_hate_type, 6) as agreement_hate_type, round(agreement_legal, 6) as agreement_legal,
           case when n_valid > 0 then array_to_string(list_filter([case when any_target_group and len(target_group) = 0 then 'target_group' end, case when any_hate_type and len(hate_type) = 0 then 'hate_type' end, case when any_legal and len(legal) = 0 then 'legal' end], lambda x: x is not null), ',') end as dropped from votes""",
         "votes",
