@@ -44,13 +44,29 @@ def shared_dir(spark: SparkSession) -> str:
     return set_to.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write ``df`` as parquet into the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Results read these tables when they run, so they stay until ``drop_intermediates``.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
+    _made.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_intermediates(spark: SparkSession) -> int:
+    """Delete the tables that ``materialise`` wrote in this application, once no result needs them. Returns how many."""
+    jvm, n = spark.sparkContext._jvm, 0
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        n += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 _shipped: set[str] = set()
 
 

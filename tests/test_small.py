@@ -235,3 +235,11 @@ def test_distance_bands(spark):
     df = spark.createDataFrame([(f"i{i}", float(i)) for i in range(10)], "item_id string, sim double")
     n = {r["band"]: r["count"] for r in audit.distance_bands(df, 4).groupBy("band").count().collect()}
     assert n == {1: 2, 2: 3, 3: 3, 4: 2}
+
+
+def test_intermediates_are_dropped(spark):
+    from evalweave.session import drop_intermediates, materialise
+
+    drop_intermediates(spark)
+    df = materialise(spark.range(3), "x")
+    assert df.count() == 3 and drop_intermediates(spark) == 1 and drop_intermediates(spark) == 0
