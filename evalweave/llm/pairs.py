@@ -3,8 +3,9 @@
 Method: ordered rules on the final answer: emptiness, unclosed delimiters, abrupt endings, refusal phrases in several
 languages, copied text, language mismatch. Every rule that fires is reported in ``defects``; the first is ``defect``.
 
-Whether a reasoning without a final full stop stops early is decided by the corpus: it is complete if sentences that do
-end in a full stop end in the same two words (or, often, in the same word). These statistics cover all answers.
+Whether a reasoning without a final full stop stops early is decided by the corpus: it is complete if its last two words
+(where they are rare, its last word) end a sentence at a fair share of the places where they occur. Shares, unlike counts,
+do not grow with the table. These statistics cover all answers.
 
 Odd input: no answers, a NULL last answer, blank or invisible text and empty objects are ``empty``; an item without text
 can show neither copying nor another language; runs with the same id count once (the first logged); an empty table gives
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalweave.llm.lookalike import ConsistentForm, _rewriter
@@ -29,8 +30,11 @@ from evalweave.sources.tables import first_per_key
 
 #: Share of the answer's words that must come from the item for a copy, and the least number of words.
 COPIED, COPIED_WORDS = 0.8, 5
-#: Sentences that end in this word anywhere in the corpus make it a word that a sentence may end in.
-END_WORD, END_PAIR = 20, 1
+#: A sentence may end in words that do so at this share of their occurrences. A word's share counts as if it had been seen
+#: WORD_SEEN times more at share WORD_SHARE, a pair's as if PAIR_SEEN times more at the share of its last word.
+END_SHARE, WORD_SEEN, WORD_SHARE, PAIR_SEEN = 0.2, 10, 0.05, 5
+#: Keys that a task counts before it hands its counts on.
+COUNTED_KEYS = 200_000
 
 # Answers that say nothing.
 VACUOUS = {"", "n a", "na", "none", "null", "nil", "nothing", "keine", "keiner", "keines", "nichts", "k a", "leer", "aucun", "aucune", "rien", "ninguno", "ninguna", "nada", "unknown", "tbd", "empty", "undefined", "no reasoning", "no reason", "keine angabe", "keine begründung", "sans objet", "sin motivo"}
@@ -191,8 +195,11 @@ def copies(said: str, item: str) -> bool:
     return shared >= COPIED * len(words)
 
 
-def judge(final: str | None, item: str | None, form) -> tuple[list[str], str | None, str | None, list[str]]:
-    """(defects in rule order, last word pair and last word if the end is open, word pairs before full stops)."""
+def judge(final: str | None, item: str | None, form) -> tuple[list[str], str | None, str | None, list[tuple[list[str], bool]]]:
+    """(defects in rule order, last word pair and last word if the end is open, sentences as words and whether they end).
+
+    The last word of an open end is in no sentence: what would follow it is not known.
+    """
     state, said = read_answer(final)
     if state == "empty":
         return ["empty"], None, None, []
@@ -210,12 +217,13 @@ def judge(final: str | None, item: str | None, form) -> tuple[list[str], str | N
     if copied:
         found.append("copy")
     pair = last = None
-    ends: list[str] = []
+    sentences: list[tuple[list[str], bool]] = []
     if state != "cut" and not copied:
         tail = plain.rstrip(" \"'”»)")
         pieces = _END.split(plain)
-        done = pieces[:-1] if not tail.endswith((".", "!", "?", "…")) else pieces
-        ends = [" ".join(w[-2:]) for p in done if len(w := [x.lower() for x in _WORD.findall(p)]) > 1]
+        whole = len(pieces) - (not tail.endswith((".", "!", "?", "…")))
+        said_words = [[x.lower() for x in _WORD.findall(p)] for p in pieces]
+        sentences = [(w if i < whole else w[:-1], i < whole) for i, w in enumerate(said_words) if w]
         if tail and tail[-1].isalnum() or tail.endswith((",", ";", ":", "-")):
             w = [x.lower() for x in _WORD.findall(tail)]
             pair, last = " ".join(w[-2:]), w[-1] if w else None
@@ -227,13 +235,41 @@ def judge(final: str | None, item: str | None, form) -> tuple[list[str], str | N
         b, nb, rb = language(asked)
         if a and b and a != b and na >= 2 and nb >= 3 and na >= 1.5 * ra and nb >= 1.5 * rb:
             found.append("language")
-    return found, pair, last, ends
+    return found, pair, last, sentences
 
 
 #: Of several defects the first in this order names the run: what hides the judgement most.
 ORDER = ["empty", "refusal", "copy", "truncated", "language"]
 
 
+class Endings:
+    """How often words and word pairs occur, and how often a sentence ends in them."""
+
+    def __init__(self) -> None:
+        self.n: Counter = Counter()
+        self.ended: Counter = Counter()
+
+    def add(self, sentences: list[tuple[list[str], bool]]) -> None:
+        for w, ends in sentences:
+            self.n.update(w)
+            self.n.update(map(" ".join, zip(w, w[1:])))
+            if ends:
+                self.ended.update({w[-1], " ".join(w[-2:])})
+
+    def rows(self) -> pd.DataFrame:
+        """The counts so far, which start anew."""
+        out = pd.DataFrame({"run_id": pd.Series([None] * len(self.n), dtype="Int64"), "found": None, "pair": None, "last": None, "key": list(self.n), "n": list(self.n.values()), "ended": [self.ended[k] for k in self.n]})
+        self.__init__()
+        return out
+
+
+def may_end(pair_n: Column, pair_ended: Column, word_n: Column, word_ended: Column) -> Column:
+    """Whether a sentence may end in a word pair, by its counts and those of its last word; NULL is never seen."""
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    word = (zero(word_ended) + WORD_SEEN * WORD_SHARE) / (zero(word_n) + WORD_SEEN)
+    return (zero(pair_ended) + PAIR_SEEN * word) / (zero(pair_n) + PAIR_SEEN) >= END_SHARE
+
+
 def defective_answers(runs: DataFrame, items: DataFrame) -> DataFrame:
     """(run_id, defect, defects) of the defective runs.
 
@@ -247,17 +283,22 @@ def defective_answers(runs: DataFrame, items: DataFrame) -> DataFrame:
     pairs = SparkSession.getActiveSession().sparkContext.broadcast(ConsistentForm.default().pairs)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        form = _rewriter(pairs.value)
+        form, endings = _rewriter(pairs.value), Endings()
         for pdf in it:
             rows = [judge(f, t, form) for f, t in zip(pdf["final"], pdf["text"])]
-            yield pd.DataFrame({"run_id": pdf["run_id"], "found": [r[0] for r in rows], "pair": [r[1] for r in rows], "last": [r[2] for r in rows], "ends": [r[3] for r in rows]})
-
-    judged = materialise(both.mapInPandas(run, "run_id long, found array<string>, pair string, last string, ends array<string>"), "p5-judged")
-    ends = judged.select(F.explode("ends").alias("e")).groupBy("e").agg(F.count("*").alias("n"))
-    by_pair = ends.filter(F.col("n") >= END_PAIR).select(F.col("e").alias("pair"), F.lit(True).alias("pair_ends"))
-    by_word = ends.groupBy(F.substring_index("e", " ", -1).alias("last")).agg(F.sum("n").alias("n")).filter(F.col("n") >= END_WORD).select("last", F.lit(True).alias("word_ends"))
+            for r in rows:
+                endings.add(r[3])
+            yield pd.DataFrame({"run_id": pdf["run_id"], "found": [r[0] for r in rows], "pair": [r[1] for r in rows], "last": [r[2] for r in rows], "key": None, "n": 0, "ended": 0})
+            if len(endings.n) > COUNTED_KEYS:
+                yield endings.rows()
+        yield endings.rows()
+
+    # rows with a key are counts, the others runs
+    judged = materialise(both.mapInPandas(run, "run_id long, found array<string>, pair string, last string, key string, n long, ended long"), "p5-judged")
+    seen = judged.filter("key is not null").groupBy("key").agg(F.sum("n").alias("n"), F.sum("ended").alias("ended"))
+    by_pair, by_word = (seen.select(F.col("key").alias(k), F.col("n").alias(f"{k}_n"), F.col("ended").alias(f"{k}_ended")) for k in ("pair", "last"))
     is_open = judged.filter("pair is not null").select("run_id", "found", "pair", "last").join(by_pair, "pair", "left").join(by_word, "last", "left")
-    stops = is_open.select("run_id", F.when(F.coalesce("pair_ends", "word_ends", F.lit(False)), F.col("found")).otherwise(F.array_append("found", F.lit("truncated"))).alias("found"))
-    final = judged.filter("pair is null").select("run_id", "found").unionByName(stops).filter(F.size("found") > 0)
+    stops = is_open.select("run_id", F.when(may_end(*[F.col(c) for c in ("pair_n", "pair_ended", "last_n", "last_ended")]), F.col("found")).otherwise(F.array_append("found", F.lit("truncated"))).alias("found"))
+    final = judged.filter("key is null and pair is null").select("run_id", "found").unionByName(stops).filter(F.size("found") > 0)
     first = F.filter(F.array(*[F.lit(x) for x in ORDER]), lambda x: F.array_contains(F.col("found"), x))[0]
     return final.select("run_id", first.alias("defect"), F.array_distinct("found").alias("defects"))

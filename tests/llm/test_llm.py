@@ -199,6 +199,15 @@ def test_open_ends_are_judged_by_the_corpus(spark):
     assert pairs.defective_answers(df.limit(0), items.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [1, 10])
+def test_open_ends_do_not_depend_on_the_size_of_the_table(spark, size):
+    often = '{"reasoning": "It is so calm, so kind, so mild, so warm, so fair, so good, so neat and so." , "hate": false}'
+    runs = [(i, "it", [often]) for i in range(25 * size)] + [(-1, "it", ['{"reasoning": "The author mentions the appreciation, so", "hate": false}']), (-2, "it", ['{"reasoning": "It is so neat and so", "hate": false}']), (-3, "it", ['{"reasoning": "It is warm and the whole line is so mild", "hate": false}'])]
+    df = spark.createDataFrame(runs, "run_id long, item_id string, raw_outputs array<string>").withColumn("logged_at", F.lit(None).cast("timestamp"))
+    items = spark.createDataFrame([("it", "The people next door are kind to us and to them.")], "id string, text string").withColumn("ingested_at", F.lit(None).cast("timestamp"))
+    assert {r["run_id"]: r["defect"] for r in pairs.defective_answers(df, items).collect()} == {-1: "truncated", -3: "truncated"}
+
+
 # ---- tokens and packing
 
 
