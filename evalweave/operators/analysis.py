@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,6 +15,11 @@ from evalweave.operators.labels import MULTILABEL, TAXONOMY, severity_rank
 from evalweave.operators.sampling import draw_number
 from evalweave.operators.vote import valid
 
+#: So many items of an evaluation set are sent to all executors; more are joined by shuffle.
+BROADCAST_ITEMS = 100_000
+#: Shuffles of one task.
+BLOCK = 1250
+
 
 def gate_units(runs: DataFrame) -> DataFrame:
     """(arm, dimension, unit, value): one unit an item, a value for each valid run."""
@@ -82,10 +91,17 @@ def resamples(n: DataFrame, b: int, seed: int = 0) -> DataFrame:
 
     ``n`` is one row with the number of items; draws are keyed hashes, so a resample is the same on any engine.
     """
-    x = n.select("n", F.explode(F.sequence(F.lit(1), F.lit(b))).alias("b")).select("n", "b", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("i"))
+    parts = int(n.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = n.select("n", F.explode(F.sequence(F.lit(1), F.lit(b))).alias("b")).repartition(parts, "b").select("n", "b", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("i"))
     return x.select("b", (F.pmod(draw_number(F.concat_ws("-", F.col("b").cast("string"), F.col("i").cast("string")), seed), F.col("n")) + 1).alias("pos"))
 
 
+def _sent(df: DataFrame, items: DataFrame) -> DataFrame:
+    """``df``, broadcast if ``items`` are few: the draws are many and stay where they are made."""
+    few = items.limit(BROADCAST_ITEMS + 1).count() <= BROADCAST_ITEMS
+    return F.broadcast(df) if few else df.hint("merge")
+
+
 def paired_bootstrap(pairs: DataFrame, b: int = 1000, seed: int = 0) -> DataFrame:
     """Of each pair of arms: the difference in gate macro-F1, its interval, spread and two-sided mid-p.
 
@@ -95,7 +111,7 @@ def paired_bootstrap(pairs: DataFrame, b: int = 1000, seed: int = 0) -> DataFram
     ids = pairs.select("item_id").distinct()
     pos = ids.withColumn("pos", F.row_number().over(Window.orderBy("item_id")))  # an evaluation set, not the corpus
     drawn = resamples(ids.agg(F.count("*").alias("n")), b, seed).groupBy("b", "pos").agg(F.count("*").alias("k"))
-    x = pairs.join(pos, "item_id").join(drawn, "pos")
+    x = drawn.join(_sent(pairs.join(pos, "item_id"), ids), "pos")
     t = F.col("truth")
 
     def cells(p: str) -> list[Column]:
@@ -114,7 +130,7 @@ def label_survival(gold: DataFrame, b: int, min_support: int, seed: int = 0) ->
     """(n_labels, n_resamples): how many labels keep their support across resamples of ``gold(item_id, labels)``."""
     pos = gold.withColumn("pos", F.row_number().over(Window.orderBy("item_id")))
     drawn = resamples(gold.agg(F.count("*").alias("n")), b, seed).groupBy("b", "pos").agg(F.count("*").alias("k"))
-    x = drawn.join(pos, "pos").select("b", "k", F.explode("labels").alias("label")).groupBy("b", "label").agg(F.sum("k").alias("support"))
+    x = drawn.join(_sent(pos, gold), "pos").select("b", "k", F.explode("labels").alias("label")).groupBy("b", "label").agg(F.sum("k").alias("support"))
     kept = x.groupBy("b").agg(count_if(F.col("support") >= min_support).alias("n_labels"))
     return kept.groupBy("n_labels").agg(F.count("*").alias("n_resamples"))
 
@@ -162,10 +178,41 @@ def threshold_sweep(probs: DataFrame, thresholds: int = 20) -> DataFrame:
     return s.select("arm", (F.col("t") / thresholds).alias("threshold"), m.alias("macro_f1"), ratio(F.col("tp") + F.col("fp"), F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("predicted_rate"))
 
 
-def permutation_p(values: DataFrame, top: int, b: int = 10_000, seed: int = 0) -> DataFrame:
-    """(observed, p_value): how often a random set of ``top`` of ``values(item_id, value, chosen)`` has as high a mean as the chosen."""
-    n = values.groupBy().agg(F.avg(F.when(F.col("chosen"), F.col("value"))).alias("observed"))
-    x = values.select("value", "item_id", F.explode(F.sequence(F.lit(1), F.lit(b))).alias("b"))
-    w = Window.partitionBy("b").orderBy(draw_number(F.concat_ws("-", F.col("b").cast("string"), "item_id"), seed), "item_id")
-    means = x.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= top).groupBy("b").agg(F.avg("value").alias("m"))
-    return means.crossJoin(n).groupBy("observed").agg(((count_if(F.col("m") >= F.col("observed")) + 1) / (F.count("*") + 1)).alias("p_value"))
+def permutation_p(values: DataFrame, b: int = 10_000, seed: int = 0) -> DataFrame:
+    """(observed, p_value, gradient, p_gradient, n_near, n_far, n_permutations) of ``values(value, band)``, bands from 1.
+
+    Band membership is shuffled ``b`` times with the bands' sizes kept: how often the nearest band's mean, and its lead over
+    the farthest band, come out as high as observed. Items of equal value are the same to a shuffle, so one draws how many
+    of each value fall into a band (without replacement: a multivariate hypergeometric draw), never rows; every shuffle has
+    its own generator by ``seed`` and number. No rows without a value in both bands.
+    """
+    spark = values.sparkSession
+    v = values.filter("value is not null and band is not null")
+    last = v.agg(F.max("band").alias("_last"))
+    c = v.crossJoin(F.broadcast(last)).groupBy("value").agg(F.count("*").alias("n"), count_if(F.col("band") == 1).alias("near"), count_if(F.col("band") == F.col("_last")).alias("far"))
+    one = c.agg(F.array_sort(F.collect_list(F.struct(F.col("value").cast("double").alias("value"), "n", "near", "far"))).alias("c")).filter("size(c) > 0")
+
+    def shuffled(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            out = []
+            for t, rows in zip(pdf["t"], pdf["c"]):
+                value, n, near, far = (np.array([r[k] for r in rows]) for k in ("value", "n", "near", "far"))
+                k, m = int(near.sum()), int(far.sum())
+                if not k or not m or not (n > near).any():
+                    continue
+                seen, lead = value @ near / k, value @ near / k - value @ far / m
+                hits = [0, 0]
+                for i in range(t * BLOCK, min(b, (t + 1) * BLOCK)):
+                    rng = np.random.default_rng([seed, i])
+                    x = rng.multivariate_hypergeometric(n, k, method="marginals")
+                    y = rng.multivariate_hypergeometric(n - x, m, method="marginals")
+                    hits[0] += value @ x / k >= seen - 1e-12
+                    hits[1] += value @ x / k - value @ y / m >= lead - 1e-12
+                out.append((seen, lead, k, m, *map(int, hits)))
+            yield pd.DataFrame(out, columns=["observed", "gradient", "n_near", "n_far", "as_near", "as_lead"])
+
+    blocks = -(-b // BLOCK)
+    x = spark.range(0, blocks, 1, blocks).select(F.col("id").cast("int").alias("t")).crossJoin(F.broadcast(one))
+    x = x.mapInPandas(shuffled, "observed double, gradient double, n_near long, n_far long, as_near long, as_lead long")
+    p = lambda c: (F.sum(c) + 1) / F.lit(b + 1.0)
+    return x.groupBy("observed", "gradient", "n_near", "n_far").agg(p("as_near").alias("p_value"), p("as_lead").alias("p_gradient")).select("observed", "p_value", "gradient", "p_gradient", "n_near", "n_far", F.lit(b).alias("n_permutations"))

@@ -16,7 +16,8 @@ from evalweave.plans.data import sql
 from evalweave.sources.tables import table
 from evalweave.streaming import log as L
 
-B = 40
+#: Resamples of the queries that SQL states too, and of the same at full size.
+B, B_FULL = 40, 1000
 STAMPS = ["active_model", "prompt_version", "kb_version", "temperature", "workers"]
 PHASES = [("pilot", "2025-01-01", "2025-02-15"), ("main", "2025-02-01", "2025-04-30"), ("rerun", "2025-05-01", "2025-12-31")]
 
@@ -54,14 +55,32 @@ def mcnemar_counts(s, d):
     return A.mcnemar(A.paired(_logged(s, d))).select("arm_a", "arm_b", "both_correct", "both_wrong", "only_a", "only_b", "discordant", _r("p_value"))
 
 
-def paired_bootstrap(s, d):
-    x = A.paired_bootstrap(A.paired(_logged(s, d)), B)
+def _bootstrap(s, d, b):
+    x = A.paired_bootstrap(A.paired(_logged(s, d)), b)
     return x.select("arm_a", "arm_b", "n_resamples", _r("ci_low"), _r("ci_high"), _r("sd"), _r("p_value"), "favour_a", "ties", "favour_b")
 
 
-def label_survival(s, d):
+def paired_bootstrap(s, d):
+    """With ``B`` resamples, as many as the SQL can follow."""
+    return _bootstrap(s, d, B)
+
+
+def paired_bootstrap_full(s, d):
+    return _bootstrap(s, d, B_FULL)
+
+
+def _survival(s, d, b):
     g = data.items(s, d, "gate", "hate_types").filter("gate and hate_types is not null").select(F.col("id").alias("item_id"), F.col("hate_types").alias("labels"))
-    return A.label_survival(g, B, 12)
+    return A.label_survival(g, b, 12)
+
+
+def label_survival(s, d):
+    """With ``B`` resamples, as many as the SQL can follow."""
+    return _survival(s, d, B)
+
+
+def label_survival_full(s, d):
+    return _survival(s, d, B_FULL)
 
 
 def guideline_effect(s, d):
@@ -101,15 +120,28 @@ def arm_disagreement(s, d):
     return p.groupBy("arm_a", "arm_b").agg(F.count("*").alias("n"), F.round(F.avg((F.col("pred_a") == F.col("pred_b")).cast("double")), 6).alias("agreement"), F.count(F.when(F.col("ok_a") & ~F.col("ok_b"), 1)).alias("wins"), F.count(F.when(~F.col("ok_a") & F.col("ok_b"), 1)).alias("losses"))
 
 
-def threshold_sweep(s, d):
+def _sweep(s, d, thresholds):
     r = _runs(s, d).filter(V.valid()).groupBy("item_id", "arm").agg(F.avg(F.col("hate").cast("double")).alias("p"))
     j = r.join(data.items(s, d, "gate").filter("gate is not null").select(F.col("id").alias("item_id"), F.col("gate").alias("truth")), "item_id")
-    return A.threshold_sweep(j).select("arm", _r("threshold"), _r("macro_f1"), _r("predicted_rate"))
+    return A.threshold_sweep(j, thresholds).select("arm", _r("threshold"), _r("macro_f1"), _r("predicted_rate"))
+
+
+def threshold_sweep(s, d):
+    return _sweep(s, d, 20)
+
+
+def threshold_sweep_full(s, d):
+    """``threshold_sweep`` at 99 thresholds."""
+    return _sweep(s, d, 100)
 
 
 def permutation_test(s, d):
-    v = _correct(s, d).filter("arm = 'rag'").select("item_id", F.col("ok").cast("double").alias("value"), (S.draw_number(F.col("item_id"), 9) % 5 == 0).alias("chosen"))
-    return A.permutation_p(v, 30, 50)
+    """Whether the items nearest to the records shown gain most: the lead of the arm with context, by similarity band."""
+    ok = _logged(s, d).select("item_id", "arm", F.col("ok").cast("double").alias("ok"))
+    lead = ok.filter("arm = 'rag'").select("item_id", F.col("ok").alias("a")).join(ok.filter("arm = 'zero_shot'").select("item_id", F.col("ok").alias("b")), "item_id")
+    sim = _similarity(s, d).join(lead, "item_id")
+    x = A.permutation_p(U.distance_bands(sim, 5).select((F.col("a") - F.col("b")).alias("value"), "band"))
+    return x.select(_r("observed"), _r("p_value"), _r("gradient"), _r("p_gradient"), "n_near", "n_far", "n_permutations")
 
 
 def _train(s, d):
@@ -187,10 +219,14 @@ def feedback_gate_origin(s, d):
     return x.withColumn("predicted", F.col("predicted").cast("string"))
 
 
+def _similarity(s, d):
+    """Of each item the best retrieval score."""
+    return data.retrieved(s, d).filter("score is not null").groupBy("item_id").agg(F.max("score").alias("sim"))
+
+
 def generalisation_bands(s, d):
     """Accuracy by distance to the nearest shown record: bands by the best retrieval score."""
-    best = data.retrieved(s, d).filter("score is not null").groupBy("item_id").agg(F.max("score").alias("sim"))
-    b = U.distance_bands(best, 4).join(_correct(s, d).filter("arm = 'rag'"), "item_id")
+    b = U.distance_bands(_similarity(s, d), 4).join(_correct(s, d).filter("arm = 'rag'"), "item_id")
     return b.groupBy("band").agg(F.count("*").alias("n"), F.round(F.avg(F.col("ok").cast("double")), 6).alias("accuracy"), F.round(F.min("sim"), 6).alias("lowest"))
 
 
@@ -296,7 +332,7 @@ def stream_append(s, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (alpha_nominal, alpha_multilabel, alpha_ordinal, mcnemar_counts, paired_bootstrap, label_survival, guideline_effect, replicate_floor, variance_estimate, heterogeneity_pool, arm_disagreement, threshold_sweep, permutation_test, leakage_scan, leak_exclusions, retrieval_leak_rescore, item_stability, sentinel, sentinel_flips, batch_errors, feedback_round, feedback_cumulative, feedback_gate_origin, generalisation_bands, log_calls_per_day, log_by_model, log_phase_ranges, log_latency_percentiles, log_events_per_type, log_corrupt_lines, stamp_audit, comparability_groups, requested_vs_observed, dimension_reach, slot_allocation, dead_records, most_used_records, label_relevance, draw_ladder, comment_level, batch_of_name, text_hash_conflicts, stream_log_daily, stream_append)
+    for f in (alpha_nominal, alpha_multilabel, alpha_ordinal, mcnemar_counts, paired_bootstrap, label_survival, guideline_effect, replicate_floor, variance_estimate, heterogeneity_pool, arm_disagreement, threshold_sweep, paired_bootstrap_full, label_survival_full, threshold_sweep_full, permutation_test, leakage_scan, leak_exclusions, retrieval_leak_rescore, item_stability, sentinel, sentinel_flips, batch_errors, feedback_round, feedback_cumulative, feedback_gate_origin, generalisation_bands, log_calls_per_day, log_by_model, log_phase_ranges, log_latency_percentiles, log_events_per_type, log_corrupt_lines, stamp_audit, comparability_groups, requested_vs_observed, dimension_reach, slot_allocation, dead_records, most_used_records, label_relevance, draw_ladder, comment_level, batch_of_name, text_hash_conflicts, stream_log_daily, stream_append)
 }
 
 _ALPHA = """, c as (select arm, dimension, unit, value, count(*) as k from units group by all), m as (select *, sum(k) over (partition by arm, dimension, unit) as m from c), f as (select * from m where m > 1),

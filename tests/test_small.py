@@ -1,10 +1,13 @@
 """Hand-made cases of the core operators."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 from evalweave.functions import stats, text
 from evalweave.operators import analysis, audit, kb, labels, metrics, parse, prompt, retrieve, run, sampling, vote
+from evalweave.plans import audits
 from evalweave.sources import config, jsonl
 
 GOOD = '{"reasoning": "a } b", "hate": true, "target_group": ["race"], "hate_type": [], "severity": "low", "legal": []}'
@@ -243,3 +246,56 @@ def test_intermediates_are_dropped(spark):
     drop_intermediates(spark)
     df = materialise(spark.range(3), "x")
     assert df.count() == 3 and drop_intermediates(spark) == 1 and drop_intermediates(spark) == 0
+
+
+def test_permutation_matches_all_subsets(spark):
+    import itertools
+
+    value, band = [1.0, 1.0, 0.0, 1.0, -1.0, 0.0, 0.0, -1.0, 1.0], [1, 1, 1, 2, 2, 2, 3, 3, 3]
+    r = analysis.permutation_p(spark.createDataFrame(list(zip(value, band)), "value double, band int")).first()
+    near, lead = [], []
+    for x in itertools.combinations(range(9), 3):
+        for y in itertools.combinations([i for i in range(9) if i not in x], 3):
+            a, b = sum(value[i] for i in x) / 3, sum(value[i] for i in y) / 3
+            near.append(a >= 2 / 3 - 1e-9)
+            lead.append(a - b >= 2 / 3 - 1e-9)
+    assert abs(r["p_value"] - sum(near) / len(near)) < 0.02 and abs(r["p_gradient"] - sum(lead) / len(lead)) < 0.02
+    assert (r["n_near"], r["n_far"], r["n_permutations"]) == (3, 3, 10_000)
+
+
+def test_permutation_keeps_a_band_of_thousands(spark):
+    near = F.col("id") % 5 == 0  # 60 % right, the others 50 %
+    v = spark.range(20_000).select((F.col("id") % 100 < F.when(near, 56).otherwise(50)).cast("double").alias("value"), F.when(near, 1).when(F.col("id") % 5 == 4, 3).otherwise(2).alias("band"))
+    assert analysis.permutation_p(v).first()["p_value"] < 1 / 51
+
+
+def test_full_sizes_match_brute_force(spark):
+    import hashlib
+
+    import numpy as np
+
+    n, rng = 30, np.random.default_rng(0)
+    truth, a, b = (rng.random((3, n)) < 0.5)
+    rows = [(f"i{i:02}", "a", "b", bool(truth[i]), bool(a[i]), bool(b[i])) for i in range(n)]
+    r = analysis.paired_bootstrap(spark.createDataFrame(rows, "item_id string, arm_a string, arm_b string, truth boolean, pred_a boolean, pred_b boolean"), audits.B_FULL).first()
+
+    def macro(t, q):
+        f = lambda t, q: 2 * (t & q).sum() / max(1, 2 * (t & q).sum() + (t ^ q).sum())
+        return (f(t, q) + f(~t, ~q)) / 2
+
+    draws = [[int(hashlib.md5(f"{k}-{i}|0".encode()).hexdigest()[:15], 16) % n for i in range(1, n + 1)] for k in range(1, 1001)]
+    d = [macro(truth[x], a[x]) - macro(truth[x], b[x]) for x in draws if 0 < truth[x].sum() < n]
+    assert r["n_resamples"] == len(d) and np.allclose([r["ci_low"], r["ci_high"], r["sd"]], [*np.quantile(d, [0.025, 0.975]), np.std(d, ddof=1)])
+    types = [["x"] if i < 9 else ["y", "z"] if i < 20 else ["y"] for i in range(n)]
+    got = {r["n_labels"]: r["n_resamples"] for r in analysis.label_survival(spark.createDataFrame([(f"i{i:02}", x) for i, x in enumerate(types)], "item_id string, labels array<string>"), audits.B_FULL, 12).collect()}
+    kept = [sum(sum(t in types[i] for i in x) >= 12 for t in "xyz") for x in draws]
+    assert got == {k: kept.count(k) for k in set(kept)}
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no test tables")
+def test_queries_of_full_size(spark):
+    d = "/root/testdata/sf0.001"
+    assert audits.QUERIES["permutation_test"](spark, d).first()["n_permutations"] == 10_000
+    assert {r["n"] for r in audits.QUERIES["threshold_sweep_full"](spark, d).groupBy("arm").agg(F.countDistinct("threshold").alias("n")).collect()} == {99}
+    assert audits.QUERIES["paired_bootstrap_full"](spark, d).agg(F.max("n_resamples")).first()[0] > 900
+    assert audits.QUERIES["label_survival_full"](spark, d).agg(F.sum("n_resamples")).first()[0] == 1000
