@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import math
+import zlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from evalweave.functions.stats import count_if, ratio
-from evalweave.functions.text import dedup_key, norm_text
+from evalweave.functions.text import dedup_key, norm_text, tokens
+from evalweave.operators.retrieve import dense_top_k
+from evalweave.session import materialise
+
+#: Least cosine of a near copy; the most frequent words, by a sample, that come last in the search for near copies.
+NEAR, COMMON_WORDS = 0.95, 50_000
 
 
 def leak_keys(df: DataFrame) -> DataFrame:
@@ -16,16 +26,78 @@ def leak_keys(df: DataFrame) -> DataFrame:
     return t
 
 
-def leakage(evaluation: DataFrame, training: DataFrame) -> DataFrame:
-    """(eval_id, train_id, exact) of items and records of one language with the same normalised text."""
-    e, t = leak_keys(evaluation), leak_keys(training)
-    j = e.select(F.col("id").alias("eval_id"), "lang", "key", F.col("text_key").alias("ek")).join(t.select(F.col("id").alias("train_id"), "lang", "key", F.col("text_key").alias("tk")), ["lang", "key"])
-    return j.select("eval_id", "train_id", (F.col("ek") == F.col("tk")).alias("exact"))
+def token_sets(df: DataFrame) -> DataFrame:
+    """(lang, cls, w, ids): sets of distinct tokens, sorted, with the texts that have them; ``cls`` names the set."""
+    t = df.filter("text is not null").select("id", F.lower(F.trim("lang")).alias("lang"), F.array_sort(F.array_distinct(tokens("text"))).alias("w"))
+    t = t.filter("size(w) > 0 and lang is not null").withColumn("cls", F.md5(F.concat_ws(" ", "w")))
+    return t.groupBy("lang", "cls").agg(F.first("w").alias("w"), F.collect_list("id").alias("ids"))
 
 
-def exclusions(pairs: DataFrame, training: DataFrame) -> DataFrame:
-    """(lang, id): training records to leave out."""
-    return pairs.select(F.col("train_id").alias("id")).distinct().join(training.select("id", F.lower(F.trim("lang")).alias("lang")), "id").select("lang", "id")
+def near_copies(evaluation: DataFrame, training: DataFrame, near: float = NEAR) -> DataFrame:
+    """(eval_id, train_id, sim): all pairs of one language whose token sets have a cosine of ``near`` or more, exactly.
+
+    Two such sets share a word among the rarest ``n - ceil(near^2 n) + 1`` of each, in any common order of words; only those
+    words are joined. The order comes from a sample, which bears on time, not on pairs. ``parity`` flips a bit for each word,
+    so bits that differ are a lower bound of the words that differ.
+    """
+    es, ts = materialise(token_sets(evaluation), "leak-evaluation"), materialise(token_sets(training), "leak-training")
+    words = es.select("w").unionByName(ts.select("w")).filter(F.pmod(F.xxhash64("w"), F.lit(8)) == 0).select(F.explode("w").alias("word"))
+    common = [r["word"] for r in words.groupBy("word").count().orderBy("count", "word", ascending=False).limit(COMMON_WORDS).collect()]
+    place = evaluation.sparkSession.sparkContext.broadcast({w: -i for i, w in enumerate(common)})
+
+    def rarest(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = place.value
+        for pdf in it:
+            out = []
+            for lang, cls, w in zip(pdf["lang"], pdf["cls"], pdf["w"]):
+                parity = 0
+                for x in w:
+                    parity ^= 1 << (zlib.crc32(x.encode()) & 63)
+                order = sorted(w, key=lambda x: (at.get(x, -COMMON_WORDS), x))
+                out += [(lang, cls, len(w), parity - (parity >> 63 << 64), x) for x in order[: len(w) - math.ceil(near * near * len(w) - 1e-9) + 1]]
+            yield pd.DataFrame(out, columns=["lang", "cls", "n", "parity", "word"])
+
+    keys = lambda x, k: x.select("lang", "cls", "w").mapInPandas(rarest, "lang string, cls string, n int, parity long, word string").select("lang", "word", *[F.col(c).alias(f"{k}_{c}") for c in ("cls", "n", "parity")])
+    root = F.sqrt(F.col("e_n") * F.col("t_n"))
+    may = F.bit_count(F.col("e_parity").bitwiseXOR(F.col("t_parity"))) <= F.col("e_n") + F.col("t_n") - 2 * near * root + 1e-9
+    pairs = keys(es, "e").join(keys(ts, "t"), ["lang", "word"]).filter(may).select("lang", "e_cls", "t_cls").distinct()
+    side = lambda x, k: x.select("lang", F.col("cls").alias(f"{k}_cls"), F.col("w").alias(f"{k}_w"), F.col("ids").alias(f"{k}_ids"))
+    pairs = pairs.join(side(es, "e"), ["lang", "e_cls"]).join(side(ts, "t"), ["lang", "t_cls"])
+    pairs = pairs.withColumn("sim", F.size(F.array_intersect("e_w", "t_w")) / F.sqrt(F.size("e_w") * F.size("t_w"))).filter(F.col("sim") >= near - 1e-12)
+    return pairs.select("sim", "t_ids", F.explode("e_ids").alias("eval_id")).select("eval_id", F.explode("t_ids").alias("train_id"), "sim")
+
+
+def near_vectors(evaluation: DataFrame, training: DataFrame, near: float = NEAR) -> DataFrame:
+    """(eval_id, train_id, sim) of stored vectors ``(id, vec)``: each item's best record and each record's best item.
+
+    Both directions, as a record near an item need not be that item's best.
+    """
+    best = lambda c, q: dense_top_k(c.select(F.lit(0).alias("bucket"), "id", "vec"), q.select(F.col("id").alias("query_id"), "vec"), 1).filter(F.round("score", 6) >= near)
+    a = best(training, evaluation).select(F.col("query_id").alias("eval_id"), F.col("id").alias("train_id"), F.col("score").alias("sim"))
+    b = best(evaluation, training).select(F.col("id").alias("eval_id"), F.col("query_id").alias("train_id"), F.col("score").alias("sim"))
+    return a.unionByName(b)
+
+
+def leakage(evaluation: DataFrame, training: DataFrame, near: float = NEAR, vectors: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(eval_id, train_id, exact, normalised, sim) of items and records of one language that are the same or nearly so.
+
+    Three detectors: equal text, equal normalised text, a cosine of ``near`` or more, of the texts' token sets and, where
+    ``vectors`` names evaluation and training vectors ``(id, vec)``, of those. ``sim`` is 1 for equal texts.
+    """
+    e, t = leak_keys(evaluation), leak_keys(training)
+    j = e.select(F.col("id").alias("eval_id"), "lang", "key", F.col("text_key").alias("ek")).join(t.select(F.col("id").alias("train_id"), "lang", "key", F.col("text_key").alias("tk")), ["lang", "key"])
+    same = j.select("eval_id", "train_id", (F.col("ek") == F.col("tk")).alias("exact"), F.lit(True).alias("normalised"), F.lit(1.0).alias("sim"))
+    close = near_copies(evaluation, training, near)
+    if vectors:
+        close = close.unionByName(near_vectors(*vectors, near))
+    both = same.unionByName(close.select("eval_id", "train_id", F.lit(False).alias("exact"), F.lit(False).alias("normalised"), "sim"))
+    return both.groupBy("eval_id", "train_id").agg(F.max("exact").alias("exact"), F.max("normalised").alias("normalised"), F.max("sim").alias("sim"))
+
+
+def exclusions(pairs: DataFrame, training: DataFrame, near: float = NEAR) -> DataFrame:
+    """(lang, id): training records to leave out, by the highest similarity to any item."""
+    top = pairs.groupBy(F.col("train_id").alias("id")).agg(F.max("sim").alias("sim")).filter(F.round("sim", 6) >= near)
+    return top.select("id").join(training.select("id", F.lower(F.trim("lang")).alias("lang")), "id").select("lang", "id")
 
 
 def without(voted: DataFrame, ids: DataFrame) -> DataFrame:

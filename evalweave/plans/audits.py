@@ -148,19 +148,29 @@ def _train(s, d):
     return data.kb(s, d, "kind", "text", "lang").filter("kind in ('example', 'feedback')").select("id", "text", "lang")
 
 
+def _stored(s, d):
+    """Vectors of evaluation and training: the texts have none, so a tenth of the stored ones stands for items."""
+    v = table(s, d, "embeddings", F.concat(F.lit("vec-"), "vec_id").alias("id"), "vec_id", F.col("embedding").alias("vec"))
+    return v.filter("vec_id % 10 = 0").select("id", "vec"), v.filter("vec_id % 10 <> 0").select("id", "vec")
+
+
+def _leaks(s, d):
+    return U.leakage(data.items(s, d, "text", "lang"), _train(s, d), vectors=_stored(s, d))
+
+
 def leakage_scan(s, d):
-    p = U.leakage(data.items(s, d, "text", "lang"), _train(s, d))
-    i = data.items(s, d, "subset").select(F.col("id").alias("eval_id"), "subset")
-    return p.join(i, "eval_id").groupBy("subset").agg(F.countDistinct("eval_id").alias("n_items"), F.countDistinct(F.when(F.col("exact"), F.col("eval_id"))).alias("n_exact"), F.count("*").alias("n_pairs"))
+    i = data.items(s, d, "subset").select(F.col("id").alias("eval_id"), "subset").unionByName(_stored(s, d)[0].select(F.col("id").alias("eval_id"), F.lit("stored vectors").alias("subset")))
+    n = lambda c: F.countDistinct(F.when(c, F.col("eval_id")))
+    return _leaks(s, d).join(i, "eval_id").groupBy("subset").agg(F.countDistinct("eval_id").alias("n_items"), n(F.col("exact")).alias("n_exact"), n(F.col("normalised")).alias("n_normalised"), n(~F.col("normalised")).alias("n_near"), F.count("*").alias("n_pairs"))
 
 
 def leak_exclusions(s, d):
-    return U.exclusions(U.leakage(data.items(s, d, "text", "lang"), _train(s, d)), _train(s, d))
+    return U.exclusions(_leaks(s, d), _train(s, d).unionByName(_stored(s, d)[1].select("id", F.lit(None).cast("string").alias("lang")), True))
 
 
 def retrieval_leak_rescore(s, d):
     """Gate scores of the arm with context, with and without items whose leaked twin was shown to them."""
-    p = U.leakage(data.items(s, d, "text", "lang"), _train(s, d))
+    p = _leaks(s, d)
     shown = p.join(data.retrieved(s, d).select(F.col("item_id").alias("eval_id"), F.col("hit_id").alias("train_id")), ["eval_id", "train_id"]).select(F.col("eval_id").alias("item_id")).distinct()
     pairs = M.gate_pairs(scoring.voted(s, d).filter("arm = 'rag'"), data.items(s, d, "source", "gate", "raw"))
     a = M.score_gate(pairs, ("arm",)).withColumn("items", F.lit("all"))

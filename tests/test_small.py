@@ -299,3 +299,36 @@ def test_queries_of_full_size(spark):
     assert {r["n"] for r in audits.QUERIES["threshold_sweep_full"](spark, d).groupBy("arm").agg(F.countDistinct("threshold").alias("n")).collect()} == {99}
     assert audits.QUERIES["paired_bootstrap_full"](spark, d).agg(F.max("n_resamples")).first()[0] > 900
     assert audits.QUERIES["label_survival_full"](spark, d).agg(F.sum("n_resamples")).first()[0] == 1000
+
+
+def test_leakage_finds_near_copies(spark):
+    import itertools
+    import random
+
+    rng = random.Random(0)
+    texts = {}
+    for i in range(40):
+        w = [f"w{rng.randrange(300)}" for _ in range(rng.randint(1, 60))]
+        texts[f"e{i}"] = " ".join(w)
+        for j in range(3):
+            x = list(w)
+            for _ in range(j):
+                x[rng.randrange(len(x))] = f"w{rng.randrange(300)}"
+            texts[f"t{i}-{j}"] = " ".join(rng.sample(x, len(x)))
+    side = lambda k: spark.createDataFrame([(i, t, "en ") for i, t in texts.items() if i[0] == k] + [(f"{k}-de", texts["e0"], "de" if k == "e" else "fr"), (f"{k}-null", None, "en")], "id string, text string, lang string")
+    e, t = side("e"), side("t")
+    bag = {i: set(x.split()) for i, x in texts.items()}
+    want = {(a, b) for a, b in itertools.product(texts, texts) if a[0] == "e" and b[0] == "t" and len(bag[a] & bag[b]) ** 2 >= 0.9025 * len(bag[a]) * len(bag[b])}
+    pairs = audit.leakage(e, t)
+    got = pairs.collect()
+    assert {(r["eval_id"], r["train_id"]) for r in got} == want and any(0.95 <= r["sim"] < 1 for r in got)
+    assert {r["id"] for r in audit.exclusions(pairs, t).collect()} == {b for _, b in want}
+
+
+def test_leakage_uses_stored_vectors_in_both_directions(spark):
+    none = spark.createDataFrame([], "id string, text string, lang string")
+    e = spark.createDataFrame([("e1", [1.0, 0.0]), ("e2", [0.0, 1.0])], "id string, vec array<double>")
+    t = spark.createDataFrame([("t1", [1.0, 0.01]), ("t2", [1.0, 0.1]), ("t3", [1.0, 1.0])], "id string, vec array<double>")
+    pairs = audit.leakage(none, none, vectors=(e, t))
+    assert {(r["eval_id"], r["train_id"]) for r in pairs.collect()} == {("e1", "t1"), ("e1", "t2")}
+    assert {r["id"] for r in audit.exclusions(pairs, t.select("id", F.lit("en").alias("lang"))).collect()} == {"t1", "t2"}
