@@ -47,11 +47,15 @@ def bm25_stats(corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def bm25_scores(corpus: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, bucket, id, score) of records that share a term with ``queries(query_id, text)``; repeats count."""
+    """(query_id, bucket, id, score) of records that share a term with ``queries(query_id, text)``; repeats count.
+
+    Queries that have a ``bucket`` search that one only.
+    """
+    on = ["bucket"] if "bucket" in queries.columns else []
     sizes, idf = bm25_stats(corpus)
-    q = queries.filter("text is not null").select("query_id", F.explode(tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    q = queries.filter("text is not null").select("query_id", *on, F.explode(tokens("text")).alias("term")).groupBy("query_id", *on, "term").agg(F.count("*").alias("qtf"))
     # what a query's term adds to a record of a bucket, but for the record's own frequency and length
-    part = q.join(idf, "term").join(F.broadcast(sizes), "bucket").select("query_id", "bucket", "term", (F.col("qtf") * F.col("idf")).alias("qw"), "avgdl")
+    part = q.join(idf, [*on, "term"]).join(F.broadcast(sizes), "bucket").select("query_id", "bucket", "term", (F.col("qtf") * F.col("idf")).alias("qw"), "avgdl")
     if part.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
         # records stay where they are: their terms, the join and the sums all keep the partitioning by record
         post = bm25_terms(corpus.repartition("bucket", "id")).join(F.broadcast(part), ["bucket", "term"])

@@ -27,15 +27,39 @@ def _text_queries(s, d):
     return data.items(s, d, "text").filter((F.regexp_extract("id", "([0-9]+)$", 1) != "") & (F.regexp_extract("id", "([0-9]+)$", 1).try_cast("long") % 50 == 0) & F.col("text").isNotNull()).select(F.col("id").alias("query_id"), "text")
 
 
-def bm25_stats(s, d):
-    sizes, idf = R.bm25_stats(_corpus(s, d))
+def _stats(corpus):
+    sizes, idf = R.bm25_stats(corpus)
     return idf.groupBy("bucket").agg(F.count("*").alias("n_terms"), F.round(F.sum("idf"), 4).alias("sum_idf"), F.max("df").alias("max_df")).join(sizes, "bucket").withColumn("avgdl", F.round("avgdl", 6))
 
 
+def bm25_stats(s, d):
+    return _stats(_corpus(s, d))
+
+
 def bm25_topk(s, d):
     return R.bm25_top_k(_corpus(s, d), _text_queries(s, d), 5).select("query_id", "bucket", "id", "rank", F.round("score", 5).alias("score"))
 
 
+def _four_buckets(s, d):
+    """All records: definitions and guidelines of any language, examples and feedback by language."""
+    by_lang = F.col("kind").isin("example", "feedback")
+    k = data.kb(s, d, "kind", "text", "lang").filter("kind in ('definition', 'guideline', 'example', 'feedback') and text is not null")
+    return k.filter(~by_lang | F.col("lang").isNotNull()).select(F.when(by_lang, F.concat_ws(":", "kind", "lang")).otherwise(F.col("kind")).alias("bucket"), "id", "text")
+
+
+def bm25_stats_buckets(s, d):
+    return _stats(_four_buckets(s, d))
+
+
+def bm25_topk_buckets(s, d):
+    """``bm25_topk`` over four buckets; an item meets examples and feedback of its own language only."""
+    i = data.items(s, d, "lang").select(F.col("id").alias("query_id"), F.lower(F.trim("lang")).alias("lang"))
+    q = _text_queries(s, d).join(i, "query_id")
+    buckets = F.array_compact(F.array(F.lit("definition"), F.lit("guideline"), *[F.when(F.col("lang").isNotNull(), F.concat(F.lit(f"{k}:"), "lang")) for k in ("example", "feedback")]))
+    top = R.bm25_top_k(_four_buckets(s, d), q.select("query_id", "text", F.explode(buckets).alias("bucket")), 5)
+    return top.select("query_id", "bucket", "id", "rank", F.round("score", 5).alias("score"))
+
+
 def _vectors(s, d):
     return table(s, d, "embeddings", "vec_id", "label", "embedding").select(F.col("label").alias("bucket"), F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
 
@@ -197,7 +221,7 @@ _SHOWN = ("select item_id, bucket, hit_id, min(hit_pos) as pos, any_value(k.text
 
 QUERIES = {
     f.__name__: f
-    for f in (bm25_stats, bm25_topk, dense_topk, knn_best_twin, cosine_threshold_join, pairwise_redundancy, rrf_fuse, retrieve_hybrid, mmr_select, definition_budget, fewshot_static, oracle_injection, retrieved_ids, channel_shares, parse_accounting, parse_by_arm, output_inspection, mock_run, prompt_label_space, prompt_render_gold, prompt_sizes)
+    for f in (bm25_stats, bm25_topk, bm25_stats_buckets, bm25_topk_buckets, dense_topk, knn_best_twin, cosine_threshold_join, pairwise_redundancy, rrf_fuse, retrieve_hybrid, mmr_select, definition_budget, fewshot_static, oracle_injection, retrieved_ids, channel_shares, parse_accounting, parse_by_arm, output_inspection, mock_run, prompt_label_space, prompt_render_gold, prompt_sizes)
 }
 _RAWMETA = "try_cast(meta as json)"
 ORACLE = {

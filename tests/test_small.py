@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evalweave.functions import stats, text
 from evalweave.operators import analysis, audit, kb, labels, metrics, parse, prompt, retrieve, run, sampling, vote
-from evalweave.plans import audits
+from evalweave.plans import audits, retrieval
 from evalweave.sources import config, jsonl
 
 GOOD = '{"reasoning": "a } b", "hate": true, "target_group": ["race"], "hate_type": [], "severity": "low", "legal": []}'
@@ -332,3 +332,14 @@ def test_leakage_uses_stored_vectors_in_both_directions(spark):
     pairs = audit.leakage(none, none, vectors=(e, t))
     assert {(r["eval_id"], r["train_id"]) for r in pairs.collect()} == {("e1", "t1"), ("e1", "t2")}
     assert {r["id"] for r in audit.exclusions(pairs, t.select("id", F.lit("en").alias("lang"))).collect()} == {"t1", "t2"}
+
+
+def test_feedback_is_found_and_languages_are_kept_apart(spark, tmp_path):
+    kb = [("f1", "feedback", "en", "moon over water"), ("f2", "feedback", "de", "moon over water"), ("x1", "example", " EN", "moon over hills"), ("x2", "example", "de", "moon over hills"), ("g1", "guideline", "en", "moon over towns")]
+    kb += [(f"{k}{lang}{i}", k, lang, f"other words {i} here") for k in ("feedback", "example", "guideline") for lang in ("en", "de") for i in range(4)]
+    spark.createDataFrame(kb, "id string, kind string, lang string, text string").withColumn("ingested_at", F.lit(None).cast("timestamp")).write.parquet(str(tmp_path / "kb_hits.parquet"))
+    items = spark.createDataFrame([("a-50", "en", "moon"), ("a-100", "de", "moon"), ("a-150", None, "moon")], "id string, lang string, text string").withColumn("ingested_at", F.lit(None).cast("timestamp"))
+    items.write.parquet(str(tmp_path / "gold_items.parquet"))
+    got = {(r["query_id"], r["bucket"], r["id"]) for r in retrieval.QUERIES["bm25_topk_buckets"](spark, str(tmp_path)).collect()}
+    assert got == {("a-50", "guideline", "g1"), ("a-50", "example:en", "x1"), ("a-50", "feedback:en", "f1"), ("a-100", "guideline", "g1"), ("a-100", "example:de", "x2"), ("a-100", "feedback:de", "f2"), ("a-150", "guideline", "g1")}
+    assert {r["bucket"]: r["n"] for r in retrieval.QUERIES["bm25_stats_buckets"](spark, str(tmp_path)).collect()} == {"guideline": 9, "example:en": 5, "example:de": 5, "feedback:en": 5, "feedback:de": 5}
