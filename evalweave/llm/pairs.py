@@ -291,7 +291,8 @@ def defective_answers(runs: DataFrame, items: DataFrame) -> DataFrame:
             yield pd.DataFrame({"run_id": pdf["run_id"], "found": [r[0] for r in rows], "pair": [r[1] for r in rows], "last": [r[2] for r in rows], "key": None, "n": 0, "ended": 0})
             if len(endings.n) > COUNTED_KEYS:
                 yield endings.rows()
-        yield endings.rows()
+        if endings.n:
+            yield endings.rows()
 
     # rows with a key are counts, the others runs
     judged = materialise(both.mapInPandas(run, "run_id long, found array<string>, pair string, last string, key string, n long, ended long"), "p5-judged")

@@ -199,6 +199,12 @@ def test_open_ends_are_judged_by_the_corpus(spark):
     assert pairs.defective_answers(df.limit(0), items.limit(0)).count() == 0
 
 
+def test_answers_without_a_sentence(spark):
+    df = spark.createDataFrame([(1, "it", ["I can't"]), (2, "it", None)], "run_id long, item_id string, raw_outputs array<string>").withColumn("logged_at", F.lit(None).cast("timestamp"))
+    items = spark.createDataFrame([], "id string, text string, ingested_at timestamp")
+    assert {r["run_id"] for r in pairs.defective_answers(df, items).collect()} == {1, 2}
+
+
 @pytest.mark.parametrize("size", [1, 10])
 def test_open_ends_do_not_depend_on_the_size_of_the_table(spark, size):
     often = '{"reasoning": "It is so calm, so kind, so mild, so warm, so fair, so good, so neat and so." , "hate": false}'
