@@ -218,19 +218,20 @@ def judge(final: str | None, item: str | None, form) -> tuple[list[str], str | N
         found.append("copy")
     pair = last = None
     sentences: list[tuple[list[str], bool]] = []
-    if state != "cut" and not copied:
+    if state != "cut":
         tail = plain.rstrip(" \"'”»)")
         pieces = _END.split(plain)
         whole = len(pieces) - (not tail.endswith((".", "!", "?", "…")))
         said_words = [[x.lower() for x in _WORD.findall(p)] for p in pieces]
-        sentences = [(w if i < whole else w[:-1], i < whole) for i, w in enumerate(said_words) if w]
+        if not copied:  # an item's endings say nothing of how reasonings end
+            sentences = [(w if i < whole else w[:-1], i < whole) for i, w in enumerate(said_words) if w]
         if tail and tail[-1].isalnum() or tail.endswith((",", ";", ":", "-")):
             w = [x.lower() for x in _WORD.findall(tail)]
             pair, last = " ".join(w[-2:]), w[-1] if w else None
             if not tail[-1].isalnum():
                 found.append("truncated")
                 pair = last = None
-    if not copied and asked:
+    if asked:
         a, na, ra = language(_QUOTED.sub(" ", plain))
         b, nb, rb = language(asked)
         if a and b and a != b and na >= 2 and nb >= 3 and na >= 1.5 * ra and nb >= 1.5 * rb:

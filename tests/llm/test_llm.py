@@ -205,6 +205,14 @@ def test_answers_without_a_sentence(spark):
     assert {r["run_id"] for r in pairs.defective_answers(df, items).collect()} == {1, 2}
 
 
+def test_copies_that_break_off_are_truncated_too(spark):
+    said = "The people next door are kind to us and to"
+    df = spark.createDataFrame([(1, "it", [f'{{"reasoning": "{said}", "hate": false}}']), (2, "it", [f'{{"reasoning": "{said} them.", "hate": false}}'])], "run_id long, item_id string, raw_outputs array<string>").withColumn("logged_at", F.lit(None).cast("timestamp"))
+    items = spark.createDataFrame([("it", said + " them.")], "id string, text string").withColumn("ingested_at", F.lit(None).cast("timestamp"))
+    got = {r["run_id"]: (r["defect"], r["defects"]) for r in pairs.defective_answers(df, items).collect()}
+    assert got == {1: ("copy", ["copy", "truncated"]), 2: ("copy", ["copy"])}
+
+
 @pytest.mark.parametrize("size", [1, 10])
 def test_open_ends_do_not_depend_on_the_size_of_the_table(spark, size):
     often = '{"reasoning": "It is so calm, so kind, so mild, so warm, so fair, so good, so neat and so." , "hate": false}'
