@@ -5,98 +5,90 @@ Method: multi-index hashing. The fingerprint of a record is its minwise signatur
 ball are candidates. Their complete distance is verified on the fingerprint and then exactly on the word sets, and the
 links are closed into classes.
 
-Odd input: NULL or blank texts and texts without words have no class row; rows with the same id count once; records with
-the same form are one node, so groups of exact copies of any size cost one row each; an empty table gives no rows.
+Of a crowded bucket the first record is compared with all others. Members that are then still of another class than most
+of the bucket are compared with all its members, tile by tile over many tasks: every pair of a bucket is either compared
+or already of one class.
+
+Odd input: NULL or blank texts and texts without words have no class row; rows with the same id count once (the first by
+order_col, ties going to the smaller digest of the text's form); records with the same form are one node, so groups of
+exact copies of any size cost one node; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evalweave.llm.buckets import PRINT_WORDS, meetings, pairs_of
 from evalweave.llm.graph import components
 from evalweave.llm.lookalike import ConsistentForm
-from evalweave.llm.shingles import forms, sketches, verified, word_hashes
+from evalweave.llm.shingles import far_bits, one_per_form, sketcher, stored_forms, verified, word_hashes
 from evalweave.session import materialise
 
-SEGMENTS, WIDTH, RADIUS = 28, 8, 1
-#: Buckets up to this size are paired within; larger ones go through their leader and then block by block.
+SEGMENTS, WIDTH, RADIUS = 18, 7, 1
+#: Buckets up to this size are paired within at once.
 BUCKET = 48
-BLOCK = 256
-#: So many bucket keys (8 bytes each) are sent to all executors; more are joined by shuffle.
-BROADCAST_KEYS = 500_000
-
-
-def _bucket_pairs(keyed: DataFrame, bucket: int) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs of the (key, rid) rows, and the keys of buckets that are too large to be paired within."""
-    counted = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("rid").alias("lo"), F.max("rid").alias("hi")).filter("n > 1")
-    counted = materialise(counted, "buckets")
-    two = counted.filter("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-    some = counted.filter(f"n between 3 and {bucket}").select("key")
-    if some.count() <= BROADCAST_KEYS:
-        some = F.broadcast(some)
-    small = keyed.join(some, "key").groupBy("key").agg(F.array_sort(F.collect_set("rid")).alias("m"))
-    small = small.select("m", F.posexplode("m").alias("i", "a")).select("a", F.explode(F.expr("slice(m, i + 2, size(m))")).alias("b"))
-    large = counted.filter(f"n > {bucket}").select("key", "lo", "n")
-    found = two.unionByName(small)
-    if not large.limit(1).count():
-        return found.distinct(), large
-    star = keyed.join(large, "key").filter("rid <> lo").select(F.least("lo", "rid").alias("a"), F.greatest("lo", "rid").alias("b"))
-    return found.unionByName(star).distinct(), large
-
-
-def _block_links(keyed: DataFrame, large: DataFrame, sets: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """Links within large buckets between records that are not yet in one class: exact, block against block.
-
-    Members of a bucket are dealt to blocks of about BLOCK rows; each pair of blocks is one task's work, which returns
-    at most one link between two classes. A bucket whose members are already of one class is left out, so a group of
-    near copies as large as a third of the table never comes here.
-    """
-    member = keyed.join(large, "key").join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-    open_keys = member.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
-    member = member.join(open_keys, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    member = member.withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")).join(sets, "rid")
-    tiles = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = tiles.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rid", "root", "words")
-
-    def links(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = [(r, root, frozenset(w)) for r, root, w in zip(pdf["rid"], pdf["root"], pdf["words"])]
-        block, seen, out = pdf["block"].to_numpy(), {}, []
-
-        def find(x: int) -> int:
-            while seen.get(x, x) != x:
-                x = seen[x]
-            return x
-
-        same = pdf["i"].iloc[0] == pdf["j"].iloc[0]
-        for x, (ra, ga, wa) in enumerate(own):
-            for y in range(x + 1, len(own)):
-                rb, gb, wb = own[y]
-                if (same or block[x] != block[y]) and find(ga) != find(gb):
-                    shared = len(wa & wb)
-                    if shared * 1000 >= (len(wa) + len(wb) - shared) * round(similarity * 1000):
-                        seen[find(ga)] = find(gb)
-                        out.append((min(ra, rb), max(ra, rb)))
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
-
-    return tiles.groupBy("key", "i", "j").applyInPandas(links, "a long, b long").distinct()
+#: Records on the two sides of a tile.
+OUTSIDERS, MEMBERS = 256, 2048
+_PRINTS = [f"p{i}" for i in range(PRINT_WORDS)]
+
+
+def _rest_links(met: DataFrame, nodes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """Links within crowded buckets between records that are not of one class yet: exact, tile by tile."""
+    bucket = met.filter("ys is not null").select(F.xxhash64(F.col("ys")[0], F.col("xs")[0]).alias("key"), F.explode("xs").alias("rid")).distinct()
+    member = bucket.join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+    member = materialise(member, "p1-members")
+    # the root that most members of a bucket have, by counts
+    main = member.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all"))
+    main = main.filter("top.n < all").select("key", F.col("top.root").alias("main"), "all", (F.col("all") - F.col("top.n")).alias("out"))
+    kept = member.join(main, "key").join(met.filter("p0 is not null").select(F.col("a").alias("rid"), *_PRINTS), "rid").join(nodes.select("rid", word_hashes(F.col("form")).alias("words")), "rid")
+    row = F.struct("rid", "root", *_PRINTS, "words")
+
+    def pieces(df: DataFrame, size: int, total: str, name: str) -> DataFrame:
+        df = df.withColumn("piece", F.pmod(F.xxhash64("rid"), F.ceil(F.col(total) / size)))
+        return df.groupBy("key", "piece").agg(F.collect_list(row).alias(name)).drop("piece")
+
+    tiles = pieces(kept.filter("root <> main"), OUTSIDERS, "out", "outs").join(pieces(kept, MEMBERS, "all", "members"), "key")
+    bits = far_bits(64 * PRINT_WORDS, similarity)
+
+    def links(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            found: list[tuple[int, int]] = []
+            for outs, members in zip(pdf["outs"], pdf["members"]):
+                mp = np.array([[m[p] for p in _PRINTS] for m in members], np.int64).view(np.uint64)
+                roots, sets = np.array([m["root"] for m in members]), [None] * len(members)
+                for o in outs:
+                    far = np.bitwise_count(mp ^ np.array([o[p] for p in _PRINTS], np.int64).view(np.uint64)).sum(axis=1)
+                    own, met_roots = frozenset(o["words"]), {o["root"]}
+                    for i in np.flatnonzero((far <= bits) & (roots != o["root"])):
+                        if roots[i] in met_roots:
+                            continue
+                        sets[i] = sets[i] or frozenset(members[i]["words"])
+                        shared = len(own & sets[i])
+                        if shared * 1000 >= (len(own) + len(sets[i]) - shared) * round(similarity * 1000):
+                            met_roots.add(roots[i])
+                            found.append((o["rid"], members[i]["rid"]))
+            yield pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+    return tiles.repartition(int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInPandas(links, "a long, b long")
 
 
 def near_duplicate_classes(records: DataFrame, form: ConsistentForm | None = None, similarity: float = 0.6, id_col: str = "id", text_col: str = "text", order_col: str | None = None, segments: int = SEGMENTS, width: int = WIDTH, radius: int = RADIUS, bucket: int = BUCKET, seed: int = 11) -> DataFrame:
     """(id, class_id, class_size): one row per record with words; class_id is the smallest id of the class."""
     if form is None:
         form = ConsistentForm.default()  # equality of forms does not depend on the representatives
-    sk, members = sketches(forms(records, form, id_col, text_col, order_col), "p1", segments, width, radius, seed)
-    keyed = sk.select("rid", F.explode(F.array_distinct("keys")).alias("key"))
-    pairs, large = _bucket_pairs(keyed, bucket)
-    links = materialise(verified(pairs, sk, sk, similarity, segments * width).select("a", "b"), "p1-links")
+    nodes, ids = one_per_form(stored_forms([records], form, "p1", id_col, text_col, order_col), "p1")
+    met = meetings(nodes, sketcher(segments, width, radius, seed), 1, bucket, "p1")
+    links = materialise(verified(pairs_of(met, False), met, nodes, similarity, "p1").select("a", "b"), "p1-links")
     roots = components(links)
-    if large.limit(1).count():
-        roots = materialise(roots, "p1-roots")
-        more = _block_links(keyed, large, sk.select("rid", word_hashes(F.col("form")).alias("words")), roots, similarity)
+    if met.filter("ys is not null").limit(1).count():
+        more = _rest_links(met, nodes, materialise(roots, "p1-roots"), similarity)
         roots = components(links.unionByName(more))
-    rooted = members.join(roots.withColumnRenamed("node", "rid"), "rid", "left").select("id", F.coalesce("root", "rid").alias("root"))
+    rooted = ids.join(roots.withColumnRenamed("node", "rid"), "rid", "left").select("id", F.coalesce("root", "rid").alias("root"))
     rooted = materialise(rooted, "p1-rooted")
     names = rooted.groupBy("root").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
     return rooted.join(names, "root").select("id", "class_id", "class_size")

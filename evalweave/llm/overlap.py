@@ -3,8 +3,9 @@
 Method: minwise hashes of the word sets in banded buckets; only pairs of one evaluation and one training record are
 formed; candidates are verified by exact Jaccard similarity; confirmed pairs are counted per subset and source.
 
-Odd input: NULL or blank texts never overlap; rows with the same id count once on either side; records with the same
-form are one node on their side; an empty side gives no rows.
+Odd input: NULL or blank texts never overlap; rows with the same id count once on either side (the first by order_col,
+ties going to the smaller digest of the text's form); records with the same form are one node on their side; an empty
+side gives no rows.
 """
 
 from __future__ import annotations
@@ -12,8 +13,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evalweave.llm.buckets import meetings, pairs_of
 from evalweave.llm.lookalike import ConsistentForm
-from evalweave.llm.shingles import forms, sketches, verified
+from evalweave.llm.shingles import one_per_form, sketcher, stored_forms, verified
 from evalweave.session import materialise
 
 BANDS, ROWS = 64, 6
@@ -23,14 +25,11 @@ def split_overlaps(evaluation: DataFrame, training: DataFrame, form: ConsistentF
     """(item_id, hit_id, similarity) of all confirmed pairs; both inputs have id and text."""
     if form is None:
         form = ConsistentForm.default()  # equality of forms does not depend on the representatives
-    sides = []
-    for name, df in (("eval", evaluation), ("train", training)):
-        sides.append(sketches(forms(df, form, order_col=order_col), f"p2-{name}", bands, rows, 0, seed))
-    (ev, ev_ids), (tr, tr_ids) = sides
-    a = ev.select(F.col("rid").alias("a"), F.explode("keys").alias("key"))
-    b = tr.select(F.col("rid").alias("b"), F.explode("keys").alias("key"))
-    links = materialise(verified(a.join(b, "key").select("a", "b"), ev, tr, similarity, bands * rows), "p2-links")
-    out = links.join(ev_ids.select(F.col("rid").alias("a"), F.col("id").alias("item_id")), "a").join(tr_ids.select(F.col("rid").alias("b"), F.col("id").alias("hit_id")), "b")
+    nodes, ids = one_per_form(stored_forms([evaluation, training], form, "p2", "id", "text", order_col), "p2")
+    met = meetings(nodes, sketcher(bands, rows, 0, seed), 2, 0, "p2")
+    links = materialise(verified(pairs_of(met, True), met, nodes, similarity, "p2"), "p2-links")
+    out = links.join(ids.filter("side = 0").select(F.col("rid").alias("a"), F.col("id").alias("item_id")), "a")
+    out = out.join(ids.filter("side = 1").select(F.col("rid").alias("b"), F.col("id").alias("hit_id")), "b")
     return out.select("item_id", "hit_id", "similarity")
 
 
