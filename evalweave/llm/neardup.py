@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from evalweave.llm.buckets import PRINT_WORDS, meetings, pairs_of
 from evalweave.llm.graph import components
 from evalweave.llm.lookalike import ConsistentForm
-from evalweave.llm.shingles import far_bits, one_per_form, sketcher, stored_forms, verified, word_hashes
+from evalweave.llm.shingles import far_bits, few_rows, one_per_form, sketcher, stored_forms, verified, word_hashes
 from evalweave.session import materialise
 
 SEGMENTS, WIDTH, RADIUS = 18, 7, 1
@@ -45,7 +45,11 @@ def _rest_links(met: DataFrame, nodes: DataFrame, roots: DataFrame, similarity:
     # the root that most members of a bucket have, by counts
     main = member.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all"))
     main = main.filter("top.n < all").select("key", F.col("top.root").alias("main"), "all", (F.col("all") - F.col("top.n")).alias("out"))
-    kept = member.join(main, "key").join(met.filter("p0 is not null").select(F.col("a").alias("rid"), *_PRINTS), "rid").join(nodes.select("rid", word_hashes(F.col("form")).alias("words")), "rid")
+    kept = materialise(member.join(main, "key"), "p1-open")
+    if not kept.limit(1).count():
+        return met.filter("false").select("a", "b")
+    words = nodes.select("rid", "form").join(few_rows(kept.select("rid").distinct()), "rid", "left_semi").select("rid", word_hashes(F.col("form")).alias("words"))
+    kept = kept.join(met.filter("p0 is not null").select(F.col("a").alias("rid"), *_PRINTS), "rid").join(words, "rid")
     row = F.struct("rid", "root", *_PRINTS, "words")
 
     def pieces(df: DataFrame, size: int, total: str, name: str) -> DataFrame:

@@ -168,12 +168,12 @@ def one_per_form(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     known = rows.filter("form is not null").select("side", "h", "rid")
     reps = known.groupBy("side", "h").agg(F.min("rid").alias("rep"), F.count("*").alias("n"))
     again = materialise(known.join(reps.filter("n > 1"), ["side", "h"]).filter("rid <> rep").select("rid"), f"{name}-again")
-    nodes = rows.filter("form is not null").select("rid", "side", "form").join(_small(again), "rid", "left_anti")
+    nodes = rows.filter("form is not null").select("rid", "side", "form").join(few_rows(again), "rid", "left_anti")
     first = rows.groupBy("side", "id").agg(F.min(F.struct("ord", "h")).alias("r")).select("side", "id", F.col("r.h").alias("h"))
     return nodes, first.join(reps.select("side", "h", F.col("rep").alias("rid")), ["side", "h"]).select("side", "id", "rid")
 
 
-def _small(ids: DataFrame) -> DataFrame:
+def few_rows(ids: DataFrame) -> DataFrame:
     """Marked for broadcast if few enough, which is counted first."""
     return F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
 
@@ -202,7 +202,7 @@ def verified(pairs: DataFrame, met: DataFrame, nodes: DataFrame, similarity: flo
         pairs = pairs.join(prints.select(F.col("a").alias(end), *[F.col(f"p{i}").alias(f"{end}p{i}") for i in range(PRINT_WORDS)]), end)
     near = materialise(pairs.filter(print_distance("ap", "bp") <= far_bits(64 * PRINT_WORDS, similarity)).select("a", "b"), f"{name}-near")
     wanted = near.select(F.col("a").alias("rid")).unionByName(near.select(F.col("b").alias("rid"))).distinct()
-    words = nodes.select("rid", "form").join(_small(wanted), "rid", "left_semi").select("rid", word_hashes(F.col("form")).alias("w"))
+    words = nodes.select("rid", "form").join(few_rows(wanted), "rid", "left_semi").select("rid", word_hashes(F.col("form")).alias("w"))
     both = near.join(words.select(F.col("rid").alias("a"), F.col("w").alias("wa")), "a").join(words.select(F.col("rid").alias("b"), F.col("w").alias("wb")), "b")
     both = both.withColumn("shared", F.size(F.array_intersect("wa", "wb"))).withColumn("either", F.size("wa") + F.size("wb") - F.col("shared"))
     # 0.6 is compared in whole numbers, as the quotient of two ints at the border may round either way
