@@ -12,6 +12,8 @@ from evalweave.session import materialise, ship_package
 from evalweave.sources.tables import first_per_key, table
 
 TRAINING_KINDS = ("example", "feedback")
+#: Vote patterns are numbers of five digits to the base of the subjects and one, in 32 bits.
+MOST_SUBJECTS = 70
 
 
 def _both(spark: SparkSession, d: str) -> DataFrame:
@@ -115,8 +117,10 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _areas(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents", "doc_id", "text", "source", "thread_key")
-    names = [r[0] for r in table(spark, d, "subjects", "subject").distinct().limit(1000).collect()]
+    docs = table(spark, d, "documents", "doc_id", "text", "source")
+    names = [r[0] for r in table(spark, d, "subjects", "subject").distinct().limit(MOST_SUBJECTS + 1).collect()]
+    if len(names) > MOST_SUBJECTS:
+        raise ValueError(f"more than {MOST_SUBJECTS} subjects")
     shares = subjects.subject_shares(docs, table(spark, d, "subject_labels", "doc_id", "subject"), names)
     return shares.filter(F.col("share") >= subjects.SHARE)
 

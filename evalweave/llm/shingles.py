@@ -63,16 +63,28 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+def span_hashes(points: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the spans of code points from first to before last.
+
+    A hash is the span's polynomial in the multiplier: a difference of running sums, shifted back to the span's start.
+    """
+    up, down = _power(len(points) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[:-1], dtype=np.uint64)])
+    return mix((sums[last] - sums[first]) * down[first])
+
+
+def code_points(texts: list[str]) -> np.ndarray:
+    """The code points of the texts, joined by line ends."""
+    return np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 def flat_words(forms: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words, where each form's words start). Every form has a word; words may repeat."""
-    points = np.frombuffer("\n".join(forms).encode("utf-32-le", "surrogatepass"), np.uint32)
-    # a word's hash is its polynomial in the multiplier: a difference of running sums, shifted back to the word's start
+    points = code_points(forms)
     inside = np.concatenate([[False], _letters()[points], [False]])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     first, last = edges[::2], edges[1::2]
-    up, down = _power(len(points) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[:-1], dtype=np.uint64)])
-    hashes = mix((sums[last] - sums[first]) * down[first])
+    hashes = span_hashes(points, first, last)
     begin = np.cumsum([0, *[len(f) + 1 for f in forms[:-1]]])
     return hashes, np.searchsorted(first, begin)
 

@@ -1,33 +1,35 @@
 """Problem 8: the subject areas of each document.
 
 Method: labelling functions vote on every sentence: two halves of a lexicon, the section around the sentence, the
-document's address (its thread) and its source. A latent model learns from the pattern counts of all sentences how far
-each function can be trusted, without labels; a sentence is assigned by its posterior, and a document has the areas that
-hold at least ``share`` of its sentences.
+addresses in the document (links, mail hosts, hashtags) and its source. A latent model learns from the pattern counts of
+all sentences how far each function can be trusted, without labels. A document has the areas whose expected number of
+sentences by the posterior, in whole sentences, is at least ``share`` of its sentences.
+
+Text is cut once; words are kept as 64-bit hashes, distinct within their sentence, and all later passes work on arrays.
 
 The lexicon starts from a few seed words and from rated documents (at most ``rated_rows`` of them) and is re-estimated
-over all sentences; a word enters it if it occurs in one of 50,000 sentences, so its size is bounded by the number of
-words in 50,000 sentences whatever the corpus.
+over all sentences; a word enters it if it occurs in one of 50,000 sentences and in four, so its size is bounded by the
+number of words in 50,000 sentences whatever the corpus. Addresses vote by the seed words, a source by the ratings of its
+documents, so neither repeats the lexicon's votes.
 
-Odd input: texts that are NULL, empty or without words have no row; a sentence without words is none; NULL threads and
-sources do not vote; labels of unknown subjects or documents and repeated labels change nothing; no labels at all
-leave the seeds; ties go to the subject first by name.
+Odd input: texts that are NULL, empty or without words have no row; a sentence without words is none; NULL sources do
+not vote; labels of unknown subjects or documents and repeated labels change nothing; no labels at all leave the seeds;
+ties go to the subject first by name; documents with the same doc_id are rated apart.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
-from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import islice
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalweave.llm.lookalike import ConsistentForm, _rewriter
+from evalweave.llm.shingles import code_points, few_rows, span_hashes
 from evalweave.session import materialise
 
 # A few plain words of each area in English, German and French.
@@ -46,193 +48,256 @@ SEEDS = {
 }
 SHARE, RATED_ROWS, PASSES = 0.25, 20_000, 3
 ONE_IN, LEAST = 50_000, 4
+#: Ratings that a source needs to vote, and the share of them that its subject needs.
+SOURCE_RATINGS, SOURCE_SHARE = 10, 0.5
+#: Distinct words that a task counts before it hands its counts on.
+COUNTED_WORDS = 200_000
+
+_LETTER, _BLOCKS, _STOP, _CLOSER, _SPACE, _BREAK = 1, 2, 4, 8, 16, 32
+_LINE = "\ue00a"
+_ADDRESS = re.compile(r"https?://\S+|\bwww\.\S+|(?<=\w)@[\w-]+(?:\.[\w-]+)+|(?<![\w&])#[^\W\d]\w+", re.I)
+_PART = re.compile(r"[^\W\d_]+")
+
+
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """What each code point is to the splitter."""
+    out = np.zeros(0x110000, np.uint8)
+    for first, last in ((0, 0xD800), (0xE000, 0x110000)):  # no surrogates
+        chars = "".join(map(chr, range(first, last)))
+        for pattern, kind in ((r"[^\W\d_]+", _LETTER), (r"[\d_@]+", _BLOCKS), (r"[.!?…]+", _STOP), ("[\"”’')»]+", _CLOSER), (r"\s+", _SPACE), (rf"[\n{_LINE}]", _BREAK)):
+            for m in re.finditer(pattern, chars):
+                out[first + m.start() : first + m.end()] |= kind
+    return out
 
-_END = re.compile(r"[.!?…][\"”’')»]*\s")
-_WORD = re.compile(r"(?<![@\w])[^\W\d_]+(?:-[^\W\d_]+)*")
-
-
-def sentences(text: str | None, form) -> list[str]:
-    """The sentences of ``text`` with words, each as its distinct words in order, joined by spaces. Handles are no words."""
-    if not text:
-        return []
-    # one rewriting of the whole text; line ends are kept as ends of sentences
-    whole = (form(text.replace("\n", " \ue00a ")) or "").lower()
-    found = (_WORD.findall(s) for line in whole.split("\ue00a") for s in _END.split(line))
-    return [" ".join(dict.fromkeys(words)) for words in found if words]
 
+def split_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of the distinct words of each sentence, words of each sentence, sentences of each text).
 
-def flat(bodies: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(words of all sentences of a batch, where each sentence starts, sentences of each body)."""
-    lines = "\n".join(bodies).split("\n")
-    sizes = np.fromiter((s.count(" ") + 1 for s in lines), np.int64, len(lines))
-    per = np.fromiter((b.count("\n") + 1 for b in bodies), np.int64, len(bodies))
-    return " ".join(lines).split(" "), np.concatenate([[0], np.cumsum(sizes)[:-1]]), per
+    A word is a run of letters that no digit, underscore or @ precedes. A sentence ends at a stop, with what closes
+    behind it, before white space, and at line ends.
+    """
+    points = code_points(texts)
+    kind = _kinds()[points]
+    letter = np.concatenate([[False], (kind & _LETTER) > 0, [False]])
+    edges = np.flatnonzero(letter[1:] != letter[:-1])
+    first, last = edges[::2], edges[1::2]
+    free = np.concatenate([[True], (kind & _BLOCKS) == 0])[first]
+    first, last = first[free], last[free]
+    n = len(points)
+    after = np.where((kind & _CLOSER) > 0, n, np.arange(n))  # the first place from each on that closes nothing
+    after = np.append(np.minimum.accumulate(after[::-1])[::-1], n) if n else np.zeros(1, np.int64)
+    space = np.append((kind & _SPACE) > 0, False)
+    ends = ((kind & _BREAK) > 0) | (((kind & _STOP) > 0) & space[after[1:]])
+    sentence = np.cumsum(ends)[first]
+    words = span_hashes(points, first, last)
+    doc = np.searchsorted(np.cumsum([0, *[len(t) + 1 for t in texts[:-1]]]), first, "right") - 1
+    order = np.lexsort((words, sentence))
+    words, sentence, doc = words[order].view(np.int64), sentence[order], doc[order]
+    keep = np.ones(len(words), bool)
+    keep[1:] = (words[1:] != words[:-1]) | (sentence[1:] != sentence[:-1])
+    words, sentence, doc = words[keep], sentence[keep], doc[keep]
+    begin = np.flatnonzero(np.diff(sentence, prepend=-1))
+    return words, np.diff(np.append(begin, len(words))), np.bincount(doc[begin], minlength=len(texts))
+
+
+def word_keys(words: list[str]) -> np.ndarray:
+    """The hashes of single words."""
+    if not words:
+        return np.zeros(0, np.int64)
+    end = np.cumsum([len(w) + 1 for w in words]) - 1
+    return span_hashes(code_points(words), end - [len(w) for w in words], end).view(np.int64)
 
 
 class Lexicon:
-    """word -> log odds of the subjects (and of none, last), in two halves by a hash of the word."""
-
-    def __init__(self, probs: dict[str, np.ndarray], n: int) -> None:
-        self.n, self.size = n, len(probs)
-        self.index = {w: i for i, w in enumerate(probs)}
-        odds = np.log(np.maximum(np.array(list(probs.values())).reshape(self.size, n + 1), 1e-6) * (n + 1))
-        self.odds = np.vstack([odds, np.zeros((1, n + 1))]).astype(np.float32)  # the last row: words not in the lexicon
-        self.half = np.array([zlib.crc32(w.encode()) & 1 for w in probs] + [2])
-
-    def rows(self, words: list[str]) -> np.ndarray:
-        get, other = self.index.get, self.size
-        return np.fromiter((get(w, other) for w in words), np.int64, len(words))
-
-    def votes(self, rows: np.ndarray, starts: np.ndarray, half: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(subject, or n for none; its probability) of each sentence by the words of one half, or of both."""
-        if half is not None:
-            rows = np.where(self.half[rows] == half, rows, self.size)
-        z = np.add.reduceat(self.odds[rows], starts, axis=0)
-        e = np.exp(z - z.max(axis=1, keepdims=True))
-        k = e.argmax(axis=1)
-        p = e[np.arange(len(k)), k] / e.sum(axis=1)
-        known = np.add.reduceat((rows < self.size).astype(np.int64), starts) > 0
+    """word hash -> log odds of the subjects (and of none, last), in two halves by a bit of the hash."""
+
+    def __init__(self, words: np.ndarray, probs: np.ndarray) -> None:
+        order = np.argsort(words)
+        self.words, self.n, self.size = words[order], probs.shape[1] - 1, len(words)
+        odds = np.log(np.maximum(probs[order], 1e-6) * (self.n + 1)).astype(np.float32)
+        self.odds = np.vstack([odds, np.zeros((1, self.n + 1), np.float32)])  # the last row: words not in the lexicon
+        self.half = np.append((self.words >> 32) & 1, 2)
+
+    def rows(self, words: np.ndarray) -> np.ndarray:
+        if not self.size:
+            return np.zeros(len(words), np.int64)
+        at = np.minimum(np.searchsorted(self.words, words), self.size - 1)
+        return np.where(self.words[at] == words, at, self.size)
+
+    def score(self, words: np.ndarray, sizes: np.ndarray, half: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(log odds, whether a word is known) of each sentence, by the words of one half or of both."""
+        rows = self.rows(words)
+        sentence = np.repeat(np.arange(len(sizes)), sizes)
+        keep = rows < self.size if half is None else self.half[rows] == half
+        rows, sentence = rows[keep], sentence[keep]
+        z, known = np.zeros((len(sizes), self.n + 1), np.float32), np.zeros(len(sizes), bool)
+        if len(rows):
+            begin = np.flatnonzero(np.diff(sentence, prepend=-1))
+            z[sentence[begin]] = np.add.reduceat(self.odds[rows], begin, axis=0)
+            known[sentence[begin]] = True
+        return z, known
+
+    def choose(self, z: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(subject, or n for none; its probability) of each sentence."""
+        k = z.argmax(axis=1)
+        p = 1 / np.exp(z - z.max(axis=1, keepdims=True)).sum(axis=1)
         return np.where(known, k, self.n), np.where(known, p, 1.0)
 
 
 _kept: list[tuple[object, Lexicon]] = []
 
 
-def _lexicon(shared, n: int) -> Lexicon:
+def _lexicon(shared) -> Lexicon:
     """The worker's lexicon of this broadcast, built once."""
     value = shared.value
     if not _kept or _kept[0][0] is not value:
-        _kept[:] = [(value, Lexicon(dict(value), n))]
+        _kept[:] = [(value, Lexicon(*value))]
     return _kept[0][1]
 
 
-def _word_counts(split: DataFrame, column: str, judge, n: int) -> DataFrame:
-    """(word, c array<double>): counts of the words by class, summed in every partition before they are shuffled.
+def _share(lexicon: tuple[np.ndarray, np.ndarray]):
+    return SparkSession.getActiveSession().sparkContext.broadcast(lexicon)
 
-    ``judge`` gives the class counts of one sentence, or None to leave it out.
-    """
 
-    def partial(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(n + 1))
-        for pdf in it:
-            for body, extra in zip(pdf["body"], pdf[column]):
-                for s in body.split("\n") if body else ():
-                    words = s.split(" ")
-                    c = judge(words, extra)
-                    if c is not None:
-                        for w in words:
-                            total[w] += c
-                        total[""] += c  # class totals
-        yield _count_rows({w: i for i, w in enumerate(total)}, np.array(list(total.values())).reshape(len(total), n + 1))
+def _list(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, length of each list)."""
+    offsets = column.offsets.to_numpy()
+    return column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]], np.diff(offsets)
 
-    return _summed(split.select("body", column).mapInPandas(partial, _count_fields(n)), n)
 
+def _lists(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(values, kind))
 
-def _count_fields(n: int) -> str:
-    return "word string, " + ", ".join(f"c{i} double" for i in range(n + 1))
 
+class _Counts:
+    """Class counts by word hash, merged as they come."""
+
+    def __init__(self, width: int) -> None:
+        self.width, self.words, self.counts = width, np.zeros(0, np.int64), np.zeros((0, width))
 
-def _count_rows(place: dict[str, int], total: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"word": list(place), **{f"c{i}": total[:, i].astype(float) for i in range(total.shape[1])}}).astype({"word": "object"})
+    def add(self, words: np.ndarray, counts: np.ndarray) -> None:
+        both, rows = np.concatenate([self.words, words]), np.concatenate([self.counts, counts])
+        order = np.argsort(both, kind="stable")
+        both = both[order]
+        begin = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.zeros(0, np.int64)
+        self.words, self.counts = both[begin], np.add.reduceat(rows[order], begin, axis=0) if len(begin) else rows
 
+    def batch(self) -> pa.RecordBatch:
+        """What was counted so far; the counts start anew."""
+        out = pa.RecordBatch.from_arrays([pa.array(self.words), *[pa.array(np.ascontiguousarray(self.counts[:, i])) for i in range(self.width)]], names=["word", *[f"c{i}" for i in range(self.width)]])
+        self.__init__(self.width)
+        return out
 
-def _summed(parts: DataFrame, n: int) -> DataFrame:
+
+#: Stands for all words together, to carry the class totals.
+_TOTAL = 0
+
+
+def _counted(parts: DataFrame, n: int, n_sentences: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, their class counts, class totals) of the words frequent enough, from the counts of all tasks."""
     summed = parts.groupBy("word").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(n + 1)])
-    return summed.select("word", F.array(*[f"c{i}" for i in range(n + 1)]).alias("c"))
+    total = sum((F.col(f"c{i}") for i in range(n + 1)), F.lit(0.0))
+    rows = summed.filter((total >= max(LEAST, n_sentences / ONE_IN)) | (F.col("word") == _TOTAL)).toPandas()
+    words, counts = rows["word"].to_numpy(np.int64), rows[[f"c{i}" for i in range(n + 1)]].to_numpy(float)
+    return words[words != _TOTAL], counts[words != _TOTAL], counts[words == _TOTAL].sum(axis=0)
 
 
-def _collect(counts: DataFrame, n_sentences: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    least = max(LEAST, n_sentences / ONE_IN)
-    total = F.aggregate("c", F.lit(0.0), lambda s, x: s + x)
-    rows = counts.filter((total >= least) | (F.col("word") == "")).collect()
-    by = {r["word"]: np.array(r["c"]) for r in rows}
-    return by, by.pop("", np.zeros(len(rows[0]["c"]) if rows else 1))
+def _count_fields(n: int) -> str:
+    return "word long, " + ", ".join(f"c{i} double" for i in range(n + 1))
 
 
-def _seed_lexicon(split: DataFrame, labels: DataFrame, names: list[str], rated_rows: int, n_sentences: int) -> dict[str, np.ndarray]:
+def _seed_lexicon(rated: DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The lexicon of the seed words and of the words of ``rated(words, subjects)``: a document's word counts once."""
     n = len(names)
     uniform = np.full(n + 1, 1 / (n + 1))
-    probs = {w: 0.9 * np.eye(n + 1)[k] + 0.1 * uniform for k, s in enumerate(names) for w in SEEDS.get(s, "").split()}
-    rated = labels.filter(F.col("subject").isin(names)).select("doc_id", "subject").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "subject").limit(rated_rows)
-    rated = rated.groupBy("doc_id").agg(F.array_sort(F.collect_set("subject")).alias("subjects"))
+    seeds = [(w, k) for k, s in enumerate(names) for w in SEEDS.get(s, "").split()]
     place = {s: i for i, s in enumerate(names)}
 
-    def judge(words: list[str], subjects) -> np.ndarray:
-        c = np.zeros(n + 1)
-        c[[place[s] for s in subjects]] = 1
-        return c
-
-    # once per document: a document's words count once, however long it is
-    once = split.join(rated, "doc_id").withColumn("body", F.array_join(F.array_distinct(F.split("body", "[ \n]")), " "))
-    by, total = _collect(_word_counts(once, "subjects", judge, n), 0)
-    for w, c in by.items():
-        r = c[:n] / (total[:n] + 1)
-        if w not in probs and r.sum() and r.max() / r.sum() > 0.5:
-            p = np.append(0.8 * r / r.sum(), 0.0) + 0.2 * uniform
-            probs[w] = p / p.sum()
-    return probs
-
-
-def _estimate(split: DataFrame, probs: dict[str, np.ndarray], n: int, n_sentences: int) -> dict[str, np.ndarray]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = _Counts(n + 1)
+        for batch in batches:
+            words, lengths = _list(batch.column(0))
+            doc = np.repeat(np.arange(len(lengths)), lengths)
+            order = np.lexsort((words, doc))
+            words, doc = words[order], doc[order]
+            keep = np.concatenate([[True], (words[1:] != words[:-1]) | (doc[1:] != doc[:-1])]) if len(words) else np.zeros(0, bool)
+            classes = np.zeros((len(lengths), n + 1))
+            for i, subjects in enumerate(batch.column(1).to_pylist()):
+                classes[i, [place[s] for s in subjects]] = 1
+            total.add(words[keep], classes[doc[keep]])
+            total.add(np.array([_TOTAL]), classes.sum(axis=0, keepdims=True))
+            if len(total.words) > COUNTED_WORDS:
+                yield total.batch()
+        yield total.batch()
+
+    words, counts, total = _counted(rated.select("words", "subjects").mapInArrow(partial, _count_fields(n)), n, 0)
+    r = counts[:, :n] / (total[:n] + 1)
+    of = r.sum(axis=1)
+    clear = (of > 0) & (r.max(axis=1, initial=0) > 0.5 * of)
+    keys = word_keys([w for w, _ in seeds])
+    clear &= ~np.isin(words, keys)
+    learnt = 0.2 * uniform + np.hstack([0.8 * r[clear] / of[clear, None], np.zeros((clear.sum(), 1))])
+    given = 0.1 * uniform + 0.9 * np.eye(n + 1)[[k for _, k in seeds]].reshape(len(seeds), n + 1)
+    keys, at = np.unique(keys, return_index=True)
+    return np.concatenate([keys, words[clear]]), np.vstack([given[at], learnt / learnt.sum(axis=1, keepdims=True)])
+
+
+def _estimate(split: DataFrame, lexicon: tuple[np.ndarray, np.ndarray], n: int, n_sentences: int) -> tuple[np.ndarray, np.ndarray]:
     """The lexicon counted anew over all sentences whose class the present one is sure of."""
-    shared = _share(probs)
+    shared = _share(lexicon)
 
-    def partial(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lex, place, total, row_of = _lexicon(shared, n), {}, np.zeros((0, n + 1)), np.zeros(0, np.int64)
-        for pdf in it:
-            if not len(pdf):
-                continue
-            words, starts, _ = flat(list(pdf["body"]))
-            ids = np.fromiter((place.setdefault(w, len(place)) for w in words), np.int64, len(words))
-            row_of = np.concatenate([row_of, lex.rows(list(islice(place, len(row_of), None)))])
-            k, p = lex.votes(row_of[ids], starts)
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex, total = _lexicon(shared), _Counts(n + 1)
+        for batch in batches:
+            (words, _), (sizes, _) = _list(batch.column(0)), _list(batch.column(1))
+            k, p = lex.choose(*lex.score(words, sizes))
             sure = p >= 0.8
-            by_word = np.repeat(np.where(sure, k, -1), np.diff(np.append(starts, len(words))))
-            keep = by_word >= 0
-            add = np.bincount(ids[keep] * (n + 1) + by_word[keep], minlength=len(place) * (n + 1)).reshape(len(place), n + 1)
-            add[: len(total)] += total.astype(add.dtype)
-            total = add
-            sums = place.setdefault("", len(place))  # class totals
-            total = np.vstack([total, np.zeros((len(place) - len(total), n + 1), total.dtype)])
-            total[sums] += np.bincount(k[sure], minlength=n + 1)
-            if len(place) > 200_000:
-                yield _count_rows(place, total)
-                place, total, row_of = {}, np.zeros((0, n + 1)), np.zeros(0, np.int64)
-        yield _count_rows(place, total)
-
-    by, total = _collect(_summed(split.select("body").mapInPandas(partial, _count_fields(n)), n), n_sentences)
-    out = {}
-    for w, c in by.items():
-        r = (c + 0.3) / (total + 50)
-        r /= r.sum()
-        if r[:n].max() > 0.3 or r[n] > 0.6:
-            out[w] = r
-    return out
+            by_word = np.repeat(np.where(sure, k, -1), sizes)
+            found, row = np.unique(words[by_word >= 0], return_inverse=True)
+            total.add(found, np.bincount(row * (n + 1) + by_word[by_word >= 0], minlength=len(found) * (n + 1)).reshape(len(found), n + 1).astype(float))
+            total.add(np.array([_TOTAL]), np.bincount(k[sure], minlength=n + 1).reshape(1, n + 1).astype(float))
+            if len(total.words) > COUNTED_WORDS:
+                yield total.batch()
+        yield total.batch()
 
+    words, counts, total = _counted(split.select("words", "sizes").mapInArrow(partial, _count_fields(n)), n, n_sentences)
+    r = (counts + 0.3) / (total + 50)
+    r /= r.sum(axis=1, keepdims=True)
+    keep = (r[:, :n].max(axis=1, initial=0) > 0.3) | (r[:, n] > 0.6)
+    return words[keep], r[keep]
 
-def _share(probs: dict[str, np.ndarray]):
-    return SparkSession.getActiveSession().sparkContext.broadcast(sorted(probs.items(), key=lambda x: x[0]))
 
-
-def _votes(bodies: list[str], lex: Lexicon) -> tuple[np.ndarray, np.ndarray]:
-    """(votes of both halves and of the section for each sentence; sentences of each body).
+def sentence_votes(words: np.ndarray, sizes: np.ndarray, per: np.ndarray, lex: Lexicon) -> np.ndarray:
+    """(sentences, 3): the votes of both halves and of the section; ``per`` has the sentences of each document.
 
     The section votes with the sure votes of the two sentences before and the two behind.
     """
-    words, starts, per = flat(bodies)
-    rows = lex.rows(words)
-    halves = [np.where(p >= 0.5, k, lex.n) for k, p in (lex.votes(rows, starts, h) for h in (0, 1))]
-    k, p = lex.votes(rows, starts)
+    scores = [lex.score(words, sizes, h) for h in (0, 1)]
+    halves = [np.where(p >= 0.5, k, lex.n) for k, p in (lex.choose(*s) for s in scores)]
+    k, p = lex.choose(scores[0][0] + scores[1][0], scores[0][1] | scores[1][1])
     sure = np.where((k < lex.n) & (p >= 0.8), k, -1)
-    body = np.repeat(np.arange(len(per)), per)
-    near = np.zeros((len(k), lex.n), np.int64)
+    doc = np.repeat(np.arange(len(per)), per)
+    near = np.zeros((len(k), lex.n), np.int8)
     for step in (1, 2):
         for a, b in ((slice(None, -step), slice(step, None)), (slice(step, None), slice(None, -step))):
-            # sentence b sees sentence a where both are of one body
-            ok = np.flatnonzero((body[a] == body[b]) & (sure[a] >= 0))
+            # sentence b sees sentence a where both are of one document
+            ok = np.flatnonzero((doc[a] == doc[b]) & (sure[a] >= 0))
             near[np.arange(len(k))[b][ok], sure[a][ok]] += 1
-    section = np.where(near.max(axis=1) > 0, near.argmax(axis=1), lex.n) if len(k) else np.zeros(0, np.int64)
-    return np.stack([*halves, section], axis=1), per
+    section = np.where(near.max(axis=1, initial=0) > 0, near.argmax(axis=1), lex.n) if lex.n and len(k) else np.full(len(k), lex.n)
+    return np.stack([*halves, section], axis=1)
+
+
+def address_vote(text: str, seeds: dict[str, int], n: int) -> int:
+    """The subject that most seed words in links, mail hosts and hashtags of ``text`` speak for; n for none or a tie."""
+    if "#" not in text and "://" not in text and "@" not in text and "www." not in text.lower():
+        return n
+    found = np.zeros(n + 1, np.int64)
+    for a in _ADDRESS.findall(text):
+        for w in _PART.findall(a.lower()):
+            found[seeds.get(w, n)] += 1
+    best = found[:n].max(initial=0)
+    return int(found[:n].argmax()) if best and (found[:n] == best).sum() == 1 else n
 
 
 def latent_accuracies(patterns: np.ndarray, counts: np.ndarray, n: int, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -274,74 +339,78 @@ def posterior(patterns: np.ndarray, hit: np.ndarray, miss: np.ndarray, none: np.
     return e / e.sum(axis=1, keepdims=True)
 
 
-def _majority(doc_votes: DataFrame, key: str, n: int) -> DataFrame:
-    """(key, vote): the subject of most sure sentences under ``key``, if it has half of them and there are ten."""
-    sums = doc_votes.filter(F.col(key).isNotNull()).groupBy(key).agg(*[F.sum(F.col("c")[i]).alias(f"c{i}") for i in range(n)])
-    arr = F.array(*[f"c{i}" for i in range(n)])
-    best = sums.select(key, F.array_max(arr).alias("top"), F.array_position(arr, F.array_max(arr)).alias("at"), F.aggregate(arr, F.lit(0).cast("long"), lambda s, x: s + x).alias("all"))
-    return best.filter((F.col("all") >= 10) & (F.col("top") * 2 >= F.col("all"))).select(key, (F.col("at") - 1).cast("int").alias(f"{key}_vote"))
-
-
 def subject_shares(docs: DataFrame, labels: DataFrame, subjects: list[str], rated_rows: int = RATED_ROWS, passes: int = PASSES) -> DataFrame:
-    """(doc_id, subject, sentences, share): the share of the document's sentences assigned to each subject above zero.
+    """(doc_id, subject, sentences, share): the share of the document's sentences expected of each subject, where not zero.
 
-    ``docs`` has doc_id, text, source and thread_key; ``labels`` doc_id and subject; ``subjects`` their names.
+    ``docs`` has doc_id, text and source; ``labels`` doc_id and subject; ``subjects`` their names.
     """
     names = sorted({s for s in subjects if s})
     n = len(names)
     spark = docs.sparkSession
     pairs = spark.sparkContext.broadcast(ConsistentForm.default().pairs)
+    seeds = {w: k for k, s in enumerate(names) for w in (s.lower(), *SEEDS.get(s, "").split())}
 
-    def cut(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         form = _rewriter(pairs.value)
-        for pdf in it:
-            found = [sentences(t, form) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "thread_key": pdf["thread_key"], "body": ["\n".join(f) for f in found], "n": [len(f) for f in found]})
-
-    raw = docs.filter("doc_id is not null and text is not null").select("doc_id", "text", F.lower(F.trim("source")).alias("source"), "thread_key")
-    split = materialise(raw.mapInPandas(cut, "doc_id long, source string, thread_key string, body string, n int").filter("n > 0"), "p8-split")
-    n_sentences = split.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        for batch in batches:
+            for start in range(0, batch.num_rows, 2000):
+                part = batch.slice(start, 2000)
+                raw = part.column(1).to_pylist()
+                # one rewriting of the whole text; line ends are kept as ends of sentences
+                words, sizes, per = split_words([(form(t.replace("\n", f" {_LINE} ")) or "").lower() for t in raw])
+                some = pa.array(np.flatnonzero(per))
+                address = np.array([address_vote(t, seeds, n) for t in raw], np.int32)
+                per_words = np.bincount(np.repeat(np.arange(len(per)), per), weights=sizes, minlength=len(per)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(address), _lists(words, per_words, pa.int64()), _lists(sizes, per, pa.int32())], names=["doc_id", "source", "address", "words", "sizes"]).take(some)
+
+    raw = docs.filter("doc_id is not null and text is not null").select("doc_id", "text", F.lower(F.trim("source")).alias("source"))
+    split = materialise(raw.mapInArrow(cut, "doc_id long, source string, address int, words array<long>, sizes array<int>"), "p8-split")
+    n_sentences = split.agg(F.coalesce(F.sum(F.size("sizes")), F.lit(0))).first()[0]
     if not n or not n_sentences:
         return spark.createDataFrame([], "doc_id long, subject string, sentences int, share double")
-    probs = _seed_lexicon(split, labels, names, rated_rows, n_sentences)
+    rated = labels.filter(F.col("subject").isin(names)).select("doc_id", "subject").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "subject").limit(rated_rows)
+    rated = rated.groupBy("doc_id").agg(F.array_sort(F.collect_set("subject")).alias("subjects"))
+    rated = materialise(split.select("doc_id", "source", "words").join(F.broadcast(rated), "doc_id"), "p8-rated")  # rated_rows at most
+    lexicon = _seed_lexicon(rated, names)
     for _ in range(passes):
-        probs = _estimate(split, probs, n, n_sentences)
-    shared = _share(probs)
-
-    def doc_votes(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lex = _lexicon(shared, n)
-        for pdf in it:
-            if not len(pdf):
+        lexicon = _estimate(split, lexicon, n, n_sentences)
+
+    by_source = rated.filter("source is not null").select("source", F.explode("subjects").alias("subject")).groupBy("source", "subject").agg(F.count("*").alias("k"))
+    best = by_source.groupBy("source").agg(F.max(F.struct(F.col("k"), F.col("subject"))).alias("top"), F.sum("k").alias("all")).filter((F.col("all") >= SOURCE_RATINGS) & (F.col("top.k") > SOURCE_SHARE * F.col("all")))
+    source_votes = best.select("source", (F.array_position(F.array(*[F.lit(x) for x in names]), F.col("top.subject")) - 1).cast("int").alias("source_vote"))
+    voters = split.join(few_rows(source_votes), "source", "left").select("doc_id", F.col("address"), F.coalesce("source_vote", F.lit(n)).alias("source_vote"), "words", "sizes")
+    shared, base = _share(lexicon), n + 1
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex = _lexicon(shared)
+        for batch in batches:
+            (words, _), (sizes, per) = _list(batch.column(3)), _list(batch.column(4))
+            v = sentence_votes(words, sizes, per, lex)
+            code = (v[:, 0] * base + v[:, 1]) * base + v[:, 2]
+            whole = batch.column(1).to_numpy().astype(np.int64) * base + batch.column(2).to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(code * base * base + np.repeat(whole, per), per, pa.int32())], names=["doc_id", "codes"])
+
+    voted = materialise(voters.mapInArrow(vote, "doc_id long, codes array<int>"), "p8-votes")
+    counted = voted.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count("*").alias("k")).toPandas()  # at most (subjects + 1) ** 5 rows
+    codes = np.sort(counted["code"].to_numpy(np.int64))
+    counts = counted.set_index("code")["k"].reindex(codes).to_numpy(float)
+    patterns = np.stack([codes // base**i % base for i in range(4, -1, -1)], axis=1)
+    model = latent_accuracies(patterns, counts, n)
+    table = spark.sparkContext.broadcast((codes, posterior(patterns, *model, n)[:, :n].astype(np.float32)))
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, post = table.value
+        for batch in batches:
+            code, per = _list(batch.column(1))
+            if not len(code):
                 continue
-            votes, per = _votes(list(pdf["body"]), lex)
-            ends = np.cumsum(per)
-            hits = np.zeros((len(votes), n + 1), np.int64)
-            for f in (0, 1):
-                hits[np.arange(len(votes)), votes[:, f]] = 1
-            c = np.add.reduceat(hits, ends - per, axis=0)[:, :n]
-            text = [" ".join(map(str, v)) for v in votes.tolist()]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "thread_key": pdf["thread_key"], "c": list(c), "v": ["\n".join(text[e - k : e]) for e, k in zip(ends, per)]})
-
-    voted = materialise(split.mapInPandas(doc_votes, "doc_id long, source string, thread_key string, c array<long>, v string"), "p8-votes")
-    doc = voted.join(_majority(voted, "source", n), "source", "left").join(_majority(voted, "thread_key", n), "thread_key", "left")
-    doc = materialise(doc.select("doc_id", "v", F.coalesce("source_vote", F.lit(n)).alias("source_vote"), F.coalesce("thread_key_vote", F.lit(n)).alias("thread_vote")), "p8-doc")
-    each = doc.select(F.explode(F.split("v", "\n")).alias("v"), "source_vote", "thread_vote")
-    counted = each.groupBy("v", "source_vote", "thread_vote").agg(F.count("*").alias("k")).collect()  # at most (subjects + 1) ** 5 rows
-    patterns = np.array([[*map(int, r["v"].split(" ")), r["source_vote"], r["thread_vote"]] for r in counted], np.int64)
-    hit, miss, none, prior = latent_accuracies(patterns, np.array([r["k"] for r in counted], float), n)
-    table = {tuple(p): int(k) for p, k in zip(patterns.tolist(), posterior(patterns, hit, miss, none, prior, n).argmax(axis=1))}
-    chosen = spark.sparkContext.broadcast(table)
-
-    def assign(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            out = []
-            for d, v, s, t in zip(pdf["doc_id"], pdf["v"], pdf["source_vote"], pdf["thread_vote"]):
-                lines = v.split("\n")
-                found = Counter(chosen.value[(*map(int, x.split(" ")), s, t)] for x in lines)
-                out += [(d, names[k], len(lines), c / len(lines)) for k, c in found.items() if k < n]
-            yield pd.DataFrame(out, columns=["doc_id", "subject", "sentences", "share"]).astype({"doc_id": "int64", "subject": "object", "sentences": "int32", "share": "float64"})
-
-    return doc.mapInPandas(assign, "doc_id long, subject string, sentences int, share double")
+            mass = np.add.reduceat(post[np.searchsorted(known, code)], np.cumsum(per) - per, axis=0)
+            # expected sentences in whole sentences: a single one of 0.97 still is a sentence
+            whole = np.floor(mass + 0.5)
+            d, k = np.nonzero(whole)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(d)), pa.array([names[i] for i in k], pa.string()), pa.array(per[d].astype(np.int32)), pa.array((whole[d, k] / per[d]).astype(float))], names=["doc_id", "subject", "sentences", "share"])
+
+    return voted.mapInArrow(assign, "doc_id long, subject string, sentences int, share double")
 
 
 def subject_mix(areas: DataFrame, n_docs: int) -> DataFrame:

@@ -281,6 +281,22 @@ def test_subjects_on_held_out_documents(spark):
     assert subjects.subject_shares(df.limit(0), spark.createDataFrame([], "doc_id long, subject string"), list(lex)).count() == 0
 
 
+def test_split_into_sentences():
+    texts = ["One two. Two, two!) \u201cthree\u201d? @name four x1 1y", "", "a.b c\ue00ad", "...", "ärger ÉTÉ"]
+    words, sizes, per = subjects.split_words([t.lower() for t in texts])
+    key = lambda *w: set(subjects.word_keys(list(w)).tolist())
+    got = [set(s.tolist()) for s in np.split(words, np.cumsum(sizes)[:-1])]
+    assert got == [key("one", "two"), key("two"), key("three"), key("four", "x"), key("a", "b", "c"), key("d"), key("ärger", "été")]
+    assert per.tolist() == [4, 0, 2, 0, 1]
+
+
+def test_addresses_vote():
+    seeds = {"law": 0, "court": 0, "sport": 1}
+    vote = lambda t: subjects.address_vote(t, seeds, 2)
+    assert vote("see https://x.test/Court/1 and #sport or www.law.test") == 0
+    assert vote("mail a@sport.test") == 1 and vote("law and court") == 2 and vote("#law #sport") == 2 and vote("hi @sport") == 2
+
+
 def test_latent_model_learns_who_errs():
     rng = np.random.default_rng(0)
     n, truth = 4, rng.integers(0, 4, 4000)
