@@ -65,25 +65,20 @@ def p3_forms(spark: SparkSession, d: str) -> DataFrame:
     return texts.select("id", F.substring(F.sha2(form.column(F.col("text")), 256), 1, 16).alias("form_hash"), F.substring(F.sha2("text", 256), 1, 16).alias("text_hash"))
 
 
-def _quota(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    kb = table(spark, d, "kb_hits", "id", "kind", "lang", "source")
-    targets = table(spark, d, "sample_targets")
-    members = materialise(quota.category_members(kb, targets), "p4-members")
-    counts = materialise(quota.reservoirs(members), "p4-reservoirs")
-    return members, counts, quota.quotas(counts, targets, quota.distinct_ids(kb))
+def _state(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, d, "kb_hits", "id", "kind", "lang", "source"), table(spark, d, "sample_targets")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return _quota(spark, d)[2].filter("not is_met").select("target_id")
+    return p4_report(spark, d).filter("not is_met").select("target_id")
 
 
 def p4_sample(spark: SparkSession, d: str) -> DataFrame:
-    members, counts, plan = _quota(spark, d)
-    return quota.trim(members, counts, plan)
+    return quota.sample(*_state(spark, d))[0]
 
 
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
-    return _quota(spark, d)[2]
+    return quota.sample(*_state(spark, d))[1]
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

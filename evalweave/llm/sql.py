@@ -18,7 +18,7 @@ plan as (
 
 ORACLE = {
     "p4_found": _PLAN + "select target_id from plan where available < needed",
-    "p4_report": _PLAN + "select target_id, plan_key, sample_n, available, needed, quota, available >= needed as is_met from plan",
+    "p4_report": _PLAN + "select target_id, plan_key, sample_n, available, needed, quota, available >= needed as is_met, quota / nullif(sample_n, 0) as planned_share, quota / nullif(sum(quota) over (partition by plan_key), 0) as achieved_share from plan",
 }
 
 

@@ -155,16 +155,31 @@ def test_quotas_and_trim(spark):
     rows = [(f"i{i}", "Example " if i % 10 else "rare", "en" if i % 3 else None, None) for i in range(1000)] + [("i1", "example", "EN", None), (None, "rare", "en", None)]
     kb = spark.createDataFrame(rows, "id string, kind string, lang string, source string").withColumn("target_id", F.lit(99))
     t = spark.createDataFrame([(1, "k", 0.1, "example", None, None, 0.8, 5), (2, "k", 0.1, "RARE", None, None, 0.2, 200), (3, "l", 0.1, None, "en", None, 0.5, 1), (4, "l", 0.1, None, None, "none", 0.0, 0)], "target_id long, plan_key string, sample_share double, kind string, lang string, source string, target_share double, min_rows int")
-    members = quota.category_members(kb, t)
-    counts = quota.reservoirs(members)
-    plan = quota.quotas(counts, t, quota.distinct_ids(kb))
+    sample, plan = quota.sample(kb, t)
     got = {r["target_id"]: (r["available"], r["quota"], r["is_met"]) for r in plan.collect()}
     assert got == {1: (900, 80, True), 2: (100, 100, False), 3: (666, 50, True), 4: (0, 0, True)}
-    sample = quota.trim(members, counts, plan)
     assert {r["target_id"]: r["count"] for r in sample.groupBy("target_id").count().collect()} == {1: 80, 2: 100, 3: 50}
-    ids = [r["id"] for r in sample.filter("target_id = 1").collect()]
-    assert len(set(ids)) == 80 and {r["id"] for r in quota.trim(members.repartition(5), counts, plan).filter("target_id = 1").collect()} == set(ids)
-    assert quota.category_members(kb.limit(0), t).count() == 0
+    ids = {r["id"] for r in sample.filter("target_id = 1").collect()}
+    assert len(ids) == 80 and {r["id"] for r in quota.sample(kb.repartition(5), t)[0].filter("target_id = 1").collect()} == ids
+    empty, unmet = quota.sample(kb.limit(0), t)
+    assert empty.count() == 0 and {r["target_id"] for r in unmet.filter("not is_met").collect()} == {1, 2, 3}
+
+
+def test_small_reservoirs_are_drawn_again(spark, monkeypatch):
+    """Without slack partitions drop ids that the cut needs; the state shows it and the pass is made again."""
+    kb = spark.range(3000).selectExpr("cast(id as string) as id", "'x' as kind", "'en' as lang", "'s' as source")
+    t = spark.createDataFrame([(1, "k", 0.5, "x", None, None, 0.9, 1)], "target_id long, plan_key string, sample_share double, kind string, lang string, source string, target_share double, min_rows int")
+    real, seen = quota.reservoirs, []
+
+    def tighter(*a, slack, **k):
+        seen.append(slack)
+        return real(*a, slack=-0.5 if len(seen) == 1 else slack, **k)
+
+    whole = {r["id"] for r in quota.sample(kb, t)[0].collect()}
+    monkeypatch.setattr(quota, "reservoirs", tighter)
+    assert {r["id"] for r in quota.sample(kb, t)[0].collect()} == whole and len(whole) == 1350 and len(seen) == 2
+    state = real(kb, t)
+    assert state.filter("id is not null").count() < 3000
 
 
 # ---- answers
