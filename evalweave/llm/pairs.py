@@ -1,7 +1,9 @@
 """Problem 5: question and answer pairs whose answer is defective.
 
-Method: ordered rules on the final answer: emptiness, unclosed delimiters, abrupt endings, refusal phrases in several
-languages, copied text, language mismatch. Every rule that fires is reported in ``defects``; the first is ``defect``.
+Method: ordered rules on the final answer: emptiness, unclosed delimiters, abrupt endings, refusal phrases in the
+languages that the language rule knows, copied text, and mismatch of script or, within a script, of language. Every rule
+that fires is reported in ``defects`` (an answer that says nothing has nothing the other rules could judge); the first in
+ORDER is ``defect``.
 
 Whether a reasoning without a final full stop stops early is decided by the corpus: it is complete if its last two words
 (where they are rare, its last word) end a sentence at a fair share of the places where they occur. Shares, unlike counts,
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,6 +36,10 @@ COPIED, COPIED_WORDS = 0.8, 5
 #: A sentence may end in words that do so at this share of their occurrences. A word's share counts as if it had been seen
 #: WORD_SEEN times more at share WORD_SHARE, a pair's as if PAIR_SEEN times more at the share of its last word.
 END_SHARE, WORD_SEEN, WORD_SHARE, PAIR_SEEN = 0.2, 10, 0.05, 5
+#: Letters that a text needs to show its script, fewer in scripts whose signs are words, and their share of all letters.
+SCRIPT_LETTERS, SCRIPT_SIGNS, SCRIPT_SHARE = 12, 4, 0.6
+#: Share of ASCII characters from which letters are not counted.
+PLAIN_SHARE = 0.85
 #: Keys that a task counts before it hands its counts on.
 COUNTED_KEYS = 200_000
 
@@ -65,6 +72,17 @@ REFUSALS = [
     r"^en tant qu(?:e|')\b.{0,60}\bje ne\b|^mes (?:consignes|règles|directives|instructions)\b.{0,60}\b(?:interdisent|empêchent|permettent pas|autorisent pas)\b",
     r"^(?:lo siento|lo lamento|perdón|disculpa|disculpe|mis disculpas)\b",
     r"^(?:lamentablemente,? |por desgracia,? )?no (?:puedo|podré|quiero|deseo|me es posible|estoy autorizad[oa])\b|^(?:debo|tengo que) (?:rechazar|negarme|declinar)\b|^prefiero no\b",
+    r"^(?:mi dispiace|sono spiacente|mi scuso|purtroppo non (?:posso|sono|mi è))\b|^non (?:posso|voglio|sono in grado|mi è possibile|intendo|desidero)\b.{0,60}|^(?:devo|preferisco) (?:rifiutare|declinare|non)\b|^mi rifiuto\b|^rifiuto di\b",
+    r"^come (?:modello|assistente|ia|sistema)\b.{0,60}\bnon\b|^le mie (?:linee guida|regole|istruzioni)\b.{0,60}\b(?:impediscono|vietano|non)\b",
+    r"^(?:sorry|het spijt me|helaas|excuses)\b.{0,60}\b(?:niet|geen)\b|^(?:ik (?:kan|mag|wil|zal|moet|weiger)|hier kan ik|dat kan ik|daar kan ik)\b.{0,80}\b(?:niet|geen|weigeren|afwijzen)\b|^ik (?:weiger|wijs dit|onthoud me)\b",
+    r"^als (?:taalmodel|assistent|ai|ki-model|systeem)\b.{0,60}\bik\b.{0,60}\b(?:niet|geen)\b|^mijn (?:richtlijnen|regels|instructies)\b.{0,60}\b(?:verbieden|niet|geen|verhinderen)\b",
+    r"^(?:desculpe|desculpa|lamento|sinto muito|infelizmente,? não)\b|^(?:eu )?não (?:posso|quero|consigo|estou autorizad[oa]|me é possível|vou|desejo)\b|^(?:devo|tenho de|tenho que|prefiro) (?:recusar|declinar|não)\b|^recuso\b|^recuso-me\b",
+    r"^como (?:um )?(?:modelo|assistente|ia|sistema)\b.{0,60}\bnão\b|^(?:as )?minhas (?:regras|diretrizes|instruções)\b.{0,60}\b(?:impedem|proíbem|não)\b",
+    r"^(?:przykro mi|przepraszam|niestety)\b.{0,60}\bnie\b|^nie (?:mogę|chcę|jestem w stanie|będę|wolno mi|zamierzam)\b|^(?:muszę|wolę) (?:odmówić|nie)\b|^odmawiam\b|^jako (?:model|asystent|sztuczna|system)\b.{0,60}\bnie\b|^moje (?:zasady|wytyczne|instrukcje)\b.{0,60}\b(?:nie|zabraniają|zakazują)\b",
+    r"^(?:üzgünüm|özür dilerim|maalesef)\b|\b(?:yardımcı olamam|yanıt veremem|cevap veremem|değerlendiremem|yapamam|reddediyorum|reddetmek zorundayım|yorum yapamam)\b",
+    r"^(?:извините|простите|мне жаль|к сожалению)\b|^я (?:не могу|не буду|не хочу|отказываюсь|вынужден[а]? отказать|не вправе|не имею права)\b|^как (?:модель|ассистент|ии|языковая модель)\b.{0,60}\bне\b",
+    r"^(?:对不起|抱歉|很抱歉|對不起|我无法|我無法|我不能|我拒绝|我拒絕|恕我|作为.{0,12}我不|作為.{0,12}我不)",
+    r"^(?:عذرا|عذراً|آسف|أعتذر|للأسف)|^(?:لا أستطيع|لا يمكنني|لن أقوم|أرفض|لا أريد|لست قادرا)",
     r"^como (?:modelo|asistente|ia|sistema)\b.{0,60}\bno\b|^mis (?:normas|directrices|reglas|instrucciones)\b.{0,60}\b(?:impiden|prohíben|no)\b",
 ]
 # Function words that are frequent in one of the languages.
@@ -75,9 +93,12 @@ FUNCTION_WORDS = {
     "es": "el los las y es un una del que en para no con por su al lo como más pero o se esta este son sobre una unos ha fue entre también sin le ni sus muy".split(),
     "it": "il lo gli e è un una che di per non con su del della dei nel sono come più ma o si questa questo anche le al dal".split(),
     "nl": "de het een en van is dat op te met voor niet zijn aan er om ook als maar bij naar uit wordt deze die of".split(),
+    "pl": "się jest że nie jak ale przez dla był była są ten tego który która które może oraz jego jej ich tym tej lub gdy czy już tylko bardzo przy bez także jako".split(),
+    "tr": "ve bir bu için ile çok daha gibi olarak değil ama olan ancak veya kadar sonra hem her şey var yok onun bunu şu sadece bile hiçbir".split(),
     "pt": "o os as e é um uma que de para não com por do da em no na mas ou se são mais como ao dos das sua".split(),
 }
 _WORD = re.compile(r"[^\W_]+")
+_ASCII_LETTERS = re.compile(r"[a-zA-Z]+")
 _THINK = re.compile(r"<think>.*?</think>", re.S | re.I)
 _FENCES = re.compile(r"^\s*```[a-zA-Z]*\s*|\s*```\s*$")
 _KEY = re.compile(r"""["']?\s*reasoning\s*["']?\s*:\s*(["'])""", re.I)
@@ -115,6 +136,29 @@ def language(text: str) -> tuple[str | None, int, int]:
     return (names[n.index(first)] if first > second else None, first, second)
 
 
+@lru_cache(maxsize=1 << 14)
+def _script_of(ch: str) -> str | None:
+    """The script of a letter by its Unicode name; the scripts that Chinese, Japanese and Korean texts mix are one."""
+    if not ch.isalpha():
+        return None
+    name = unicodedata.name(ch, "?").split()
+    first = name[1] if name[0] in ("FULLWIDTH", "HALFWIDTH", "MODIFIER") and len(name) > 1 else name[0].partition("-")[0]
+    return "EAST-ASIAN" if first in {"CJK", "HIRAGANA", "KATAKANA", "HANGUL", "BOPOMOFO"} else first
+
+
+def script(text: str) -> tuple[str | None, int]:
+    """(script of most letters, its letters); None where it has not SCRIPT_SHARE of the letters."""
+    n: Counter = Counter()
+    if not text.isascii():
+        for ch, k in Counter(text).items():
+            if ch > "\x7f" and (s := _script_of(ch)):
+                n[s] += k
+        text = "".join(_ASCII_LETTERS.findall(text))
+    n["LATIN"] += len(text) if text.isalpha() else sum(map(str.isalpha, text))
+    best, k = n.most_common(1)[0]
+    return (best, k) if k and k >= SCRIPT_SHARE * n.total() else (None, k)
+
+
 def refuses(text: str) -> bool:
     opens, holds = _refusal()
     text = text.replace("\u2019", "'").strip()
@@ -187,6 +231,16 @@ def read_answer(final: str | None) -> tuple[str, str | None]:
     return ("loose" if whole else "cut"), said
 
 
+def other_script(said: str, item: str) -> bool:
+    """Whether both texts show their script and it is not the same. Stored texts are compared: the consistent form may
+    replace a letter by its twin in another script. Texts of nearly ASCII characters only are taken for Latin at once."""
+    if all(len(t.encode("ascii", "ignore")) >= PLAIN_SHARE * len(t) for t in (said, item)):
+        return False
+    (a, na), (b, nb) = script(said), script(item)
+    enough = lambda s, n: n >= (SCRIPT_SIGNS if s == "EAST-ASIAN" else SCRIPT_LETTERS)
+    return bool(a and b and a != b and enough(a, na) and enough(b, nb))
+
+
 def copies(said: str, item: str) -> bool:
     words, given = _WORD.findall(said), Counter(_WORD.findall(item))
     if len(words) < COPIED_WORDS:
@@ -210,7 +264,8 @@ def judge(final: str | None, item: str | None, form) -> tuple[list[str], str | N
         return ["empty"], None, None, []
     if state == "cut":
         found.append("truncated")
-    if refuses(plain):
+    # the consistent form may hold letters of another script, so phrases are looked for in the stored text too
+    if refuses(plain) or said and said != plain and refuses(said):
         found.append("refusal")
     asked = (form(item) or "") if item and item.strip() else ""
     copied = bool(asked) and copies(plain.lower(), asked.lower())
@@ -232,9 +287,10 @@ def judge(final: str | None, item: str | None, form) -> tuple[list[str], str | N
                 found.append("truncated")
                 pair = last = None
     if asked:
-        a, na, ra = language(_QUOTED.sub(" ", plain))
+        own = _QUOTED.sub(" ", plain)
+        a, na, ra = language(own)
         b, nb, rb = language(asked)
-        if a and b and a != b and na >= 2 and nb >= 3 and na >= 1.5 * ra and nb >= 1.5 * rb:
+        if a and b and a != b and na >= 2 and nb >= 3 and na >= 1.5 * ra and nb >= 1.5 * rb or other_script(_QUOTED.sub(" ", said or ""), item):
             found.append("language")
     return found, pair, last, sentences
 

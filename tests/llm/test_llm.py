@@ -204,6 +204,17 @@ def test_defects(final, want):
     assert judged(final) == want
 
 
+@pytest.mark.parametrize("said", ["Текст хвалит соседей и никого не унижает.", "该文本赞扬了邻居，没有贬低任何群体。", "النص يمدح الجيران ولا يهين أحدا.", "Tekst chwali sąsiadów oraz nie poniża żadnej grupy, która jest w nim.", "Bu metin komşuları övüyor ve hiçbir grubu küçümsemiyor, çok nazik bir dil ile."])
+def test_other_scripts_and_languages(said):
+    assert judged('{"reasoning": "%s", "hate": false}' % said) == ["language"]
+    assert "language" not in judged('{"reasoning": "%s", "hate": false}' % said, said + " " + said)
+
+
+@pytest.mark.parametrize("said", ["Mi dispiace, ma non posso aiutare.", "Não posso avaliar este texto.", "Ik kan dit verzoek niet beantwoorden.", "Nie mogę ocenić tego tekstu.", "Üzgünüm, bu isteğe yanıt veremem.", "Извините, я не могу это оценить.", "抱歉，我无法评估该文本。", "عذرا، لا أستطيع تقييم هذا النص."])
+def test_refusals_in_every_language(said):
+    assert "refusal" in judged(said)
+
+
 def test_open_ends_are_judged_by_the_corpus(spark):
     full = '{{"reasoning": "This line number {} praises a whole group.", "hate": false}}'
     runs = [(i, "it", [full.format(i)]) for i in range(30)] + [(100, "it", ['{"reasoning": "This line praises a whole group", "hate": false}']), (101, "it", ['{"reasoning": "This line praises because the", "hate": false}']), (102, "gone", ["", None]), (103, "it", None), (None, "it", ["x"]), (104, None, ["I cannot help with this."])]
