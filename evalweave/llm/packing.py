@@ -3,11 +3,11 @@
 Method: Karmarkar-Karp multiway differencing. Every item begins as a partial partition into k windows with one of them
 filled; the two partial partitions of widest spread are merged with opposing order, the fullest window of one onto the
 emptiest of the other, until one is left: k near-equal windows. Items of windows above capacity are lifted out and put
-where they still fit; while some are left over, k rises and differencing starts anew.
+where they fit, if need be in place of smaller ones; what is left over raises the number of windows.
 
-Differencing needs its items together, so items are dealt by hash into groups of about ``windows`` windows; windows left
-with much unused space are opened again and repacked with those of other groups, in rounds over ever fewer items. No
-group grows with the data.
+Differencing needs its items together, so items are dealt by hash into groups of about ``windows`` windows and at most
+GROUP_ITEMS items; windows left with unused space are opened again and repacked with those of other groups, in rounds
+over ever fewer items. No group grows with the data.
 
 Odd input: NULL, negative or zero sizes are items of size 0, which take no space; only an item larger than the capacity
 is split, into full containers and a rest; NULL or non-positive capacities have no rows; ties go by id; repeated ids
@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 from evalweave.session import materialise
 
 WINDOWS = 192
-ROUNDS = 3
-REOPEN = 0.97
+ROUNDS = 5
+REOPEN = 0.995
+#: Items of a group, also where many are short or empty; groups of a partition.
+GROUP_ITEMS, PART_GROUPS = 20_000, 64
 
 
 def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
@@ -71,42 +73,69 @@ def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
 
 
 def pack_group(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """The window of each item (none larger than ``capacity``); no window is above capacity."""
-    n = len(sizes)
-    full = int(sizes.sum())
-    k = max(1, -(-full // capacity))
-    while True:
-        window = differencing(sizes, k)
-        free = capacity - np.bincount(window, weights=sizes, minlength=k).astype(np.int64)
-        loose: list[int] = []
-        for w in np.flatnonzero(free < 0):
-            inside = sorted(np.flatnonzero(window == w), key=lambda i: (sizes[i], i))
-            while free[w] < 0:
-                # the smallest item that brings the window to capacity at once, else the largest
-                i = next((i for i in inside if sizes[i] >= -free[w]), inside[-1])
-                inside.remove(i)
-                free[w] += sizes[i]
-                loose.append(i)
-        loose.sort(key=lambda i: (-sizes[i], i))
-        left = []
-        for i in loose:
-            fits = np.flatnonzero(free >= sizes[i])
-            if len(fits):
-                w = fits[np.argmin(free[fits])]
-                window[i], free[w] = w, free[w] - sizes[i]
-            else:
-                left.append(i)
-        if not left:
-            return window
-        k += max(1, int(sizes[left].sum()) // capacity)
-        if k >= n:
-            return np.arange(n)
+    """The window of each item (none larger than ``capacity``); no window is above capacity.
+
+    Differencing fills as many windows as the items could fill without a gap. What is lifted out of windows above
+    capacity goes where it fits closest; an item that fits nowhere takes the place of a smaller one, which then is the
+    one to be placed, and so on. What is left in the end is packed into further windows the same way.
+    """
+    window = np.full(len(sizes), -1, np.int64)
+    todo, first = np.arange(len(sizes)), 0
+    while len(todo):
+        own = sizes[todo]
+        k = max(1, int(own.sum()) // capacity)
+        w, left = _fill(own, k, capacity)
+        window[todo] = np.where(left, -1, w + first)
+        todo, first = todo[left], first + k
+    return window
+
+
+def _fill(sizes: np.ndarray, k: int, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """(window, whether left out) of each item in ``k`` windows of ``capacity``."""
+    window = differencing(sizes, k)
+    free = capacity - np.bincount(window, weights=sizes, minlength=k).astype(np.int64)
+    loose: list[int] = []
+    for w in np.flatnonzero(free < 0):
+        inside = sorted(np.flatnonzero(window == w), key=lambda i: (sizes[i], i))
+        while free[w] < 0:
+            # the smallest item that brings the window to capacity at once, else the largest
+            i = next((i for i in inside if sizes[i] >= -free[w]), inside[-1])
+            inside.remove(i)
+            free[w] += sizes[i]
+            loose.append(i)
+    left = np.zeros(len(sizes), bool)
+    left[loose] = True
+    window[left] = 0
+    for i in sorted(loose, key=lambda i: (-sizes[i], i)):
+        while True:
+            rest = free - sizes[i]
+            w = int(np.where(rest >= 0, rest, capacity + 1).argmin())
+            if rest[w] >= 0:
+                window[i], left[i] = w, False
+                free[w] = rest[w]
+                break
+            # what would stay free if it took the place of a smaller item; the smallest such item, then the closest fit
+            rest = free[window] + sizes - sizes[i]
+            able = np.flatnonzero((rest >= 0) & (sizes < sizes[i]) & ~left)
+            if not len(able):
+                break
+            j = able[np.lexsort((rest[able], sizes[able]))[0]]
+            w = window[j]
+            window[i], left[i], left[j] = w, False, True
+            free[w] = rest[j]
+            i = j
+    return window, left
 
 
 def _deal(pieces: DataFrame, windows: int, salt: int) -> DataFrame:
-    total = pieces.groupBy("limit_key", "capacity").agg(F.sum("size").alias("total"))
-    total = total.withColumn("groups", F.greatest(F.lit(1), F.ceil(F.col("total") / (F.col("capacity") * windows))).cast("long"))
-    return pieces.join(F.broadcast(total.select("limit_key", "groups")), "limit_key").withColumn("grp", F.pmod(F.xxhash64("item", "piece", F.lit(salt)), F.col("groups")))
+    """``pieces`` with their group, each group's rows in one partition; partitions grow in number with the groups."""
+    total = pieces.groupBy("limit_key", "capacity").agg(F.sum("size").alias("total"), F.count("*").alias("n"))
+    total = total.select("limit_key", F.greatest(F.lit(1), F.ceil(F.col("total") / (F.col("capacity") * windows)), F.ceil(F.col("n") / GROUP_ITEMS)).cast("long").alias("groups"))
+    groups = {r[0]: r[1] for r in total.collect()}  # a row per capacity, of which there are 10,000 at most
+    pick = F.create_map(*[F.lit(x) for kv in groups.items() for x in kv])[F.col("limit_key")] if groups else F.lit(1)
+    # a fixed number of partitions: groups cost far more time than bytes, so they are not merged into few tasks by size
+    parts = max(int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sum(groups.values()) // PART_GROUPS))
+    return pieces.withColumn("grp", F.pmod(F.xxhash64("item", "piece", F.lit(salt)), pick)).repartition(parts, "limit_key", "grp")
 
 
 def _group_packer(run_id: str):
@@ -146,9 +175,7 @@ def pack(items: DataFrame, limits: DataFrame, windows: int = WINDOWS, rounds: in
     done, todo = None, pieces
     for r in range(rounds):
         run_id = uuid.uuid5(uuid.NAMESPACE_OID, f"round {r}").hex[:4]
-
-        # a fixed number of partitions: groups cost far more time than bytes, so they are not merged into few tasks by size
-        dealt = _deal(todo, windows, r).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "limit_key", "grp")
+        dealt = _deal(todo, windows, r)
         packed = materialise(dealt.select("limit_key", "capacity", "grp", "item", "piece", "start", "size").groupBy("limit_key", "grp").applyInPandas(_group_packer(run_id), schema), f"p7-round{r}")
         last = r == rounds - 1
         keep = packed if last else packed.filter(F.col("fill") >= reopen)

@@ -281,6 +281,24 @@ def test_packing_invariants(spark):
     assert packing.pack(items.select("item", "size").limit(0), limits).count() == 0
 
 
+def test_packing_is_near_the_bound():
+    rng = np.random.default_rng(0)
+    for sizes in (rng.integers(1, 512, 800), np.minimum(rng.lognormal(4.5, 1, 900).astype(int) + 1, 512), np.full(500, 200), np.array([512, 1])):
+        window = packing.pack_group(sizes, 512)
+        fill = np.bincount(window, weights=sizes)
+        assert fill.max() <= 512 and window.min() == 0 and (fill > 0).all()
+        least = max(-(-sizes.sum() // 512), (sizes > 256).sum())
+        assert len(fill) <= (250 if sizes[0] == sizes[-1] == 200 else 1.03 * least + 1)
+
+
+def test_groups_are_bounded_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_ITEMS", 50)
+    items = spark.range(1000).selectExpr("id as item", "cast(id % 2 as long) as size")
+    got = packing.pack(items, spark.createDataFrame([("w", 100_000)], "limit_key string, capacity long"), rounds=1)
+    by = got.groupBy("window_id").count().collect()
+    assert sum(r["count"] for r in by) == 1000 and len(by) == 20
+
+
 # ---- subjects
 
 
