@@ -40,6 +40,7 @@ LETTERS = {
 }
 # Code points without a visible mark. Joiners are handled apart where they change what is seen.
 INVISIBLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180e\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\u206a\u206b\u206c\u206d\u206e\u206f\ufe00\ufe01\ufe0e\ufe0f\ufeff"
+SELECTORS = "".join(map(chr, (*range(0xFE02, 0xFE0E), *range(0xE0100, 0xE01F0))))
 SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 #: Compatibility mappings that keep the look; superscripts, fractions, circled and squared signs are seen as different.
 SAME_LOOK = {"<wide>", "<narrow>", "<font>", "<noBreak>", "<compat>"}
@@ -81,7 +82,7 @@ class UnionFind:
 def relation() -> tuple[tuple[str, ...], ...]:
     """The look-alike classes, each a sorted tuple of strings. Depends on Unicode and the tables above only."""
     uf = UnionFind()
-    for c in INVISIBLE:
+    for c in INVISIBLE + SELECTORS:
         uf.union("", c)
     for c in SPACES:
         uf.union(" ", c)
@@ -160,8 +161,13 @@ def representatives(counts: dict[str, int]) -> dict[str, str]:
 class Rewriter:
     """Rewrites text to its form. Built once per Python worker from the pairs that differ."""
 
-    def __init__(self, pairs: dict[str, str]) -> None:
-        self.pairs = pairs
+    def __init__(self, pairs: dict[str, str], final: dict[str, str] | None = None) -> None:
+        self.pairs, self.final = pairs, final or {}
+        self.last = ahocorasick.Automaton()
+        for k, v in self.final.items():
+            self.last.add_word(k, (len(k), v))
+        if self.final:
+            self.last.make_automaton()
         plain = sorted((k for k in pairs if k.isascii()), key=len, reverse=True)
         self.plain = re.compile("|".join(map(re.escape, plain))).search if plain else lambda _: None
         # every pattern holds one of these: a text without any of them is its own form
@@ -175,38 +181,50 @@ class Rewriter:
     def __call__(self, text: str | None) -> str | None:
         if text is None:
             return None
-        if self.pairs and (not text.isascii() and not self.marks.isdisjoint(text) or self.plain(text)):
+        plain = text.isascii()
+        if self.pairs and (not plain and (not self.marks.isdisjoint(text) or not unicodedata.is_normalized("NFC", text)) or self.plain(text)):
             held = "\u200c" in text or "\u200d" in text
             if held:
                 text = _JOINED.sub(lambda m: _KEPT[m.group()], text)
             for _ in range(4):  # a rewritten base may complete a pattern with the mark behind it
-                out, at = [], 0
-                for end, (size, new) in self.auto.iter_long(text):
-                    out.append(text[at : end + 1 - size])
-                    out.append(new)
-                    at = end + 1
-                if not at:
-                    break
-                out.append(text[at:])
-                new_text = "".join(out)
+                # canonical composition puts marks in order and joins what the relation, which knows Latin marks only, leaves apart
+                new_text = _rewrite(self.auto, unicodedata.normalize("NFC", text))
                 if new_text == text:
                     break
                 text = new_text
             if held:
                 text = text.translate(_RESTORE)
-        return " ".join(text.split())
+        text = " ".join(text.split())
+        return _rewrite(self.last, text) if self.final else text
+
+
+def _rewrite(auto: ahocorasick.Automaton, text: str) -> str:
+    """Every longest pattern of ``auto``, from the left, by what it stands for."""
+    out, at = [], 0
+    for end, (size, new) in auto.iter_long(text):
+        out += text[at : end + 1 - size], new
+        at = end + 1
+    return "".join(out) + text[at:] if at else text
 
 
 @lru_cache(maxsize=4)
-def _rewriter(pairs: tuple[tuple[str, str], ...]) -> Rewriter:
-    return Rewriter(dict(pairs))
+def _rewriter(pairs: tuple[tuple[str, str], ...], final: tuple[tuple[str, str], ...] = ()) -> Rewriter:
+    return Rewriter(dict(pairs), dict(final))
 
 
 class ConsistentForm:
-    """The fitted form. ``fit`` counts over all rows; ``column`` applies it."""
+    """The fitted form. ``fit`` counts over all rows; ``column`` applies it.
+
+    Text is first rewritten to the members that represent their classes without counts, and only then to the fitted
+    ``representatives``: which texts are equal does not depend on the counts.
+    """
 
-    def __init__(self, pairs: dict[str, str]) -> None:
-        self.pairs = tuple(sorted(pairs.items()))
+    def __init__(self, representatives_: dict[str, str]) -> None:
+        usual = representatives({})
+        self.pairs = tuple(sorted(usual.items()))
+        # spaces are joined to single ones in any case
+        kept = [next(x for x in c if x not in usual) for c in relation() if not {"", " "} & set(c)]
+        self.final = tuple(sorted((rep, new) for rep in kept if (new := representatives_.get(rep, rep)) != rep))
 
     @classmethod
     def fit(cls, texts: DataFrame, column: str = "text") -> ConsistentForm:
@@ -235,16 +253,16 @@ class ConsistentForm:
         return cls(representatives({}))
 
     def column(self, text: Column | str) -> Column:
-        shared = _broadcast(self.pairs)
+        shared = _broadcast((self.pairs, self.final))
 
         @F.pandas_udf(T.StringType())
         def form(s: pd.Series) -> pd.Series:
-            return s.map(_rewriter(shared.value), na_action="ignore")
+            return s.map(_rewriter(*shared.value), na_action="ignore")
 
         return form(text)
 
     def apply(self, text: str | None) -> str | None:
-        return _rewriter(self.pairs)(text)
+        return _rewriter(self.pairs, self.final)(text)
 
 
 def _broadcast(value):
@@ -265,15 +283,18 @@ def lookalike_variants(texts: DataFrame, form: ConsistentForm, id_col: str = "id
     return t.join(many, "form_key")
 
 
-def lookalike_pairs(variants: DataFrame) -> DataFrame:
+def lookalike_pairs(variants: DataFrame, salt_rows: int = 512) -> DataFrame:
     """(id_a, id_b): pairs of ids with equal form and different text, the smaller id first.
 
     Different spellings are paired first and their ids joined to the pairs, so a group of exact copies costs no work
-    beyond the rows it contributes.
+    beyond the rows it contributes. Forms with many spellings are salted over many tasks.
     """
-    spelt = variants.select("form_key", "text_key").distinct()
-    twins = spelt.alias("x").join(spelt.alias("y"), (F.col("x.form_key") == F.col("y.form_key")) & (F.col("x.text_key") < F.col("y.text_key")))
-    twins = twins.select(F.col("x.form_key").alias("form_key"), F.col("x.text_key").alias("ka"), F.col("y.text_key").alias("kb"))
+    spelt = materialise(variants.select("form_key", "text_key").distinct(), "p3-spelt")
+    salts = spelt.groupBy("form_key").agg(F.ceil(F.count("*") / salt_rows).cast("int").alias("salts"))
+    spelt = spelt.join(salts, "form_key")
+    x = spelt.select("form_key", F.col("text_key").alias("ka"), F.pmod(F.xxhash64("text_key"), "salts").cast("int").alias("salt"))
+    y = spelt.select("form_key", F.col("text_key").alias("kb"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    twins = x.join(y, ["form_key", "salt"]).filter("ka < kb").select("form_key", "ka", "kb")
     a = variants.select("form_key", F.col("text_key").alias("ka"), F.col("id").alias("ia"))
     b = variants.select("form_key", F.col("text_key").alias("kb"), F.col("id").alias("ib"))
     both = twins.join(a, ["form_key", "ka"]).join(b, ["form_key", "kb"]).filter("ia <> ib")

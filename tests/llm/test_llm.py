@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import unicodedata
 
 import numpy as np
 import pytest
@@ -81,6 +82,25 @@ def test_form_is_idempotent_and_total():
     assert FORM.apply("​") == "" and FORM.apply("") == "" and FORM.apply(None) is None
 
 
+@pytest.mark.parametrize(("a", "b"), [("\uff76\uff9e", "\u30ac"), ("\u1112\u1161\u11ab", "\ud55c"), ("a\u0323\u0302", "a\u0302\u0323"), ("x\ufe05y\U000e0101", "xy")])
+def test_canonical_forms_look_equal(a, b):
+    assert FORM.apply(a) == FORM.apply(b)
+
+
+def test_equality_does_not_depend_on_the_representatives():
+    """Other problems use the form without counts; it must tell the same texts apart as a fitted one."""
+    rng = random.Random(4)
+    classes = [c for c in lookalike.relation() if "" not in c and not any(unicodedata.combining(s[0]) for s in c)]
+    for _ in range(6):
+        fitted = lookalike.ConsistentForm(lookalike.representatives({s: rng.randrange(9) for c in classes for s in c}))
+        for _ in range(300):
+            picks = rng.choices(classes, k=6)
+            a, b = ("".join(rng.choice(c) for c in picks) for _ in range(2))
+            assert FORM.apply(a) == FORM.apply(b) and fitted.apply(a) == fitted.apply(b), (a, b)
+            c = "".join(rng.choice(c) for c in rng.choices(classes, k=6))
+            assert (FORM.apply(a) == FORM.apply(c)) == (fitted.apply(a) == fitted.apply(c))
+
+
 def test_representative_is_the_most_frequent():
     rep = lookalike.representatives({"a": 1, "а": 5})
     assert rep["a"] == "а" and lookalike.representatives({"a": 5, "а": 1})["а"] == "a"
@@ -91,6 +111,9 @@ def test_lookalike_pairs(spark):
     form = lookalike.ConsistentForm.fit(df)
     got = {tuple(r) for r in lookalike.lookalike_pairs(lookalike.lookalike_variants(df, form)).collect()}
     assert got == {("1", "2"), ("2", "3")}
+    many = spark.createDataFrame([(f"i{i:02}", "a" * (i // 3) + "\u200b" + "a" * (20 - i // 3)) for i in range(30)], "id string, text string")
+    many = lookalike.lookalike_variants(many, lookalike.ConsistentForm.fit(many))
+    assert lookalike.lookalike_pairs(many, salt_rows=3).distinct().count() == lookalike.lookalike_pairs(many, salt_rows=3).count() == 30 * 29 // 2 - 10 * 3
     assert lookalike.lookalike_pairs(lookalike.lookalike_variants(df.limit(0), lookalike.ConsistentForm.fit(df.limit(0)))).count() == 0
 
 
