@@ -1,138 +1,180 @@
-"""From a model's raw answer to a validated prediction, with every repair counted."""
+"""From a model's raw answer to a validated prediction, with every repair counted.
+
+Answers are read as VARIANT and checked field by field against ``RULES`` in the JVM. Only answers whose JSON must first be
+cut out of prose, or in which two keys mean one field, pass through Python, which returns plain JSON.
+"""
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from evalweave.operators.labels import TAXONOMY
 
 # Other spellings of the field names, and of truth values and absence.
 ALIASES = {"target_groups": "target_group", "hate_types": "hate_type", "is_hate": "hate", "hateful": "hate", "legal_class": "legal", "legal_classes": "legal", "legals": "legal"}
-LISTS = ("target_group", "hate_type", "legal")
-FIELDS = ("reasoning", "hate", *LISTS, "severity")
 TRUE, FALSE, ABSENT = {"true", "yes", "1"}, {"false", "no", "0"}, {"none", "null", "n/a", ""}
-_TRACE = re.compile(r"<think>.*?</think>", re.I | re.S)
-_FENCE = re.compile(r"\A\s*```(?:json)?\s*|\s*```\s*\Z", re.I)
-_MARK = re.compile(r'["{}\\]')
-SCHEMA = "reasoning string, hate boolean, target_group array<string>, hate_type array<string>, severity string, legal array<string>, normalisations int, gate_normalised boolean, error string"
 
 
-def json_part(raw: str | None) -> str:
-    """The first whole object of an answer: traces, outer fences and prose are left off; braces in strings do not count.
+@dataclass(frozen=True)
+class Rule:
+    """What a field may hold: ``text``, ``truth``, one ``label`` of the taxonomy or a list of ``labels``."""
 
-    Without an object the stripped answer itself, with an open one its rest.
-    """
-    text = _FENCE.sub("", _TRACE.sub("", raw or "").strip()).strip()
+    field: str
+    kind: str
+
+
+RULES = (Rule("reasoning", "text"), Rule("hate", "truth"), Rule("target_group", "labels"), Rule("hate_type", "labels"), Rule("legal", "labels"), Rule("severity", "label"))
+SCHEMA = "reasoning string, hate boolean, target_group array<string>, hate_type array<string>, severity string, legal array<string>, normalisations int, gate_normalised boolean, error string"
+_OUT = [f.split()[0] for f in SCHEMA.split(", ")]
+_SPACE = "(?U)^\\s+|\\s+$"
+
+
+# ---- the text of the object
+
+
+def answer_text(raw: Column) -> Column:
+    """The answer without traces, outer fences and surrounding space."""
+    bare = F.regexp_replace(F.regexp_replace(F.coalesce(raw, F.lit("")), "(?is)<think>.*?</think>", ""), _SPACE, "")
+    return F.regexp_replace(F.regexp_replace(bare, "(?i)\\A```(?:json)?\\s*|\\s*```\\z", ""), _SPACE, "")
+
+
+def whole_objects(text: str) -> str:
+    """The first balanced object in ``text``; braces inside strings do not count. An open one is given to its end, and
+    without a brace the text itself is given."""
+    depth, first = 0, None
+    # strings are consumed whole, an unclosed one to the end
+    for token in re.finditer(r'"(?:[^"\\]|\\.)*(?:"|\\?\Z)|[{}]', text, re.S) if "{" in text else ():
+        sign = token.group()
+        if sign == "{":
+            first, depth = token.start() if first is None else first, depth + 1
+        elif sign == "}" and first is not None:
+            depth -= 1
+            if not depth:
+                return text[first : token.end()]
+    if first is None:  # a quote in the prose may hide the brace
+        first = text.find("{")
+        return whole_objects(text[first:]) if first > 0 else text
+    return text[first:]
+
+
+def salvage(text: str | None) -> tuple[str | None, int, str | None]:
+    """(plain JSON, keys renamed, error) of a hard answer: of keys that mean one field the last one stays."""
+    if text is None:
+        return None, 0, None
     start = text.find("{")
-    if start < 0:
-        return text
-    level, inside, at = 0, False, start
-    while m := _MARK.search(text, at):
-        ch, at = m.group(), m.end()
-        if ch == "\\":
-            at += inside  # the escaped character, whatever it is
-        elif ch == '"':
-            inside = not inside
-        elif not inside:
-            level += 1 if ch == "{" else -1
-            if level == 0:
-                return text[start:at]
-    return text[start:]
-
-
-def _label(value: object) -> tuple[object, int]:
-    if not isinstance(value, str):
-        return value, 0
-    clean = re.sub("[ -]", "_", value.strip().lower())
-    return clean, int(clean != value)
-
-
-def normalise_fields(obj: dict) -> tuple[dict, int]:
-    """Field names, list shape, label spelling and truth words brought to the schema; returns how many repairs it took.
-
-    An explicit null list is a repair, an absent one is not; of two keys that mean one field the later wins; unknown
-    labels are left for validation.
-    """
-    out, repairs = {}, 0
-    for key, value in obj.items():
-        name = str(key).strip().lower()
-        name = ALIASES.get(name, name)
-        repairs += name != key
-        out[name] = value
-    for field in LISTS:
-        value = out.get(field)
-        if value is None:
-            repairs += field in out
-            out[field] = []
-        elif isinstance(value, (str, list)):
-            repairs += isinstance(value, str)
-            pairs = [_label(v) for v in ([value] if isinstance(value, str) else value)]
-            out[field] = [v for v, _ in pairs]
-            repairs += sum(n for _, n in pairs)
-    if isinstance(out.get("severity"), str):
-        word, n = _label(out["severity"])
-        repairs += n
-        out["severity"] = None if word in ABSENT else word
-    if isinstance(out.get("hate"), str) and (word := out["hate"].strip().lower()) in TRUE | FALSE:
-        out["hate"] = word in TRUE
-        repairs += 1
-    return out, repairs
-
-
-def violation(obj: dict) -> str | None:
-    """The first breach of the schema, or None."""
-    if extra := sorted(set(obj) - set(FIELDS)):
-        return f"unexpected field {extra[0]}"
-    if not isinstance(obj.get("reasoning"), str):
-        return "reasoning is no text"
-    if not isinstance(obj.get("hate"), bool):
-        return "hate is no truth value"
-    for field in LISTS:
-        if not isinstance(obj[field], list):
-            return f"{field} is no list"
-        if bad := [v for v in obj[field] if v not in TAXONOMY[field]]:
-            return f"unknown {field}: {bad[0]}"
-    if obj.get("severity") is not None and obj["severity"] not in TAXONOMY["severity"]:
-        return f"unknown severity: {obj['severity']}"
-    return None
-
-
-def read_answer(raw: str | None) -> tuple:
-    """A row of SCHEMA: the prediction, or its error with everything else NULL."""
-    none = (None, None, None, None, None, None)
     try:
-        obj = json.loads(json_part(raw))
-    except ValueError as e:
-        return (*none, 0, None, f"invalid JSON: {e}")
-    if not isinstance(obj, dict):
-        return (*none, 0, None, f"no object but {type(obj).__name__}")
-    obj, n = normalise_fields(obj)
-    if error := violation(obj):
-        return (*none, n, None, error)
-    clash = not obj["hate"] and bool(obj["target_group"] or obj["hate_type"] or obj.get("severity"))
-    group, kind, severity = ([], [], None) if clash else (obj["target_group"], obj["hate_type"], obj.get("severity"))
-    return (obj["reasoning"], obj["hate"], group, kind, severity, obj["legal"], n, clash, None)
+        read = json.loads(whole_objects(text[start:] if start >= 0 else text), object_pairs_hook=_Pairs)
+    except (ValueError, RecursionError) as e:
+        return None, 0, f"invalid JSON: {e}"
+    if not isinstance(read, _Pairs):
+        return None, 0, f"no object but {type(read).__name__}"
+    last = dict(read)  # a key given twice counts once
+    named = {key: ALIASES.get(word := key.strip().lower(), word) for key in last}
+    return json.dumps({named[key]: _plain(value) for key, value in last.items()}), sum(key != name for key, name in named.items()), None
 
 
-def parse_answers(df: DataFrame, column: str) -> DataFrame:
-    """``df`` with the SCHEMA columns read from ``column``. Arrow batches; one pass."""
-    keep = [c for c in df.columns if c != column]
-    names = [f.name for f in T._parse_datatype_string(SCHEMA).fields]
+class _Pairs(list):
+    """The members of a JSON object in order."""
+
+
+def _plain(value):
+    return {k: _plain(v) for k, v in value} if isinstance(value, _Pairs) else [_plain(v) for v in value] if isinstance(value, list) else value
+
+
+# ---- the fields of the object
+
+
+def _name(key: Column) -> Column:
+    word = F.lower(F.regexp_replace(key, _SPACE, ""))
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv]), word), word)
+
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            got = pd.DataFrame([read_answer(x) for x in pdf[column]], columns=names, index=pdf.index).astype({"normalisations": "int32"})
-            yield pd.concat([pdf[keep], got.astype({"hate": "object", "gate_normalised": "object"})], axis=1)
+def _is(value: Column, kind: str) -> Column:
+    return F.coalesce(F.schema_of_variant(value).startswith(kind), F.lit(False))
 
-    fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return df.mapInPandas(run, f"{fields}, {SCHEMA}")
+
+def _value_of(field: str) -> Column:
+    return F.try_element_at(F.filter("_fields", lambda e: e["name"] == field), F.lit(1))["value"]
+
+
+def _label(word: Column) -> Column:
+    return F.regexp_replace(F.lower(F.regexp_replace(word, _SPACE, "")), "[ -]", "_")
+
+
+def _said(value: Column) -> Column:
+    """The words of a label field: one, a list, or none for null. NULL for anything else; numbers and the like in a list
+    are kept as their text behind a mark no label has."""
+    each = F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda v: F.when(_is(v, "STRING"), F.try_variant_get(v, "$", "string")).otherwise(F.concat(F.lit("#"), F.coalesce(F.to_json(v), F.lit("null")))))
+    return F.when(_is(value, "STRING"), F.array(F.try_variant_get(value, "$", "string"))).when(_is(value, "ARRAY"), each).when(value.isNull() | F.is_variant_null(value), F.array().cast("array<string>"))
+
+
+def _changed(words: Column) -> Column:
+    return F.size(F.filter(words, lambda w: ~w.startswith("#") & (_label(w) != w)))
+
+
+def _read(rule: Rule, value: Column) -> tuple[Column, Column, Column]:
+    """(value, repairs, error) of one field."""
+    text = F.when(_is(value, "STRING"), F.try_variant_get(value, "$", "string"))
+    none, no = F.lit(None).cast("string"), F.lit(0)
+    if rule.kind == "text":
+        return text, no, F.when(text.isNull(), F.lit(f"{rule.field} is no text"))
+    if rule.kind == "truth":
+        word = F.lower(F.regexp_replace(text, _SPACE, ""))
+        read = F.when(word.isin(*TRUE), True).when(word.isin(*FALSE), False).when(_is(value, "BOOLEAN"), F.try_variant_get(value, "$", "boolean"))
+        return read, F.when(text.isNotNull() & read.isNotNull(), 1).otherwise(0), F.when(read.isNull(), F.lit(f"{rule.field} is no truth value"))
+    known = F.array(*[F.lit(x) for x in TAXONOMY[rule.field]])
+    if rule.kind == "labels":
+        said = _said(value)
+        labels = F.transform(said, lambda w: F.when(w.startswith("#"), w).otherwise(_label(w)))
+        bad = F.filter(labels, lambda x: ~F.array_contains(known, x))
+        # one word where a list belongs, and an explicit null, are repairs of their own
+        repairs = F.coalesce(_changed(said), no) + F.when(text.isNotNull() | F.coalesce(F.is_variant_null(value), F.lit(False)), 1).otherwise(0)
+        return labels, repairs, F.when(said.isNull(), F.lit(f"{rule.field} is no list")).when(F.size(bad) > 0, F.concat(F.lit(f"unknown {rule.field}: "), bad[0]))
+    word = _label(text)
+    read = F.when(~word.isin(*ABSENT), word)
+    odd = value.isNotNull() & ~F.is_variant_null(value) & text.isNull()
+    return read, F.when(word != text, 1).otherwise(0), F.when(odd | (read.isNotNull() & ~F.array_contains(known, read)), F.concat(F.lit(f"unknown {rule.field}: "), F.coalesce(read, F.to_json(value)))).otherwise(none)
+
+
+def parse_answers(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with the SCHEMA columns read from ``column``; an answer in error has everything else NULL.
+
+    The first error in the order of the rules is given; a field that no rule names comes before them. Labels on an answer
+    that says no hate are cleared and flagged, but for ``legal``.
+    """
+    text = answer_text(F.col(column))
+    direct = F.try_parse_json(F.nullif(F.regexp_extract(text, "(?s)\\{.*\\}", 0), F.lit("")))
+    x = df.withColumn("_text", text).withColumn("_direct", direct)
+    names = F.transform(F.map_keys(F.try_variant_get("_direct", "$", "map<string,variant>")), _name)
+    x = x.withColumn("_easy", F.coalesce(_is(F.col("_direct"), "OBJECT") & (F.size(names) == F.size(F.array_distinct(names))), F.lit(False)))
+
+    @F.pandas_udf("json string, renamed int, error string")
+    def hard(answers: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([salvage(a) for a in answers], columns=["json", "renamed", "error"])
+
+    x = x.withColumn("_hard", hard(F.when(~F.col("_easy"), F.col("_text"))))
+    x = x.withColumn("_object", F.try_variant_get(F.when(F.col("_easy"), F.col("_direct")).otherwise(F.try_parse_json("_hard.json")), "$", "map<string,variant>"))
+    x = x.withColumn("_fields", F.transform(F.map_entries("_object"), lambda e: F.struct(_name(e["key"]).alias("name"), e["key"].alias("key"), e["value"].alias("value"))))
+    renamed = F.size(F.filter("_fields", lambda e: e["name"] != e["key"])) + F.coalesce(F.col("_hard.renamed"), F.lit(0))
+    extra = F.array_sort(F.filter(F.transform("_fields", lambda e: e["name"]), lambda n: ~n.isin(*[r.field for r in RULES])))
+    x = x.withColumns({f"_v_{r.field}": _value_of(r.field) for r in RULES})
+    read = {r.field: _read(r, F.col(f"_v_{r.field}")) for r in RULES}
+    missing = F.when(F.col("_object").isNull(), F.coalesce("_hard.error", F.lit("invalid JSON")))
+    error = F.coalesce(missing, F.when(F.size(extra) > 0, F.concat(F.lit("unexpected field "), extra[0])), *[e for _, _, e in read.values()])
+    count = sum((n for _, n, _ in read.values()), renamed)
+    x = x.withColumns({f"_r_{k}": v for k, (v, _, _) in read.items()} | {"_error": error, "_n": F.when(F.col("_object").isNull(), 0).otherwise(count).cast("int")})
+    ok = F.col("_error").isNull()
+    clash = ~F.col("_r_hate") & ((F.size("_r_target_group") > 0) | (F.size("_r_hate_type") > 0) | F.col("_r_severity").isNotNull())
+    cleared = {"target_group": F.array().cast("array<string>"), "hate_type": F.array().cast("array<string>"), "severity": F.lit(None).cast("string")}
+    out = {f: F.when(ok, F.when(clash, cleared[f]).otherwise(F.col(f"_r_{f}")) if f in cleared else F.col(f"_r_{f}")) for f in read}
+    out |= {"normalisations": F.col("_n"), "gate_normalised": F.when(ok, clash), "error": F.col("_error")}
+    return x.select(*[F.col(f"`{c}`") for c in df.columns if c != column and c not in _OUT], *[out[c].alias(c) for c in _OUT])
 
 
 def parse_runs(runs: DataFrame) -> DataFrame:

@@ -14,33 +14,46 @@ GOOD = '{"reasoning": "a } b", "hate": true, "target_group": ["race"], "hate_typ
 RUNS = "run_id long, item_id string, arm string, run_idx int, reasoning string, hate boolean, target_group array<string>, hate_type array<string>, severity string, legal array<string>, parse_failure boolean"
 
 
-@pytest.mark.parametrize("wrap", ["{}", "```json\n{}\n```", "Sure: {} Bye", "<think>{{x}}</think>{}", "{} }}"])
-def test_json_part(wrap):
-    assert parse.json_part(wrap.format(GOOD)) == GOOD
+WRAPS = ["{}", "```json\n{}\n```", "Sure: {} Bye", "<think>{{x}}</think>{}", "{} }}", 'He said "{{" and {}', "{} {{}}"]
 
 
-def test_json_part_without_object():
-    assert parse.json_part("no object") == "no object" and parse.json_part(None) == "" and parse.json_part('x {"a": ') == '{"a":'
+def read(spark, *answers):
+    df = spark.createDataFrame([(i, a) for i, a in enumerate(answers)], "k int, a string")
+    return [r for r in parse.parse_answers(df, "a").orderBy("k").collect()]
 
 
-def test_normalise_counts():
-    obj, n = parse.normalise_fields({"Reasoning": "r", "is_hate": "yes", "target_group": "Sexual Orientation", "hate_type": None, "severity": "none", "legals": ["Insult-Defamation"]})
-    assert obj == {"reasoning": "r", "hate": True, "target_group": ["sexual_orientation"], "hate_type": [], "severity": None, "legal": ["insult_defamation"]}
-    assert n == 8
-    assert parse.normalise_fields({"hate": False})[1] == 0
+def test_answers_in_any_wrapping(spark):
+    for r in read(spark, *[w.format(GOOD) for w in WRAPS[:5] + WRAPS[6:]]):
+        assert (r["reasoning"], r["hate"], r["target_group"], r["severity"], r["normalisations"], r["error"]) == ("a } b", True, ["race"], "low", 0, None)
 
 
-def test_violations():
-    base = {"reasoning": "r", "hate": True, "target_group": [], "hate_type": [], "legal": []}
-    assert parse.violation(base) is None
-    assert "unexpected" in parse.violation(base | {"x": 1})
-    assert "unknown hate_type" in parse.violation(base | {"hate_type": ["spam"]})
-    assert "hate" in parse.violation(base | {"hate": "maybe"})
+def test_whole_objects():
+    assert parse.whole_objects(GOOD + " }") == GOOD and parse.whole_objects("no object") == "no object" and parse.whole_objects('{"a": ') == '{"a": '
+    assert parse.whole_objects('{"a": "}') == '{"a": "}' and parse.whole_objects('{"a": {"b": "\\"}"}} {') == '{"a": {"b": "\\"}"}}'
 
 
-def test_gate_clears_labels_but_not_legal():
-    r = parse.read_answer('{"reasoning": "r", "hate": false, "target_group": ["race"], "legal": ["propaganda"]}')
-    assert r[1] is False and r[2] == [] and r[5] == ["propaganda"] and r[7] is True
+def test_answers_without_object(spark):
+    assert all(r["error"] and r["hate"] is None and r["normalisations"] == 0 for r in read(spark, "no object", None, "", 'x {"a": ', "[1]", '"text"'))
+
+
+def test_repairs_are_counted(spark):
+    bent = '{"Reasoning": "r", "is_hate": "yes", "target_group": "Sexual Orientation", "hate_type": null, "severity": "none", "legals": ["Insult-Defamation"]}'
+    both = '{"reasoning": "r", "hate": false, "hateful": true}'
+    r, plain, twice, words = read(spark, bent, '{"reasoning": "r", "hate": false}', both, '{"reasoning": "r", "hate": " TRUE ", "severity": "None"}')
+    assert (r["reasoning"], r["hate"], r["target_group"], r["hate_type"], r["severity"], r["legal"]) == ("r", True, ["sexual_orientation"], [], None, ["insult_defamation"])
+    assert r["normalisations"] == 8 and plain["normalisations"] == 0 and plain["error"] is None
+    assert twice["hate"] is True and twice["normalisations"] == 1 and (words["hate"], words["normalisations"]) == (True, 2)
+
+
+@pytest.mark.parametrize(("extra", "error"), [("", None), (', "x": 1', "unexpected"), (', "hate_type": ["spam"]', "unknown hate_type: spam"), (', "hate": "maybe"', "hate is no truth"), (', "legal": 3', "legal is no list"), (', "severity": 2', "unknown severity"), (', "target_group": [1]', "unknown target_group"), (', "severity": "huge"', "unknown severity: huge"), (', "reasoning": 1', "no text")])
+def test_violations(spark, extra, error):
+    (r,) = read(spark, '{"reasoning": "r", "hate": true' + extra + "}")
+    assert (r["error"] is None) if error is None else error in r["error"]
+
+
+def test_gate_clears_labels_but_not_legal(spark):
+    (r,) = read(spark, '{"reasoning": "r", "hate": false, "target_group": ["race"], "legal": ["propaganda"]}')
+    assert r["hate"] is False and r["target_group"] == [] and r["legal"] == ["propaganda"] and r["gate_normalised"] is True
 
 
 def test_parse_runs(spark):
@@ -179,23 +192,38 @@ def test_prompts_leave_out_empty_sections(spark):
 def test_mock_run_repairs_once(spark):
     p = spark.createDataFrame([("1", "rag", [("user", "hello")])], "item_id string, arm string, messages array<struct<role string, text string>>")
     r = run.sample_runs(p, lambda: run.MockClient(broken=True), 2).collect()
-    assert [x["repairs"] for x in r] == [1, 1] and not any(x["parse_failure"] for x in r)
+    assert [x["repairs"] for x in r] == [1, 1] and not any(x["parse_failure"] for x in r) and all(len(x["raw_outputs"]) == 2 for x in r)
+    log = run.sample_calls(p, lambda: run.MockClient(broken=True), n_runs=2).collect()
+    assert len(log) == 4 and all(x["response_chars"] == len(x["raw"]) and x["prompt_chars"] >= 5 for x in log)
     with pytest.raises(ValueError, match="pinned"):
         run.classify(p, run.MockClient, "a", "b")
 
 
-def test_retries():
+def test_calls_fall_back_and_retry():
     seen = []
 
-    def flaky():
-        seen.append(1)
-        if len(seen) < 3:
-            raise TimeoutError
-        return "ok"
-
-    assert run.with_retries(flaky, sleep=lambda s: None) == "ok"
-    with pytest.raises(run.PermanentError):
-        run.with_retries(lambda: (_ for _ in ()).throw(run.PermanentError()), sleep=lambda s: None)
+    class Flaky(run.MockClient):
+        def complete(self, model, *a):
+            seen.append(model)
+            if model == "flaky" and seen.count("flaky") < 3:
+                raise run.CallError("passing")
+            return super().complete(model, *a)
+
+    assert run.ask(Flaky(), ["flaky"], [], sleep=lambda s: None)[1] == "flaky" and len(seen) == 3
+    for kind in ("unavailable", "bad_request", "truncated", "passing"):
+        assert run.ask(run.MockClient(failing={"a": kind}), ["a", "b"], [], sleep=lambda s: None)[1] == "b"
+        with pytest.raises(run.CallError, match=kind):
+            run.ask(run.MockClient(failing={"a": kind}), ["a", "b"], [], fallback=False, sleep=lambda s: None)
+    with pytest.raises(run.CallError, match="auth"):
+        run.ask(run.MockClient(failing={"a": "auth"}), ["a", "b"], [])
+    with pytest.raises(run.CallError, match="no model answered"):
+        run.ask(run.MockClient(failing={"a": "truncated"}), ["a"], [])
+
+
+def test_errors_of_replies():
+    kinds = {s: getattr(run.error_of(s), "kind", None) for s in (200, 400, 401, 403, 404, 429, 500, 503)}
+    assert kinds == {200: None, 400: "bad_request", 401: "auth", 403: "auth", 404: "bad_request", 429: "passing", 500: "passing", 503: "passing"}
+    assert run.error_of(404, "Model not available").kind == "unavailable" and run.error_of(200, "", False).kind == "truncated"
 
 
 def test_json_lines(spark, tmp_path):
