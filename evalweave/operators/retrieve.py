@@ -5,6 +5,7 @@ A query set is stated; filters apply before ranks, so a bucket is part of every
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,11 +17,14 @@ from pyspark.sql.window import Window
 
 from evalweave.functions.text import tokens
 from evalweave.operators.sampling import draw_number
+from evalweave.session import materialise
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
-#: So many weighted query terms are sent to all executors; more are joined by shuffle.
-BROADCAST_TERMS = 300_000
+#: So many weighted query terms, or numbers of query vectors, are sent to all executors; more are joined by shuffle.
+BROADCAST_TERMS, BROADCAST_NUMBERS = 300_000, 8_000_000
+#: Queries scored at a time against a batch of records.
+BLOCK = 256
 
 
 def top_k(scored: DataFrame, by: list[str], k: int, tie: str = "id", score: str = "score") -> DataFrame:
@@ -29,87 +33,199 @@ def top_k(scored: DataFrame, by: list[str], k: int, tie: str = "id", score: str
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def bm25_terms(corpus: DataFrame) -> DataFrame:
-    """(bucket, id, term, tf, dl) of ``corpus(bucket, id, text)``."""
+def term_counts(corpus: DataFrame) -> DataFrame:
+    """(bucket, id, dl, terms, tfs) of ``corpus(bucket, id, text)``: one row a record, counted where it is read, stored once."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [Counter(w) for w in batch.column(2).to_pylist()]
+            lists = [pa.array([list(c.keys()) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([sum(c.values()) for c in found], pa.int32()), *lists], names=["bucket", "id", "dl", "terms", "tfs"])
+
+    kind = dict(corpus.dtypes)
     t = corpus.filter("text is not null").select("bucket", "id", tokens("text").alias("w"))
-    t = t.select("bucket", "id", F.size("w").alias("dl"), F.explode("w").alias("term"))
-    return t.groupBy("bucket", "id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    return materialise(t.mapInArrow(count, f"bucket {kind['bucket']}, id {kind['id']}, dl int, terms array<string>, tfs array<int>"), "bm25-terms")
 
 
-def bm25_stats(corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(bucket, n, avgdl) and (bucket, term, df, idf). Negative idf becomes EPSILON times the bucket's mean idf."""
-    sizes = corpus.filter("text is not null").select("bucket", F.size(tokens("text")).alias("dl")).groupBy("bucket").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = bm25_terms(corpus).groupBy("bucket", "term").agg(F.count("*").alias("df")).join(F.broadcast(sizes.select("bucket", "n")), "bucket")
+def bm25_stats(counted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(bucket, n, avgdl) and (bucket, term, df, idf) of ``term_counts``. Negative idf becomes EPSILON times the bucket's mean idf."""
+    sizes = counted.groupBy("bucket").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    df = counted.select("bucket", F.explode("terms").alias("term")).groupBy("bucket", "term").agg(F.count("*").alias("df")).join(sizes.select("bucket", "n"), "bucket")
     raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.groupBy("bucket").agg(F.avg("raw").alias("mean"))
-    idf = raw.join(F.broadcast(mean), "bucket").select("bucket", "term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    idf = raw.join(mean, "bucket").select("bucket", "term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
     return sizes, idf
 
 
-def bm25_scores(corpus: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, bucket, id, score) of records that share a term with ``queries(query_id, text)``; repeats count.
+def bm25_top_k(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, bucket, id, score, rank) of the ``k`` best records of each bucket for ``queries(query_id, text)``.
 
-    Queries that have a ``bucket`` search that one only.
+    Repeated query terms count repeatedly; queries that have a ``bucket`` search that one only; a record with the query's own
+    id is no hit. The cut to ``k`` comes first and scores that are not positive are dropped after, so fewer may remain.
+
+    Up to BROADCAST_TERMS weighted query terms go to the records: a batch of records meets a block of queries as a product
+    of their frequencies with the term weights, and only its own best leave the task. More are joined by shuffle.
     """
+    counted = term_counts(corpus)
     on = ["bucket"] if "bucket" in queries.columns else []
-    sizes, idf = bm25_stats(corpus)
+    sizes, idf = bm25_stats(counted)
     q = queries.filter("text is not null").select("query_id", *on, F.explode(tokens("text")).alias("term")).groupBy("query_id", *on, "term").agg(F.count("*").alias("qtf"))
     # what a query's term adds to a record of a bucket, but for the record's own frequency and length
-    part = q.join(idf, [*on, "term"]).join(F.broadcast(sizes), "bucket").select("query_id", "bucket", "term", (F.col("qtf") * F.col("idf")).alias("qw"), "avgdl")
+    part = materialise(q.join(idf, [*on, "term"]).join(sizes, "bucket").select("query_id", "bucket", "term", (F.col("qtf") * F.col("idf")).alias("qw"), "avgdl"), "bm25-weights")
     if part.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-        # records stay where they are: their terms, the join and the sums all keep the partitioning by record
-        post = bm25_terms(corpus.repartition("bucket", "id")).join(F.broadcast(part), ["bucket", "term"])
+        scored = _scored_here(counted, part, k)
     else:
-        post = bm25_terms(corpus).join(part, ["bucket", "term"])
-    grown = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return post.groupBy("query_id", "bucket", "id").agg(F.sum(F.col("qw") * grown).alias("score"))
+        post = counted.select("bucket", "id", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select("bucket", "id", "dl", F.col("x.terms").alias("term"), F.col("x.tfs").alias("tf")).join(part, ["bucket", "term"])
+        grown = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+        scored = post.groupBy("query_id", "bucket", "id").agg(F.sum(F.col("qw") * grown).alias("score")).filter("query_id <> id")
+    return top_k(scored, ["query_id", "bucket"], k).filter("score > 0")
+
+
+def _scored_here(counted: DataFrame, part: DataFrame, k: int) -> DataFrame:
+    """(query_id, bucket, id, score): of every batch of records the best of each query, ties at the cut included."""
+    spark = counted.sparkSession
+    index: dict = {}
+    for bucket, rows in part.toPandas().groupby("bucket", sort=True):
+        names, terms = sorted(rows["query_id"].unique()), {t: i for i, t in enumerate(sorted(rows["term"].unique()))}
+        at = {n: i for i, n in enumerate(names)}
+        index[bucket] = (names, terms, rows["query_id"].map(at).to_numpy(), rows["term"].map(terms).to_numpy(), rows["qw"].to_numpy(float), float(rows["avgdl"].iloc[0]))
+    shared = spark.sparkContext.broadcast(index)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights: dict = {}
+        for batch in batches:
+            pdf = batch.to_pandas()
+            for bucket, mine in pdf.groupby("bucket", sort=False):
+                if bucket not in shared.value:
+                    continue
+                names, terms, qi, ti, qw, avgdl = shared.value[bucket]
+                hit = [(r, terms[t], tf) for r, (ts, tfs) in enumerate(zip(mine["terms"], mine["tfs"])) for t, tf in zip(ts, tfs) if t in terms]
+                if not hit:
+                    continue
+                rec, term, tf = (np.array(x) for x in zip(*hit))
+                ids, dl = mine["id"].to_numpy(), mine["dl"].to_numpy(float)
+                grown = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[rec] / avgdl))
+                first = np.flatnonzero(np.diff(rec, prepend=-1))
+                for low in range(0, len(names), BLOCK):
+                    if (bucket, low) not in weights:
+                        here = (qi >= low) & (qi < low + BLOCK)
+                        w = np.zeros((len(terms), min(BLOCK, len(names) - low)))
+                        w[ti[here], qi[here] - low] = qw[here]
+                        weights[bucket, low] = w, w != 0
+                    w, has = weights[bucket, low]
+                    met = np.zeros((len(first), w.shape[1]), bool)
+                    score = np.zeros((len(first), w.shape[1]))
+                    for s in range(0, len(first), 256):  # bounds the products held at a time
+                        a, z = first[s], first[s + 256] if s + 256 < len(first) else len(rec)
+                        score[s : s + 256] = np.add.reduceat(w[term[a:z]] * grown[a:z, None], first[s : s + 256] - a, axis=0)
+                        met[s : s + 256] = np.logical_or.reduceat(has[term[a:z]], first[s : s + 256] - a, axis=0)
+                    yield from _best(score.T, met.T, names[low : low + BLOCK], bucket, ids[rec[first]], k, fields)
+
+    kind = dict(counted.dtypes)
+    fields = _hit_fields(dict(part.dtypes)["query_id"], kind)
+    return counted.mapInArrow(search, fields)
+
+
+def _hit_fields(query: str, kind: dict[str, str]) -> str:
+    return f"query_id {query}, bucket {kind['bucket']}, id {kind['id']}, score double"
+
+
+def _best(score: np.ndarray, met: np.ndarray, names: list, bucket, ids: np.ndarray, k: int, fields: str) -> Iterator[pa.RecordBatch]:
+    """The ``k`` best of each row of ``score`` where ``met``, and what ties with the last of them. No name meets itself."""
+    rows, cols = [], []
+    for i, name in enumerate(names):
+        at = np.flatnonzero(met[i] & (ids != name))
+        if len(at) > k:
+            cut = np.partition(score[i, at], len(at) - k)[len(at) - k]
+            at = at[score[i, at] >= cut - 2e-6]
+        rows.append(np.full(len(at), i))
+        cols.append(at)
+    r, c = np.concatenate(rows), np.concatenate(cols)
+    if len(r):
+        kinds = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}
+        q, b, d, _ = (kinds[f.split()[1]] for f in fields.replace("double", "string").split(", "))
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(names, object)[r], q), pa.array([bucket] * len(r), b), pa.array(ids[c], d), pa.array(score[r, c])], names=["query_id", "bucket", "id", "score"])
+
+
+def dense_scored(corpus: DataFrame, queries: DataFrame, k: int, batch: int = 2048) -> DataFrame:
+    """(query_id, bucket, id, score): of every batch of ``corpus(bucket, id, vec)`` the ``k`` nearest to each of
+    ``queries(query_id, vec)`` by cosine, exactly, ties at the cut included.
+
+    The corpus streams through; query vectors up to BROADCAST_NUMBERS numbers are sent to all executors and meet each batch
+    as a matrix product. More are cut into blocks that the corpus meets one after the other, each a shuffled tile.
+    """
+    q = queries.filter("vec is not null").select("query_id", "vec")
+    n, dims = q.agg(F.count("*"), F.coalesce(F.max(F.size("vec")), F.lit(0))).first()
+    c = corpus.filter("vec is not null").select("bucket", "id", "vec")
+    kind = dict(c.dtypes)
+    fields = _hit_fields(dict(q.dtypes)["query_id"], kind)
 
+    def meet(names: list, m: np.ndarray, pdf: pd.DataFrame) -> Iterator[pa.RecordBatch]:
+        for start in range(0, len(pdf), batch):
+            part = pdf.iloc[start : start + batch]
+            v = _unit(np.stack(part["vec"].to_numpy()))
+            for bucket in part["bucket"].unique():
+                at = np.flatnonzero(part["bucket"].to_numpy() == bucket)
+                for low in range(0, len(names), BLOCK):
+                    score = np.round(m[low : low + BLOCK] @ v[at].T, 12)
+                    yield from _best(score, np.ones(score.shape, bool), names[low : low + BLOCK], bucket, part["id"].to_numpy()[at], k, fields)
 
-def bm25_top_k(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Cut to ``k`` first, scores that are not positive dropped after, so fewer may remain."""
-    return top_k(bm25_scores(corpus, queries), ["query_id", "bucket"], k).filter("score > 0")
+    if n * dims <= BROADCAST_NUMBERS:
+        rows = q.toPandas()
+        shared = corpus.sparkSession.sparkContext.broadcast((list(rows["query_id"]), _unit(np.stack(rows["vec"].to_numpy())) if len(rows) else np.zeros((0, 1))))
 
+        def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, m = shared.value
+            for b in batches:
+                if len(names) and b.num_rows:
+                    yield from meet(names, m, b.to_pandas())
 
-def dense_top_k(corpus: DataFrame, queries: DataFrame, k: int, block: int = 512, parts: int | None = None) -> DataFrame:
-    """(query_id, bucket, id, score, rank): exact cosine top-k of ``queries(query_id, vec)`` over ``corpus(bucket, id, vec)``.
+        return c.mapInArrow(stream, fields)
+    blocks, parts = -(-n * dims // BROADCAST_NUMBERS), int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    qb = q.withColumn("block", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(blocks))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    cb = c.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def tile(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = [x.to_pandas() for x in meet(list(right["query_id"]), _unit(np.stack(right["vec"].to_numpy())), left)] if len(left) and len(right) else []
+        return pd.concat(found) if found else pd.DataFrame(columns=["query_id", "bucket", "id", "score"])
+
+    return cb.groupBy("block", "part").cogroup(qb.groupBy("block", "part")).applyInPandas(tile, fields)
 
-    Queries are packed into blocks of rows; each part of the corpus meets every block once, as a matrix product, and
-    returns its own top-k; those few rows are merged. A record never meets itself.
-    """
-    spark = corpus.sparkSession
-    parts = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    c = corpus.filter("vec is not null").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)))
-    q = queries.filter("vec is not null").withColumn("block", F.floor(F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(1 << 20)) / F.lit(max(1, (1 << 20) // max(1, _blocks(queries, block))))))
-    qb = q.groupBy("block").agg(F.collect_list(F.struct("query_id", "vec")).alias("q")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    cb = c.groupBy("part").agg(F.count("*").alias("_n"))
-    tiles = qb.join(cb.select("part"), "part")
-    kind = dict(corpus.dtypes)
 
-    def search(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            m = _unit(np.stack(left["vec"].to_numpy()))
-            ids, buckets = left["id"].to_numpy(), left["bucket"].to_numpy()
-            for rows in right["q"]:
-                names = [r["query_id"] for r in rows]
-                s = np.round(_unit(np.stack([np.asarray(r["vec"], float) for r in rows])) @ m.T, 12)
-                for name, row in zip(names, s):
-                    for b in pd.unique(buckets):
-                        at = np.flatnonzero((buckets == b) & (ids != name))
-                        if len(at) > 4 * k:
-                            low = np.partition(row[at], len(at) - k)[len(at) - k] - 1e-6
-                            at = at[row[at] >= low]
-                        at = sorted(at, key=lambda i: (-round(row[i], 6), ids[i]))[:k]
-                        out += [(name, b, ids[i], float(row[i])) for i in at]
-        return pd.DataFrame(out, columns=["query_id", "bucket", "id", "score"])
-
-    schema = f"query_id {dict(queries.dtypes)['query_id']}, bucket {kind['bucket']}, id {kind['id']}, score double"
-    local = c.groupBy("part").cogroup(tiles.groupBy("part")).applyInPandas(search, schema)
-    return top_k(local, ["query_id", "bucket"], k)
-
-
-def _blocks(queries: DataFrame, block: int) -> int:
-    return max(1, -(-queries.count() // block))
+def dense_top_k(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, bucket, id, score, rank): the exact cosine top-k within each bucket. A record never meets itself."""
+    return top_k(dense_scored(corpus, queries, k), ["query_id", "bucket"], k)
+
+
+def dense_near(corpus: DataFrame, queries: DataFrame, least: float, batch: int = 2048) -> DataFrame:
+    """(query_id, id, sim) of all records of a query's own bucket whose cosine to it is ``least`` or more at six places.
+
+    ``corpus(bucket, id, vec)`` streams past ``queries(query_id, bucket, vec)`` of a checked size as matrix products.
+    """
+    q = queries.filter("vec is not null").select("query_id", "bucket", "vec")
+    n, dims = q.agg(F.count("*"), F.coalesce(F.max(F.size("vec")), F.lit(0))).first()
+    c = corpus.filter("vec is not null").select("bucket", "id", "vec")
+    kind = dict(c.dtypes)
+    if n * dims > BROADCAST_NUMBERS:  # by bucket, pair by pair
+        j = c.join(q.withColumnRenamed("vec", "qv"), "bucket").filter("id <> query_id").withColumn("sim", cosine(F.col("qv"), F.col("vec")))
+        return j.filter(F.round("sim", 6) >= least).select("query_id", "id", "sim")
+    asked = {b: (g["query_id"].to_numpy(), _unit(np.stack(g["vec"].to_numpy()))) for b, g in q.toPandas().groupby("bucket")}
+    shared = corpus.sparkSession.sparkContext.broadcast(asked)
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for bucket, part in b.to_pandas().groupby("bucket"):
+                if bucket in shared.value:
+                    names, m = shared.value[bucket]
+                    ids = part["id"].to_numpy()
+                    for s in range(0, len(part), batch):
+                        score = np.round(m @ _unit(np.stack(part["vec"].to_numpy()[s : s + batch])).T, 12)
+                        i, j = np.nonzero(np.round(score, 6) >= least)
+                        keep = names[i] != ids[s : s + batch][j]
+                        i, j = i[keep], j[keep]
+                        yield pa.RecordBatch.from_pandas(pd.DataFrame({"query_id": names[i], "id": ids[s : s + batch][j], "sim": score[i, j]}), preserve_index=False)
+
+    return c.mapInArrow(stream, f"query_id {dict(q.dtypes)['query_id']}, id {kind['id']}, sim double")
 
 
 def _unit(m: np.ndarray) -> np.ndarray:

@@ -19,7 +19,10 @@ _TOK = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{M}}\p{{N}}_]+')"
 
 
 def _corpus(s, d):
-    return data.kb(s, d, "kind", "text").filter("kind in ('definition', 'guideline', 'example') and text is not null").select(F.col("kind").alias("bucket"), "id", "text")
+    """All records: definitions and guidelines of any language, examples and feedback by language."""
+    by_lang = F.col("kind").isin("example", "feedback")
+    k = data.kb(s, d, "kind", "text", "lang").filter("kind in ('definition', 'guideline', 'example', 'feedback') and text is not null")
+    return k.filter(~by_lang | F.col("lang").isNotNull()).select(F.when(by_lang, F.concat_ws(":", "kind", "lang")).otherwise(F.col("kind")).alias("bucket"), "id", "text")
 
 
 def _text_queries(s, d):
@@ -27,36 +30,17 @@ def _text_queries(s, d):
     return data.items(s, d, "text").filter((F.regexp_extract("id", "([0-9]+)$", 1) != "") & (F.regexp_extract("id", "([0-9]+)$", 1).try_cast("long") % 50 == 0) & F.col("text").isNotNull()).select(F.col("id").alias("query_id"), "text")
 
 
-def _stats(corpus):
-    sizes, idf = R.bm25_stats(corpus)
-    return idf.groupBy("bucket").agg(F.count("*").alias("n_terms"), F.round(F.sum("idf"), 4).alias("sum_idf"), F.max("df").alias("max_df")).join(sizes, "bucket").withColumn("avgdl", F.round("avgdl", 6))
-
-
 def bm25_stats(s, d):
-    return _stats(_corpus(s, d))
+    sizes, idf = R.bm25_stats(R.term_counts(_corpus(s, d)))
+    return idf.groupBy("bucket").agg(F.count("*").alias("n_terms"), F.round(F.sum("idf"), 4).alias("sum_idf"), F.max("df").alias("max_df")).join(sizes, "bucket").withColumn("avgdl", F.round("avgdl", 6))
 
 
 def bm25_topk(s, d):
-    return R.bm25_top_k(_corpus(s, d), _text_queries(s, d), 5).select("query_id", "bucket", "id", "rank", F.round("score", 5).alias("score"))
-
-
-def _four_buckets(s, d):
-    """All records: definitions and guidelines of any language, examples and feedback by language."""
-    by_lang = F.col("kind").isin("example", "feedback")
-    k = data.kb(s, d, "kind", "text", "lang").filter("kind in ('definition', 'guideline', 'example', 'feedback') and text is not null")
-    return k.filter(~by_lang | F.col("lang").isNotNull()).select(F.when(by_lang, F.concat_ws(":", "kind", "lang")).otherwise(F.col("kind")).alias("bucket"), "id", "text")
-
-
-def bm25_stats_buckets(s, d):
-    return _stats(_four_buckets(s, d))
-
-
-def bm25_topk_buckets(s, d):
-    """``bm25_topk`` over four buckets; an item meets examples and feedback of its own language only."""
+    """Over four kinds of records; an item meets examples and feedback of its own language only."""
     i = data.items(s, d, "lang").select(F.col("id").alias("query_id"), F.lower(F.trim("lang")).alias("lang"))
     q = _text_queries(s, d).join(i, "query_id")
     buckets = F.array_compact(F.array(F.lit("definition"), F.lit("guideline"), *[F.when(F.col("lang").isNotNull(), F.concat(F.lit(f"{k}:"), "lang")) for k in ("example", "feedback")]))
-    top = R.bm25_top_k(_four_buckets(s, d), q.select("query_id", "text", F.explode(buckets).alias("bucket")), 5)
+    top = R.bm25_top_k(_corpus(s, d), q.select("query_id", "text", F.explode(buckets).alias("bucket")), 5)
     return top.select("query_id", "bucket", "id", "rank", F.round("score", 5).alias("score"))
 
 
@@ -80,10 +64,8 @@ def knn_best_twin(s, d):
 
 def cosine_threshold_join(s, d):
     """Query vectors with records of their own label above a threshold."""
-    v = table(s, d, "embeddings", "vec_id", "label", "embedding")
-    q = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("qv"))
-    j = v.join(q, "label").filter("vec_id <> query_id").withColumn("sim", R.cosine(F.col("qv"), F.col("embedding")))
-    return j.filter("round(sim, 6) >= 0.2").groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.max("sim"), 5).alias("best"))
+    q = _vector_queries(s, d).join(table(s, d, "embeddings", F.col("vec_id").alias("query_id"), F.col("label").alias("bucket")), "query_id")
+    return R.dense_near(_vectors(s, d), q, 0.2).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.max("sim"), 5).alias("best"))
 
 
 def pairwise_redundancy(s, d):
@@ -91,17 +73,22 @@ def pairwise_redundancy(s, d):
     return R.redundancy(hits, 0.5).select("query_id", "n_pairs", "n_near", F.round("mean_sim", 5).alias("mean_sim"), F.round("max_sim", 5).alias("max_sim"))
 
 
-def _hybrid_corpus(s, d):
-    """Texts and vectors paired by id where both exist."""
-    t = table(s, d, "documents", F.col("doc_id").alias("id"), "text").filter("text is not null")
-    return t.join(table(s, d, "embeddings", F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), "id").withColumn("bucket", F.lit("all"))
+def _documents(s, d):
+    return table(s, d, "documents", F.col("doc_id").alias("id"), "text").filter("text is not null").withColumn("bucket", F.lit("all"))
+
+
+def _stored(s, d):
+    """The stored vectors of documents. Not every document has one: the dense channel finds those that have."""
+    return table(s, d, "embeddings", F.col("vec_id").alias("id"), F.col("embedding").alias("vec")).withColumn("bucket", F.lit("all"))
 
 
 def _channels(s, d, depth=10):
-    c = _hybrid_corpus(s, d)
-    q = c.filter("id % 50 = 0").select(F.col("id").alias("query_id"), "text", "vec")
-    bm = R.top_k(R.bm25_scores(c.select("bucket", "id", "text"), q.select("query_id", "text")).filter("query_id <> id"), ["query_id", "bucket"], depth).filter("score > 0")
-    de = R.dense_top_k(c.select("bucket", "id", "vec"), q.select("query_id", "vec"), depth)
+    """BM25 over all documents; vectors over all documents that have one. Queries are the documents divisible by 50."""
+    c = _documents(s, d)
+    q = c.filter("id % 50 = 0").select(F.col("id").alias("query_id"), "text")
+    bm = R.bm25_top_k(c, q, depth)
+    v = _stored(s, d).join(c.select("id"), "id", "left_semi")
+    de = R.dense_top_k(v, v.filter("id % 50 = 0").select(F.col("id").alias("query_id"), "vec"), depth)
     cols = ["query_id", "bucket", "id", "rank"]
     return bm.select(*cols, F.lit("bm25").alias("channel")).unionByName(de.select(*cols, F.lit("dense").alias("channel")))
 
@@ -112,11 +99,12 @@ def rrf_fuse(s, d):
 
 
 def retrieve_hybrid(s, d):
-    """Fused and diversified: the pool's relevance is the cosine to the query."""
+    """Fused and diversified: relevance is the cosine to the query, none for a document or a query without a vector."""
     fused = R.fuse(_channels(s, d, 30)).filter("rank <= 30")
-    c = _hybrid_corpus(s, d).select("id", "vec")
+    c = _stored(s, d).select("id", "vec")
     q = c.filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("qv"))
-    pool = fused.join(c, "id").join(q, "query_id").withColumn("sim", R.cosine(F.col("qv"), F.col("vec")))
+    none = F.array_repeat(F.lit(0.0).cast("float"), 64)
+    pool = fused.join(c, "id", "left").join(q, "query_id", "left").withColumn("sim", F.coalesce(R.cosine(F.col("qv"), F.col("vec")), F.lit(0.0))).withColumn("vec", F.coalesce("vec", none))
     return R.diversify(pool, 8)
 
 
@@ -199,7 +187,8 @@ def prompt_sizes(s, d):
 
 _HITS = ", ".join(f"'{x}'" for x in ("definitions", "guidelines", "examples", "feedback"))
 _BM = f"""
-c as (select kind as bucket, id, text, {_TOK.format('text')} as w from kb where kind in ('definition', 'guideline', 'example') and text is not null),
+c as (select case when kind in ('example', 'feedback') then kind || ':' || lang else kind end as bucket, id, text, {_TOK.format('text')} as w from kb
+      where kind in ('definition', 'guideline', 'example', 'feedback') and text is not null and (lang is not null or kind in ('definition', 'guideline'))),
 sz as (select bucket, count(*) as n, avg(len(w)) as avgdl from c group by bucket),
 tf as (select bucket, id, term, count(*) as tf, any_value(dl) as dl from (select bucket, id, len(w) as dl, unnest(w) as term from c) group by bucket, id, term),
 dfs as (select bucket, term, count(*) as df, any_value(n) as n from tf join sz using (bucket) group by bucket, term),
@@ -207,13 +196,13 @@ rw as (select *, ln(n - df + 0.5) - ln(df + 0.5) as raw from dfs),
 idf as (select r.bucket, term, df, case when raw < 0 then 0.25 * mean else raw end as idf from rw r join (select bucket, avg(raw) as mean from rw group by bucket) m using (bucket))
 """
 _COS = "list_cosine_similarity({}::double[], {}::double[])"
-_HC = f"""with c as (select doc_id as id, text, embedding as vec, {_TOK.format('text')} as w from documents join embeddings on doc_id = vec_id where text is not null),
+_HC = f"""with c as (select doc_id as id, text, embedding as vec, {_TOK.format('text')} as w from documents left join embeddings on doc_id = vec_id where text is not null),
 sz as (select count(*) as n, avg(len(w)) as avgdl from c), tf as (select id, term, count(*) as tf, any_value(dl) as dl from (select id, len(w) as dl, unnest(w) as term from c) group by id, term),
 rw as (select term, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) as raw from tf, sz group by term), idf as (select term, case when raw < 0 then 0.25 * (select avg(raw) from rw) else raw end as idf from rw),
 q as (select * from c where id % 50 = 0), qt as (select id as query_id, term, count(*) as qtf from (select id, unnest(w) as term from q) group by all),
 bm as (select query_id, id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) as score from qt join tf using (term) join idf using (term), sz where query_id <> id group by all),
 bk as (select * from (select *, row_number() over (partition by query_id order by round(score, 6) desc, id) as rank from bm) where rank <= 10 and score > 0),
-dn as (select q.id as query_id, c.id, {_COS.format('q.vec', 'c.vec')} as score from q join c on q.id <> c.id),
+dn as (select q.id as query_id, c.id, {_COS.format('q.vec', 'c.vec')} as score from q join c on q.id <> c.id where q.vec is not null and c.vec is not null),
 dk as (select * from (select *, row_number() over (partition by query_id order by round(score, 6) desc, id) as rank from dn) where rank <= 10),
 f as (select query_id, id, sum(1.0::double / (60 + rank)) as score, max(rank) filter (where ch = 'b') as bm25_rank, max(rank) filter (where ch = 'd') as dense_rank from (select query_id, id, rank, 'b' as ch from bk union all select query_id, id, rank, 'd' from dk) group by all)
 """
@@ -221,15 +210,15 @@ _SHOWN = ("select item_id, bucket, hit_id, min(hit_pos) as pos, any_value(k.text
 
 QUERIES = {
     f.__name__: f
-    for f in (bm25_stats, bm25_topk, bm25_stats_buckets, bm25_topk_buckets, dense_topk, knn_best_twin, cosine_threshold_join, pairwise_redundancy, rrf_fuse, retrieve_hybrid, mmr_select, definition_budget, fewshot_static, oracle_injection, retrieved_ids, channel_shares, parse_accounting, parse_by_arm, output_inspection, mock_run, prompt_label_space, prompt_render_gold, prompt_sizes)
+    for f in (bm25_stats, bm25_topk, dense_topk, knn_best_twin, cosine_threshold_join, pairwise_redundancy, rrf_fuse, retrieve_hybrid, mmr_select, definition_budget, fewshot_static, oracle_injection, retrieved_ids, channel_shares, parse_accounting, parse_by_arm, output_inspection, mock_run, prompt_label_space, prompt_render_gold, prompt_sizes)
 }
 _RAWMETA = "try_cast(meta as json)"
 ORACLE = {
     "bm25_stats": sql(f", {_BM} select bucket, n_terms, round(s, 4) as sum_idf, max_df, n, round(avgdl, 6) as avgdl from (select bucket, count(*) as n_terms, sum(idf) as s, max(df) as max_df from idf group by bucket) join sz using (bucket)", "kb"),
     "bm25_topk": sql(
-        f""", {_BM}, q as (select id as query_id, {_TOK.format('text')} as w from items where text is not null and try_cast(regexp_extract(id, '([0-9]+)$', 1) as bigint) % 50 = 0),
-        qt as (select query_id, term, count(*) as qtf from (select query_id, unnest(w) as term from q) group by all),
-        s as (select query_id, tf.bucket, tf.id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) as score from qt join tf using (term) join idf using (bucket, term) join sz using (bucket) group by all)
+        f""", {_BM}, q as (select id as query_id, unnest(list_distinct(['definition', 'guideline', 'example:' || lower(trim(lang)), 'feedback:' || lower(trim(lang))])) as bucket, {_TOK.format('text')} as w from items where text is not null and try_cast(regexp_extract(id, '([0-9]+)$', 1) as bigint) % 50 = 0),
+        qt as (select query_id, bucket, term, count(*) as qtf from (select query_id, bucket, unnest(w) as term from q) group by all),
+        s as (select query_id, tf.bucket, tf.id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) as score from qt join tf using (bucket, term) join idf using (bucket, term) join sz using (bucket) group by all)
         select query_id, bucket, id, rank, round(score, 5) as score from (select *, row_number() over (partition by query_id, bucket order by round(score, 6) desc, id) as rank from s) where rank <= 5 and score > 0""",
         "kb", "items",
     ),
