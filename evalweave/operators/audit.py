@@ -14,7 +14,9 @@ from pyspark.sql.window import Window
 from evalweave.functions.stats import count_if, ratio
 from evalweave.functions.text import dedup_key, norm_text, tokens
 from evalweave.operators.retrieve import dense_top_k
+from evalweave.operators.sampling import at_ranks
 from evalweave.session import materialise
+from evalweave.sources.tables import join_nullsafe
 
 #: Least cosine of a near copy; the most frequent words, by a sample, that come last in the search for near copies.
 NEAR, COMMON_WORDS = 0.95, 50_000
@@ -158,10 +160,9 @@ def by_phase(log: DataFrame, ts: str, phases: list[tuple[str, str, str]]) -> Dat
 
 def latency_at(log: DataFrame, value: str, by: str, shares: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:
     """The value at index int(n * share) of the sorted values of each key, found by rank rather than by collecting them."""
-    w = Window.partitionBy(by).orderBy(value)
-    x = log.filter(F.col(value).isNotNull()).withColumn("r", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(Window.partitionBy(by)))
-    at = [F.max(F.when(F.col("r") == F.least(F.floor(F.col("n") * s), F.col("n") - 1), F.col(value))).alias(f"p{round(s * 100)}") for s in shares]
-    return x.groupBy(by).agg(F.count("*").alias("n"), *at, (F.sum(value) / 3600).alias("hours"))
+    ranks = {f"p{round(x * 100)}": F.least(F.floor(F.col("n") * x), F.col("n") - 1) for x in shares}
+    hours = log.filter(F.col(value).isNotNull()).groupBy(by).agg((F.sum(value) / 3600).alias("hours"))
+    return join_nullsafe(at_ranks(log, [by], value, ranks), hours, [by])
 
 
 def stamp_audit(results: DataFrame, stamps: list[str], by: str = "arm") -> DataFrame:

@@ -87,17 +87,42 @@ def partition_slices(df: DataFrame, strata: list[str], sizes: dict[str, int], ke
 def label_stratified(df: DataFrame, labels_col: str, labels: list[str], per_label: int, key: str = "id", seed: int = 0) -> DataFrame:
     """Rarest label first, rows are drawn until each label has ``per_label``; a row counts for all of its labels.
 
-    One step a label (a handful), each a bounded top-k; what was drawn before counts towards later labels.
+    The first ``per_label`` rows of a label's shuffle hold all that can be drawn for it, whatever was drawn before. They
+    are found for all labels in one pass; the draw itself is over those few rows.
     """
     x = df.withColumn("_n", draw_number(F.col(key), seed)).select(key, labels_col, "_n")
-    support = {r["label"]: r["n"] for r in x.select(F.explode(labels_col).alias("label")).filter(F.col("label").isin(labels)).groupBy("label").agg(F.count("*").alias("n")).collect()}
-    drawn: list = []  # at most per_label rows a label: bounded by the parameters, whatever the table
+    each = x.select("*", F.explode(F.array_distinct(labels_col)).alias("_label")).filter(F.col("_label").isin(labels))
+    support = {r["_label"]: r["n"] for r in each.groupBy("_label").agg(F.count("*").alias("n")).collect()}
+    first = each.withColumn("_r", F.row_number().over(Window.partitionBy("_label").orderBy("_n", key))).filter(F.col("_r") <= per_label)
+    lists: dict = {}
+    for r in sorted(first.collect(), key=lambda r: r["_r"]):  # per_label rows a label, whatever the table
+        lists.setdefault(r["_label"], []).append(r)
+    drawn: dict = {}
     for label in sorted(labels, key=lambda v: (support.get(v, 0), v)):
-        have = sum(label in r[labels_col] for r in drawn)
-        if have < per_label:
-            rest = x.filter(F.array_contains(labels_col, label) & ~F.col(key).isin([r[key] for r in drawn]))
-            drawn += rest.orderBy("_n", key).limit(per_label - have).collect()
-    return df.sparkSession.createDataFrame([(r[key], r[labels_col]) for r in drawn], df.select(key, labels_col).schema)
+        have = sum(label in r[labels_col] for r in drawn.values())
+        for r in lists.get(label, ()):
+            if have < per_label and r[key] not in drawn:
+                drawn[r[key]], have = r, have + 1
+    return df.sparkSession.createDataFrame([(r[key], r[labels_col]) for r in drawn.values()], df.select(key, labels_col).schema)
+
+
+def at_ranks(df: DataFrame, by: list[str], value: str, ranks: dict[str, Column], edges: int = 256) -> DataFrame:
+    """(by, n, a column for each of ``ranks``): the values at given 0-based ranks of each key's sorted values.
+
+    ``ranks`` are expressions over ``n``, the key's number of values. Equal values are counted first; the rest are dealt to
+    buckets between approximate quantiles, which bear on time only, and ranked inside their bucket, so no task sorts a key.
+    """
+    c = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_k"))
+    at = [i / edges for i in range(1, edges)]
+    e = c.groupBy(*by).agg(F.percentile_approx(value, F.array(*[F.lit(x) for x in at]), F.lit(10_000)).alias("_e"), F.sum("_k").alias("n"))
+    x = join_nullsafe(c, e, by) if by else c.crossJoin(F.broadcast(e))
+    x = x.withColumn("_b", F.size(F.filter("_e", lambda q: q < F.col(value)))).drop("_e")
+    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    b = x.groupBy(*by, "_b").agg(F.sum("_k").alias("_s")).withColumn("_before", F.coalesce(F.sum("_s").over(before), F.lit(0))).drop("_s")
+    x = join_nullsafe(x, b, [*by, "_b"])
+    x = x.withColumn("_hi", F.col("_before") + F.sum("_k").over(Window.partitionBy(*by, "_b").orderBy(value)))
+    hit = lambda r: F.max(F.when((r >= F.col("_hi") - F.col("_k")) & (r < F.col("_hi")), F.col(value)))
+    return x.groupBy(*by).agg(F.max("n").alias("n"), *[hit(r).alias(k) for k, r in ranks.items()])
 
 
 def keep_first(df: DataFrame, key: Column, order: list[str]) -> DataFrame:
@@ -107,10 +132,12 @@ def keep_first(df: DataFrame, key: Column, order: list[str]) -> DataFrame:
     return first.select(*[F.col(f"_r.{c}").alias(c) for c in df.columns])
 
 
-def severity_band(score: str, cut: float, by: DataFrame) -> Column:
-    """Ordinal band of a score: none at or below ``cut``, else terciles of the mass above it (linear interpolation)."""
-    q = by.filter(F.col(score) > cut).agg(F.percentile(score, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("q")).first()["q"]
-    if q is None:
-        return F.lit(None).cast("string")
+def severity_band(df: DataFrame, score: str, cut: float) -> DataFrame:
+    """``df`` with ``band``: none at or below ``cut``, else terciles of the mass above it (linear interpolation)."""
+    ranks = {f"{w}{i}": f(F.lit(i) * (F.col("n") - 1) / 3) for i in (1, 2) for w, f in (("low", F.floor), ("high", F.ceil))}
+    q = at_ranks(df.filter(F.col(score) > cut).select(score), [], score, ranks)
+    part = lambda i: F.lit(i) * (F.col("n") - 1) / 3 - F.floor(F.lit(i) * (F.col("n") - 1) / 3)
+    q = q.select(*[(F.col(f"low{i}") + (F.col(f"high{i}") - F.col(f"low{i}")) * part(i)).alias(f"_q{i}") for i in (1, 2)])
     c = F.col(score)
-    return F.when(c <= cut, None).when(c <= q[0], "low").when(c <= q[1], "medium").when(c.isNotNull(), "high")
+    band = F.when(c <= cut, F.lit(None).cast("string")).when(c <= F.col("_q1"), "low").when(c <= F.col("_q2"), "medium").when(c.isNotNull(), "high")
+    return df.crossJoin(F.broadcast(q)).withColumn("band", band).drop("_q1", "_q2")  # one row

@@ -11,13 +11,13 @@ from evalweave.operators import metrics as M
 from evalweave.operators import sampling as S
 from evalweave.operators import vote as V
 from evalweave.operators.labels import TAXONOMY
-from evalweave.plans import data, scoring
+from evalweave.plans import building, data, scoring
 from evalweave.plans.data import sql
 from evalweave.sources.tables import table
 from evalweave.streaming import log as L
 
-#: Resamples of the queries that SQL states too, and of the same at full size.
-B, B_FULL = 40, 1000
+#: Resamples, and steps of the threshold grid.
+B, STEPS = 1000, 100
 STAMPS = ["active_model", "prompt_version", "kb_version", "temperature", "workers"]
 PHASES = [("pilot", "2025-01-01", "2025-02-15"), ("main", "2025-02-01", "2025-04-30"), ("rerun", "2025-05-01", "2025-12-31")]
 
@@ -61,28 +61,18 @@ def _bootstrap(s, d, b):
 
 
 def paired_bootstrap(s, d):
-    """With ``B`` resamples, as many as the SQL can follow."""
     return _bootstrap(s, d, B)
 
 
-def paired_bootstrap_full(s, d):
-    return _bootstrap(s, d, B_FULL)
-
-
 def _survival(s, d, b):
     g = data.items(s, d, "gate", "hate_types").filter("gate and hate_types is not null").select(F.col("id").alias("item_id"), F.col("hate_types").alias("labels"))
     return A.label_survival(g, b, 12)
 
 
 def label_survival(s, d):
-    """With ``B`` resamples, as many as the SQL can follow."""
     return _survival(s, d, B)
 
 
-def label_survival_full(s, d):
-    return _survival(s, d, B_FULL)
-
-
 def guideline_effect(s, d):
     x = A.guideline_effect(data.retrieved(s, d), _correct(s, d))
     return x.select("guideline", "gold_hate", "n", "correct", "n_paired", "base_correct", _r("accuracy"), _r("base_accuracy"), _r("delta"))
@@ -127,12 +117,7 @@ def _sweep(s, d, thresholds):
 
 
 def threshold_sweep(s, d):
-    return _sweep(s, d, 20)
-
-
-def threshold_sweep_full(s, d):
-    """``threshold_sweep`` at 99 thresholds."""
-    return _sweep(s, d, 100)
+    return _sweep(s, d, STEPS)
 
 
 def permutation_test(s, d):
@@ -203,10 +188,11 @@ def sentinel_flips(s, d):
 
 
 def batch_errors(s, d):
-    """Correctness by batch of items, four batches by hash."""
-    g = _gold_types(s, d).withColumn("batch", F.pmod(S.draw_number(F.col("item_id"), 4), F.lit(4)) + 1)
-    r = scoring.voted(s, d).join(g, "item_id").withColumn("ok", U.correct("gold", "hate_type", "exact"))
-    return r.groupBy("arm", "batch").agg(F.count("*").alias("n"), F.count(F.when(F.col("ok"), 1)).alias("n_correct"), F.count(F.when(U.correct("gold", "hate_type", "contains"), 1)).alias("n_contains"))
+    """Correctness by drawn slice, and over the batches that a round before the last had not seen."""
+    g = _gold_types(s, d).join(building.role_partition(s, d).withColumnRenamed("id", "item_id"), "item_id")
+    r = scoring.voted(s, d).join(g, "item_id").withColumn("ok", U.correct("gold", "hate_type", "exact")).withColumn("inside", U.correct("gold", "hate_type", "contains"))
+    r = r.select("arm", "ok", "inside", F.explode(F.when(F.col("slice").startswith("batch_") & (F.col("slice") > "batch_1"), F.array("slice", F.lit("unseen"))).otherwise(F.array("slice"))).alias("batch"))
+    return r.groupBy("arm", "batch").agg(F.count("*").alias("n"), F.count(F.when(F.col("ok"), 1)).alias("n_correct"), F.count(F.when(F.col("inside"), 1)).alias("n_contains"))
 
 
 def feedback_round(s, d):
@@ -268,11 +254,11 @@ def log_corrupt_lines(s, d):
 
 
 def stamp_audit(s, d):
-    return U.stamp_audit(data.results(s, d, *STAMPS), ["active_model", "prompt_version", "kb_version", "workers"])
+    return U.stamp_audit(data.results(s, d, *STAMPS), STAMPS)
 
 
 def comparability_groups(s, d):
-    return U.comparability_groups(data.results(s, d, *STAMPS), ["active_model", "prompt_version", "kb_version"])
+    return U.comparability_groups(data.results(s, d, *STAMPS), ["active_model", "prompt_version", "kb_version", "temperature"])
 
 
 def requested_vs_observed(s, d):
@@ -342,7 +328,7 @@ def stream_append(s, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (alpha_nominal, alpha_multilabel, alpha_ordinal, mcnemar_counts, paired_bootstrap, label_survival, guideline_effect, replicate_floor, variance_estimate, heterogeneity_pool, arm_disagreement, threshold_sweep, paired_bootstrap_full, label_survival_full, threshold_sweep_full, permutation_test, leakage_scan, leak_exclusions, retrieval_leak_rescore, item_stability, sentinel, sentinel_flips, batch_errors, feedback_round, feedback_cumulative, feedback_gate_origin, generalisation_bands, log_calls_per_day, log_by_model, log_phase_ranges, log_latency_percentiles, log_events_per_type, log_corrupt_lines, stamp_audit, comparability_groups, requested_vs_observed, dimension_reach, slot_allocation, dead_records, most_used_records, label_relevance, draw_ladder, comment_level, batch_of_name, text_hash_conflicts, stream_log_daily, stream_append)
+    for f in (alpha_nominal, alpha_multilabel, alpha_ordinal, mcnemar_counts, paired_bootstrap, label_survival, guideline_effect, replicate_floor, variance_estimate, heterogeneity_pool, arm_disagreement, threshold_sweep, permutation_test, leakage_scan, leak_exclusions, retrieval_leak_rescore, item_stability, sentinel, sentinel_flips, batch_errors, feedback_round, feedback_cumulative, feedback_gate_origin, generalisation_bands, log_calls_per_day, log_by_model, log_phase_ranges, log_latency_percentiles, log_events_per_type, log_corrupt_lines, stamp_audit, comparability_groups, requested_vs_observed, dimension_reach, slot_allocation, dead_records, most_used_records, label_relevance, draw_ladder, comment_level, batch_of_name, text_hash_conflicts, stream_log_daily, stream_append)
 }
 
 _ALPHA = """, c as (select arm, dimension, unit, value, count(*) as k from units group by all), m as (select *, sum(k) over (partition by arm, dimension, unit) as m from c), f as (select * from m where m > 1),
@@ -390,11 +376,11 @@ ORACLE = {
     "replicate_floor": sql(_REP + ", sc as (select arm, run_idx, avg(ok) as score from rep group by all), a as (select arm, count(*) as n, min(score) as lowest, max(score) as highest, avg(score) as mean, max(score) - min(score) as spread from sc group by arm) select arm, n, round(lowest, 6) as lowest, round(highest, 6) as highest, round(mean, 6) as mean, round(spread, 6) as spread, round(max(spread) over (), 6) as floor from a", "ok_runs", "items"),
     "variance_estimate": sql(_DIFF + " select part, n_replicates, round(delta, 6) as delta, round(item_se, 6) as item_se, round(replicate_sd, 6) as replicate_sd, round(sqrt(item_se * item_se + replicate_sd * replicate_sd / n_replicates), 6) as total_se from ve", "ok_runs", "items", "results"),
     "arm_disagreement": sql(_PAIR + " select arm_a, arm_b, count(*) as n, round(avg((pred_a = pred_b)::int), 6) as agreement, count(*) filter (where ok_a and not ok_b) as wins, count(*) filter (where not ok_a and ok_b) as losses from pr group by all", "results", "items"),
-    "threshold_sweep": sql(f", p as (select arm, item_id, avg(hate::int) as p from ok_runs group by all), x as (select p.arm, t, p.p >= t / 20 as hit, i.gate as truth from p join items i on p.item_id = i.id cross join (select unnest(range(1, 20)) as t) where i.gate is not null), z as (select arm, t, count(*) filter (where truth and hit) as tp, count(*) filter (where not truth and hit) as fp, count(*) filter (where truth and not hit) as fn, count(*) filter (where not truth and not hit) as tn from x group by all) select arm, round(t / 20, 6) as threshold, round({_MAC.format('')}, 6) as macro_f1, round((tp + fp) / (tp + fp + fn + tn), 6) as predicted_rate from z", "ok_runs", "items"),
+    "threshold_sweep": sql(f", p as (select arm, item_id, avg(hate::int) as p from ok_runs group by all), x as (select p.arm, t, p.p >= t / {STEPS} as hit, i.gate as truth from p join items i on p.item_id = i.id cross join (select unnest(range(1, {STEPS})) as t) where i.gate is not null), z as (select arm, t, count(*) filter (where truth and hit) as tp, count(*) filter (where not truth and hit) as fp, count(*) filter (where truth and not hit) as fn, count(*) filter (where not truth and not hit) as tn from x group by all) select arm, round(t / {STEPS}, 6) as threshold, round({_MAC.format('')}, 6) as macro_f1, round((tp + fp) / (tp + fp + fn + tn), 6) as predicted_rate from z", "ok_runs", "items"),
     "item_stability": sql(_TYPES + " select arm, count(*) as n, count(*) filter (where a) as all_correct, count(*) filter (where o) as any_correct from (select item_id, arm, bool_and(ok) as a, bool_or(ok) as o from rk group by all) group by arm", "runs", "ok_runs", "items"),
     "sentinel": sql(_TYPES + " select item_id, count(*) as n_runs from rk where arm = 'rag' group by item_id having bool_and(ok)", "runs", "ok_runs", "items"),
     "sentinel_flips": sql(_TYPES + ", w as (select item_id, arm, any_value(gold) as gold, bool_or(ok) filter (where run_idx = 0) as before, bool_or(ok) filter (where run_idx = 1) as after from rk group by all) select arm, label, count(*) as support, count(*) filter (where not after) as flips from (select arm, after, unnest(gold) as label from w where before and after is not null) group by all", "runs", "ok_runs", "items"),
-    "batch_errors": sql(_VT + f" select arm, {_N.format(4)} % 4 + 1 as batch, count(*) as n, count(*) filter (where exact_ok) as n_correct, count(*) filter (where contains_ok) as n_contains from vt group by all", "votes", "items"),
+    "batch_errors": sql(_VT + ", z as (select id, array_to_string(list_sort(hate_types), ',') as labels from items where gate and hate_types is not null)" + building.ROLES_CTE + ", j as (select arm, exact_ok, contains_ok, unnest(case when slice > 'batch_1' and starts_with(slice, 'batch_') then [slice, 'unseen'] else [slice] end) as batch from vt join sl on sl.id = vt.item_id) select arm, batch, count(*) as n, count(*) filter (where exact_ok) as n_correct, count(*) filter (where contains_ok) as n_contains from j group by all", "votes", "items"),
     "feedback_round": sql(_VT + f" select item_id, case when exact_ok then 'control' else 'feedback' end as feedback_arm from (select *, row_number() over (partition by exact_ok order by {_N.format(1)}, item_id) as r from vt where arm = 'rag') where r <= 12", "votes", "items"),
     "feedback_cumulative": sql(_FB + " select feedback_arm, round, count(*) as n from (select *, row_number() over (partition by id order by round desc, origin_item_id) as r from fb where round <= 2) where r = 1 group by all", "kb"),
     "feedback_gate_origin": sql(_FB + " select feedback_arm, round, v.hate::varchar as predicted, count(*) as n from fb left join votes v on v.item_id = fb.origin_item_id and v.arm = 'rag' group by all", "kb", "votes"),
@@ -405,8 +391,8 @@ ORACLE = {
     "log_latency_percentiles": sql("select arm, count(*) as n, list_extract(l, cast(floor(len(l) * 0.5) as bigint) + 1) as p50, list_extract(l, cast(floor(len(l) * 0.9) as bigint) + 1) as p90, list_extract(l, cast(floor(len(l) * 0.99) as bigint) + 1) as p99, round(list_sum(l) / 3600, 6) as hours from (select arm, unnest(l) as u, l from (select arm, list_sort(list(latency_s)) as l from runs where latency_s is not null group by arm)) group by arm, l", "runs"),
     "log_events_per_type": "select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) as n from events where ts is not null group by all",
     "log_corrupt_lines": sql("select source, count(raw) as n_lines, count(*) filter (where raw is not null and try_cast(raw as json) is null) as n_corrupt from items group by source", "items"),
-    "stamp_audit": sql(" union all ".join(f"select arm, '{c}' as stamp, count(distinct {c}) as n_values, coalesce(array_to_string(list_sort(list(distinct {c}::varchar) filter (where {c} is not null)), ','), '') as values from results group by arm" for c in ("active_model", "prompt_version", "kb_version", "workers")), "results"),
-    "comparability_groups": sql("select coalesce(active_model, 'unstamped') as active_model, coalesce(prompt_version, 'unstamped') as prompt_version, coalesce(kb_version, 'unstamped') as kb_version, count(*) as n, array_to_string(list_sort(list(distinct arm)), ',') as arms from results group by 1, 2, 3", "results"),
+    "stamp_audit": sql(" union all ".join(f"select arm, '{c}' as stamp, count(distinct {c}) as n_values, coalesce(array_to_string(list_sort(list(distinct {c}::varchar) filter (where {c} is not null)), ','), '') as values from results group by arm" for c in STAMPS), "results"),
+    "comparability_groups": sql("select coalesce(active_model, 'unstamped') as active_model, coalesce(prompt_version, 'unstamped') as prompt_version, coalesce(kb_version, 'unstamped') as kb_version, coalesce(temperature::varchar, 'unstamped') as temperature, count(*) as n, array_to_string(list_sort(list(distinct arm)), ',') as arms from results group by 1, 2, 3, 4", "results"),
     "requested_vs_observed": sql(", w as (select * from (values ('zero_shot', 'active_model', 'strong-a'), ('zero_shot', 'workers', '4'), ('few_shot', 'active_model', 'medium-b'), ('few_shot', 'workers', '4'), ('rag', 'active_model', 'strong-a'), ('rag', 'workers', '8')) t(arm, stamp, requested)), o as (select distinct arm, 'active_model' as stamp, active_model as observed from results union select distinct arm, 'workers', workers::varchar from results) select arm, stamp, requested, observed from w join o using (arm, stamp) where requested is distinct from observed", "results"),
     "dimension_reach": sql(" union all ".join(f"select '{c}' as dimension, count(*) as n, count({c}) as voted, strftime(min(run_ts) filter (where {c} is not null), '%Y-%m-%d') as first_voted from runs" for c in ("hate", "target_group", "hate_type", "severity", "legal")), "runs"),
     "slot_allocation": sql(", h as (select distinct item_id, hit_id from hits where bucket = 'definitions') select k.dimension, count(*) as slots, round(count(*) / (select count(*) from h), 6) as slot_share, count(distinct item_id) as items, round(count(distinct item_id) / (select count(distinct item_id) from h), 6) as item_share from h left join (select id, dimension from kb where kind = 'definition') k on h.hit_id = k.id group by k.dimension", "hits", "kb"),

@@ -105,7 +105,7 @@ def role_partition(s, d):
     """Roles stratified on the exact label set."""
     i = data.items(s, d, "gate", "hate_types").filter("gate and hate_types is not null")
     i = i.select("id", F.array_join(F.array_sort("hate_types"), ",").alias("labels"))
-    return S.partition_slices(i, ["labels"], {"pool": 40, "held_out": 40, "batch_1": 15, "batch_2": 15, "batch_3": 15}, seed=5).select("id", "slice")
+    return S.partition_slices(i, ["labels"], ROLES, seed=5).select("id", "slice")
 
 
 def label_stratified(s, d):
@@ -115,7 +115,7 @@ def label_stratified(s, d):
 
 def severity_bands(s, d):
     r = data.runs(s, d, "latency_s")
-    return r.select(S.severity_band("latency_s", 1.0, r).alias("band")).groupBy("band").agg(F.count("*").alias("n"))
+    return S.severity_band(r, "latency_s", 1.0).groupBy("band").agg(F.count("*").alias("n"))
 
 
 def label_histogram(s, d):
@@ -141,9 +141,12 @@ def label_cardinality(s, d):
 
 
 def kb_definitions(s, d):
-    k = data.kb(s, d, "kind", "dimension", "label", "text").filter("kind = 'definition'")
-    labels = L.label_table(s).select(F.col("dimension"), F.col("label"))
-    return labels.join(k.select("dimension", "label", "id"), ["dimension", "label"], "left").select("dimension", "label", "id")
+    """Definitions built from the label space, and whether the stored base has the same under the same id."""
+    stored = data.kb(s, d, "kind", "dimension", "label", "text").filter("kind = 'definition'").select("id", F.col("dimension").alias("stored_dimension"), F.col("label").alias("stored_label"))
+    words = {("hate", ""): "hateful"} | {(k, x): x.replace("_", " ") for k, xs in L.TAXONOMY.items() for x in xs}
+    built = K.definitions(s, words)
+    same = F.col("dimension").eqNullSafe(F.col("stored_dimension")) & F.col("label").eqNullSafe(F.col("stored_label"))
+    return built.join(stored, "id", "left").select("id", "dimension", "label", "text", same.alias("is_stored"))
 
 
 def kb_examples_richest(s, d):
@@ -242,6 +245,10 @@ def _slices(strata: str, sizes: dict[str, int], source: str, seed: int) -> str:
     return f", {', '.join(parts)}, o as ({ranked}) select * from (select o.id, case {' '.join(cases)} end as slice from o {joins}) where slice is not null"
 
 
+ROLES = {"pool": 40, "held_out": 40, "batch_1": 15, "batch_2": 15, "batch_3": 15, "batch_4": 15}
+_ROLES = _slices("labels", ROLES, "z", 5)
+#: CTEs down to ``sl(id, slice)``, over ``z(id, labels)``.
+ROLES_CTE = _ROLES.replace(" select * from (select o.id", ", sl as (select * from (select o.id", 1) + ")"
 _META = "json_extract(try_cast(meta as json), '$.{}')"
 ORACLE = {
     "tokenize_counts": sql(r"select kind, count(*) as n_tokens, count(distinct t) as n_terms from (select kind, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+')) as t from kb where text is not null) group by kind", "kb"),
@@ -250,7 +257,7 @@ ORACLE = {
     "feedback_ids": sql(f"select id, 'fb-' || substr(sha1({_FLAT_SQL.format('text')}), 1, 12) as fid from items where text is not null", "items"),
     "dedup_keep_first": sql(f"select id, source from (select id, source, row_number() over (partition by {_KEY_SQL.format('text')} order by id) as r from items where text is not null) where r = 1", "items"),
     "record_rows": sql("select id, gate::varchar as gate, " + ", ".join(f"coalesce(to_json({c})::varchar, '__none__') as {c}" for c in ("target_groups", "hate_types", "legal")) + " from items", "items"),
-    "sentinel_round_trip": sql("select count(*) as n, count(*) as same_0, count(*) as same_1, count(*) as same_2 from items", "items"),
+    "sentinel_round_trip": sql("select count(*) as n, " + ", ".join(f"count(*) filter (where from_json(case when {c} is not null then to_json({c}) end, '[\"VARCHAR\"]') is not distinct from {c}) as same_{i}" for i, c in enumerate(("target_groups", "hate_types", "legal"))) + " from items", "items"),
     "annotation_richness": sql("select cast((gate is not null)::int + (target_groups is not null)::int + (hate_types is not null)::int + (severity is not null)::int + (legal is not null)::int as bigint) as rich, count(*) as n from items group by 1", "items"),
     "multi_hot_targets": sql("select id, array_to_string(list_transform(['explicit', 'incitement', 'inferiority', 'irony', 'stereotyping', 'threatening', 'grievance'], lambda x: list_contains(hate_types, x)::int), '') as hot from items where hate_types is not null", "items"),
     "split_70_15_15": sql(f"select id, split from ({_SPLIT.format('')})", "items"),
@@ -259,7 +266,7 @@ ORACLE = {
     "draw_pool_stratified": sql(f", t as ({_takes('source, gate', 200, 'items', 'source desc nulls last, gate desc nulls last')}), o as (select id, source, gate, row_number() over (partition by source, gate order by {_DRAW.format('id', 0)}, id) as r from items) select o.id, o.source, o.gate::varchar as gate from o join t on o.source is not distinct from t.source and o.gate is not distinct from t.gate where r <= take", "items"),
     "draw_pool_lineitem": f"with x as (select l_orderkey::varchar || '-' || l_linenumber::varchar || '-x' as id, min(l_returnflag) as l_returnflag, min(l_linestatus) as l_linestatus from lineitem group by 1), t as ({_takes('l_returnflag, l_linestatus', 1000, 'x', 'l_returnflag desc, l_linestatus desc')}), o as (select *, row_number() over (partition by l_returnflag, l_linestatus order by {_DRAW.format('id', 3)}, id) as r from x) select o.l_returnflag, o.l_linestatus, count(*) as n, min(id) as first_id from o join t using (l_returnflag, l_linestatus) where r <= take group by all",
     "partition_slices": sql(_slices("source", {"pool": 120, "held_out": 80, "batch_1": 40, "batch_2": 40}, "items", 0), "items"),
-    "role_partition": sql(", z as (select id, array_to_string(list_sort(hate_types), ',') as labels from items where gate and hate_types is not null)" + _slices("labels", {"pool": 40, "held_out": 40, "batch_1": 15, "batch_2": 15, "batch_3": 15}, "z", 5), "items"),
+    "role_partition": sql(", z as (select id, array_to_string(list_sort(hate_types), ',') as labels from items where gate and hate_types is not null)" + _ROLES, "items"),
     "severity_bands": sql(", q as (select quantile_cont(latency_s, [1/3, 2/3]) as q from runs where latency_s > 1.0) select case when latency_s <= 1.0 then null when latency_s <= q[1] then 'low' when latency_s <= q[2] then 'medium' when latency_s is not null then 'high' end as band, count(*) as n from runs, q group by 1", "runs"),
     "label_histogram": sql(
         ", l as (" + " union all ".join(f"select '{k}' as dimension, '{x}' as label" for k, xs in L.TAXONOMY.items() for x in xs) + "), n as (select dimension, label, count(*) as n from (select 'target_group' as dimension, unnest(target_groups) as label from items union all select 'hate_type', unnest(hate_types) from items union all select 'legal', unnest(legal) from items union all select 'severity', severity from items) group by all) select l.dimension, l.label, coalesce(n, 0) as n from l left join n using (dimension, label)",
@@ -268,7 +275,7 @@ ORACLE = {
     "source_histogram": sql("select subset, source, count(*) as n, count(*) filter (where gate) as n_hateful, count(*) filter (where gate is null) as n_unannotated from items group by subset, source", "items"),
     "coverage_matrix": sql("select source, " + ", ".join(f"cast(max(({c} is not null)::int) as bigint) as has_{c}" for c in ("gate", "target_groups", "hate_types", "severity", "legal")) + ", coalesce(array_to_string(list_sort(list(distinct lower(trim(lang))) filter (where lang is not null)), ','), '') as langs from items group by source", "items"),
     "label_cardinality": sql("select len(hate_types) as n_labels, count(*) as n from items where hate_types is not null group by 1", "items"),
-    "kb_definitions": sql(", l as (" + " union all ".join(f"select '{k}' as dimension, '{x}' as label" for k, xs in L.TAXONOMY.items() for x in xs) + ") select l.dimension, l.label, k.id from l left join (select * from kb where kind = 'definition') k using (dimension, label)", "kb"),
+    "kb_definitions": sql(", l as (select 'def-hate' as id, 'hate' as dimension, null as label, 'hateful' as text union all " + " union all ".join(f"select 'def-{k}-{x}', '{k}', '{x}', '{x.replace('_', ' ')}'" for k, xs in L.TAXONOMY.items() for x in xs) + ") select l.*, k.dimension is not distinct from l.dimension and k.label is not distinct from l.label as is_stored from l left join (select * from kb where kind = 'definition') k using (id)", "kb"),
     "kb_examples_richest": sql(", r as (select *, (gate is not null)::int + (target_groups is not null)::int + (hate_types is not null)::int + (severity is not null)::int + (legal is not null)::int as rich from items), x as (select id, rich, unnest(hate_types) as label from r union all select id, rich, 'none' from r where not gate) select id, label, pick from (select id, label, row_number() over (partition by label order by rich desc, id) as pick from x where label is not null) where pick <= case label when 'none' then 20 else 10 end", "items"),
     "kb_merge_illustrations": sql("select id, case when kind = 'feedback' or label = 'irony' then 'illustration' else label end as label from kb where kind in ('example', 'feedback')", "kb"),
     "kb_validate": sql(
@@ -287,7 +294,7 @@ ORACLE = {
     "kb_duplicate_ids": "select id, count(*) as n from kb_hits group by id having count(*) > 1",
     "kb_kind_counts": sql("select kind, lang, count(*) as n from kb group by kind, lang", "kb"),
     "kb_held_out_drop": sql(f"select kind, count(*) as n_kept from kb where kind in ('example', 'feedback') and text is not null and {_KEY_SQL.format('text')} not in (select {_KEY_SQL.format('text')} from items where contains(subset, 'test') and text is not null) group by kind", "kb", "items"),
-    "kb_row_diff": "select 'def-hate' as id, '*' as field, 'removed' as change union all select 'def-severity-low', 'text', 'changed'",
+    "kb_row_diff": sql(", old as (select id, unnest(['kind', 'dimension', 'label', 'lang', 'text']) as field, unnest([kind, dimension, label, lang, text]) as value from kb), new as (select id, field, case when id = 'def-severity-low' and field = 'text' then 'another text' else value end as value from old where id <> 'def-hate'), gone as (select id from old except select id from new) select id, '*' as field, 'removed' as change from gone union all select o.id, o.field, 'changed' from old o join new n using (id, field) where o.value is distinct from n.value", "kb"),
     "kb_label_removed": sql("select kind, count(*) as n from kb where not (kind = 'definition' and dimension is not distinct from 'hate_type' and label is not distinct from 'grievance') and not coalesce(list_contains(from_json(json_extract(try_cast(meta as json), '$.hate_types'), '[\"VARCHAR\"]'), 'grievance'), false) group by kind", "kb"),
     "kb_feedback_records": sql(f"select 'fb-' || substr(sha1({_FLAT_SQL.format('text')}), 1, 12) as id, source, id as origin, gate, array_to_string(hate_types, ',') as hate_types from items where gate and text is not null", "items"),
     "resume_antijoin": sql("select arm, count(*) as n_todo from (select id as item_id, unnest(['zero_shot', 'few_shot', 'rag']) as arm from items) w where not exists (select 1 from results r where r.item_id = w.item_id and r.arm = w.arm) group by arm", "items", "results"),
