@@ -111,8 +111,8 @@ def edit_record(records: DataFrame, record_id: str, column: str, value: str) ->
 
 
 def kb_version(records: DataFrame, columns: list[str]) -> DataFrame:
-    """(version, n): a digest of the content that no order of rows changes, by sums of row digests."""
-    row = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+    """(version, n): a digest of the content that no order of rows changes, by sums of row digests. NULL is not the empty text."""
+    row = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in columns]), 256)
     part = lambda at: F.conv(F.substring(row, at, 8), 16, 10).cast("decimal(38,0)")
     s = records.agg(*[F.coalesce(F.sum(part(1 + 8 * i)), F.lit(0)).alias(f"s{i}") for i in range(4)], F.count("*").alias("n"))
     return s.select(F.substring(F.sha2(F.concat_ws("|", "s0", "s1", "s2", "s3", "n"), 256), 1, 16).alias("version"), "n")

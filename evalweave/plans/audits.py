@@ -11,7 +11,7 @@ from evalweave.operators import metrics as M
 from evalweave.operators import sampling as S
 from evalweave.operators import vote as V
 from evalweave.operators.labels import TAXONOMY
-from evalweave.plans import building, data, scoring
+from evalweave.plans import building, data, norm, scoring
 from evalweave.plans.data import sql
 from evalweave.sources.tables import table
 from evalweave.streaming import log as L
@@ -354,7 +354,25 @@ _VT = ", gt as (select id as item_id, list_distinct(hate_types) as gold from ite
 _FB = ", fb as (select id, cast(json_extract_string(m, '$.round') as bigint) as round, json_extract_string(m, '$.origin_item_id') as origin_item_id, json_extract_string(m, '$.feedback_arm') as feedback_arm from (select id, try_cast(meta as json) as m from kb where kind = 'feedback') where m is not null)"
 _N = "('0x' || substr(md5(item_id || '|{}'), 1, 15))::bigint"
 
+_COS = "list_cosine_similarity(a.vec::double[], b.vec::double[])"
+#: CTEs down to ``leaks(eval_id, train_id, exact, normalised, sim)``.
+_LEAKS = (
+    norm.ctes("items") + ", train as (select * from kb where kind in ('example', 'feedback') and text is not null)" + norm.ctes("train").replace(", nf_wide", ", nf_wide2", 1).replace("nf_fold(c, v)", "nf_fold2(c, v)", 1)
+    + """, ev as (select i.id, lower(trim(i.lang)) as lang, i.text, n.norm from items i join items_norm n using (id) where i.text is not null), tr as (select t.id, t.lang, t.text, n.norm from train t join train_norm n using (id)),
+    same as (select e.id as eval_id, t.id as train_id, e.text = t.text as exact, true as normalised, 1.0 as sim from ev e join tr t on e.lang = t.lang and e.norm = t.norm),
+    tok as (select distinct side, id, lang, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]+')) as w from (select 'e' as side, id, lang, text from ev union all select 't', id, lang, text from tr) where lang is not null),
+    tn as (select side, id, count(*) as n from tok group by all), sh as (select e.id as eval_id, t.id as train_id, count(*) as k from tok e join tok t on e.side = 'e' and t.side = 't' and e.lang = t.lang and e.w = t.w group by all),
+    close as (select eval_id, train_id, k / sqrt(a.n * b.n) as sim from sh join tn a on a.side = 'e' and a.id = eval_id join tn b on b.side = 't' and b.id = train_id where k / sqrt(a.n * b.n) >= 0.95 - 1e-12),
+    st as (select 'vec-' || vec_id as id, vec_id % 10 = 0 as is_eval, embedding as vec from embeddings), vp as (select a.id as eval_id, b.id as train_id, """ + _COS + """ as sim from st a join st b on a.is_eval and not b.is_eval),
+    vr as (select *, row_number() over (partition by eval_id order by round(sim, 6) desc, train_id) as r1, row_number() over (partition by train_id order by round(sim, 6) desc, eval_id) as r2 from vp),
+    every as (select * from same union all select eval_id, train_id, false, false, sim from close union all select eval_id, train_id, false, false, sim from vr where (r1 = 1 or r2 = 1) and round(sim, 6) >= 0.95),
+    leaks as (select eval_id, train_id, bool_or(exact) as exact, bool_or(normalised) as normalised, max(sim) as sim from every group by all)"""
+)
+
 ORACLE = {
+    "leakage_scan": sql(_LEAKS + ", i as (select id as eval_id, subset from items union all select id, 'stored vectors' from st where is_eval) select subset, count(distinct eval_id) as n_items, count(distinct eval_id) filter (where exact) as n_exact, count(distinct eval_id) filter (where normalised) as n_normalised, count(distinct eval_id) filter (where not normalised) as n_near, count(*) as n_pairs from leaks join i using (eval_id) group by subset", "items", "kb"),
+    "leak_exclusions": sql(_LEAKS + ", top as (select train_id as id, max(sim) as sim from leaks group by 1), l as (select id, lower(trim(lang)) as lang from train union all select id, null from st where not is_eval) select lang, id from top join l using (id) where round(sim, 6) >= 0.95", "items", "kb"),
+    "retrieval_leak_rescore": sql(_LEAKS + f", shown as (select distinct eval_id from leaks join hits h on h.item_id = eval_id and h.hit_id = train_id), gp as (select g.item_id, g.truth, g.pred from gate_pairs g where arm = 'rag' and mapping = 'strict'), x as (select 'all' as items, * from gp union all select 'clean', * from gp where item_id not in (select eval_id from shown)), z as (select items, count(*) filter (where truth and pred) as tp, count(*) filter (where not truth and pred) as fp, count(*) filter (where truth and not pred) as fn, count(*) filter (where not truth and not pred) as tn from x where truth is not null and pred is not null group by items) select items, tp + fp + fn + tn as n_scored, tp, fp, fn, tn, round({_MAC.format('')}, 6) as macro_f1 from z", "items", "kb", "hits", "gate_pairs"),
     "alpha_nominal": sql(", units as (select arm, 'gate' as dimension, item_id as unit, hate::int as value from ok_runs)" + _NOM, "ok_runs"),
     "alpha_multilabel": sql(f", units as ({_LAB})" + _NOM, "ok_runs"),
     "alpha_ordinal": sql(", units as (select arm, 'severity' as dimension, item_id as unit, rank as value from ok_runs where rank is not null)" + _ORD, "ok_runs"),

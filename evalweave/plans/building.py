@@ -8,7 +8,7 @@ from evalweave.functions import text as X
 from evalweave.operators import kb as K
 from evalweave.operators import labels as L
 from evalweave.operators import sampling as S
-from evalweave.plans import data
+from evalweave.plans import data, norm
 from evalweave.plans.data import sql
 from evalweave.sources.tables import table
 
@@ -245,6 +245,15 @@ def _slices(strata: str, sizes: dict[str, int], source: str, seed: int) -> str:
     return f", {', '.join(parts)}, o as ({ranked}) select * from (select o.id, case {' '.join(cases)} end as slice from o {joins}) where slice is not null"
 
 
+def _label_draw(labels: list[str], per_label: int) -> str:
+    """The draw label by label: the rarest first, each step among the rows that earlier steps left."""
+    x = f", x as (select id, hate_types, {_DRAW.format('id', 0)} as n from items where hate_types is not null), lb as (select l.label, row_number() over (order by coalesce(c.n, 0), l.label) as r from (select unnest({labels}) as label) l left join (select label, count(*) as n from (select unnest(list_distinct(hate_types)) as label from x) group by label) c using (label)), d0 as (select id, hate_types from x where false)"
+    for i in range(1, len(labels) + 1):
+        carries = f"list_contains(hate_types, (select label from lb where r = {i}))"
+        x += f", d{i} as (select * from d{i - 1} union all (select id, hate_types from x where {carries} and id not in (select id from d{i - 1}) order by n, id limit (select greatest(0, {per_label} - count(*)) from d{i - 1} where {carries})))"
+    return x + f" select id, array_to_string(hate_types, ',') as labels from d{len(labels)}"
+
+
 ROLES = {"pool": 40, "held_out": 40, "batch_1": 15, "batch_2": 15, "batch_3": 15, "batch_4": 15}
 _ROLES = _slices("labels", ROLES, "z", 5)
 #: CTEs down to ``sl(id, slice)``, over ``z(id, labels)``.
@@ -294,6 +303,9 @@ ORACLE = {
     "kb_duplicate_ids": "select id, count(*) as n from kb_hits group by id having count(*) > 1",
     "kb_kind_counts": sql("select kind, lang, count(*) as n from kb group by kind, lang", "kb"),
     "kb_held_out_drop": sql(f"select kind, count(*) as n_kept from kb where kind in ('example', 'feedback') and text is not null and {_KEY_SQL.format('text')} not in (select {_KEY_SQL.format('text')} from items where contains(subset, 'test') and text is not null) group by kind", "kb", "items"),
+    "label_stratified": sql(_label_draw(list(L.TAXONOMY["hate_type"]), 12), "items"),
+    "kb_version": sql(", r as (select sha256(concat_ws(chr(31), " + ", ".join(f"coalesce('=' || {c}, '-')" for c in ("id", "kind", "lang", "text")) + ")) as h from kb) select substr(sha256(concat_ws('|', " + ", ".join(f"sum(('0x' || substr(h, {1 + 8 * i}, 8))::hugeint)" for i in range(4)) + ", count(*))), 1, 16) as version, count(*) as n from r", "kb"),
+    "norm_text": sql(norm.ctes("items") + " select id, norm from items_norm", "items"),
     "kb_row_diff": sql(", old as (select id, unnest(['kind', 'dimension', 'label', 'lang', 'text']) as field, unnest([kind, dimension, label, lang, text]) as value from kb), new as (select id, field, case when id = 'def-severity-low' and field = 'text' then 'another text' else value end as value from old where id <> 'def-hate'), gone as (select id from old except select id from new) select id, '*' as field, 'removed' as change from gone union all select o.id, o.field, 'changed' from old o join new n using (id, field) where o.value is distinct from n.value", "kb"),
     "kb_label_removed": sql("select kind, count(*) as n from kb where not (kind = 'definition' and dimension is not distinct from 'hate_type' and label is not distinct from 'grievance') and not coalesce(list_contains(from_json(json_extract(try_cast(meta as json), '$.hate_types'), '[\"VARCHAR\"]'), 'grievance'), false) group by kind", "kb"),
     "kb_feedback_records": sql(f"select 'fb-' || substr(sha1({_FLAT_SQL.format('text')}), 1, 12) as id, source, id as origin, gate, array_to_string(hate_types, ',') as hate_types from items where gate and text is not null", "items"),

@@ -152,7 +152,13 @@ def parse_accounting(s, d):
 
 def parse_by_arm(s, d):
     r = P.parse_runs(data.runs(s, d, "raw_outputs")).join(data.runs(s, d, "arm"), "run_id")
-    return r.groupBy("arm").agg(F.count("*").alias("n"), F.count(F.when(F.col("parse_failure"), 1)).alias("failures"), F.sum("repairs").alias("repairs"), F.sum("normalisations").alias("normalisations"), F.count(F.when(F.col("gate_normalised"), 1)).alias("gate_normalised"))
+    return r.groupBy("arm").agg(F.count("*").alias("n"), F.count(F.when(F.col("parse_failure"), 1)).alias("failures"), F.sum("repairs").alias("repairs"), F.count(F.when(F.col("gate_normalised"), 1)).alias("gate_normalised"))
+
+
+def parse_normalisations(s, d):
+    """Repairs of spelling by arm. The log's own count is another: it leaves out keys, so SQL cannot state it."""
+    r = P.parse_runs(data.runs(s, d, "raw_outputs")).join(data.runs(s, d, "arm"), "run_id")
+    return r.groupBy("arm").agg(F.sum("normalisations").alias("normalisations"), F.count(F.when(F.col("normalisations") > 0, 1)).alias("n_runs"))
 
 
 def output_inspection(s, d):
@@ -210,7 +216,7 @@ _SHOWN = ("select item_id, bucket, hit_id, min(hit_pos) as pos, any_value(k.text
 
 QUERIES = {
     f.__name__: f
-    for f in (bm25_stats, bm25_topk, dense_topk, knn_best_twin, cosine_threshold_join, pairwise_redundancy, rrf_fuse, retrieve_hybrid, mmr_select, definition_budget, fewshot_static, oracle_injection, retrieved_ids, channel_shares, parse_accounting, parse_by_arm, output_inspection, mock_run, prompt_label_space, prompt_render_gold, prompt_sizes)
+    for f in (bm25_stats, bm25_topk, dense_topk, knn_best_twin, cosine_threshold_join, pairwise_redundancy, rrf_fuse, retrieve_hybrid, mmr_select, definition_budget, fewshot_static, oracle_injection, retrieved_ids, channel_shares, parse_accounting, parse_by_arm, parse_normalisations, output_inspection, mock_run, prompt_label_space, prompt_render_gold, prompt_sizes)
 }
 _RAWMETA = "try_cast(meta as json)"
 ORACLE = {
@@ -239,6 +245,7 @@ ORACLE = {
     "retrieved_ids": sql("select item_id, count(distinct hit_id) as n_ids, count(distinct bucket) as n_buckets, count(*) as n_hits from hits group by item_id", "hits"),
     "channel_shares": sql("select bucket, via, count(*) as n, count(*) - count(score) as n_null, round(avg(score), 5) as mean_score from hits group by bucket, via", "hits"),
     "parse_accounting": sql("select run_id, parse_failure, hate::varchar as hate, array_to_string(legal, ',') as legal, severity, repairs, md5(reasoning) as reasoning from runs where len(raw_outputs) > 0", "runs"),
+    "parse_by_arm": sql("select arm, count(*) as n, count(*) filter (where parse_failure) as failures, sum(repairs)::bigint as repairs, count(*) filter (where gate_normalised) as gate_normalised from runs where len(raw_outputs) > 0 group by arm", "runs"),
     "output_inspection": sql("select arm, count(*) as n, round(avg(length(o)), 4) as mean_chars, count(*) filter (where contains(lower(o), '<think>')) as traces, count(*) filter (where contains(o, '```')) as fences from (select arm, unnest(raw_outputs) as o from runs) where o is not null group by arm", "runs"),
     "prompt_render_gold": sql("select id, concat_ws('; ', case when gate is not null then 'hate: ' || gate::varchar end, " + ", ".join(f"case when {c} is not null then '{n}: ' || case when len({c}) = 0 then 'none' else array_to_string({c}, ', ') end end" if c != "severity" else "case when severity is not null then 'severity: ' || severity end" for n, c in (("target_group", "target_groups"), ("hate_type", "hate_types"), ("severity", "severity"), ("legal", "legal"))) + ") as gold from items", "items"),
     "prompt_sizes": sql(
