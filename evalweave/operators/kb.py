@@ -110,6 +110,11 @@ def edit_record(records: DataFrame, record_id: str, column: str, value: str) ->
     return records.withColumn(column, F.when(F.col("id") == record_id, F.lit(value)).otherwise(F.col(column)))
 
 
+def buckets() -> Column:
+    """The buckets a record is searched in: its kind, its kind and language, its kind and dimension."""
+    return F.array_compact(F.array("kind", F.when(F.col("lang").isNotNull(), F.concat_ws(":", "kind", "lang")), F.when(F.col("dimension").isNotNull(), F.concat_ws("/", "kind", "dimension"))))
+
+
 def kb_version(records: DataFrame, columns: list[str]) -> DataFrame:
     """(version, n): a digest of the content that no order of rows changes, by sums of row digests. NULL is not the empty text."""
     row = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in columns]), 256)

@@ -267,12 +267,79 @@ def diversify(pool: DataFrame, top_n: int, balance: float = 0.7) -> DataFrame:
     return pool.select("query_id", "id", "rank", "sim", "vec").groupBy("query_id").applyInPandas(choose, f"query_id {kind['query_id']}, id {kind['id']}, pick int")
 
 
-def definition_budget(definitions: DataFrame, rate: float = 0.3) -> DataFrame:
-    """(dimension, n, budget): one slot at least, else the rounded share (half to even) of a dimension's definitions."""
+def definition_budget(definitions: DataFrame, rate: float = 0.3, mode: str = "proportional", flat: int = 2, each: int = 1) -> DataFrame:
+    """(dimension, n, budget) of definitions: slots in all (``flat``, one row without dimension), as many for every dimension
+    (``per_dimension``), or the rounded share of its definitions, half to even and one at least (``proportional``)."""
     n = definitions.groupBy("dimension").agg(F.count("*").alias("n"))
+    if mode == "flat":
+        return n.agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("dimension"), "n", F.lit(flat).cast("long").alias("budget"))
+    if mode == "per_dimension":
+        return n.withColumn("budget", F.lit(each).cast("long"))
+    if mode != "proportional":
+        raise ValueError(f"unknown mode {mode}")
     return n.withColumn("budget", F.greatest(F.lit(1), F.bround(F.col("n") * rate, 0).cast("long")))
 
 
+#: What a retrieval call may be told; a budget of 0 leaves a bucket out.
+BUDGETS = {"strategy": "hybrid", "definitions_mode": "flat", "definitions": 2, "definitions_each": 1, "definitions_rate": 0.3, "guidelines": 2, "examples": 5, "feedback": 1, "depth": 10, "use_mmr": False, "mmr_balance": 0.7, "mmr_pool": 3, "rrf_k": RRF_K}
+_DIMENSION_ORDER = ("hate", "target_group", "hate_type", "severity", "legal")
+
+
+def retrieve(records: DataFrame, queries: DataFrame, cfg: dict) -> DataFrame:
+    """(query_id, bucket, id, pos, ranks): a whole retrieval call for every query.
+
+    ``records(id, kind, dimension, lang, text[, vec])``, ``queries(query_id, lang, text[, vec])``. Each bucket (definitions,
+    in one or by dimension, guidelines, examples and feedback of the query's language) is searched by itself by the
+    strategy, bm25, dense or hybrid, and cut to its budget. With use_mmr a wider dense pool of examples is diversified first.
+    Definitions come in the order of the dimensions. A bucket without budget is not searched.
+    """
+    strategy = cfg["strategy"]
+    if strategy not in ("bm25", "dense", "hybrid"):
+        raise ValueError(f"unknown strategy {strategy}")
+    by_dim, kind = cfg["definitions_mode"] != "flat", F.col("kind")
+    name = F.when(kind == "definition", F.concat(F.lit("definition:"), F.col("dimension")) if by_dim else F.lit("definition")).when(kind == "guideline", "guideline").when(kind.isin("example", "feedback"), F.concat_ws(":", "kind", F.col("lang")))
+    named = records.filter(F.when(kind.isin("example", "feedback"), F.col("lang").isNotNull()).otherwise(True)).withColumn("bucket", name).filter("bucket is not null")
+    defs = definition_budget(records.filter(kind == "definition"), cfg["definitions_rate"], cfg["definitions_mode"], cfg["definitions"], cfg["definitions_each"]) if by_dim else None
+    # a row a bucket: kinds, dimensions and languages
+    other = named.filter(kind != "definition").select("bucket").distinct().withColumn("k", F.when(F.col("bucket") == "guideline", cfg["guidelines"]).when(F.col("bucket").startswith("example:"), cfg["examples"]).otherwise(cfg["feedback"]).cast("long"))
+    budget = other.unionByName(defs.filter("dimension is not null").select(F.concat(F.lit("definition:"), "dimension").alias("bucket"), F.col("budget").alias("k")) if by_dim else named.filter(kind == "definition").select("bucket").distinct().withColumn("k", F.lit(cfg["definitions"]).cast("long"))).filter("k > 0")
+    budget = materialise(budget, "budgets")
+    asked = queries.join(F.broadcast(budget), F.when(F.col("bucket").rlike("^(example|feedback):"), F.element_at(F.split("bucket", ":"), 2) == F.col("lang")).otherwise(True)).select(*queries.columns, "bucket", "k")
+    asked, found, most = materialise(asked, "asked"), [], {"bm25": 1_000_000, "dense": 1_000_000, "hybrid": cfg["depth"]}
+    deep = budget.agg(F.coalesce(F.max("k"), F.lit(1))).first()[0]
+    depth = min(most[strategy], int(deep)) if strategy != "hybrid" else cfg["depth"]
+    c = named.join(F.broadcast(budget.select("bucket")), "bucket", "left_semi")
+    if strategy in ("bm25", "hybrid"):
+        found.append(bm25_top_k(c.select("bucket", "id", "text"), asked.select("query_id", "bucket", "text"), depth).select("query_id", "bucket", "id", "rank", F.lit("bm25").alias("channel")))
+    if strategy in ("dense", "hybrid"):
+        wide = depth * cfg["mmr_pool"] if cfg["use_mmr"] else depth
+        near = dense_top_k(c.select("bucket", "id", "vec"), queries.select("query_id", "vec"), wide).join(asked.select("query_id", "bucket"), ["query_id", "bucket"], "left_semi")
+        is_example = F.col("bucket").startswith("example:")
+        if cfg["use_mmr"]:
+            pool = near.filter(is_example).withColumnRenamed("score", "sim").join(c.select("bucket", "id", "vec"), ["bucket", "id"])
+            chosen = diversify(pool, depth, cfg["mmr_balance"]).join(asked.filter(is_example).select("query_id", "bucket"), "query_id").select("query_id", "bucket", "id", F.col("pick").alias("rank"))
+            near = near.filter(~is_example).select("query_id", "bucket", "id", "rank").unionByName(chosen)
+        found.append(near.filter(F.col("rank") <= depth).select("query_id", "bucket", "id", "rank", F.lit("dense").alias("channel")))
+    if strategy == "hybrid":
+        hits = fuse(found[0].unionByName(found[1]), cfg["rrf_k"])
+    else:
+        hits = found[0].withColumn("ranks", F.create_map("channel", "rank"))
+    hits = hits.join(F.broadcast(budget), "bucket").filter(F.col("rank") <= F.col("k"))
+    part = F.when(F.col("bucket").startswith("definition"), "definitions").when(F.col("bucket") == "guideline", "guidelines").when(F.col("bucket").startswith("example"), "examples").otherwise("feedback")
+    place = F.coalesce(F.array_position(F.array(*[F.lit(x) for x in _DIMENSION_ORDER]), F.regexp_extract("bucket", "^definition:(.*)$", 1)), F.lit(0))
+    w = Window.partitionBy("query_id", "part").orderBy("place", "rank")
+    return hits.select("query_id", part.alias("part"), place.alias("place"), "id", "rank", "ranks").withColumn("pos", F.row_number().over(w)).select("query_id", F.col("part").alias("bucket"), "id", "pos", "ranks")
+
+
+def arm_contexts(items: DataFrame, shots: DataFrame, shown: DataFrame) -> DataFrame:
+    """(arm, item_id, bucket, id): what each arm's prompt is given. Without context an item has one row without a record; the
+    static arm has the ``shots(lang, id)`` of its language; the other has what was retrieved, ``shown(item_id, bucket, hit_id)``."""
+    none = items.select(F.lit("zero_shot").alias("arm"), "item_id", F.lit("none").alias("bucket"), F.lit(None).cast("string").alias("id"))
+    few = items.join(F.broadcast(shots.select("lang", "id")), "lang").select(F.lit("few_shot").alias("arm"), "item_id", F.lit("examples").alias("bucket"), "id")  # a few rows a language
+    rag = shown.select(F.lit("rag").alias("arm"), "item_id", "bucket", F.col("hit_id").alias("id")).distinct()
+    return none.unionByName(few).unionByName(rag)
+
+
 def static_shots(examples: DataFrame, per_lang: int, seed: int = 0) -> DataFrame:
     """(lang, id, pick): the same few examples of a language for every item, by keyed hash."""
     w = Window.partitionBy("lang").orderBy(draw_number(F.col("id"), seed), "id")

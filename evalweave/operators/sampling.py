@@ -84,18 +84,20 @@ def partition_slices(df: DataFrame, strata: list[str], sizes: dict[str, int], ke
     return j.withColumn("slice", out).filter("slice is not null").select(*df.columns, "slice")
 
 
-def label_stratified(df: DataFrame, labels_col: str, labels: list[str], per_label: int, key: str = "id", seed: int = 0) -> DataFrame:
+def label_stratified(df: DataFrame, labels_col: str, labels: list[str], per_label: int, key: str = "id", seed: int = 0, first: Column | None = None) -> DataFrame:
     """Rarest label first, rows are drawn until each label has ``per_label``; a row counts for all of its labels.
 
+    ``first`` orders rows before the shuffle does.
+
     The first ``per_label`` rows of a label's shuffle hold all that can be drawn for it, whatever was drawn before. They
     are found for all labels in one pass; the draw itself is over those few rows.
     """
-    x = df.withColumn("_n", draw_number(F.col(key), seed)).select(key, labels_col, "_n")
+    x = df.withColumn("_n", draw_number(F.col(key), seed)).withColumn("_o", F.lit(0) if first is None else first).select(key, labels_col, "_n", "_o")
     each = x.select("*", F.explode(F.array_distinct(labels_col)).alias("_label")).filter(F.col("_label").isin(labels))
     support = {r["_label"]: r["n"] for r in each.groupBy("_label").agg(F.count("*").alias("n")).collect()}
-    first = each.withColumn("_r", F.row_number().over(Window.partitionBy("_label").orderBy("_n", key))).filter(F.col("_r") <= per_label)
+    few = each.withColumn("_r", F.row_number().over(Window.partitionBy("_label").orderBy("_o", "_n", key))).filter(F.col("_r") <= per_label)
     lists: dict = {}
-    for r in sorted(first.collect(), key=lambda r: r["_r"]):  # per_label rows a label, whatever the table
+    for r in sorted(few.collect(), key=lambda r: r["_r"]):  # per_label rows a label, whatever the table
         lists.setdefault(r["_label"], []).append(r)
     drawn: dict = {}
     for label in sorted(labels, key=lambda v: (support.get(v, 0), v)):

@@ -245,13 +245,13 @@ def _slices(strata: str, sizes: dict[str, int], source: str, seed: int) -> str:
     return f", {', '.join(parts)}, o as ({ranked}) select * from (select o.id, case {' '.join(cases)} end as slice from o {joins}) where slice is not null"
 
 
-def _label_draw(labels: list[str], per_label: int) -> str:
+def _label_draw(labels: list[str], per_label: int, source: str = "items", column: str = "hate_types", order: str = "n, id") -> str:
     """The draw label by label: the rarest first, each step among the rows that earlier steps left."""
-    x = f", x as (select id, hate_types, {_DRAW.format('id', 0)} as n from items where hate_types is not null), lb as (select l.label, row_number() over (order by coalesce(c.n, 0), l.label) as r from (select unnest({labels}) as label) l left join (select label, count(*) as n from (select unnest(list_distinct(hate_types)) as label from x) group by label) c using (label)), d0 as (select id, hate_types from x where false)"
+    x = f", x as (select id, {column}, {_DRAW.format('id', 0)} as n from {source} where {column} is not null), lb as (select l.label, row_number() over (order by coalesce(c.n, 0), l.label) as r from (select unnest({labels}) as label) l left join (select label, count(*) as n from (select unnest(list_distinct({column})) as label from x) group by label) c using (label)), d0 as (select id, {column} from x where false)"
     for i in range(1, len(labels) + 1):
-        carries = f"list_contains(hate_types, (select label from lb where r = {i}))"
-        x += f", d{i} as (select * from d{i - 1} union all (select id, hate_types from x where {carries} and id not in (select id from d{i - 1}) order by n, id limit (select greatest(0, {per_label} - count(*)) from d{i - 1} where {carries})))"
-    return x + f" select id, array_to_string(hate_types, ',') as labels from d{len(labels)}"
+        carries = f"list_contains({column}, (select label from lb where r = {i}))"
+        x += f", d{i} as (select * from d{i - 1} union all (select id, {column} from x where {carries} and id not in (select id from d{i - 1}) order by {order} limit (select greatest(0, {per_label} - count(*)) from d{i - 1} where {carries})))"
+    return x + f" select id, array_to_string({column}, ',') as labels from d{len(labels)}"
 
 
 ROLES = {"pool": 40, "held_out": 40, "batch_1": 15, "batch_2": 15, "batch_3": 15, "batch_4": 15}

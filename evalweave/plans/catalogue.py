@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalweave.plans import audits, building, retrieval, scoring
+from evalweave.plans import audits, building, retrieval, scoring, studies
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [scoring, building, retrieval, audits]
+MODULES = [scoring, building, retrieval, audits, studies]
 
 
 def queries() -> dict[str, Query]:

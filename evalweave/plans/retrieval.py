@@ -10,7 +10,6 @@ from evalweave.operators import parse as P
 from evalweave.operators import prompt as T
 from evalweave.operators import retrieve as R
 from evalweave.operators import run as N
-from evalweave.operators.labels import label_table
 from evalweave.plans import data
 from evalweave.plans.data import sql
 from evalweave.sources.tables import table
@@ -114,10 +113,6 @@ def mmr_select(s, d):
     return R.diversify(pool, 8)
 
 
-def definition_budget(s, d):
-    return R.definition_budget(label_table(s).select("dimension"))
-
-
 def fewshot_static(s, d):
     k = K.with_meta(data.kb(s, d, "kind", "lang", "meta")).filter("kind = 'example' and not coalesce(meta.illustrative_only, false)")
     return R.static_shots(k, 6)
@@ -216,7 +211,7 @@ _SHOWN = ("select item_id, bucket, hit_id, min(hit_pos) as pos, any_value(k.text
 
 QUERIES = {
     f.__name__: f
-    for f in (bm25_stats, bm25_topk, dense_topk, knn_best_twin, cosine_threshold_join, pairwise_redundancy, rrf_fuse, retrieve_hybrid, mmr_select, definition_budget, fewshot_static, oracle_injection, retrieved_ids, channel_shares, parse_accounting, parse_by_arm, parse_normalisations, output_inspection, mock_run, prompt_label_space, prompt_render_gold, prompt_sizes)
+    for f in (bm25_stats, bm25_topk, dense_topk, knn_best_twin, cosine_threshold_join, pairwise_redundancy, rrf_fuse, retrieve_hybrid, mmr_select, fewshot_static, oracle_injection, retrieved_ids, channel_shares, parse_accounting, parse_by_arm, parse_normalisations, output_inspection, mock_run, prompt_label_space, prompt_render_gold, prompt_sizes)
 }
 _RAWMETA = "try_cast(meta as json)"
 ORACLE = {
@@ -233,7 +228,6 @@ ORACLE = {
     "cosine_threshold_join": f"select query_id, count(*) as n, round(max(sim), 5) as best from (select q.vec_id as query_id, {_COS.format('q.embedding', 'c.embedding')} as sim from embeddings q join embeddings c on q.label = c.label and q.vec_id <> c.vec_id where q.vec_id % 50 = 0) where round(sim, 6) >= 0.2 group by query_id",
     "pairwise_redundancy": f"with t as (select * from (select *, row_number() over (partition by query_id order by round(score, 6) desc, id) as rank from (select q.vec_id as query_id, c.vec_id as id, c.embedding as vec, {_COS.format('q.embedding', 'c.embedding')} as score from embeddings q join embeddings c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0)) where rank <= 6), p as (select a.query_id, {_COS.format('a.vec', 'b.vec')} as sim from t a join t b on a.query_id = b.query_id and a.id < b.id) select query_id, count(*) as n_pairs, count(*) filter (where sim > 0.5) as n_near, round(avg(sim), 5) as mean_sim, round(max(sim), 5) as max_sim from p group by query_id",
     "rrf_fuse": _HC + "select query_id, id, rank, round(score, 7) as score, coalesce(bm25_rank, 0) as bm25_rank, coalesce(dense_rank, 0) as dense_rank from (select *, row_number() over (partition by query_id order by round(score, 9) desc, id) as rank from f) where rank <= 5",
-    "definition_budget": "select * from (values ('target_group', 7::bigint, 2::bigint), ('hate_type', 7::bigint, 2::bigint), ('severity', 3::bigint, 1::bigint), ('legal', 3::bigint, 1::bigint)) t(dimension, n, budget)",
     "fewshot_static": sql(f"select lang, id, pick from (select lang, id, row_number() over (partition by lang order by ('0x' || substr(md5(id || '|0'), 1, 15))::bigint, id) as pick from kb where kind = 'example' and coalesce(json_extract_string({_RAWMETA}, '$.illustrative_only'), 'false') <> 'true') where pick <= 6", "kb"),
     "oracle_injection": sql(
         f""", i as (select id as item_id, hate_types as labels from items where gate and hate_types is not null),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -29,6 +31,10 @@ def build_session(app: str = "evalweave", master: str | None = None, **extra: st
     return b.getOrCreate()
 
 
+def _is_local(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``, else the context's own checkpoint folder.
 
@@ -37,9 +43,11 @@ def shared_dir(spark: SparkSession) -> str:
     """
     set_to = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not set_to:
-        if not spark.sparkContext.master.startswith("local["):
+        if not _is_local(spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir is unset: name a folder that all executors share")
-        set_to = "file://" + tempfile.mkdtemp(prefix="evalweave-")
+        folder = tempfile.mkdtemp(prefix="evalweave-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        set_to = "file://" + folder
         spark.sparkContext.setCheckpointDir(set_to)
     return set_to.rstrip("/")
 
@@ -47,13 +55,18 @@ def shared_dir(spark: SparkSession) -> str:
 _made: list[str] = []
 
 
+def track(path: str) -> str:
+    """``path``, to be deleted by ``drop_intermediates``."""
+    _made.append(path)
+    return path
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as parquet into the shared folder and read it back: cuts lineage, survives lost executors.
 
     Results read these tables when they run, so they stay until ``drop_intermediates``.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
-    _made.append(path)
+    path = track(f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}")
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -73,7 +86,7 @@ _shipped: set[str] = set()
 def ship_package(spark: SparkSession) -> None:
     """Off local mode, give the executors this package's code (once per application)."""
     sc = spark.sparkContext
-    if sc.master.startswith("local[") or sc.applicationId in _shipped:
+    if _is_local(sc.master) or sc.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
     target = os.path.join(tempfile.mkdtemp(prefix="evalweave-code-"), "evalweave_code.zip")

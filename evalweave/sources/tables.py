@@ -35,3 +35,8 @@ def join_nullsafe(left: DataFrame, right: DataFrame, keys: list[str], how: str =
     for k in keys:
         cond = cond & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
     return left.join(named, cond, how).drop(*[f"_r_{k}" for k in keys])
+
+
+def head(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The first ``n`` rows by ``order``: the same rows on every read, unlike a bare limit."""
+    return df.orderBy(*order).limit(n)
