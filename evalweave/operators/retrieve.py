@@ -182,11 +182,12 @@ def dense_scored(corpus: DataFrame, queries: DataFrame, k: int, batch: int = 204
 
         return c.mapInArrow(stream, fields)
     blocks, parts = -(-n * dims // BROADCAST_NUMBERS), int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    qb = q.withColumn("block", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(blocks))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    # both sides may come from one table, so the vectors get another name
+    qb = q.select("query_id", F.col("vec").alias("query_vec")).withColumn("block", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(blocks))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     cb = c.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def tile(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = [x.to_pandas() for x in meet(list(right["query_id"]), _unit(np.stack(right["vec"].to_numpy())), left)] if len(left) and len(right) else []
+        found = [x.to_pandas() for x in meet(list(right["query_id"]), _unit(np.stack(right["query_vec"].to_numpy())), left)] if len(left) and len(right) else []
         return pd.concat(found) if found else pd.DataFrame(columns=["query_id", "bucket", "id", "score"])
 
     return cb.groupBy("block", "part").cogroup(qb.groupBy("block", "part")).applyInPandas(tile, fields)

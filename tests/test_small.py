@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evalweave.functions import stats, text
-from evalweave.operators import analysis, audit, kb, labels, metrics, parse, prompt, retrieve, run, sampling, vote
+from evalweave.operators import analysis, audit, kb, labels, metrics, parse, prompt, retrieve, run, sampling, study, vote
 from evalweave.plans import audits, retrieval
 from evalweave.sources import config, jsonl
 
@@ -169,16 +169,66 @@ def test_diversify(spark):
     assert got == [("q", "a", 1), ("q", "c", 2), ("r", "z", 1)]
 
 
-def test_dense_matches_brute_force(spark):
+@pytest.mark.parametrize("sent", [8_000_000, 12])
+def test_dense_matches_brute_force(spark, monkeypatch, sent):
+    """With queries sent to the records, and in shuffled tiles."""
     import numpy as np
 
+    monkeypatch.setattr(retrieve, "BROADCAST_NUMBERS", sent)
     m = np.random.default_rng(0).normal(size=(60, 5))
     c = spark.createDataFrame([("b", i, v.tolist()) for i, v in enumerate(m)], "bucket string, id long, vec array<double>")
-    got = {(r["query_id"], r["rank"]): r["id"] for r in retrieve.dense_top_k(c, c.filter("id < 7").select(F.col("id").alias("query_id"), "vec"), 3, block=2).collect()}
+    q = c.filter("id < 7").select(F.col("id").alias("query_id"), "bucket", "vec")
+    got = {(r["query_id"], r["rank"]): r["id"] for r in retrieve.dense_top_k(c, q.drop("bucket"), 3).collect()}
     u = m / np.linalg.norm(m, axis=1, keepdims=True)
-    for q in range(7):
-        best = [i for i in np.argsort(-(u @ u[q])) if i != q][:3]
-        assert [got[q, k] for k in (1, 2, 3)] == best
+    for i in range(7):
+        assert [got[i, k] for k in (1, 2, 3)] == [j for j in np.argsort(-(u @ u[i])) if j != i][:3]
+    near = {(r["query_id"], r["id"]) for r in retrieve.dense_near(c, q, 0.5).collect()}
+    assert near == {(i, j) for i in range(7) for j in range(60) if i != j and u[i] @ u[j] >= 0.5}
+    assert retrieve.dense_top_k(c.limit(0), q.drop("bucket"), 3).count() == 0 == retrieve.dense_top_k(c, q.drop("bucket").limit(0), 3).count()
+
+
+@pytest.mark.parametrize("sent", [300_000, 1])
+def test_bm25_is_the_same_either_way(spark, monkeypatch, sent):
+    import math
+    import random
+
+    monkeypatch.setattr(retrieve, "BROADCAST_TERMS", sent)
+    rng = random.Random(0)
+    docs = {f"d{i:02}": [f"w{rng.randrange(12)}" for _ in range(rng.randint(1, 15))] for i in range(50)} | {"d50": []}
+    c = spark.createDataFrame([("b", i, " ".join(w)) for i, w in docs.items()] + [("b", "null", None)], "bucket string, id string, text string")
+    q = spark.createDataFrame([("d03", "w1 w1 w2 w9"), ("x", "w5 nothing"), ("y", None), ("z", "nothing")], "query_id string, text string")
+    n, avg = len(docs), sum(map(len, docs.values())) / len(docs)
+    df = {t: sum(t in w for w in docs.values()) for t in {t for w in docs.values() for t in w}}
+    raw = {t: math.log(n - k + 0.5) - math.log(k + 0.5) for t, k in df.items()}
+    idf = {t: v if v >= 0 else 0.25 * sum(raw.values()) / len(raw) for t, v in raw.items()}
+
+    def score(words, d):
+        return sum(idf[t] * docs[d].count(t) * 2.5 / (docs[d].count(t) + 1.5 * (0.25 + 0.75 * len(docs[d]) / avg)) for t in words if t in docs[d])
+
+    want = {}
+    for name, words in (("d03", ["w1", "w1", "w2", "w9"]), ("x", ["w5"])):
+        best = sorted(((-round(score(words, d), 6), d) for d in docs if d != name and set(words) & set(docs[d])))[:4]
+        want |= {(name, d): k for k, (v, d) in enumerate(best, 1) if v < 0}
+    assert {(r["query_id"], r["id"]): r["rank"] for r in retrieve.bm25_top_k(c, q, 4).collect()} == want
+
+
+@pytest.mark.parametrize("strategy", ["bm25", "dense", "hybrid"])
+def test_retrieval_call_keeps_budgets(spark, strategy):
+    rows = [(f"def-{d}-{i}", "definition", d, "en", f"meaning {d} word {i}") for d in ("hate_type", "hate", "target_group") for i in range(4)]
+    rows += [(f"{k}-{lang}-{i}", k, None, lang, f"word sample {i} {lang}") for k in ("guideline", "example", "feedback") for lang in ("en", "de") for i in range(8)]
+    k = retrieve.hashed_vectors(spark.createDataFrame(rows, "id string, kind string, dimension string, lang string, text string"))
+    q = retrieve.hashed_vectors(spark.createDataFrame([("q", "en", "meaning of a word sample 3"), ("r", None, "word 2")], "query_id string, lang string, text string"))
+    cfg = retrieve.BUDGETS | {"strategy": strategy, "definitions_mode": "per_dimension", "use_mmr": True, "feedback": 0, "examples": 3}
+    got = retrieve.retrieve(k, q, cfg).collect()
+    for name, want in (("q", {"definitions": 3, "guidelines": 2, "examples": 3}), ("r", {"definitions": 3, "guidelines": 2})):
+        mine = [r for r in got if r["query_id"] == name]
+        assert {b: sum(r["bucket"] == b for r in mine) for b in {r["bucket"] for r in mine}} == want
+        assert [r["id"].split("-")[1] for r in sorted(mine, key=lambda r: r["pos"]) if r["bucket"] == "definitions"] == ["hate", "target_group", "hate_type"]
+        assert all("-en-" in r["id"] for r in mine if r["bucket"] == "examples")
+    flat = retrieve.retrieve(k, q.limit(1), cfg | {"definitions_mode": "flat"}).filter("bucket = 'definitions'")
+    assert flat.count() == 2
+    with pytest.raises(ValueError, match="strategy"):
+        retrieve.retrieve(k, q, cfg | {"strategy": "other"})
 
 
 def test_prompts_leave_out_empty_sections(spark):
@@ -235,6 +285,41 @@ def test_json_lines(spark, tmp_path):
     assert (q["n_lines"], q["n_parsed"], q["n_corrupt"]) == (4, 3, 1)
 
 
+def test_line_numbers_of_blocks(spark, tmp_path):
+    lines = [f"line {i} " + "x" * (i % 37) if i % 5 else "" for i in range(400)]
+    (tmp_path / "a.txt").write_text("\n".join(lines) + "\n")
+    (tmp_path / "b.txt").write_text("one\n\ntwo")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        got = {(r["file"], r["line_no"]): r["value"] for r in jsonl.read_lines(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == {("a.txt", i + 1): x for i, x in enumerate(lines) if x} | {("b.txt", 1): "one", ("b.txt", 3): "two"}
+
+
+def test_values_at_ranks(spark):
+    import random
+
+    rng = random.Random(0)
+    vals = {"a": [float(rng.randrange(40)) for _ in range(500)], "b": [1.0], None: [3.0, 2.0]}
+    df = spark.createDataFrame([(k, v) for k, vs in vals.items() for v in vs] + [("a", None), ("c", None)], "k string, v double")
+    got = {r["k"]: (r["n"], r["mid"], r["last"]) for r in sampling.at_ranks(df, ["k"], "v", {"mid": F.floor(F.col("n") / 2), "last": F.col("n") - 1}, edges=7).collect()}
+    assert got == {k: (len(v), sorted(v)[len(v) // 2], max(v)) for k, v in vals.items()}
+
+
+def test_study_odd_input(spark):
+    g = spark.createDataFrame([("1", ["x"]), ("2", []), ("3", None), ("4", ["x", "y"])], "id string, l array<string>")
+    assert {r["id"]: r["l"] for r in study.exclude_labels(g.filter("l is not null"), "l", ["x"]).collect()} == {"2": [], "4": ["y"]}
+    none = spark.createDataFrame([], "item_id string, hit_id string"), spark.createDataFrame([], "id string, labels array<string>"), spark.createDataFrame([], "item_id string, labels array<string>")
+    r = study.feedback_reach(*none).first()
+    assert (r["n_items"], r["n_reached"], r["n_label_hit"], r["n_used"], r["chance"]) == (0, 0, 0, 0, None)
+    batch = spark.createDataFrame([("b", "k1", True), ("a", "k2", True), ("c", "k3", False)], "item_id string, key string, wrong boolean")
+    pool = spark.createDataFrame([("p", "k9"), ("q", "k1"), ("r", "kb")], "item_id string, key string")
+    got = {tuple(r) for r in study.topped_up_round(batch, pool, spark.createDataFrame([("kb",)], "key string"), 1).collect()}
+    assert got == {("feedback", "a", "batch"), ("feedback", "b", "batch"), ("control", "c", "batch"), ("control", "p", "pool")}
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, "a")], "i int, arm string")
     assert jsonl.append_missing(df, str(tmp_path / "t"), ["i", "arm"]) == 2 and jsonl.append_missing(df, str(tmp_path / "t"), ["i", "arm"]) == 0
@@ -305,7 +390,7 @@ def test_full_sizes_match_brute_force(spark):
     n, rng = 30, np.random.default_rng(0)
     truth, a, b = (rng.random((3, n)) < 0.5)
     rows = [(f"i{i:02}", "a", "b", bool(truth[i]), bool(a[i]), bool(b[i])) for i in range(n)]
-    r = analysis.paired_bootstrap(spark.createDataFrame(rows, "item_id string, arm_a string, arm_b string, truth boolean, pred_a boolean, pred_b boolean"), audits.B_FULL).first()
+    r = analysis.paired_bootstrap(spark.createDataFrame(rows, "item_id string, arm_a string, arm_b string, truth boolean, pred_a boolean, pred_b boolean"), audits.B).first()
 
     def macro(t, q):
         f = lambda t, q: 2 * (t & q).sum() / max(1, 2 * (t & q).sum() + (t ^ q).sum())
@@ -315,7 +400,7 @@ def test_full_sizes_match_brute_force(spark):
     d = [macro(truth[x], a[x]) - macro(truth[x], b[x]) for x in draws if 0 < truth[x].sum() < n]
     assert r["n_resamples"] == len(d) and np.allclose([r["ci_low"], r["ci_high"], r["sd"]], [*np.quantile(d, [0.025, 0.975]), np.std(d, ddof=1)])
     types = [["x"] if i < 9 else ["y", "z"] if i < 20 else ["y"] for i in range(n)]
-    got = {r["n_labels"]: r["n_resamples"] for r in analysis.label_survival(spark.createDataFrame([(f"i{i:02}", x) for i, x in enumerate(types)], "item_id string, labels array<string>"), audits.B_FULL, 12).collect()}
+    got = {r["n_labels"]: r["n_resamples"] for r in analysis.label_survival(spark.createDataFrame([(f"i{i:02}", x) for i, x in enumerate(types)], "item_id string, labels array<string>"), audits.B, 12).collect()}
     kept = [sum(sum(t in types[i] for i in x) >= 12 for t in "xyz") for x in draws]
     assert got == {k: kept.count(k) for k in set(kept)}
 
@@ -324,9 +409,9 @@ def test_full_sizes_match_brute_force(spark):
 def test_queries_of_full_size(spark):
     d = "/root/testdata/sf0.001"
     assert audits.QUERIES["permutation_test"](spark, d).first()["n_permutations"] == 10_000
-    assert {r["n"] for r in audits.QUERIES["threshold_sweep_full"](spark, d).groupBy("arm").agg(F.countDistinct("threshold").alias("n")).collect()} == {99}
-    assert audits.QUERIES["paired_bootstrap_full"](spark, d).agg(F.max("n_resamples")).first()[0] > 900
-    assert audits.QUERIES["label_survival_full"](spark, d).agg(F.sum("n_resamples")).first()[0] == 1000
+    assert {r["n"] for r in audits.QUERIES["threshold_sweep"](spark, d).groupBy("arm").agg(F.countDistinct("threshold").alias("n")).collect()} == {99}
+    assert audits.QUERIES["paired_bootstrap"](spark, d).agg(F.max("n_resamples")).first()[0] > 900
+    assert audits.QUERIES["label_survival"](spark, d).agg(F.sum("n_resamples")).first()[0] == 1000
 
 
 def test_leakage_finds_near_copies(spark):
@@ -368,6 +453,6 @@ def test_feedback_is_found_and_languages_are_kept_apart(spark, tmp_path):
     spark.createDataFrame(kb, "id string, kind string, lang string, text string").withColumn("ingested_at", F.lit(None).cast("timestamp")).write.parquet(str(tmp_path / "kb_hits.parquet"))
     items = spark.createDataFrame([("a-50", "en", "moon"), ("a-100", "de", "moon"), ("a-150", None, "moon")], "id string, lang string, text string").withColumn("ingested_at", F.lit(None).cast("timestamp"))
     items.write.parquet(str(tmp_path / "gold_items.parquet"))
-    got = {(r["query_id"], r["bucket"], r["id"]) for r in retrieval.QUERIES["bm25_topk_buckets"](spark, str(tmp_path)).collect()}
+    got = {(r["query_id"], r["bucket"], r["id"]) for r in retrieval.QUERIES["bm25_topk"](spark, str(tmp_path)).collect()}
     assert got == {("a-50", "guideline", "g1"), ("a-50", "example:en", "x1"), ("a-50", "feedback:en", "f1"), ("a-100", "guideline", "g1"), ("a-100", "example:de", "x2"), ("a-100", "feedback:de", "f2"), ("a-150", "guideline", "g1")}
-    assert {r["bucket"]: r["n"] for r in retrieval.QUERIES["bm25_stats_buckets"](spark, str(tmp_path)).collect()} == {"guideline": 9, "example:en": 5, "example:de": 5, "feedback:en": 5, "feedback:de": 5}
+    assert {r["bucket"]: r["n"] for r in retrieval.QUERIES["bm25_stats"](spark, str(tmp_path)).collect()} == {"guideline": 9, "example:en": 5, "example:de": 5, "feedback:en": 5, "feedback:de": 5}
