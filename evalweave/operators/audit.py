@@ -96,6 +96,25 @@ def leakage(evaluation: DataFrame, training: DataFrame, near: float = NEAR, vect
     return both.groupBy("eval_id", "train_id").agg(F.max("exact").alias("exact"), F.max("normalised").alias("normalised"), F.max("sim").alias("sim"))
 
 
+def leakage_report(pairs: DataFrame, items: DataFrame, full_scan: bool = True, top: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(subset, n_items, n_exact, n_normalised, n_near, max_sim) and the nearest pairs of each subset (subset, r, eval_id,
+    train_id, sim). Only a full scan may be reported: exclusions drawn from a part would pass for all."""
+    if not full_scan:
+        raise ValueError("a partial scan makes no report and no exclusions")
+    j = pairs.join(items.select(F.col("id").alias("eval_id"), "subset"), "eval_id")
+    n = lambda c: F.countDistinct(F.when(c, F.col("eval_id")))
+    g = j.groupBy("subset").agg(F.countDistinct("eval_id").alias("n_items"), n(F.col("exact")).alias("n_exact"), n(F.col("normalised")).alias("n_normalised"), n(~F.col("normalised")).alias("n_near"), F.max("sim").alias("max_sim"))
+    w = Window.partitionBy("subset").orderBy(F.desc(F.round("sim", 6)), "eval_id", "train_id")
+    return g, j.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= top).select("subset", "r", "eval_id", "train_id", "sim")
+
+
+def source_run(feedback: DataFrame, runs: DataFrame) -> DataFrame:
+    """(id, run_key, predicted): each feedback record with the run that selected it, the round before its own, and what that
+    run predicted. ``feedback(id, round, feedback_arm, origin_item_id)``, ``runs(run_key, item_id, hate)``."""
+    f = feedback.withColumn("run_key", F.concat_ws("_", "feedback_arm", F.concat(F.lit("r"), (F.col("round") - 1).cast("string"))))
+    return f.join(runs.select("run_key", F.col("item_id").alias("origin_item_id"), F.col("hate").alias("predicted")), ["run_key", "origin_item_id"], "left").select("id", "run_key", "predicted")
+
+
 def exclusions(pairs: DataFrame, training: DataFrame, near: float = NEAR) -> DataFrame:
     """(lang, id): training records to leave out, by the highest similarity to any item."""
     top = pairs.groupBy(F.col("train_id").alias("id")).agg(F.max("sim").alias("sim")).filter(F.round("sim", 6) >= near)
@@ -238,6 +257,6 @@ def gate_origin(feedback: DataFrame, voted: DataFrame) -> DataFrame:
     return j.groupBy("feedback_arm", "round", "predicted").agg(F.count("*").alias("n"))
 
 
-def mixture(base: float, full: float, share: float) -> float:
+def mixture(base, full, share):
     """What a share of injected items predicts between two scores."""
     return base + share * (full - base)

@@ -105,8 +105,23 @@ def remove_label(records: DataFrame, dimension: str, label: str, meta_field: str
     return records.filter(~((F.col("kind") == "definition") & F.col("dimension").eqNullSafe(F.lit(dimension)) & F.col("label").eqNullSafe(F.lit(label))) & ~carries)
 
 
+def label_removal_check(before: DataFrame, after: DataFrame, dimension: str, label: str) -> DataFrame:
+    """(dimension, n_before, n_after, is_right): definitions by dimension; the label's own loses exactly one, the others none.
+
+    ``before`` must define the label exactly once: anything else is an error.
+    """
+    n = before.filter((F.col("kind") == "definition") & (F.col("dimension") == dimension) & (F.col("label") == label)).count()
+    if n != 1:
+        raise ValueError(f"{dimension}/{label} is defined {n} times")
+    count = lambda df, name: df.filter(F.col("kind") == "definition").groupBy("dimension").agg(F.count("*").alias(name))
+    j = count(before, "n_before").join(count(after, "n_after"), "dimension", "left").withColumn("n_after", F.coalesce("n_after", F.lit(0)))
+    return j.withColumn("is_right", F.col("n_before") - F.col("n_after") == F.when(F.col("dimension") == dimension, 1).otherwise(0))
+
+
 def edit_record(records: DataFrame, record_id: str, column: str, value: str) -> DataFrame:
-    """One field of one record replaced. ``row_diff`` of the two versions is exactly that field."""
+    """One field of one record replaced. ``row_diff`` of the two versions is exactly that field; no such record is an error."""
+    if records.filter(F.col("id") == record_id).limit(2).count() != 1:
+        raise ValueError(f"{record_id} is not one record")
     return records.withColumn(column, F.when(F.col("id") == record_id, F.lit(value)).otherwise(F.col(column)))
 
 

@@ -107,39 +107,39 @@ def _label(word: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_replace(word, _SPACE, "")), "[ -]", "_")
 
 
-def _said(value: Column) -> Column:
+def _said(field: str) -> Column:
     """The words of a label field: one, a list, or none for null. NULL for anything else; numbers and the like in a list
     are kept as their text behind a mark no label has."""
+    value, kind, text = F.col(f"_v_{field}"), F.col(f"_k_{field}"), F.col(f"_t_{field}")
     each = F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda v: F.when(_is(v, "STRING"), F.try_variant_get(v, "$", "string")).otherwise(F.concat(F.lit("#"), F.coalesce(F.to_json(v), F.lit("null")))))
-    return F.when(_is(value, "STRING"), F.array(F.try_variant_get(value, "$", "string"))).when(_is(value, "ARRAY"), each).when(value.isNull() | F.is_variant_null(value), F.array().cast("array<string>"))
+    return F.when(text.isNotNull(), F.array(text)).when(kind.startswith("ARRAY"), each).when(kind.isNull() | (kind == "VOID"), F.array().cast("array<string>"))
 
 
 def _changed(words: Column) -> Column:
     return F.size(F.filter(words, lambda w: ~w.startswith("#") & (_label(w) != w)))
 
 
-def _read(rule: Rule, value: Column) -> tuple[Column, Column, Column]:
-    """(value, repairs, error) of one field."""
-    text = F.when(_is(value, "STRING"), F.try_variant_get(value, "$", "string"))
-    none, no = F.lit(None).cast("string"), F.lit(0)
+def _read(rule: Rule) -> tuple[Column, Column, Column]:
+    """(value, repairs, error) of one field, from its value, the value's kind and, of a string, its text."""
+    value, kind, text, no = F.col(f"_v_{rule.field}"), F.col(f"_k_{rule.field}"), F.col(f"_t_{rule.field}"), F.lit(0)
     if rule.kind == "text":
         return text, no, F.when(text.isNull(), F.lit(f"{rule.field} is no text"))
     if rule.kind == "truth":
         word = F.lower(F.regexp_replace(text, _SPACE, ""))
-        read = F.when(word.isin(*TRUE), True).when(word.isin(*FALSE), False).when(_is(value, "BOOLEAN"), F.try_variant_get(value, "$", "boolean"))
-        return read, F.when(text.isNotNull() & read.isNotNull(), 1).otherwise(0), F.when(read.isNull(), F.lit(f"{rule.field} is no truth value"))
+        read = F.when(word.isin(*TRUE), True).when(word.isin(*FALSE), False).when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean"))
+        return read, F.when(word.isin(*TRUE, *FALSE), 1).otherwise(0), F.when(kind.isNull() | ((kind != "BOOLEAN") & ~F.coalesce(word.isin(*TRUE, *FALSE), F.lit(False))), F.lit(f"{rule.field} is no truth value"))
     known = F.array(*[F.lit(x) for x in TAXONOMY[rule.field]])
     if rule.kind == "labels":
-        said = _said(value)
+        said = F.col(f"_s_{rule.field}")
         labels = F.transform(said, lambda w: F.when(w.startswith("#"), w).otherwise(_label(w)))
         bad = F.filter(labels, lambda x: ~F.array_contains(known, x))
         # one word where a list belongs, and an explicit null, are repairs of their own
-        repairs = F.coalesce(_changed(said), no) + F.when(text.isNotNull() | F.coalesce(F.is_variant_null(value), F.lit(False)), 1).otherwise(0)
-        return labels, repairs, F.when(said.isNull(), F.lit(f"{rule.field} is no list")).when(F.size(bad) > 0, F.concat(F.lit(f"unknown {rule.field}: "), bad[0]))
+        repairs = F.coalesce(_changed(said), no) + F.when(text.isNotNull() | F.coalesce(kind == "VOID", F.lit(False)), 1).otherwise(0)
+        return labels, repairs, F.when(said.isNull(), F.lit(f"{rule.field} is no list")).otherwise(F.concat(F.lit(f"unknown {rule.field}: "), F.get(bad, 0)))
     word = _label(text)
     read = F.when(~word.isin(*ABSENT), word)
-    odd = value.isNotNull() & ~F.is_variant_null(value) & text.isNull()
-    return read, F.when(word != text, 1).otherwise(0), F.when(odd | (read.isNotNull() & ~F.array_contains(known, read)), F.concat(F.lit(f"unknown {rule.field}: "), F.coalesce(read, F.to_json(value)))).otherwise(none)
+    odd = kind.isNotNull() & (kind != "VOID") & text.isNull()
+    return read, F.when(word != text, 1).otherwise(0), F.when(odd | (read.isNotNull() & ~F.array_contains(known, read)), F.concat(F.lit(f"unknown {rule.field}: "), F.coalesce(read, F.to_json(value))))
 
 
 def parse_answers(df: DataFrame, column: str) -> DataFrame:
@@ -164,7 +164,10 @@ def parse_answers(df: DataFrame, column: str) -> DataFrame:
     renamed = F.size(F.filter("_fields", lambda e: e["name"] != e["key"])) + F.coalesce(F.col("_hard.renamed"), F.lit(0))
     extra = F.array_sort(F.filter(F.transform("_fields", lambda e: e["name"]), lambda n: ~n.isin(*[r.field for r in RULES])))
     x = x.withColumns({f"_v_{r.field}": _value_of(r.field) for r in RULES})
-    read = {r.field: _read(r, F.col(f"_v_{r.field}")) for r in RULES}
+    x = x.withColumns({f"_k_{r.field}": F.schema_of_variant(f"_v_{r.field}") for r in RULES})
+    x = x.withColumns({f"_t_{r.field}": F.when(F.col(f"_k_{r.field}") == "STRING", F.try_variant_get(f"_v_{r.field}", "$", "string")) for r in RULES})
+    x = x.withColumns({f"_s_{r.field}": _said(r.field) for r in RULES if r.kind == "labels"})
+    read = {r.field: _read(r) for r in RULES}
     missing = F.when(F.col("_object").isNull(), F.coalesce("_hard.error", F.lit("invalid JSON")))
     error = F.coalesce(missing, F.when(F.size(extra) > 0, F.concat(F.lit("unexpected field "), extra[0])), *[e for _, _, e in read.values()])
     count = sum((n for _, n, _ in read.values()), renamed)

@@ -10,13 +10,12 @@ from evalweave.functions import text as X
 from evalweave.operators import analysis as A
 from evalweave.operators import audit as U
 from evalweave.operators import kb as K
-from evalweave.operators import metrics as M
 from evalweave.operators import retrieve as R
 from evalweave.operators import sampling as S
 from evalweave.operators import study as Y
 from evalweave.operators import vote as V
 from evalweave.operators.labels import TAXONOMY
-from evalweave.plans import audits, building, data, scoring
+from evalweave.plans import audits, building, data, retrieval, scoring
 from evalweave.plans.data import sql
 from evalweave.session import shared_dir, track
 from evalweave.sources import jsonl as J
@@ -132,9 +131,7 @@ def example_slots(s, d):
 
 
 def injection_check(s, d):
-    from evalweave.plans.retrieval import _labelled
-
-    i, k = _labelled(s, d)
+    i, k = retrieval._labelled(s, d)
     a = Y.injection_check(R.injected(i, k, True), i, k, True)
     return a.unionByName(Y.injection_check(R.injected(i, k, False), i, k, False))
 
@@ -232,10 +229,8 @@ def retrieve_bm25(s, d):
 
 
 def _call(s, d):
-    from evalweave.plans.retrieval import _text_queries
-
     i = data.items(s, d, "lang").select(F.col("id").alias("query_id"), F.lower(F.trim("lang")).alias("lang"))
-    return _text_queries(s, d).join(i, "query_id"), data.kb(s, d, "kind", "dimension", "lang", "text").filter("text is not null")
+    return retrieval._text_queries(s, d).join(i, "query_id"), data.kb(s, d, "kind", "dimension", "lang", "text").filter("text is not null")
 
 
 def retrieve_dense(s, d):
@@ -252,10 +247,8 @@ def retrieve_fused(s, d):
 
 def arm_contexts(s, d):
     """What each arm's prompt is given, by bucket."""
-    from evalweave.plans.retrieval import fewshot_static
-
     i = data.items(s, d, "lang").select(F.col("id").alias("item_id"), F.lower(F.trim("lang")).alias("lang"))
-    c = R.arm_contexts(i, fewshot_static(s, d), data.retrieved(s, d))
+    c = R.arm_contexts(i, retrieval.fewshot_static(s, d), data.retrieved(s, d))
     return c.groupBy("arm", "bucket").agg(F.countDistinct("item_id").alias("n_items"), F.count("id").alias("n_hits"))
 
 
@@ -374,9 +367,73 @@ def split_histogram(s, d):
     return s.read.schema("subset string, source string, n long").json(p)
 
 
+def retrieval_debug(s, d):
+    """The first fused hits of every query with their place in each channel and the start of the text."""
+    t = table(s, d, "documents", F.col("doc_id").alias("id"), F.substring("text", 1, 40).alias("start"))
+    return retrieval.rrf_fuse(s, d).filter("rank <= 3").join(t, "id").select("query_id", "rank", "id", "bm25_rank", "dense_rank", F.md5("start").alias("start"))
+
+
+def edit_study(s, d):
+    """Of every guideline: on how many items it was shown, and whether those were judged otherwise than without it."""
+    shown = data.retrieved(s, d).filter(F.col("bucket") == "guidelines").select("item_id", F.col("hit_id").alias("guideline")).distinct()
+    a = audits._logged(s, d).filter("arm = 'rag'").select("item_id", F.col("ok").alias("ok_a"))
+    b = audits._logged(s, d).filter("arm = 'zero_shot'").select("item_id", F.col("ok").alias("ok_b"))
+    pairs = shown.join(a, "item_id").join(b, "item_id").select(F.col("guideline").alias("arm_a"), F.lit("without").alias("arm_b"), "ok_a", "ok_b")
+    return A.mcnemar(pairs).select(F.col("arm_a").alias("guideline"), (F.col("both_correct") + F.col("both_wrong") + F.col("discordant")).alias("n_paired"), "only_a", "only_b", F.round(F.col("p_value") + 1e-9, 6).alias("p_value"))  # binary fractions end in ties
+
+
+def prompt_sections(s, d):
+    """Characters of each section over all prompts, and how many examples shown are hateful."""
+    k = K.with_meta(data.kb(s, d, "kind", "text", "meta")).select(F.col("id").alias("hit_id"), F.length("text").alias("n"), F.col("meta.gate").alias("gate"))
+    h = data.retrieved(s, d).select("item_id", "bucket", "hit_id").distinct().join(k, "hit_id")
+    return h.groupBy("bucket").agg(F.count("*").alias("n_hits"), F.sum("n").alias("chars"), F.count(F.when(F.col("gate"), 1)).alias("n_hateful"), F.count(F.when(~F.col("gate"), 1)).alias("n_benign"))
+
+
+def label_removal_check(s, d):
+    k = K.with_meta(data.kb(s, d, "kind", "dimension", "label", "meta"))
+    return K.label_removal_check(k, K.remove_label(k, "hate_type", "grievance", "hate_types"), "hate_type", "grievance")
+
+
+def feedback_sources(s, d):
+    """Feedback records by what the run that selected them predicted."""
+    r = _valid(s, d).filter("arm = 'rag'").select("item_id", "run_idx", "hate")
+    keyed = r.select(F.explode(F.array(F.lit("feedback"), F.lit("control"))).alias("a"), "item_id", "run_idx", "hate").groupBy(F.concat_ws("_", "a", F.concat(F.lit("r"), F.col("run_idx").cast("string"))).alias("run_key"), "item_id").agg(F.max("hate").alias("hate"))
+    x = U.source_run(audits._feedback(s, d), keyed)
+    return x.groupBy("run_key", F.col("predicted").cast("string").alias("predicted")).agg(F.count("*").alias("n"))
+
+
+def leakage_report(s, d):
+    return U.leakage_report(audits._leaks(s, d), data.items(s, d, "subset"))[0].withColumn("max_sim", F.round("max_sim", 6))
+
+
+def leakage_top(s, d):
+    return U.leakage_report(audits._leaks(s, d), data.items(s, d, "subset"))[1].withColumn("sim", F.round("sim", 6))
+
+
+def vector_index(s, d):
+    """Vectors of the records stored with what made them, read back by kind; another model is refused."""
+    k = R.hashed_vectors(data.kb(s, d, "kind", "text").filter("text is not null"))
+    J.write_vectors(k.select("id", "kind", "vec"), p := _file(s, "vectors"), "hashed-64", "1")
+    try:
+        J.open_vectors(s, p, "another")
+    except ValueError:
+        pass
+    return J.open_vectors(s, p, "hashed-64").groupBy("kind").agg(F.count("*").alias("n"), F.min(F.size("vec")).alias("dims"))
+
+
+def mixture_check(s, d):
+    """Whether the arm with context lies where a mixture of items shown a related record and others puts it."""
+    gold = _gold(s, d)
+    k = K.with_meta(data.kb(s, d, "kind", "meta")).select(F.col("id").alias("hit_id"), F.col("meta.hate_types").alias("labels")).filter("labels is not null")
+    rel = data.retrieved(s, d).select("item_id", "hit_id").distinct().join(k, "hit_id").join(gold, "item_id").groupBy("item_id").agg(F.max(F.arrays_overlap("labels", "gold").cast("int")).alias("related"))
+    v = scoring.voted(s, d).filter("arm = 'rag'").select("item_id", F.col("hate_type").alias("pred")).join(gold, "item_id").join(rel, "item_id").withColumn("ok", U.correct("gold", "pred", "contains").cast("int"))
+    m = v.agg(F.count("*").alias("n"), F.avg("related").alias("p"), F.avg(F.when(F.col("related") == 1, F.col("ok"))).alias("full"), F.avg(F.when(F.col("related") == 0, F.col("ok"))).alias("base"), F.avg("ok").alias("observed"))
+    return m.withColumn("predicted", U.mixture(F.col("base"), F.col("full"), F.col("p"))).select("n", *[_r(c) for c in ("p", "full", "base", "observed", "predicted")])
+
+
 QUERIES = {
     f.__name__: f
-    for f in (legal_flags, language_filter, exclude_labels, thresholded_labels, label_threshold_sweep, threshold_optimum, score_by_role, clean_stratum, topped_up_round, text_clashes, feedback_reach, example_slots, injection_check, dimension_verdicts, arms_vs_base, new_label_effect, training_rows, split_legal, sentinel_capped, legal_examples, first_rows, bucket_counts, definition_budgets, nearest_twins, worst_leaked, retrieve_bm25, retrieve_dense, retrieve_fused, arm_contexts, sentinel_flip_rates, guideline_contradictions, score_all, coverage_faults, mixed_stamps, jsonl_round_trip, run_files, log_line_quality, resumed_append, feedback_log, metric_sidecar, sentinel_file, comparability_ledger, split_histogram)
+    for f in (legal_flags, language_filter, exclude_labels, thresholded_labels, label_threshold_sweep, threshold_optimum, score_by_role, clean_stratum, topped_up_round, text_clashes, feedback_reach, example_slots, injection_check, dimension_verdicts, arms_vs_base, new_label_effect, training_rows, split_legal, sentinel_capped, legal_examples, first_rows, bucket_counts, definition_budgets, nearest_twins, worst_leaked, retrieve_bm25, retrieve_dense, retrieve_fused, arm_contexts, sentinel_flip_rates, guideline_contradictions, score_all, coverage_faults, mixed_stamps, jsonl_round_trip, run_files, log_line_quality, resumed_append, feedback_log, metric_sidecar, sentinel_file, comparability_ledger, split_histogram, retrieval_debug, edit_study, prompt_sections, label_removal_check, feedback_sources, leakage_report, leakage_top, vector_index, mixture_check)
 }
 
 _GT = ", gt as (select id as item_id, list_distinct(hate_types) as gold from items where gate and hate_types is not null)"
@@ -468,4 +525,16 @@ ORACLE = {
     "comparability_ledger": "select '| ' || concat_ws(' | ', active_model, prompt_version, kb_version, temperature, n, arms) || ' |' as line from " + _sub("comparability_groups", _AO),
     "split_histogram": sql("select subset, source, count(*) as n from items group by all", "items"),
 }
+_P = "round(1e-9 + case when only_a + only_b = 0 then 1.0 else least(1.0, 2 * list_sum(list_transform(range(0, least(only_a, only_b) + 1), lambda i: exp(lgamma(only_a + only_b + 1) - lgamma(i + 1) - lgamma(only_a + only_b - i + 1) - (only_a + only_b) * ln(2))))) end, 6)"
+ORACLE |= {
+    "retrieval_debug": "select query_id, rank, id, bm25_rank, dense_rank, md5(substr(d.text, 1, 40)) as start from " + _sub("rrf_fuse", retrieval.ORACLE) + " join documents d on d.doc_id = id where rank <= 3",
+    "edit_study": sql(f", corr as ({audits._LOGGED}), sh as (select distinct item_id, hit_id as guideline from hits where bucket = 'guidelines'), c as (select guideline, count(*) as n_paired, count(*) filter (where a.ok and not b.ok) as only_a, count(*) filter (where not a.ok and b.ok) as only_b from sh join corr a on a.item_id = sh.item_id and a.arm = 'rag' join corr b on b.item_id = sh.item_id and b.arm = 'zero_shot' group by guideline) select *, {_P} as p_value from c", "results", "items", "hits"),
+    "prompt_sections": sql(", g as (select id, length(text) as n, cast(json_extract_string(try_cast(meta as json), '$.gate') as boolean) as gate from kb) select bucket, count(*) as n_hits, sum(n)::bigint as chars, count(*) filter (where gate) as n_hateful, count(*) filter (where not gate) as n_benign from (select distinct item_id, bucket, hit_id from hits) h join g on g.id = h.hit_id group by bucket", "hits", "kb"),
+    "label_removal_check": sql(", x as (select dimension, count(*) as n_before, count(*) filter (where not (dimension = 'hate_type' and label = 'grievance')) as n_after from kb where kind = 'definition' and dimension is not null group by dimension) select *, n_before - n_after = (dimension = 'hate_type')::int as is_right from x", "kb"),
+    "feedback_sources": sql(audits._FB + ", r as (select item_id, run_idx, bool_or(hate) as hate from ok_runs where arm = 'rag' group by all) select feedback_arm || '_r' || (round - 1) as run_key, r.hate::varchar as predicted, count(*) as n from fb left join r on r.item_id = fb.origin_item_id and r.run_idx = round - 1 group by all", "kb", "ok_runs"),
+    "leakage_report": sql(audits._LEAKS + ", j as (select l.*, subset from leaks l join items i on i.id = eval_id) select subset, count(distinct eval_id) as n_items, count(distinct eval_id) filter (where exact) as n_exact, count(distinct eval_id) filter (where normalised) as n_normalised, count(distinct eval_id) filter (where not normalised) as n_near, round(max(sim), 6) as max_sim from j group by subset", "items", "kb"),
+    "leakage_top": sql(audits._LEAKS + ", j as (select l.*, subset from leaks l join items i on i.id = eval_id) select subset, r, eval_id, train_id, round(sim, 6) as sim from (select *, row_number() over (partition by subset order by round(sim, 6) desc, eval_id, train_id) as r from j) where r <= 3", "items", "kb"),
+    "vector_index": sql("select kind, count(*) as n, 64 as dims from kb where text is not null group by kind", "kb"),
+    "mixture_check": sql(_GT + f", k as (select id, {_META} as labels from kb), rl as (select h.item_id, max(list_has_any(k.labels, gt.gold)::int) as related from (select distinct item_id, hit_id from hits) h join k on k.id = h.hit_id and k.labels is not null join gt using (item_id) group by h.item_id), v as (select related, coalesce(list_has_all(hate_type, gold), false)::int as ok from votes join gt using (item_id) join rl using (item_id) where arm = 'rag'), m as (select count(*) as n, avg(related) as p, avg(ok) filter (where related = 1) as full_, avg(ok) filter (where related = 0) as base, avg(ok) as observed from v) select n, round(p, 6) as p, round(full_, 6) as full, round(base, 6) as base, round(observed, 6) as observed, round(base + p * (full_ - base), 6) as predicted from m", "hits", "kb", "items", "votes"),
+}
 ORACLE["sentinel_file"] = f"select part, count(*) as n from ({ORACLE['sentinel_capped']}) group by part"
