@@ -229,8 +229,10 @@ def label_relevance(hits: DataFrame, records: DataFrame, gold: DataFrame) -> Dat
     n = records.agg(F.count("*").alias("_n"))
     by_set = records.withColumn("key", F.array_join(F.array_sort("labels"), ",")).groupBy("key").agg(F.count("*").alias("c"), F.first("labels").alias("r_labels"))
     asked = gold.withColumn("key", F.array_join(F.array_sort("labels"), ",")).groupBy("key").agg(F.first("labels").alias("labels"))
-    # distinct label sets on both sides: a few dozen rows each
-    share = asked.join(by_set.select("c", "r_labels"), F.arrays_overlap("labels", "r_labels"), "left").groupBy("key").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("s")).crossJoin(F.broadcast(n)).select("key", (F.col("s") / F.col("_n")).alias("share"))
+    # label by label; a label set meets another once however many labels they share
+    met = asked.select("key", F.explode(F.array_distinct("labels")).alias("label")).join(by_set.select(F.col("key").alias("r_key"), "c", F.explode(F.array_distinct("r_labels")).alias("label")), "label").select("key", "r_key", "c").distinct()
+    met = asked.select("key").join(met.groupBy("key").agg(F.sum("c").alias("s")), "key", "left")
+    share = met.crossJoin(F.broadcast(n)).select("key", (F.coalesce("s", F.lit(0)) / F.col("_n")).alias("share"))
     h = hits.filter("bucket = 'examples'").select("item_id", "hit_id").distinct().join(records.select(F.col("id").alias("hit_id"), F.col("labels").alias("h_labels")), "hit_id")
     g = gold.withColumn("key", F.array_join(F.array_sort("labels"), ","))
     i = h.join(g, "item_id").groupBy("item_id", "key").agg(F.max(F.arrays_overlap("labels", "h_labels").cast("int")).alias("hit"), F.count("*").alias("k")).join(share, "key")

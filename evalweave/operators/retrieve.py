@@ -23,6 +23,8 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
 #: So many weighted query terms, or numbers of query vectors, are sent to all executors; more are joined by shuffle.
 BROADCAST_TERMS, BROADCAST_NUMBERS = 300_000, 8_000_000
+#: Different sets of labels on one side that are met with those of the other.
+MOST_SETS = 10_000
 #: Queries scored at a time against a batch of records.
 BLOCK = 256
 
@@ -358,6 +360,9 @@ def injected(items: DataFrame, examples: DataFrame, related: bool, seed: int = 0
     n = draw_number(F.col("kb_id"), seed)
     first = e.groupBy(F.col("key").alias("e_key")).agg(F.min(F.struct(n.alias("n"), "kb_id")).alias("b"), F.first("labels").alias("e_labels"))
     asked = i.groupBy("key").agg(F.first("labels").alias("labels"))
+    for side in (asked, first):
+        if side.limit(MOST_SETS + 1).count() > MOST_SETS:
+            raise ValueError(f"more than {MOST_SETS} different label sets")
     meets = F.arrays_overlap("labels", "e_labels")
     best = asked.join(first, meets if related else ~F.coalesce(meets, F.lit(False))).groupBy("key").agg(F.min("b").alias("b"))
     return i.join(best, "key").select("item_id", F.col("b.kb_id").alias("kb_id"))

@@ -124,7 +124,7 @@ def label_histogram(s, d):
     lists = [F.transform(F.coalesce(F.col(L.GOLD_COLUMN[k]), F.array().cast("array<string>")), pair(k)) for k in L.MULTILABEL]
     each = F.flatten(F.array(*lists, F.transform(F.array_compact(F.array("severity")), pair("severity"))))
     n = i.select(F.explode(each).alias("x")).groupBy("x.dimension", "x.label").agg(F.count("*").alias("n"))
-    return L.label_table(s).join(F.broadcast(n), ["dimension", "label"], "left").select("dimension", "label", F.coalesce("n", F.lit(0)).alias("n"))
+    return F.broadcast(L.label_table(s)).join(n, ["dimension", "label"], "left").select("dimension", "label", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def source_histogram(s, d):

@@ -285,6 +285,25 @@ def test_json_lines(spark, tmp_path):
     assert (q["n_lines"], q["n_parsed"], q["n_corrupt"]) == (4, 3, 1)
 
 
+def test_late_rows_are_an_error(spark, tmp_path):
+    import time
+
+    from evalweave.streaming import log
+
+    def part(i, *rows):
+        spark.createDataFrame(rows, "k string, ts string").select("k", F.col("ts").cast("timestamp").alias("ts")).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+        time.sleep(1.1)  # files are taken in order of time
+
+    part(0, ("a", "2025-06-01"), ("b", "2025-06-02"))
+    part(1, ("c", "2025-06-02"))
+    part(2, ("d", "2025-01-01"))  # the watermark of a batch holds from the one after the next
+    schema = "k string, ts timestamp"
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").option("latestFirst", "false").parquet(str(tmp_path / "in"))
+    with pytest.raises(log.LateRows):
+        log.append_new(stream(), ["k"], "ts", "1 day")
+    assert log.append_new(stream(), ["k"], "ts", "400 days").count() == 4
+
+
 def test_line_numbers_of_blocks(spark, tmp_path):
     lines = [f"line {i} " + "x" * (i % 37) if i % 5 else "" for i in range(400)]
     (tmp_path / "a.txt").write_text("\n".join(lines) + "\n")
