@@ -90,8 +90,11 @@ def near_duplicate_classes(records: DataFrame, form: ConsistentForm | None = Non
     links = materialise(verified(pairs_of(met, False), met, nodes, similarity, "p1").select("a", "b"), "p1-links")
     roots = components(links)
     if met.filter("ys is not null").limit(1).count():
-        more = _rest_links(met, nodes, materialise(roots, "p1-roots"), similarity)
-        roots = components(links.unionByName(more))
+        roots = materialise(roots, "p1-roots")
+        more = materialise(_rest_links(met, nodes, roots, similarity), "p1-more")
+        if more.limit(1).count():
+            # the classes found so far are stars already
+            roots = components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more))
     rooted = ids.join(roots.withColumnRenamed("node", "rid"), "rid", "left").select("id", F.coalesce("root", "rid").alias("root"))
     rooted = materialise(rooted, "p1-rooted")
     names = rooted.groupBy("root").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
