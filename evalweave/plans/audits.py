@@ -369,7 +369,17 @@ _LEAKS = (
     leaks as (select eval_id, train_id, bool_or(exact) as exact, bool_or(normalised) as normalised, max(sim) as sim from every group by all)"""
 )
 
+#: erfc by the power series of erf; 120 terms hold six places up to five standard deviations.
+_ERFC = "greatest(0, 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 120), lambda k: case when k % 2 = 0 then 1 else -1 end * exp((2 * k + 1) * ln(greatest({0}, 1e-12)) - lgamma(k + 1)) / (2 * k + 1))))"
+
 ORACLE = {
+    "heterogeneity_pool": sql(
+        _DIFF + """, e as (select delta, sqrt(item_se * item_se + replicate_sd * replicate_sd / n_replicates) as se from ve), w as (select *, 1 / (se * se) as w from e where se > 0),
+        p as (select count(*) as k, sum(w * delta) / sum(w) as pooled, 1 / sqrt(sum(w)) as pooled_se, sum(w * delta * delta) as sw, sum(w) as ww from w), q as (select *, greatest(0, sw - ww * pooled * pooled) as q, pooled / pooled_se as z from p)
+        select 'rag - zero_shot' as contrast, k, round(pooled, 6) as pooled, round(pooled_se, 6) as pooled_se, round(q, 6) as q, round(z, 6) as z, round(case when q > 0 then greatest(0, (q - (k - 1)) / q) else 0 end, 6) as i2, """
+        + f"round({_ERFC.format('abs(z) / sqrt(2)')}, 6) as p_pooled, round({_ERFC.format('sqrt(q / 2)')}, 6) as p_q_1df from q where k > 0",
+        "ok_runs", "items", "results",
+    ),
     "leakage_scan": sql(_LEAKS + ", i as (select id as eval_id, subset from items union all select id, 'stored vectors' from st where is_eval) select subset, count(distinct eval_id) as n_items, count(distinct eval_id) filter (where exact) as n_exact, count(distinct eval_id) filter (where normalised) as n_normalised, count(distinct eval_id) filter (where not normalised) as n_near, count(*) as n_pairs from leaks join i using (eval_id) group by subset", "items", "kb"),
     "leak_exclusions": sql(_LEAKS + ", top as (select train_id as id, max(sim) as sim from leaks group by 1), l as (select id, lower(trim(lang)) as lang from train union all select id, null from st where not is_eval) select lang, id from top join l using (id) where round(sim, 6) >= 0.95", "items", "kb"),
     "retrieval_leak_rescore": sql(_LEAKS + f", shown as (select distinct eval_id from leaks join hits h on h.item_id = eval_id and h.hit_id = train_id), gp as (select g.item_id, g.truth, g.pred from gate_pairs g where arm = 'rag' and mapping = 'strict'), x as (select 'all' as items, * from gp union all select 'clean', * from gp where item_id not in (select eval_id from shown)), z as (select items, count(*) filter (where truth and pred) as tp, count(*) filter (where not truth and pred) as fp, count(*) filter (where truth and not pred) as fn, count(*) filter (where not truth and not pred) as tn from x where truth is not null and pred is not null group by items) select items, tp + fp + fn + tn as n_scored, tp, fp, fn, tn, round({_MAC.format('')}, 6) as macro_f1 from z", "items", "kb", "hits", "gate_pairs"),

@@ -209,6 +209,17 @@ f as (select query_id, id, sum(1.0::double / (60 + rank)) as score, max(rank) fi
 """
 _SHOWN = ("select item_id, bucket, hit_id, min(hit_pos) as pos, any_value(k.text) as line from hits h join kb k on h.hit_id = k.id where k.text is not null and bucket in (" + _HITS + ") group by all")
 
+def _mmr(pool: str, n: int, cos: str) -> str:
+    """CTEs and select of ``n`` picks one after the other from ``pool(query_id, id, rank, sim, vec)``."""
+    x = f"{pool}, nq as (select query_id, count(*) as n from pool group by query_id), m0 as (select query_id, id, vec, 0 as pick from pool where false)"
+    for i in range(1, n + 1):
+        value = "p.sim" if i == 1 else f"0.7 * p.sim - 0.3 * (select max({cos.format('p.vec', 'm.vec')}) from m{i - 1} m where m.query_id = p.query_id)"
+        if i == 1:
+            value = "0.7 * p.sim"
+        x += f", m{i} as (select * from m{i - 1} union all select query_id, id, vec, {i} from (select p.*, row_number() over (partition by query_id order by round({value}, 9) desc, rank) as r from pool p join nq using (query_id) where nq.n > {n} and (query_id, id) not in (select (query_id, id) from m{i - 1})) where r = 1)"
+    return f"{x} select query_id, id, pick from m{n} union all select query_id, id, row_number() over (partition by query_id order by rank) from pool join nq using (query_id) where nq.n <= {n}"
+
+
 QUERIES = {
     f.__name__: f
     for f in (bm25_stats, bm25_topk, dense_topk, knn_best_twin, cosine_threshold_join, pairwise_redundancy, rrf_fuse, retrieve_hybrid, mmr_select, fewshot_static, oracle_injection, retrieved_ids, channel_shares, parse_accounting, parse_by_arm, parse_normalisations, output_inspection, mock_run, prompt_label_space, prompt_render_gold, prompt_sizes)
@@ -240,6 +251,12 @@ ORACLE = {
     "channel_shares": sql("select bucket, via, count(*) as n, count(*) - count(score) as n_null, round(avg(score), 5) as mean_score from hits group by bucket, via", "hits"),
     "parse_accounting": sql("select run_id, parse_failure, hate::varchar as hate, array_to_string(legal, ',') as legal, severity, repairs, md5(reasoning) as reasoning from runs where len(raw_outputs) > 0", "runs"),
     "parse_by_arm": sql("select arm, count(*) as n, count(*) filter (where parse_failure) as failures, sum(repairs)::bigint as repairs, count(*) filter (where gate_normalised) as gate_normalised from runs where len(raw_outputs) > 0 group by arm", "runs"),
+    "retrieve_hybrid": _mmr(
+        _HC.replace("rank <= 10", "rank <= 30") + f""", fr as (select *, row_number() over (partition by query_id order by round(score, 9) desc, id) as rank from f),
+        pool as (select query_id, fr.id, rank, c.vec, coalesce({_COS.format('qc.vec', 'c.vec')}, 0) as sim from fr join c on c.id = fr.id join c qc on qc.id = query_id where rank <= 30)""",
+        8, f"coalesce({_COS}, 0)",
+    ),
+    "mmr_select": _mmr(f"with s as (select q.vec_id as query_id, c.vec_id as id, c.embedding as vec, {_COS.format('q.embedding', 'c.embedding')} as sim from embeddings q join embeddings c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0), pool as (select * from (select *, row_number() over (partition by query_id order by round(sim, 6) desc, id) as rank from s) where rank <= 30)", 8, _COS),
     "output_inspection": sql("select arm, count(*) as n, round(avg(length(o)), 4) as mean_chars, count(*) filter (where contains(lower(o), '<think>')) as traces, count(*) filter (where contains(o, '```')) as fences from (select arm, unnest(raw_outputs) as o from runs) where o is not null group by arm", "runs"),
     "prompt_render_gold": sql("select id, concat_ws('; ', case when gate is not null then 'hate: ' || gate::varchar end, " + ", ".join(f"case when {c} is not null then '{n}: ' || case when len({c}) = 0 then 'none' else array_to_string({c}, ', ') end end" if c != "severity" else "case when severity is not null then 'severity: ' || severity end" for n, c in (("target_group", "target_groups"), ("hate_type", "hate_types"), ("severity", "severity"), ("legal", "legal"))) + ") as gold from items", "items"),
     "prompt_sizes": sql(

@@ -10,6 +10,7 @@ from evalweave.functions import text as X
 from evalweave.operators import analysis as A
 from evalweave.operators import audit as U
 from evalweave.operators import kb as K
+from evalweave.operators import prompt as T
 from evalweave.operators import retrieve as R
 from evalweave.operators import sampling as S
 from evalweave.operators import study as Y
@@ -18,6 +19,7 @@ from evalweave.operators.labels import TAXONOMY
 from evalweave.plans import audits, building, data, retrieval, scoring
 from evalweave.plans.data import sql
 from evalweave.session import shared_dir, track
+from evalweave.sources import config as C
 from evalweave.sources import jsonl as J
 from evalweave.sources.tables import head, table
 
@@ -431,9 +433,26 @@ def mixture_check(s, d):
     return m.withColumn("predicted", U.mixture(F.col("base"), F.col("full"), F.col("p"))).select("n", *[_r(c) for c in ("p", "full", "base", "observed", "predicted")])
 
 
+def example_groups(s, d):
+    """Examples shown, regular and illustrative ones apart as the prompt lists them: items by the groups they have."""
+    k = K.with_meta(data.kb(s, d, "kind", "meta")).select(F.col("id").alias("hit_id"), F.col("meta.illustrative_only").alias("illustrative"))
+    h = data.retrieved(s, d).filter("bucket = 'examples'").select("item_id", "hit_id").distinct().join(k, "hit_id")
+    g = h.groupBy("item_id").agg(F.collect_list(F.struct("hit_id", "illustrative")).alias("hits"))  # a prompt's few examples
+    x = g.select(F.explode(T.split_groups(F.col("hits"))).alias("g"))
+    return x.groupBy("g.name").agg(F.count("*").alias("n_items"), F.sum(F.size("g.hits")).alias("n_hits"))
+
+
+def run_cost(s, d):
+    """Calls and hours that a run over every subset would take."""
+    m = C.Manifest(name="plan", subset="all", arms=("zero_shot", "few_shot", "rag"), provider="mock")
+    n = data.items(s, d, "subset").groupBy("subset").agg(F.count("*").alias("n_items"))
+    calls, seconds = C.estimate(m, 1)
+    return n.select("subset", "n_items", (F.col("n_items") * calls).alias("calls"), F.round(F.col("n_items") * F.lit(seconds) / 3600, 6).alias("hours"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (legal_flags, language_filter, exclude_labels, thresholded_labels, label_threshold_sweep, threshold_optimum, score_by_role, clean_stratum, topped_up_round, text_clashes, feedback_reach, example_slots, injection_check, dimension_verdicts, arms_vs_base, new_label_effect, training_rows, split_legal, sentinel_capped, legal_examples, first_rows, bucket_counts, definition_budgets, nearest_twins, worst_leaked, retrieve_bm25, retrieve_dense, retrieve_fused, arm_contexts, sentinel_flip_rates, guideline_contradictions, score_all, coverage_faults, mixed_stamps, jsonl_round_trip, run_files, log_line_quality, resumed_append, feedback_log, metric_sidecar, sentinel_file, comparability_ledger, split_histogram, retrieval_debug, edit_study, prompt_sections, label_removal_check, feedback_sources, leakage_report, leakage_top, vector_index, mixture_check)
+    for f in (legal_flags, language_filter, exclude_labels, thresholded_labels, label_threshold_sweep, threshold_optimum, score_by_role, clean_stratum, topped_up_round, text_clashes, feedback_reach, example_slots, injection_check, dimension_verdicts, arms_vs_base, new_label_effect, training_rows, split_legal, sentinel_capped, legal_examples, first_rows, bucket_counts, definition_budgets, nearest_twins, worst_leaked, retrieve_bm25, retrieve_dense, retrieve_fused, arm_contexts, sentinel_flip_rates, guideline_contradictions, score_all, coverage_faults, mixed_stamps, jsonl_round_trip, run_files, log_line_quality, resumed_append, feedback_log, metric_sidecar, sentinel_file, comparability_ledger, split_histogram, retrieval_debug, edit_study, prompt_sections, label_removal_check, feedback_sources, leakage_report, leakage_top, vector_index, mixture_check, example_groups, run_cost)
 }
 
 _GT = ", gt as (select id as item_id, list_distinct(hate_types) as gold from items where gate and hate_types is not null)"
@@ -537,4 +556,9 @@ ORACLE |= {
     "vector_index": sql("select kind, count(*) as n, 64 as dims from kb where text is not null group by kind", "kb"),
     "mixture_check": sql(_GT + f", k as (select id, {_META} as labels from kb), rl as (select h.item_id, max(list_has_any(k.labels, gt.gold)::int) as related from (select distinct item_id, hit_id from hits) h join k on k.id = h.hit_id and k.labels is not null join gt using (item_id) group by h.item_id), v as (select related, coalesce(list_has_all(hate_type, gold), false)::int as ok from votes join gt using (item_id) join rl using (item_id) where arm = 'rag'), m as (select count(*) as n, avg(related) as p, avg(ok) filter (where related = 1) as full_, avg(ok) filter (where related = 0) as base, avg(ok) as observed from v) select n, round(p, 6) as p, round(full_, 6) as full, round(base, 6) as base, round(observed, 6) as observed, round(base + p * (full_ - base), 6) as predicted from m", "hits", "kb", "items", "votes"),
 }
+_CALLS = 3 * C.Manifest(name="plan", subset="all").n_votes
+ORACLE |= {
+    "example_groups": sql(", g as (select h.item_id, case when coalesce(cast(json_extract_string(try_cast(k.meta as json), '$.illustrative_only') as boolean), false) then 'illustrative' else 'regular' end as name from (select distinct item_id, hit_id from hits where bucket = 'examples') h join kb k on k.id = h.hit_id) select name, count(distinct item_id) as n_items, count(*) as n_hits from g group by name", "hits", "kb"),
+    "run_cost": sql(f"select subset, count(*) as n_items, count(*) * {_CALLS} as calls, round(count(*) * {_CALLS} * {C.SECONDS_A_CALL.get('mock', C.SECONDS_A_CALL['a'])} / 3600, 6) as hours from items group by subset", "items"),
+}
 ORACLE["sentinel_file"] = f"select part, count(*) as n from ({ORACLE['sentinel_capped']}) group by part"
