@@ -28,10 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from evalweave.operators.sampling import HEX, draw_number
 from evalweave.session import materialise
 
 FIELDS = ("kind", "lang", "source")
-BUCKETS = 1 << 14
+BUCKET_BITS = 14
 MOST_TARGETS = 10_000
 
 
@@ -67,7 +68,7 @@ def reservoirs(records: DataFrame, targets: DataFrame, id_col: str = "id", field
     # each row's targets as an array built from the plan: a projection, not a join
     hits = [F.when(_holds(t, fields), F.lit(i)) for i, t in enumerate(plan)] or [F.lit(None).cast("int")]
     rows = rows.select("id", F.array_compact(F.array(*hits)).alias("hits"))
-    each = rows.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_set("hits"))).alias("hits")).select("id", F.xxhash64("id", F.lit(seed)).alias("p"), "hits")
+    each = rows.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_set("hits"))).alias("hits")).select("id", draw_number(F.col("id"), seed).alias("p"), "hits")
 
     def keep(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -115,8 +116,8 @@ def quotas(state: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def _bucket():
-    # signed priorities in order: the top 14 bits, counted from the lowest
-    return F.shiftright(F.col("p"), 64 - 14) + BUCKETS // 2
+    # the top bits of a priority
+    return F.shiftright(F.col("p"), 4 * HEX - BUCKET_BITS)
 
 
 def trim(state: DataFrame, plan: DataFrame) -> DataFrame:

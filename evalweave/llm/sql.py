@@ -93,5 +93,8 @@ select i.subset, i.source, h.hit_source, count(*) as n_pairs, count(distinct a)
 from links join items i on i.id = a join hits h on h.id = b group by all""",
         "p3_found": f"{looks} select x.id as id_a, y.id as id_b from forms x join forms y on x.form = y.form and x.id < y.id and x.text <> y.text where x.form <> ''",
         "p4_found": _PLAN + "select target_id from plan where available < needed",
+        "p4_sample": _PLAN + """, each as (select distinct t.target_id, i.id, ('0x' || substr(md5(i.id || '|7'), 1, 15))::bigint as n from sample_targets t join ids i
+    on (t.kind is null or lower(trim(t.kind)) = i.kind) and (t.lang is null or lower(trim(t.lang)) = i.lang) and (t.source is null or lower(trim(t.source)) = i.source))
+select target_id, id from (select target_id, id, row_number() over (partition by target_id order by n, id) as r from each) join plan using (target_id) where r <= quota""",
         "p4_report": _PLAN + "select target_id, plan_key, sample_n, available, needed, quota, available >= needed as is_met, quota / nullif(sample_n, 0) as planned_share, quota / nullif(sum(quota) over (partition by plan_key), 0) as achieved_share from plan",
     }
