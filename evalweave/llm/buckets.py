@@ -181,8 +181,19 @@ def meetings(nodes: DataFrame, keys_of: Callable, sides: int, bucket: int, name:
                 found = cross_pairs(join(lows[0], np.uint32), join(rids[0], np.int64), join(lows[1], np.uint32), join(rids[1], np.int64))
             else:
                 found = own_pairs(join(lows[0], np.uint32), join(rids[0], np.int64), bucket)
+            held: list[tuple[np.ndarray, np.ndarray]] = []
             for kind, x, y in found:
-                yield _met(x, y) if kind == "pairs" else _met(xs=x, ys=y)
+                if kind == "tiles":
+                    yield _met(xs=x, ys=y)
+                    continue
+                # records much alike meet in many buckets of a partition
+                held.append((x, y))
+                if sum(len(a) for a, _ in held) >= 2 * CHUNK:
+                    held = [_distinct(*(np.concatenate(z) for z in zip(*held)))]
+                    if len(held[0][0]) >= CHUNK:
+                        yield _met(*held.pop())
+            if held:
+                yield _met(*_distinct(*(np.concatenate(z) for z in zip(*held))))
 
     packed = nodes.select("rid", "side", "form").mapInArrow(emit, _BLOCK)
     return materialise(packed.repartitionById(parts, F.col("part")).mapInArrow(meet, _MET), f"{name}-met")

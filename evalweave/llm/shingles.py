@@ -211,7 +211,8 @@ def verified(pairs: DataFrame, met: DataFrame, nodes: DataFrame, similarity: flo
     """
     prints = met.filter("p0 is not null")
     for end in ("a", "b"):
-        pairs = pairs.join(prints.select(F.col("a").alias(end), *[F.col(f"p{i}").alias(f"{end}p{i}") for i in range(PRINT_WORDS)]), end)
+        # one fingerprint a record, spread evenly: each task hashes its share of them, and the pairs need no sorting
+        pairs = pairs.join(prints.select(F.col("a").alias(end), *[F.col(f"p{i}").alias(f"{end}p{i}") for i in range(PRINT_WORDS)]).hint("shuffle_hash"), end)
     near = materialise(pairs.filter(print_distance("ap", "bp") <= far_bits(64 * PRINT_WORDS, similarity)).select("a", "b"), f"{name}-near")
     wanted = near.select(F.col("a").alias("rid")).unionByName(near.select(F.col("b").alias("rid"))).distinct()
     words = nodes.select("rid", "form").join(few_rows(wanted), "rid", "left_semi").select("rid", word_hashes(F.col("form")).alias("w"))
