@@ -84,12 +84,14 @@ _shipped: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Off local mode, give the executors this package's code (once per application)."""
+    """Give the Python workers this package's code (once per application), wherever the driver was started."""
     sc = spark.sparkContext
-    if _is_local(sc.master) or sc.applicationId in _shipped:
+    if sc.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
-    target = os.path.join(tempfile.mkdtemp(prefix="evalweave-code-"), "evalweave_code.zip")
+    folder = tempfile.mkdtemp(prefix="evalweave-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = os.path.join(folder, "evalweave_code.zip")
     with zipfile.ZipFile(target, "w") as z:
         for p in sorted(root.rglob("*")):
             if p.suffix in {".py", ".yaml", ".txt"}:
