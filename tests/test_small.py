@@ -475,3 +475,34 @@ def test_feedback_is_found_and_languages_are_kept_apart(spark, tmp_path):
     got = {(r["query_id"], r["bucket"], r["id"]) for r in retrieval.QUERIES["bm25_topk"](spark, str(tmp_path)).collect()}
     assert got == {("a-50", "guideline", "g1"), ("a-50", "example:en", "x1"), ("a-50", "feedback:en", "f1"), ("a-100", "guideline", "g1"), ("a-100", "example:de", "x2"), ("a-100", "feedback:de", "f2"), ("a-150", "guideline", "g1")}
     assert {r["bucket"]: r["n"] for r in retrieval.QUERIES["bm25_stats"](spark, str(tmp_path)).collect()} == {"guideline": 9, "example:en": 5, "example:de": 5, "feedback:en": 5, "feedback:de": 5}
+
+
+@pytest.mark.parametrize("sent", [4_000_000, 300])
+def test_bm25_searches_long_queries_without_joining_terms(spark, monkeypatch, sent):
+    """Many records and long queries: nothing is joined term by term, and the best are those of adding up everything."""
+    import math
+    import random
+    from collections import Counter
+
+    monkeypatch.setattr(retrieve, "BROADCAST_TERMS", sent)
+    monkeypatch.setattr(retrieve, "POSTINGS", 4_000, raising=False)
+    rng = random.Random(1)
+    word = lambda: f"w{int(rng.paretovariate(0.4)) % 3000}"
+    docs = {i: [word() for _ in range(rng.randint(5, 60))] for i in range(700)}
+    for i in range(0, 700, 7):  # copies tie
+        docs[1000 + i] = rng.sample(docs[i], len(docs[i]))
+    asked = [i for i in docs if i % 50 == 0]
+    c = spark.createDataFrame([("b" if i % 3 else "a", i, " ".join(w)) for i, w in docs.items()], "bucket string, id long, text string")
+    q = spark.createDataFrame([(i, " ".join(docs[i] + docs[i][:9]), "a") for i in asked], "query_id long, text string, bucket string")
+    mine = {i: Counter(w) for i, w in docs.items() if i % 3 == 0}
+    n, avg = len(mine), sum(sum(w.values()) for w in mine.values()) / len(mine)
+    raw = {t: math.log(n - k + 0.5) - math.log(k + 0.5) for t, k in Counter(t for w in mine.values() for t in w).items()}
+    idf = {t: v if v >= 0 else 0.25 * sum(raw.values()) / len(raw) for t, v in raw.items()}
+    want = {}
+    for i in asked:
+        words = Counter(docs[i] + docs[i][:9])
+        score = {d: sum(k * idf[t] * w[t] * 2.5 / (w[t] + 1.5 * (0.25 + 0.75 * sum(w.values()) / avg)) for t, k in words.items() if t in w) for d, w in mine.items() if d != i}
+        want |= {(i, d): (r, round(s, 5)) for r, (d, s) in enumerate(sorted(score.items(), key=lambda x: (-round(x[1], 6), x[0]))[:5], 1) if s > 0}
+    top = retrieve.bm25_top_k(c, q, 5)
+    assert "Join" not in top._jdf.queryExecution().toString()
+    assert {(r["query_id"], r["id"]): (r["rank"], round(r["score"], 5)) for r in top.collect()} == want
