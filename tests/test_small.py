@@ -506,3 +506,20 @@ def test_bm25_searches_long_queries_without_joining_terms(spark, monkeypatch, se
     top = retrieve.bm25_top_k(c, q, 5)
     assert "Join" not in top._jdf.queryExecution().toString()
     assert {(r["query_id"], r["id"]): (r["rank"], round(r["score"], 5)) for r in top.collect()} == want
+
+
+def test_dense_search_keeps_the_best_of_a_task_and_of_the_buckets_wanted(spark):
+    import numpy as np
+
+    m = np.random.default_rng(2).normal(size=(900, 4))
+    m[100:200] = m[:100]  # ties
+    c = spark.createDataFrame([("ab"[i % 2], i, v.tolist()) for i, v in enumerate(m)], "bucket string, id long, vec array<double>").repartition(1)
+    q = c.filter("id < 20").select(F.col("id").alias("query_id"), "vec")
+    wanted = q.select("query_id", F.lit("b").alias("bucket")).filter("query_id < 10")
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    best = lambda i, b: sorted((j for j in range(900) if j != i and "ab"[j % 2] == b), key=lambda j: (-round(u[i] @ u[j], 6), j))[:3]
+    got = retrieve.dense_top_k(c, q, 3, wanted).collect()
+    assert {(r["query_id"], r["bucket"], r["rank"]): r["id"] for r in got} == {(i, "b", k): j for i in range(10) for k, j in enumerate(best(i, "b"), 1)}
+    got = retrieve.dense_scored(c, q, 3, 100)
+    assert got.count() <= 20 * 2 * 4
+    assert {(r["query_id"], r["bucket"], r["rank"]): r["id"] for r in retrieve.top_k(got, ["query_id", "bucket"], 3).collect()} == {(i, b, k): j for i in range(20) for b in "ab" for k, j in enumerate(best(i, b), 1)}
