@@ -101,8 +101,9 @@ def calls(asked: DataFrame, client: Callable[[], MockClient], models: Sequence[s
             for item, arm, run_idx, messages in zip(pdf["item_id"], pdf["arm"], pdf["run_idx"], pdf["messages"]):
                 talk, began = [{"role": m["role"], "text": m["text"]} for m in messages], time.time()
                 raw, model = ask(c, models, talk, attempt, f"{arm}|{run_idx}", fallback)
-                rows.append((item, arm, run_idx, attempt, pd.Timestamp(int(began * 1e6), unit="us"), model, raw, sum(len(m["text"]) for m in talk), len(raw), time.time() - began))
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in _CALL.split(", ")]).astype({"run_idx": "int32", "attempt": "int32"})
+                rows.append((item, arm, run_idx, attempt, int(began * 1e6), model, raw, sum(len(m["text"]) for m in talk), len(raw), time.time() - began))
+            out = pd.DataFrame(rows, columns=[x.split()[0] for x in _CALL.split(", ")]).astype({"run_idx": "int32", "attempt": "int32"})
+            yield out.assign(ts=pd.to_datetime(out["ts"], unit="us"))
 
     return asked.select("item_id", "arm", "run_idx", "messages").mapInPandas(run, _CALL)
 
@@ -110,19 +111,24 @@ def calls(asked: DataFrame, client: Callable[[], MockClient], models: Sequence[s
 def sample_calls(prompts: DataFrame, client: Callable[[], MockClient], models: Sequence[str] = ("mock-1",), n_runs: int = 3, max_repairs: int = 2, fallback: bool = True) -> DataFrame:
     """Every call of the runs of ``prompts(item_id, arm, messages)``, read: the calls' columns and those of the parser.
 
-    Each round's answers are written before they are read: calls are dear and serve many votes.
+    Each round's answers are written before they are read: calls are dear and serve many votes. What is read from them is
+    written too, once for the next round and the votes. Only the turns added travel with a run, not the prompt.
     """
-    asked = prompts.select("item_id", "arm", F.explode(F.sequence(F.lit(0), F.lit(n_runs - 1))).alias("run_idx"), "messages")
-    made = None
+    prompts = prompts.select("item_id", "arm", "messages")
+    # small prompts would else be asked one after the other
+    spread = prompts.repartition(4 * prompts.sparkSession.sparkContext.defaultParallelism, "item_id", "arm")
+    asked = spread.withColumn("run_idx", F.explode(F.sequence(F.lit(0), F.lit(n_runs - 1))))
+    made = more = None
     for attempt in range(max_repairs + 1):
         answers = materialise(calls(asked, client, models, attempt, fallback), "calls")
-        read = parse_answers(answers.withColumn("_raw", F.col("raw")), "_raw")
+        read = materialise(parse_answers(answers.withColumn("_raw", F.col("raw")), "_raw"), "calls-read")
         made = read if made is None else made.unionByName(read)
         if attempt < max_repairs:
             turn = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("text"))
             back = F.concat(F.lit(CORRECTION.split("{}")[0]), F.col("error"), F.lit(CORRECTION.split("{}")[1]))
             wrong = read.filter("error is not null").select("item_id", "arm", "run_idx", F.array(turn("assistant", F.col("raw")), turn("user", back)).alias("more"))
-            asked = asked.join(wrong, ["item_id", "arm", "run_idx"]).select("item_id", "arm", "run_idx", F.concat("messages", "more").alias("messages"))
+            more = wrong if more is None else more.withColumnRenamed("more", "before").join(wrong, ["item_id", "arm", "run_idx"]).select("item_id", "arm", "run_idx", F.concat("before", "more").alias("more"))
+            asked = spread.join(more, ["item_id", "arm"]).select("item_id", "arm", "run_idx", F.concat("messages", "more").alias("messages"))
     return made
 
 
@@ -140,4 +146,5 @@ def classify(prompts: DataFrame, client: Callable[[], MockClient], model: str, s
     """Voted and stamped predictions. A served model other than the pinned one is an error before the first call."""
     if model != served:
         raise ValueError(f"pinned model {model}, served {served}")
-    return vote(sample_runs(prompts, client, n_runs, models=(model,), fallback=False)).withColumn("active_model", F.lit(model))
+    runs = materialise(sample_runs(prompts, client, n_runs, models=(model,), fallback=False), "runs")  # the vote reads them thrice
+    return vote(runs).withColumn("active_model", F.lit(model))

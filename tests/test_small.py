@@ -523,3 +523,20 @@ def test_dense_search_keeps_the_best_of_a_task_and_of_the_buckets_wanted(spark):
     got = retrieve.dense_scored(c, q, 3, 100)
     assert got.count() <= 20 * 2 * 4
     assert {(r["query_id"], r["bucket"], r["rank"]): r["id"] for r in retrieve.top_k(got, ["query_id", "bucket"], 3).collect()} == {(i, b, k): j for i in range(20) for b in "ab" for k, j in enumerate(best(i, b), 1)}
+
+
+def test_a_run_reads_each_answer_once(spark):
+    text = "item_id string, arm string, messages array<struct<role string, text string>>"
+    p = spark.createDataFrame([(str(i), "rag", [("system", "s"), ("user", f"hello {i}")]) for i in range(20)], text)
+    voted = run.classify(p, lambda: run.MockClient(broken=True), "m", "m", 2)
+    assert "Python" not in (plan := voted._jdf.queryExecution().toString()) and "variant" not in plan
+    assert all(r["n_valid"] == 2 for r in voted.collect()) and voted.count() == 20
+
+    class Twice(run.MockClient):
+        """Answers the third time only, and then only if it is shown both its answers before."""
+
+        def complete(self, model, messages, attempt=0, salt=""):
+            assert len(messages) == 2 + 2 * attempt and messages[1]["text"].startswith("hello")
+            return super().complete(model, messages, attempt, salt) if attempt == 2 else "no"
+
+    assert {(r["repairs"], r["parse_failure"], len(r["raw_outputs"])) for r in run.sample_runs(p, Twice, 2).collect()} == {(2, False, 3)}
