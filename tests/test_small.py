@@ -540,3 +540,39 @@ def test_a_run_reads_each_answer_once(spark):
             return super().complete(model, messages, attempt, salt) if attempt == 2 else "no"
 
     assert {(r["repairs"], r["parse_failure"], len(r["raw_outputs"])) for r in run.sample_runs(p, Twice, 2).collect()} == {(2, False, 3)}
+
+
+def test_bm25_scores_exactly_only_what_may_be_among_the_best(spark, monkeypatch):
+    """Terms are counted by record and stored; of a block few records are scored twice, also where a query's own are repeated."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    n, words, k = 3000, 400, 5
+    tf = rng.poisson(0.05 + 2.0 * (np.arange(words) < 30), (n, words))
+    tf[100:110] = tf[7]  # ties
+    ids = np.array([f"d{i:04}" for i in range(n)], object)
+    ids[200:212] = "q0"
+    tf[200:212] = tf[0] = 1 + tf[0]
+    rec, term = np.nonzero(tf)
+    idf, dl = rng.uniform(0.1, 9, words), tf.sum(1)
+    idf[:3] = -0.5
+    asked = rng.integers(0, n, 200)
+    asked[0] = 0
+    at = [np.flatnonzero(tf[i]) for i in asked]
+    scored, exact = [], retrieve._Index.exact
+    monkeypatch.setattr(retrieve._Index, "exact", lambda self, recs, w: scored.append(len(recs)) or exact(self, recs, w))
+    best, names = {}, np.array([f"q{j}" for j in range(len(asked))], object)
+    index = retrieve._Index(ids, dl, (tf > 0).sum(1), term, tf[rec, term], dl.mean(), words)
+    index.search(idf, names, np.arange(len(asked)), np.append(0, np.cumsum([len(x) for x in at])), np.concatenate(at), np.ones(sum(map(len, at)), int), k, best)
+    grown = tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / dl.mean())[:, None])
+    for j, t in enumerate(at):
+        all_ = np.where(ids == names[j], -np.inf, grown[:, t] @ idf[t])
+        cut = np.sort(all_)[-k] - 1e-6
+        assert {x: round(y, 6) for x, y in zip(best[j][1], best[j][0]) if y >= cut} == {ids[i]: round(all_[i], 6) for i in np.flatnonzero(all_ >= cut)}
+    assert sum(scored) <= 200 * (k + 2) + 2 * 13 + 20
+    c = spark.createDataFrame([("b", "1", "x y x"), ("b", "2", "x Zz"), ("b", "3", "..."), ("b", "4", None)], "bucket string, id string, text string")
+    counted = retrieve.term_counts(c)
+    assert {r["id"]: (r["dl"], dict(zip(r["terms"], r["tfs"]))) for r in counted.collect()} == {"1": (3, {"x": 2, "y": 1}), "2": (2, {"x": 1, "zz": 1}), "3": (0, {})}
+    sizes, weights = retrieve.bm25_stats(counted)
+    assert "Generate" not in weights._jdf.queryExecution().toString()
+    assert {r["term"]: r["df"] for r in weights.collect()} == {"x": 2, "y": 1, "zz": 1} and sizes.first()["n"] == 3
