@@ -576,3 +576,44 @@ def test_bm25_scores_exactly_only_what_may_be_among_the_best(spark, monkeypatch)
     sizes, weights = retrieve.bm25_stats(counted)
     assert "Generate" not in weights._jdf.queryExecution().toString()
     assert {r["term"]: r["df"] for r in weights.collect()} == {"x": 2, "y": 1, "zz": 1} and sizes.first()["n"] == 3
+
+
+@pytest.mark.parametrize("rows", [1, 7, 10_000])
+def test_diversify_streams_sorted_queries(spark, rows):
+    """No frame a query, and a query may go over batches."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=(40, 3))
+    pool = {q: [(i, float(rng.uniform())) for i in rng.permutation(40)[: 3 + 4 * q].tolist()] for q in range(6)}
+    df = spark.createDataFrame([(q, i, r, sim, m[i].tolist()) for q, x in pool.items() for r, (i, sim) in enumerate(x, 1)], "query_id long, id long, rank int, sim double, vec array<double>")
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    try:
+        picked = retrieve.diversify(df.orderBy("id"), 5)
+        assert "Pandas" not in picked._jdf.queryExecution().toString()
+        got = {(r["query_id"], r["pick"]): r["id"] for r in picked.collect()}
+        assert retrieve.diversify(df.limit(0), 5).count() == 0
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    u, want = m / np.linalg.norm(m, axis=1, keepdims=True), {}
+    for q, x in pool.items():
+        left, order = dict(x), []
+        while left and len(order) < 5:
+            i = next(iter(left)) if len(x) <= 5 else max(left, key=lambda i: 0.7 * left[i] - 0.3 * max((u[i] @ u[j] for j in order), default=0))
+            order.append(i)
+            del left[i]
+        want |= {(q, k): i for k, i in enumerate(order, 1)}
+    assert got == want
+
+
+def test_fused_search_reads_the_documents_texts_no_more_than_needed(spark, tmp_path):
+    """The stored vectors of documents are found once, not anew for size, queries and search."""
+    from evalweave.plans import studies
+
+    docs = spark.createDataFrame([(i, f"word{i % 7} thing{i % 3} text {i}" if i % 11 else None) for i in range(120)], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, [float(i % 5), 1.0, float(i % 3)]) for i in range(0, 200, 2)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    top = studies.retrieval_debug(spark, str(tmp_path))
+    assert top._jdf.queryExecution().executedPlan().toString().count("ReadSchema: struct<doc_id:bigint") == 1
+    assert {(r["query_id"], r["rank"]) for r in top.collect()} == {(q, k) for q in (50, 100) for k in (1, 2, 3)}
