@@ -617,3 +617,19 @@ def test_fused_search_reads_the_documents_texts_no_more_than_needed(spark, tmp_p
     top = studies.retrieval_debug(spark, str(tmp_path))
     assert top._jdf.queryExecution().executedPlan().toString().count("ReadSchema: struct<doc_id:bigint") == 1
     assert {(r["query_id"], r["rank"]) for r in top.collect()} == {(q, k) for q in (50, 100) for k in (1, 2, 3)}
+
+
+def test_a_retrieval_call_reads_its_records_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(frames):
+        for x in frames:
+            read.add(len(x))
+            yield x
+
+    rows = [(f"{kind}{i}", kind, "hate", "en", f"word{i} text") for kind in ("definition", "guideline", "example", "feedback") for i in range(5)]
+    records = spark.createDataFrame(rows, fields := "id string, kind string, dimension string, lang string, text string").mapInPandas(seen, fields)
+    asked = spark.createDataFrame([("q", "en", "word3")], "query_id string, lang string, text string")
+    got = retrieve.retrieve(records, asked, retrieve.BUDGETS | {"strategy": "bm25", "definitions_mode": "proportional"}).collect()
+    assert {(r["bucket"], r["id"]) for r in got} == {("definitions", "definition3"), ("guidelines", "guideline3"), ("examples", "example3"), ("feedback", "feedback3")}
+    assert read.value == len(rows)
