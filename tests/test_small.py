@@ -2,6 +2,7 @@
 
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -578,6 +579,54 @@ def test_bm25_scores_exactly_only_what_may_be_among_the_best(spark, monkeypatch)
     assert {r["term"]: r["df"] for r in weights.collect()} == {"x": 2, "y": 1, "zz": 1} and sizes.first()["n"] == 3
 
 
+def test_bm25_meets_terms_of_like_queries_as_products_and_scores_no_record_without_a_term(monkeypatch):
+    """Terms of a twenty-fifth of the records that many queries of a block have are not added query by query; a query that meets
+    fewer than asked for has only those scored."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    n, half, queries, k = 4000, 40, 512, 5
+    kind = rng.integers(0, 2, n)
+    tf = rng.poisson(0.08, (n, 2 * half + 1))
+    tf[kind == 0, half : 2 * half] = tf[kind == 1, :half] = 0
+    tf[:, -1] = 0
+    tf[17, -1] = 1
+    of = np.arange(queries) % 2
+    at = [np.sort(rng.choice(half, 20, False)) + half * o for o in of]
+    at[7] = np.array([2 * half])
+    start, flat = np.append(0, np.cumsum([len(x) for x in at])), np.concatenate(at)
+    order = retrieve._alike(start, flat, 2 * half + 1, 2)
+    assert sorted(order) == list(range(queries)) and np.count_nonzero(np.diff(of[order])) <= 3
+    rec, term = np.nonzero(tf)
+    dl, idf, ids = 1 + tf.sum(1), rng.uniform(1, 4, 2 * half + 1), np.arange(n)
+    scored, added, exact, add = [], [], retrieve._Index.exact, retrieve._Index._add
+    monkeypatch.setattr(retrieve._Index, "exact", lambda self, recs, w: scored.append(len(recs)) or exact(self, recs, w))
+    monkeypatch.setattr(retrieve._Index, "_add", lambda self, sums, t, w: added.append(self.count[t].sum()) or add(self, sums, t, w))
+    best, names = {}, np.arange(n, n + queries)
+    some = np.flatnonzero((tf > 0).any(1))
+    place = np.searchsorted(some, rec)
+    index = retrieve._Index(ids[some], dl[some], np.bincount(place), term, tf[rec, term], dl.mean(), 2 * half + 1)
+    index.search(idf, names, order, start, flat, np.ones(len(flat), int), k, best)
+    assert sum(added) < 0.05 * (tf > 0).sum(0)[flat].sum() and best[7][1].tolist() == [17] and 1 in scored and sum(scored) < 8 * k * queries
+    grown = tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / dl.mean())[:, None])
+    for j, t in enumerate(at):
+        score = grown[:, t] @ idf[t]
+        cut = max(np.sort(score)[-k] - 1e-6, 1e-9)
+        assert {x: round(y, 6) for x, y in zip(best[j][1].tolist(), best[j][0]) if y >= cut} == {i: round(score[i], 6) for i in np.flatnonzero(score >= cut).tolist()}
+
+
+def test_words_are_split_a_batch_at_once(spark):
+    from evalweave.functions.text import split_words, tokens
+
+    texts = ["", "a", "b_1", "", "naïve cafés -- 12,5", "日本語 テキスト", "😀a😀", "a😀", "é", "é́x", "...", "हिन्दी भाषा", "x\u00a0y", "٣ 4²", "ab", "cd"]
+    want = [r["w"] for r in spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, text string").select("i", tokens("text").alias("w")).orderBy("i").collect()]
+    for first in (0, 3):
+        words, n = split_words(pa.array(texts).slice(first))
+        ends = n.cumsum().tolist()
+        assert [words.to_pylist()[z - m : z] for z, m in zip(ends, n.tolist())] == want[first:]
+    assert split_words(pa.array([], pa.string()))[1].tolist() == [] and split_words(pa.array(["", ""]))[1].tolist() == [0, 0]
+
+
 @pytest.mark.parametrize("rows", [1, 7, 10_000])
 def test_diversify_streams_sorted_queries(spark, rows):
     """No frame a query, and a query may go over batches."""
